@@ -28,9 +28,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), width=200)
+
+
 def queries() -> dict:
     return {
         "op2_token_counts": op2_token_counts,
+        "op8_suffix_dedup": op8_suffix_dedup,
     }
 
 
