@@ -21,6 +21,15 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+QUALITY_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import apply_rules
+
+    return apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*QUALITY_COLUMNS)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.tokens import token_counts
 
@@ -36,10 +45,44 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op2_token_counts": op2_token_counts,
         "op8_suffix_dedup": op8_suffix_dedup,
     }
 
 
+def quality_sql(source: str = "documents") -> str:
+    """Common table expressions up to ``judged``: the rows of source with the quality measures and verdicts."""
+    from tessera.llm.quality import BASE_LEAST_WORDS, BASE_REPEAT_PERCENT, RULES, STOP_WORDS, SYMBOLS, UPPER
+
+    stops = ", ".join(f"'{w}'" for w in sorted({w for words in STOP_WORDS.values() for w in words.split()}))
+    measure = {
+        "mean_word_chars": "word_chars / nullif(n_words, 0)",
+        "symbol_ratio": "n_symbols / nullif(n_words, 0)",
+        "upper_ratio": "upper_chars / nullif(word_chars, 0)",
+        "dup_line_ratio": "n_dup_lines / nullif(n_lines, 0)",
+        "n_stop_words": "n_stop_words",
+    }
+    bad = [f"coalesce({measure[r.measure]} < {r.low}, false)" for r in RULES if r.low is not None]
+    bad += [f"coalesce({measure[r.measure]} > {r.high}, false)" for r in RULES if r.high is not None]
+    return f"""
+q_rows AS (SELECT *, row_number() OVER () AS rid, coalesce(text, '') AS t FROM {source}),
+q_words AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM q_rows),
+q_windows AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM q_words)),
+q_twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c FROM q_windows) WHERE c > 1),
+q_covered AS (SELECT rid, count(DISTINCT i + o) AS n FROM q_twice, (VALUES (0), (1), (2)) AS v(o) GROUP BY rid),
+q_base AS (SELECT q_words.*, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+  length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')) AS n_symbols, len(ls) AS n_lines,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+  length(t) - length(regexp_replace(t, '{UPPER}', '', 'g')) AS upper_chars,
+  len(list_intersect(list_distinct(ws), [{stops}])) AS n_stop_words
+  FROM q_words LEFT JOIN q_covered USING (rid)),
+q_failed AS (SELECT *, n_words < {BASE_LEAST_WORDS} OR 100 * n_repeat_words > {BASE_REPEAT_PERCENT} * n_words AS base_failed FROM q_base),
+judged AS (SELECT *, NOT base_failed AND NOT ({" OR ".join(bad)}) AS kept FROM q_failed)"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op1_quality_rules": f"WITH {quality_sql()} SELECT {', '.join(QUALITY_COLUMNS)} FROM judged",
+    }

@@ -11,8 +11,10 @@ each byte would move hundreds of times the corpus, so each digit pass carries a
   windows are unique and leave, as in any radix sort.
 * Pass 2 orders the rest by the fingerprint of the run's whole context.  Equal contexts repeat with
   all their windows.
-* Pass 3 orders the windows of contexts that still share a digit with a different context by the
-  fingerprint of their full ``width`` bytes; equal groups are exactly the repeated windows.
+* Pass 3 takes one text of each context that still shares a digit with a different context, deals
+  the contexts' bytes by digit, and orders their windows by the fingerprint of the full ``width``
+  bytes; equal groups are exactly the repeated windows.  Contexts of a digit that has over
+  ``HOT_KINDS`` of them are not dealt: their windows are counted as rows of their own instead.
 
 Digits are 64-bit hashes (only a filter: a clash costs time, not rightness); the decisions of passes
 2 and 3 compare 128-bit fingerprints.  Every pass counts with map-side combination and joins the
@@ -38,6 +40,9 @@ from tessera.llm.common import map_arrow, mix64, row_slices, string_buffers, tex
 #: Bytes of the first digit.
 DIGIT = 32
 SLICE = 1 << 21
+#: Contexts compared at once in pass 3 (more only if one digit has more), and the most of one digit there.
+GROUP_ROWS = 20_000
+HOT_KINDS = 20_000
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -143,6 +148,78 @@ def _runs(batch: pa.RecordBatch, width: int):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["digit", "c1", "c2", "r1", "r2", "lo", "more"])
 
 
+def _once(batches, fn, width: int):
+    """fn over the first row of each text that a task meets; copies ask for the same and repeat anyway."""
+    seen = set()
+    for batch in batches:
+        keys = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+        rows = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
+        if rows:
+            yield from fn(batch.take(pa.array(rows)), width)
+
+
+def _contexts(batch: pa.RecordBatch, width: int):
+    """Bytes of the contexts asked for in each text."""
+    data, offsets = string_buffers(batch.column(0))
+    for i in range(batch.num_rows):
+        text = data[offsets[i] : offsets[i + 1]].tobytes()
+        digit, lo, more = (batch.column(k)[i].values for k in (3, 4, 5))
+        at = np.asarray(lo)
+        parts = [text[a : a + m + width] for a, m in zip(at.tolist(), more.to_pylist())]
+        n = len(parts)
+        yield pa.RecordBatch.from_arrays([digit, *(pa.array([batch.column(k)[i].as_py()] * n, pa.int64()) for k in (1, 2)), pa.array(at), pa.array(parts, pa.binary())], names=["digit", "r1", "r2", "lo", "bytes"])
+
+
+def _sorted_groups(batches, width: int):
+    """Pass 3 over rows sorted by digit: windows that two contexts of the same digit share, as runs."""
+    held: list[pa.RecordBatch] = []
+
+    def finish(rows: pa.Table):
+        for part in rows.to_batches(max_chunksize=len(rows)):
+            col = part.column(4).cast(pa.large_binary())
+            offsets = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1]
+            data = np.frombuffer(col.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+            sizes = np.diff(offsets) - width + 1
+            first = np.cumsum(sizes) - sizes
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            inside = np.arange(int(sizes.sum())) - first[row]
+            at = (offsets[:-1] - offsets[0])[row] + inside
+            w1, w2 = Prints(data, 0).of(at, at + width), Prints(data, 1).of(at, at + width)
+            order = np.lexsort((w2, w1))
+            same = (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])
+            twice = np.zeros(len(order), dtype=bool)
+            twice[order[1:][same]] = True
+            twice[order[:-1][same]] = True
+            hit = np.flatnonzero(twice)
+            if not len(hit):
+                continue
+            new = np.flatnonzero(np.r_[True, (np.diff(hit) > 1) | (row[hit][1:] != row[hit][:-1])])
+            lo, hi = hit[new], hit[np.r_[new[1:], len(hit)] - 1]
+            r = row[lo]
+            r1, r2, start = (np.asarray(part.column(k)) for k in (1, 2, 3))
+            cols = [r1[r], r2[r], start[r] + inside[lo], (hi - lo).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["r1", "r2", "lo", "more"])
+
+    n = 0
+    for batch in batches:
+        digit = np.asarray(batch.column(0))
+        cuts = np.flatnonzero(digit[1:] != digit[:-1]) + 1
+        at = 0
+        if held and len(digit) and digit[0] != np.asarray(held[-1].column(0))[-1] and n >= GROUP_ROWS:
+            yield from finish(pa.Table.from_batches(held).combine_chunks())
+            held, n = [], 0
+        for cut in [*cuts.tolist(), len(digit)]:
+            if cut == len(digit) or n + cut - at >= GROUP_ROWS:
+                held.append(batch.slice(at, cut - at))
+                n += cut - at
+                at = cut
+                if cut < len(digit):
+                    yield from finish(pa.Table.from_batches(held).combine_chunks())
+                    held, n = [], 0
+    if held:
+        yield from finish(pa.Table.from_batches(held).combine_chunks())
+
+
 def _windows(batch: pa.RecordBatch, width: int):
     """Pass 3: full-width fingerprints of the windows asked for, as runs (start, windows) of each text."""
     data, offsets = string_buffers(batch.column(0))
@@ -211,16 +288,25 @@ def repeated_runs(docs: DataFrame, width: int = 200, text_col: str = "text") ->
     shared = contexts.where("times > 1").select(*ctx)
     whole = runs.join(shared, ctx, "left_semi").select(*who)
 
-    mixed = contexts.groupBy("digit").agg(F.count("*").alias("kinds")).where("kinds > 1").select("digit")
-    one_each = runs.groupBy(*ctx).agg(F.min(F.struct(*who)).alias("x"), F.sum("n").alias("times"))
-    asked = one_each.join(mixed, "digit", "left_semi").select("x.*")
-    asked = asked.groupBy("r1", "r2").agg(F.collect_list(F.struct("lo", "more")).alias("q"))  # bounded by the text
-    asked = asked.select("r1", "r2", F.col("q.lo").alias("lo"), F.col("q.more").alias("more"))
-    windows = map_arrow(texts.join(asked, ["r1", "r2"]).select("text", "r1", "r2", "lo", "more"), lambda b: _windows(b, width), "w1 bigint, w2 bigint, r1 bigint, r2 bigint, s bigint")
-    windows = _kept(windows.distinct())  # copies of one text ask for the same windows
+    mixed = contexts.groupBy("digit").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    one_each = runs.groupBy(*ctx).agg(F.min(F.struct(*who)).alias("x"))
+    asked = _kept(one_each.join(mixed, "digit").select("digit", "kinds", "x.*"))
+
+    def of_texts(asked: DataFrame) -> DataFrame:
+        asked = asked.groupBy("r1", "r2").agg(F.collect_list(F.struct("digit", "lo", "more")).alias("q"))  # bounded by the text
+        asked = asked.select("r1", "r2", *(F.col(f"q.{c}").alias(c) for c in ("digit", "lo", "more")))
+        return texts.join(asked, ["r1", "r2"]).select("text", "r1", "r2", "digit", "lo", "more")
+
+    few = of_texts(asked.where(F.col("kinds") <= HOT_KINDS)).mapInArrow(lambda it: _once(it, _contexts, width), "digit bigint, r1 bigint, r2 bigint, lo bigint, bytes binary")
+    few = few.repartition("digit").sortWithinPartitions("digit").mapInArrow(lambda it: _sorted_groups(it, width), "r1 bigint, r2 bigint, lo bigint, more int")
+    if asked.where(F.col("kinds") > HOT_KINDS).isEmpty():
+        return whole.unionByName(few)
+    # a digit with very many contexts: its windows are counted one by one, with map-side combination
+    windows = of_texts(asked.where(F.col("kinds") > HOT_KINDS)).select("text", "r1", "r2", "lo", "more")
+    windows = _kept(windows.mapInArrow(lambda it: _once(it, _windows, width), "w1 bigint, w2 bigint, r1 bigint, r2 bigint, s bigint"))
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     single = windows.join(twice, ["w1", "w2"], "left_semi").select("r1", "r2", F.col("s").alias("lo"), F.lit(0).alias("more"))
-    return whole.unionByName(single)
+    return whole.unionByName(few).unionByName(single)
 
 
 def _kept(df: DataFrame) -> DataFrame:

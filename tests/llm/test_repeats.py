@@ -59,6 +59,13 @@ def test_equals_brute_force(spark):
     assert run(spark, texts) == want
 
 
+def test_hot_digits_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_KINDS", 2)
+    monkeypatch.setattr(repeats, "GROUP_ROWS", 3)
+    texts = fixture()
+    assert run(spark, texts) == brute(texts, 200)
+
+
 def test_slices_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(repeats, "SLICE", 1 << 10)
     rnd = random.Random(3)
