@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,10 +28,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table into the shared checkpoint folder and read it back: compressed, and cut from its lineage."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-checkpoints")
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def text_key(text) -> list:
     """Two 64-bit halves of the MD5 of a text (null counts as empty): the identity of a text."""
     digest = F.md5(F.coalesce(text, F.lit("")))
-    half = lambda at: F.conv(F.substring(digest, at, 16), 16, -10).cast("bigint")
+    half = lambda at: F.coalesce(F.conv(F.substring(digest, at, 16), 16, -10).cast("bigint"), F.lit(0))
     return [half(1).alias("r1"), half(17).alias("r2")]
 
 

@@ -271,9 +271,13 @@ def _cut(batch: pa.RecordBatch, width: int):
     yield pa.RecordBatch.from_arrays([ids, pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_runs(docs: DataFrame, width: int = 200, text_col: str = "text") -> DataFrame:
-    """(r1, r2, lo, more): windows lo .. lo + more of the text with that key occur again somewhere."""
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *text_key(F.col(text_col))).where(F.octet_length("text") >= width)
+def keyed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *text_key(F.col(text_col)))
+
+
+def repeated_runs(rows: DataFrame, width: int = 200) -> DataFrame:
+    """(r1, r2, lo, more) from keyed rows: windows lo .. lo + more of the text with that key occur again somewhere."""
+    texts = rows.select("text", "r1", "r2").where(F.octet_length("text") >= width)
     ctx, who = ["digit", "c1", "c2"], ["r1", "r2", "lo", "more"]
 
     digits = map_arrow(texts.select("text"), lambda b: _digits(b, width), "digit bigint, n bigint")
@@ -295,7 +299,8 @@ def repeated_runs(docs: DataFrame, width: int = 200, text_col: str = "text") ->
     def of_texts(asked: DataFrame) -> DataFrame:
         asked = asked.groupBy("r1", "r2").agg(F.collect_list(F.struct("digit", "lo", "more")).alias("q"))  # bounded by the text
         asked = asked.select("r1", "r2", *(F.col(f"q.{c}").alias(c) for c in ("digit", "lo", "more")))
-        return texts.join(asked, ["r1", "r2"]).select("text", "r1", "r2", "digit", "lo", "more")
+        # all columns of rows, so that this join and that of remove_repeats read one shuffle of the texts
+        return rows.join(asked, ["r1", "r2"]).select("text", "r1", "r2", "digit", "lo", "more", "doc_id")
 
     few = of_texts(asked.where(F.col("kinds") <= HOT_KINDS)).mapInArrow(lambda it: _once(it, _contexts, width), "digit bigint, r1 bigint, r2 bigint, lo bigint, bytes binary")
     few = few.repartition("digit").sortWithinPartitions("digit").mapInArrow(lambda it: _sorted_groups(it, width), "r1 bigint, r2 bigint, lo bigint, more int")
@@ -317,11 +322,11 @@ def _kept(df: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, width: int = 200, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row per input row: doc_id, n_bytes, n_removed, n_spans and kept_sha256 of the remaining bytes."""
-    runs = repeated_runs(docs, width, text_col)
+    rows = keyed(docs, text_col, id_col)
+    runs = repeated_runs(rows, width)
     runs = runs.groupBy("r1", "r2", "lo").agg(F.max("more").alias("more"))
     runs = runs.groupBy("r1", "r2").agg(F.collect_list(F.struct("lo", "more")).alias("q"))  # bounded by the text
     runs = runs.select("r1", "r2", F.col("q.lo").alias("lo"), F.col("q.more").alias("more"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *text_key(F.col(text_col)))
     rows = rows.join(runs, ["r1", "r2"], "left").select("doc_id", "text", "lo", "more")
     id_type = dict(docs.dtypes)[id_col]
     return map_arrow(rows, lambda b: _cut(b, width), f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
