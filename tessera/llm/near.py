@@ -55,23 +55,27 @@ _U = np.uint64
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407], dtype=np.uint64)
 
 
+def word_hashes(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of lower-cased (A-Z) texts, and the first word's index of each text (one more at the end)."""
+    low = np.where((part >= 65) & (part <= 90), part + 32, part).astype(np.uint8)
+    gap = (low == 32) | ((low >= 9) & (low <= 13))
+    edge = np.ones(len(low) + 1, dtype=bool)  # a word starts after a gap or at the start of a text
+    edge[1:-1] = gap[:-1]
+    edge[at] = True
+    start = np.flatnonzero(edge[:-1] & ~gap)
+    stop_edge = np.ones(len(low) + 1, dtype=bool)
+    stop_edge[:-1] = gap
+    stop_edge[at] = True
+    stops = np.flatnonzero(stop_edge)
+    end = stops[np.searchsorted(stops, start, side="right")] if len(start) else start
+    h = mix64(Prints(low, 0).of(start, end) + (end - start).astype(np.uint64) * _PLACES[4])
+    return h, np.searchsorted(start, at)
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for a, b in row_slices(offsets, SLICE):
-        part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        low = np.where((part >= 65) & (part <= 90), part + 32, part).astype(np.uint8)
-        gap = (low == 32) | ((low >= 9) & (low <= 13))
-        edge = np.ones(len(low) + 1, dtype=bool)  # a word starts after a gap or at the start of a text
-        edge[1:-1] = gap[:-1]
-        edge[at] = True
-        start = np.flatnonzero(edge[:-1] & ~gap)
-        stop_edge = np.ones(len(low) + 1, dtype=bool)
-        stop_edge[:-1] = gap
-        stop_edge[at] = True
-        stops = np.flatnonzero(stop_edge)
-        end = stops[np.searchsorted(stops, start, side="right")] if len(start) else start
-        h = mix64(Prints(low, 0).of(start, end) + (end - start).astype(np.uint64) * _PLACES[4])
-        first = np.searchsorted(start, at)
+        h, first = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         rolled = np.zeros(max(0, len(h) - words + 1), dtype=np.uint64)
         for k in range(words):
             rolled += h[k : k + len(rolled)] * _PLACES[k % 5]

@@ -37,6 +37,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.near import near_components
 
@@ -53,6 +59,7 @@ def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_token_counts": op2_token_counts,
+        "op4_lm_score": op4_lm_score,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op8_suffix_dedup": op8_suffix_dedup,
     }
