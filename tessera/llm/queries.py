@@ -55,6 +55,12 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), width=200)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pages import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -62,6 +68,7 @@ def queries() -> dict:
         "op4_lm_score": op4_lm_score,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op8_suffix_dedup": op8_suffix_dedup,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
