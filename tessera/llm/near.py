@@ -14,10 +14,12 @@ over *regions* that contain every pair which can link:
 2. Rows (hash, set) are dealt and sorted by hash; the sets that share a hash form a region led by
    the smallest.  Regions of one leader merge, so a group of copies is one region however many
    hashes it shares.
-3. Leader-member pairs are verified first, each on its own, and their components labelled.  A region
-   of one component is done, so a large group of near copies costs one verification a member.
-4. Regions with several components go through R-trees, in tiles of bounded size, which emit only
-   links that join two components.
+3. Leader-member pairs come first, each on its own: those that the bound on their points allows are
+   verified, and their components labelled.  A region of one component is done, so a large group of
+   near copies costs one verification a member.
+4. Regions with several components go through R-trees of points, in tiles of bounded size, which name
+   the members that may link with another component.  Only those get their texts, and a second pass
+   of the same trees verifies and emits the links that join two components.
 
 The links found connect exactly what all links would, so components are those of the full join.  Equal
 sets are one node throughout, so copies are never paired.  Nodes are 64-bit set fingerprints (two of
@@ -38,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, components, mix64, row_slices, string_buffers, text_key
+from tessera.llm.common import checkpointed, components, mix64, row_slices, stored, string_buffers, text_key
 from tessera.llm.repeats import Prints
 
 WORDS = 5
 #: Links: PERCENT_OF * overlap >= PERCENT * union.
 PERCENT, PERCENT_OF = 75, 100
-GROUPS = 64
+GROUPS = 256
 FAN = 16
 #: A hash is frequent from so many documents; the list keeps the most frequent (8 bytes each).
 FREQUENT, FREQUENT_MOST = 16, 400_000
@@ -154,6 +156,22 @@ class CountTree:
         return rows[ok]
 
 
+def _pack(points: list[np.ndarray]) -> pa.Array:
+    """Points as 16-bit counts; the largest value stands for any larger."""
+    return pa.array([np.minimum(x, 0xFFFF).astype("<u2").tobytes() for x in points], pa.binary())
+
+
+def _unpack(col: pa.Array) -> np.ndarray:
+    x = np.frombuffer(b"".join(col.to_pylist()), dtype="<u2").reshape(len(col), GROUPS).astype(np.int64)
+    return np.where(x == 0xFFFF, 1 << 32, x)  # an upper bound all the same
+
+
+def may_link(comps: list[int], sizes: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Which points of one region have a point of another component within the bound."""
+    tree, comps = CountTree(points, sizes), np.array(comps)
+    return np.array([bool((comps[tree.near(points[i], int(sizes[i]))] != comps[i]).any()) for i in range(len(comps))], dtype=bool)
+
+
 def region_links(nodes: list[int], comps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links between different components of one region that join all that its links join."""
     root: dict[int, int] = {c: c for c in comps}
@@ -186,7 +204,7 @@ def _frequent(batches):
     """Shingles that a batch has in two documents or more."""
     for batch in batches:
         data, offsets = string_buffers(batch.column(0))
-        for a, b in row_slices(offsets, 8 * SLICE):
+        for a, b in row_slices(offsets, 2 * SLICE):
             found = [s for s in shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
             if found:
                 h, n = np.unique(np.concatenate(found), return_counts=True)
@@ -257,34 +275,57 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _tiles(batches):
-    """Rows (tile, node, comp, text) sorted by tile: links that join components within a tile."""
+def _within_bound(batches):
+    """Pairs (a, b) whose sizes and points allow a link."""
+    for batch in batches:
+        a, b, na, nb, pa_, pb = (batch.column(i) for i in range(6))
+        na, nb = np.asarray(na), np.asarray(nb)
+        ok = PERCENT_OF * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
+        rows = np.flatnonzero(ok)
+        for at in range(0, len(rows), 2000):
+            part = rows[at : at + 2000]
+            take = pa.array(part)
+            most = np.minimum(_unpack(pa_.take(take)), _unpack(pb.take(take))).sum(axis=1)
+            ok[part] = most >= least_shared(na[part], nb[part])
+        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok))
+
+
+def _by_tile(batches, finish):
+    """finish(rows of a tile) for rows sorted by tile, each node once."""
     held: list[pa.RecordBatch] = []
 
-    def finish():
+    def done():
         rows = pa.Table.from_batches(held).combine_chunks()
-        keep = {n: (c, i) for i, (n, c) in enumerate(zip(rows.column(1).to_pylist(), rows.column(2).to_pylist()))}
-        rows = rows.take(pa.array([i for _, i in keep.values()]))
-        sets = [s for chunk in rows.column(3).chunks for s in shingles(*string_buffers(chunk))]
-        found = region_links(list(keep), [c for c, _ in keep.values()], sets)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        first = {n: i for i, n in reversed(list(enumerate(rows.column(1).to_pylist())))}
+        return finish(rows.take(pa.array(sorted(first.values()))).combine_chunks())
 
     current = None
     for batch in batches:
-        keys = batch.column(0).to_pylist()
-        at = 0
-        for i, k in enumerate([*keys, None]):
-            if i == len(keys) or k != current:
-                if i > at:
-                    held.append(batch.slice(at, i - at))
-                at = i
-                if i < len(keys):
-                    if held:
-                        yield from finish()
-                    held, current = [], k
+        tile = np.asarray(batch.column(0))
+        cuts = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), len(tile)] if len(tile) else []
+        for at, end in zip(cuts, cuts[1:]):
+            if tile[at] != current and held:
+                yield from done()
+                held = []
+            current = tile[at]
+            held.append(batch.slice(at, end - at))
     if held:
-        yield from finish()
+        yield from done()
+
+
+def _open_rows(rows: pa.Table):
+    """(tile, node, comp) of the members of a tile that may link with another component."""
+    points = np.concatenate([_unpack(c) for c in rows.column(4).chunks])
+    ok = may_link(rows.column(2).to_pylist(), np.asarray(rows.column(3)), points)
+    if ok.any():
+        yield from rows.select([0, 1, 2]).filter(pa.array(ok)).to_batches()
+
+
+def _tile_links(rows: pa.Table):
+    sets = [s for chunk in rows.column(3).chunks for s in shingles(*string_buffers(chunk))]
+    found = region_links(rows.column(1).to_pylist(), rows.column(2).to_pylist(), sets)
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def frequent_hashes(texts: DataFrame) -> np.ndarray:
@@ -306,10 +347,17 @@ def near_links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Data
     # one text for each node of a region
     members = regions.select("node").unionAll(regions.select(F.col("leader").alias("node"))).distinct()
     chosen = sets.groupBy("node").agg(F.min(F.struct("r1", "r2")).alias("x")).join(members, "node", "left_semi").select("node", "x.*")
-    held = checkpointed(texts.join(chosen, ["r1", "r2"]).mapInArrow(_once, "node bigint, text string"))
+    held = stored(texts.join(chosen, ["r1", "r2"]).mapInArrow(_once, "node bigint, size bigint, point binary, text string"))
+    points, bodies = held.select("node", "size", "point"), held.select("node", "text")
+
+    def both(pairs: DataFrame, side: DataFrame) -> DataFrame:
+        for c in ("a", "b"):
+            pairs = pairs.join(side.select(*[F.col(x).alias(c if x == "node" else f"{x}_{c}") for x in side.columns]), c)
+        return pairs
 
-    pairs = regions.join(held, "node").withColumnRenamed("text", "b_text").join(held.select(F.col("node").alias("leader"), F.col("text").alias("a_text")), "leader")
-    stars = checkpointed(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b"), "a_text", "b_text").mapInArrow(_verified, "a bigint, b bigint"))
+    pairs = both(regions.select(F.col("leader").alias("a"), F.col("node").alias("b")), points)
+    pairs = pairs.select("a", "b", "size_a", "size_b", "point_a", "point_b").mapInArrow(_within_bound, "a bigint, b bigint")
+    stars = checkpointed(both(checkpointed(pairs), bodies).select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a bigint, b bigint"))
     labels = checkpointed(components(stars))
 
     # regions of several components
@@ -320,20 +368,25 @@ def near_links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Data
     rows = whole.join(open_, "leader").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tile = F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select(tile.alias("tile"), "node", "comp").join(held, "node").select("tile", "node", "comp", "text")
-    more = checkpointed(rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles, "a bigint, b bigint"))
+    rows = rows.select(tile.alias("tile"), "node", "comp")
+    rows = rows.join(points, "node").select("tile", "node", "comp", "size", "point").repartition("tile").sortWithinPartitions("tile")
+    rows = checkpointed(rows.mapInArrow(lambda it: _by_tile(it, _open_rows), "tile bigint, node bigint, comp bigint"))
+    rows = rows.join(bodies, "node").select("tile", "node", "comp", "text").repartition("tile").sortWithinPartitions("tile")
+    more = checkpointed(rows.mapInArrow(lambda it: _by_tile(it, _tile_links), "a bigint, b bigint"))
     if not more.isEmpty():
         labels = checkpointed(components(stars.unionAll(more)))
     return sets, labels
 
 
 def _once(batches):
-    """The first row of each node that a task meets (copies of a text have equal rows)."""
+    """(node, size, point, text) of the first row of each node that a task meets (copies of a text have equal rows)."""
     seen = set()
     for batch in batches:
-        nodes = batch.column(batch.schema.get_field_index("node")).to_pylist()
-        rows = pa.array([i for i, n in enumerate(nodes) if not (n in seen or seen.add(n))], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).take(rows) for c in ("node", "text")], names=["node", "text"])
+        column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
+        rows = pa.array([i for i, n in enumerate(column("node").to_pylist()) if not (n in seen or seen.add(n))], pa.int64())
+        texts = column("text").take(rows)
+        sets = list(shingles(*string_buffers(texts)))
+        yield pa.RecordBatch.from_arrays([column("node").take(rows), pa.array([len(x) for x in sets], pa.int64()), _pack([point(x) for x in sets]), texts], names=["node", "size", "point", "text"])
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
