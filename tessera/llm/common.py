@@ -77,6 +77,14 @@ def row_slices(offsets: np.ndarray, most_bytes: int) -> Iterator[tuple[int, int]
         at = end
 
 
+def small_batches(batches, col: int, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about most_bytes of one string column (one row at least)."""
+    for batch in batches:
+        _, offsets = string_buffers(batch.column(col))
+        for at, end in row_slices(offsets, most_bytes):
+            yield batch.slice(at, end - at)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finalizer that spreads every input bit over all output bits."""
     x = x ^ (x >> np.uint64(32))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import row_slices, stored, string_buffers
+from tessera.llm.common import row_slices, small_batches, stored, string_buffers
 from tessera.llm.near import word_hashes
 
 CONTEXT_SHARE = 100
@@ -79,7 +79,7 @@ def tokens(col: pa.Array, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _often(batches):
     """(word, n) of words with a share worth noting in a batch, and all tokens as word 0."""
     none = np.zeros(0, dtype=np.uint64)
-    for batch in batches:
+    for batch in small_batches(batches, 0):
         w, _, _ = tokens(batch.column(0), none)
         h, n = np.unique(w[w != END], return_counts=True)
         keep = n * CONTEXT_SHARE * 10 >= len(w)
