@@ -283,7 +283,9 @@ def repeated_runs(rows: DataFrame, width: int = 200) -> DataFrame:
     digits = map_arrow(texts.select("text"), lambda b: _digits(b, width), "digit bigint, n bigint")
     digits = digits.groupBy("digit").agg(F.sum("n").alias("n")).where("n > 1").select("digit")
     runs = map_arrow(texts, lambda b: _runs(b, width), "digit bigint, c1 bigint, c2 bigint, r1 bigint, r2 bigint, lo bigint, more int")
-    runs = runs.join(digits, "digit", "left_semi")
+    # the changed digit hides the join's partitioning: counts by more columns are then dealt by all of
+    # them, and the join stays free to split a digit that very many texts share
+    runs = runs.join(digits, "digit", "left_semi").withColumn("digit", F.col("digit").bitwiseXOR(F.lit(1)))
     # one row for each text and run, however often the text occurs
     runs = runs.groupBy(*ctx, *who).agg(F.count("*").alias("n"))
     runs = _kept(runs)
