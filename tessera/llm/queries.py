@@ -55,6 +55,15 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), width=200)
 
 
+LEAK_COLUMNS = ["doc_id", "item_id", "matched_windows", "item_windows", "n_slots"]
+
+
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.leaks import leaked_pairs
+
+    return leaked_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.pages import extract
 
@@ -68,6 +77,7 @@ def queries() -> dict:
         "op4_lm_score": op4_lm_score,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op8_suffix_dedup": op8_suffix_dedup,
+        "op9_benchmark_leaks": op9_benchmark_leaks,
         "op10_html_extraction": op10_html_extraction,
     }
 
@@ -104,6 +114,9 @@ judged AS (SELECT *, NOT base_failed AND NOT ({" OR ".join(bad)}) AS kept FROM q
 
 
 def oracle_sql() -> dict:
+    from tessera.llm.leaks import leaks_sql
+
     return {
+        "op9_benchmark_leaks": f"WITH {leaks_sql()} SELECT DISTINCT {', '.join(LEAK_COLUMNS)} FROM leaked",
         "op1_quality_rules": f"WITH {quality_sql()} SELECT {', '.join(QUALITY_COLUMNS)} FROM judged",
     }
