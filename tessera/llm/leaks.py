@@ -147,7 +147,7 @@ l_size AS (SELECT item_id, count(DISTINCT item_pos) AS item_windows FROM l_want
 l_docs AS (SELECT doc_id, row_number() OVER () AS rid, {tokens} AS tokens, {values} AS vals FROM {source}),
 l_pos AS (SELECT doc_id, rid, i AS pos, tokens, vals FROM (SELECT *, unnest(range(0, len(tokens) - {WINDOW - 1})) AS i FROM l_docs)),
 l_hits AS (SELECT doc_id, rid, item_id, item_pos, pos - item_pos AS shift, list_zip(a, {inside('pos')}) AS pairs FROM l_pos JOIN l_want ON words = array_to_string(tokens[pos + 1:pos + {WINDOW}], ' ')),
-l_diag AS (SELECT doc_id, rid, item_id, shift, list(DISTINCT item_pos) AS at, list_distinct(flatten(list(pairs))) AS pairs FROM l_hits GROUP BY ALL),
+l_diag AS (SELECT doc_id, rid, item_id, shift, list(DISTINCT item_pos) AS ats, list_distinct(flatten(list(pairs))) AS pairs FROM l_hits GROUP BY ALL),
 l_good AS (SELECT * FROM l_diag WHERE len(list_distinct(list_transform(pairs, lambda p: p[1]))) = len(pairs) AND len(list_distinct(list_transform(pairs, lambda p: p[2]))) = len(pairs)),
-leaked AS (SELECT doc_id, rid, item_id, len(list_distinct(flatten(list(at)))) AS matched_windows, any_value(item_windows) AS item_windows, max(len(pairs)) AS n_slots
-  FROM l_good JOIN l_size USING (item_id) GROUP BY doc_id, rid, item_id HAVING 100 * len(list_distinct(flatten(list(at)))) >= {SHARE} * any_value(item_windows))"""
+leaked AS (SELECT doc_id, rid, item_id, len(list_distinct(flatten(list(ats)))) AS matched_windows, any_value(item_windows) AS item_windows, max(len(pairs)) AS n_slots
+  FROM l_good JOIN l_size USING (item_id) GROUP BY doc_id, rid, item_id HAVING 100 * len(list_distinct(flatten(list(ats)))) >= {SHARE} * any_value(item_windows))"""
