@@ -46,7 +46,8 @@ from tessera.llm.repeats import Prints
 WORDS = 5
 #: Links: PERCENT_OF * overlap >= PERCENT * union.
 PERCENT, PERCENT_OF = 75, 100
-GROUPS = 256
+#: Coordinates of the first and the second point of a set, a byte each.
+GROUPS = (64, 1024)
 FAN = 16
 #: A hash is frequent from so many documents; the list keeps the most frequent (8 bytes each).
 FREQUENT, FREQUENT_MOST = 16, 400_000
@@ -120,8 +121,8 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s & _U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+def point(s: np.ndarray, groups: int = GROUPS[0]) -> np.ndarray:
+    return np.bincount((s & _U(groups - 1)).astype(np.int64), minlength=groups)
 
 
 class CountTree:
@@ -156,14 +157,14 @@ class CountTree:
         return rows[ok]
 
 
-def _pack(points: list[np.ndarray]) -> pa.Array:
-    """Points as 16-bit counts; the largest value stands for any larger."""
-    return pa.array([np.minimum(x, 0xFFFF).astype("<u2").tobytes() for x in points], pa.binary())
+def _pack(sets: list[np.ndarray], groups: int) -> pa.Array:
+    """Points as bytes; the largest value stands for any larger."""
+    return pa.array([np.minimum(point(x, groups), 0xFF).astype(np.uint8).tobytes() for x in sets], pa.binary())
 
 
 def _unpack(col: pa.Array) -> np.ndarray:
-    x = np.frombuffer(b"".join(col.to_pylist()), dtype="<u2").reshape(len(col), GROUPS).astype(np.int64)
-    return np.where(x == 0xFFFF, 1 << 32, x)  # an upper bound all the same
+    x = np.frombuffer(b"".join(col.to_pylist()), dtype=np.uint8).reshape(len(col), -1).astype(np.int32)
+    return np.where(x == 0xFF, 1 << 20, x)  # an upper bound all the same
 
 
 def may_link(comps: list[int], sizes: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -200,26 +201,21 @@ def region_links(nodes: list[int], comps: list[int], sets: list[np.ndarray]) ->
     return out
 
 
-def _frequent(batches):
-    """Shingles that a batch has in two documents or more."""
-    for batch in batches:
-        data, offsets = string_buffers(batch.column(0))
-        for a, b in row_slices(offsets, 2 * SLICE):
-            found = [s for s in shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
-            if found:
-                h, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
-
-
 def _sets(batches):
-    """(r1, r2, node, size) of each text."""
+    """A row (0, r1, r2, node, size) for each text, and (1, hash, texts) for hashes in two texts of a slice or more."""
     for batch in batches:
         data, offsets = string_buffers(batch.column(0))
-        node, size = [], []
-        for s in shingles(data, offsets):
-            node.append(node_of(s) if len(s) else None)
-            size.append(len(s))
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int64())], names=["r1", "r2", "node", "size"])
+        for a, b in row_slices(offsets, 2 * SLICE):
+            sets = list(shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+            h, n = np.unique(np.concatenate(sets), return_counts=True)
+            h, n = h[n > 1].view(np.int64), n[n > 1]
+            kind = np.repeat(np.array([0, 1], dtype=np.int8), [b - a, len(h)])
+            none = pa.nulls(len(h), pa.int64())
+            node = pa.chunked_array([pa.array([node_of(x) if len(x) else None for x in sets], pa.int64()), none]).combine_chunks()
+            size = pa.array(np.r_[[len(x) for x in sets], n].astype(np.int64))
+            r1 = pa.array(np.r_[np.asarray(batch.column(1))[a:b], h])
+            r2 = pa.array(np.r_[np.asarray(batch.column(2))[a:b], np.zeros(len(h), dtype=np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), r1, r2, node, size], names=["kind", "r1", "r2", "node", "size"])
 
 
 def _prefixes(batches, frequent: np.ndarray):
@@ -282,8 +278,8 @@ def _within_bound(batches):
         na, nb = np.asarray(na), np.asarray(nb)
         ok = PERCENT_OF * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
         rows = np.flatnonzero(ok)
-        for at in range(0, len(rows), 2000):
-            part = rows[at : at + 2000]
+        for at in range(0, len(rows), 500):
+            part = rows[at : at + 500]
             take = pa.array(part)
             most = np.minimum(_unpack(pa_.take(take)), _unpack(pb.take(take))).sum(axis=1)
             ok[part] = most >= least_shared(na[part], nb[part])
@@ -328,9 +324,9 @@ def _tile_links(rows: pa.Table):
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def frequent_hashes(texts: DataFrame) -> np.ndarray:
-    """The sorted hashes of the most frequent shingles, FREQUENT_MOST at most."""
-    counted = texts.select("text").mapInArrow(_frequent, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+def frequent_hashes(counts: DataFrame) -> np.ndarray:
+    """The sorted hashes of the most frequent shingles of (h, n) rows, FREQUENT_MOST at most."""
+    counted = counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     most = counted.orderBy(F.col("n").desc(), "h").limit(FREQUENT_MOST).select("h").toArrow()
     return np.sort(np.asarray(most.column(0)).view(np.uint64)) if len(most) else np.zeros(0, dtype=np.uint64)
 
@@ -338,8 +334,9 @@ def frequent_hashes(texts: DataFrame) -> np.ndarray:
 def near_links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts: r1, r2, node, size; labels: node, component) with a label for each linked node."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *text_key(F.col(text_col)))
-    sets = checkpointed(texts.select("text", "r1", "r2").mapInArrow(_sets, "r1 bigint, r2 bigint, node bigint, size bigint").distinct())
-    frequent = frequent_hashes(texts)
+    first = stored(texts.select("text", "r1", "r2").mapInArrow(_sets, "kind tinyint, r1 bigint, r2 bigint, node bigint, size bigint"))
+    sets = checkpointed(first.where("kind = 0").drop("kind").distinct())
+    frequent = frequent_hashes(first.where("kind = 1").select(F.col("r1").alias("h"), F.col("size").alias("n")))
     rows = texts.select("text").mapInArrow(lambda it: _prefixes(it, frequent), "h bigint, node bigint")
     regions = rows.repartition("h").sortWithinPartitions("h", "node").mapInArrow(_regions, "leader bigint, node bigint")
     regions = checkpointed(regions.distinct())
@@ -347,17 +344,18 @@ def near_links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Data
     # one text for each node of a region
     members = regions.select("node").unionAll(regions.select(F.col("leader").alias("node"))).distinct()
     chosen = sets.groupBy("node").agg(F.min(F.struct("r1", "r2")).alias("x")).join(members, "node", "left_semi").select("node", "x.*")
-    held = stored(texts.join(chosen, ["r1", "r2"]).mapInArrow(_once, "node bigint, size bigint, point binary, text string"))
-    points, bodies = held.select("node", "size", "point"), held.select("node", "text")
+    held = stored(texts.join(chosen, ["r1", "r2"]).mapInArrow(_once, "node bigint, size bigint, p0 binary, p1 binary, text string"))
 
-    def both(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    def both(pairs: DataFrame, *columns: str) -> DataFrame:
         for c in ("a", "b"):
-            pairs = pairs.join(side.select(*[F.col(x).alias(c if x == "node" else f"{x}_{c}") for x in side.columns]), c)
-        return pairs
-
-    pairs = both(regions.select(F.col("leader").alias("a"), F.col("node").alias("b")), points)
-    pairs = pairs.select("a", "b", "size_a", "size_b", "point_a", "point_b").mapInArrow(_within_bound, "a bigint, b bigint")
-    stars = checkpointed(both(checkpointed(pairs), bodies).select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a bigint, b bigint"))
+            pairs = pairs.join(held.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]), c)
+        return pairs.select("a", "b", *[f"{x}_{c}" for x in columns for c in ("a", "b")])
+
+    pairs = both(regions.select(F.col("leader").alias("a"), F.col("node").alias("b")), "size")
+    pairs = pairs.where(PERCENT_OF * F.least("size_a", "size_b") >= PERCENT * F.greatest("size_a", "size_b")).select("a", "b")
+    for p in ("p0", "p1"):
+        pairs = checkpointed(both(pairs, "size", p).mapInArrow(_within_bound, "a bigint, b bigint"))
+    stars = checkpointed(both(pairs, "text").mapInArrow(_verified, "a bigint, b bigint"))
     labels = checkpointed(components(stars))
 
     # regions of several components
@@ -369,9 +367,13 @@ def near_links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Data
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tile = F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other"))
     rows = rows.select(tile.alias("tile"), "node", "comp")
-    rows = rows.join(points, "node").select("tile", "node", "comp", "size", "point").repartition("tile").sortWithinPartitions("tile")
-    rows = checkpointed(rows.mapInArrow(lambda it: _by_tile(it, _open_rows), "tile bigint, node bigint, comp bigint"))
-    rows = rows.join(bodies, "node").select("tile", "node", "comp", "text").repartition("tile").sortWithinPartitions("tile")
+
+    def tiles(*columns: str) -> DataFrame:
+        return rows.join(held.select("node", *columns), "node").select("tile", "node", "comp", *columns).repartition("tile").sortWithinPartitions("tile")
+
+    for p in ("p0", "p1"):
+        rows = checkpointed(tiles("size", p).mapInArrow(lambda it: _by_tile(it, _open_rows), "tile bigint, node bigint, comp bigint"))
+    rows = tiles("text")
     more = checkpointed(rows.mapInArrow(lambda it: _by_tile(it, _tile_links), "a bigint, b bigint"))
     if not more.isEmpty():
         labels = checkpointed(components(stars.unionAll(more)))
@@ -379,14 +381,15 @@ def near_links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Data
 
 
 def _once(batches):
-    """(node, size, point, text) of the first row of each node that a task meets (copies of a text have equal rows)."""
+    """(node, size, p0, p1, text) of the first row of each node that a task meets (copies of a text have equal rows)."""
     seen = set()
     for batch in batches:
         column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
         rows = pa.array([i for i, n in enumerate(column("node").to_pylist()) if not (n in seen or seen.add(n))], pa.int64())
         texts = column("text").take(rows)
         sets = list(shingles(*string_buffers(texts)))
-        yield pa.RecordBatch.from_arrays([column("node").take(rows), pa.array([len(x) for x in sets], pa.int64()), _pack([point(x) for x in sets]), texts], names=["node", "size", "point", "text"])
+        points = [_pack(sets, g) for g in GROUPS]
+        yield pa.RecordBatch.from_arrays([column("node").take(rows), pa.array([len(x) for x in sets], pa.int64()), *points, texts], names=["node", "size", "p0", "p1", "text"])
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
