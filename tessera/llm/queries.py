@@ -37,18 +37,42 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def personal_key() -> str:
+    """The secret of the surrogates; set TESSERA_PII_KEY in production."""
+    return os.environ.get("TESSERA_PII_KEY", "tessera")
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import replace_personal_data
+
+    return replace_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), personal_key())
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.lm import score_texts
 
     return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.secrets import findings
+
+    return findings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.near import near_components
 
     return near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mix(docs).drop("text")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.repeats import remove_repeats
 
@@ -70,15 +94,25 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_token_counts": op2_token_counts,
+        "op3_pii_surrogates": op3_pii_surrogates,
         "op4_lm_score": op4_lm_score,
+        "op5_secret_scan": op5_secret_scan,
         "op6_ngram_jaccard": op6_ngram_jaccard,
+        "op7_source_mixing": op7_source_mixing,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_benchmark_leaks": op9_benchmark_leaks,
         "op10_html_extraction": op10_html_extraction,
+        "pipeline": pipeline,
     }
 
 
