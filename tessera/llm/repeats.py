@@ -16,8 +16,7 @@ each byte would move hundreds of times the corpus, so each digit pass carries a
   bytes; equal groups are exactly the repeated windows.  Contexts of a digit that has over
   ``HOT_KINDS`` of them are not dealt: their windows are counted as rows of their own instead.
 
-Digits are 64-bit hashes (only a filter: a clash costs time, not rightness); the decisions of passes
-2 and 3 compare 128-bit fingerprints.  Every pass counts with map-side combination and joins the
+Digits are 64-bit hashes; contexts are compared by another 64 bits within a digit, windows by 128.  Every pass counts with map-side combination and joins the
 counts back, so a passage in a third of all texts is one small row per task and a join that adaptive
 execution may split.  Nothing is collected, capped or broadcast.
 
@@ -142,10 +141,9 @@ def _runs(batch: pa.RecordBatch, width: int):
             continue
         shape = ((a - lo).astype(np.uint64) << _U(20)) | (hi - lo).astype(np.uint64)
         c1 = mix64(prints.of(lo, hi + width) + mix64(shape + _U(1)))
-        c2 = mix64(Prints(part, 1).of(lo, hi + width) ^ mix64(shape + _U(2)))
         begin = lo - at[row] + shift
-        cols = [digit.view(np.int64), c1.view(np.int64), c2.view(np.int64), r1[first + row], r2[first + row], begin, (hi - lo).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["digit", "c1", "c2", "r1", "r2", "lo", "more"])
+        cols = [digit.view(np.int64), c1.view(np.int64), r1[first + row], r2[first + row], begin, (hi - lo).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["digit", "c1", "r1", "r2", "lo", "more"])
 
 
 def _once(batches, fn, width: int):
@@ -278,11 +276,11 @@ def keyed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
 def repeated_runs(rows: DataFrame, width: int = 200) -> DataFrame:
     """(r1, r2, lo, more) from keyed rows: windows lo .. lo + more of the text with that key occur again somewhere."""
     texts = rows.select("text", "r1", "r2").where(F.octet_length("text") >= width)
-    ctx, who = ["digit", "c1", "c2"], ["r1", "r2", "lo", "more"]
+    ctx, who = ["digit", "c1"], ["r1", "r2", "lo", "more"]
 
     digits = map_arrow(texts.select("text"), lambda b: _digits(b, width), "digit bigint, n bigint")
     digits = digits.groupBy("digit").agg(F.sum("n").alias("n")).where("n > 1").select("digit")
-    runs = map_arrow(texts, lambda b: _runs(b, width), "digit bigint, c1 bigint, c2 bigint, r1 bigint, r2 bigint, lo bigint, more int")
+    runs = map_arrow(texts, lambda b: _runs(b, width), "digit bigint, c1 bigint, r1 bigint, r2 bigint, lo bigint, more int")
     # the changed digit hides the join's partitioning: counts by more columns are then dealt by all of
     # them, and the join stays free to split a digit that very many texts share
     runs = runs.join(digits, "digit", "left_semi").withColumn("digit", F.col("digit").bitwiseXOR(F.lit(1)))
