@@ -38,7 +38,7 @@ from tessera.llm.common import map_arrow, mix64, row_slices, string_buffers, tex
 
 #: Bytes of the first digit.
 DIGIT = 32
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Contexts compared at once in pass 3 (more only if one digit has more), and the most of one digit there.
 GROUP_ROWS = 20_000
 HOT_KINDS = 20_000
