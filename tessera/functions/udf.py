@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 
 def mapped(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
@@ -17,12 +19,15 @@ def mapped(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
 
         def call(*columns) -> Column:
             if not made:
+                kind = _parse_datatype_string(ddl)
+                arrow = to_arrow_type(kind)
 
-                def run(first: pd.Series, *rest: pd.Series) -> pd.Series:
-                    return pd.Series([f(*v) for v in zip(first, *rest)], dtype=object)
+                def run(*arrays: pa.Array) -> pa.Array:
+                    return pa.array([f(*row) for row in zip(*(a.to_pylist() for a in arrays))], arrow)
 
-                one, two, three = (lambda a: run(a)), (lambda a, b: run(a, b)), (lambda a, b, c: run(a, b, c))
-                made.append(pandas_udf({1: one, 2: two, 3: three}[len(columns)], ddl, 200))
+                # the number of arguments is read from the signature
+                shapes = {1: lambda a: run(a), 2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c)}
+                made.append(arrow_udf(shapes[len(columns)], kind, 250))
             return made[0](*columns)
 
         call.row = f
