@@ -24,7 +24,9 @@ from tessera.llm.queries import personal_key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return apply_rules(docs).where("kept").select(*docs.columns)
+    # the row number keeps the optimizer from copying the measures' expressions into a filter below them
+    judged = apply_rules(docs).withColumn("__row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("__row") >= 0)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
