@@ -25,9 +25,17 @@ def mapped(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
                 def run(*arrays: pa.Array) -> pa.Array:
                     return pa.array([f(*row) for row in zip(*(a.to_pylist() for a in arrays))], arrow)
 
-                # the number of arguments is read from the signature
-                shapes = {1: lambda a: run(a), 2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c)}
-                made.append(arrow_udf(shapes[len(columns)], kind, 250))
+                # the number of arguments and their kind are read from the signature
+                def one(a: pa.Array) -> pa.Array:
+                    return run(a)
+
+                def two(a: pa.Array, b: pa.Array) -> pa.Array:
+                    return run(a, b)
+
+                def three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+                    return run(a, b, c)
+
+                made.append(arrow_udf((one, two, three)[len(columns) - 1], kind))
             return made[0](*columns)
 
         call.row = f
