@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, components, mix64, row_slices, stored, string_buffers, text_key
+from tessera.llm.common import checkpointed, components, dealt_anew, mix64, row_slices, stored, string_buffers, text_key
 from tessera.llm.repeats import Prints
 
 WORDS = 5
@@ -399,4 +399,4 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sets.join(labels, "node", "left").select("r1", "r2", "size", F.coalesce("component", "node").alias("label"))
     rows = checkpointed(rows.join(named, ["r1", "r2"]).select("doc_id", "size", "label"))
     least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "label", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return rows.join(dealt_anew(least, "label"), "label", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, text_key
+from tessera.llm.common import checkpointed, dealt_anew, text_key
 
 # Given names by gender, and forms of address.
 MALE = "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Steven Andrew Joshua Kevin Brian George Edward Hans Klaus Jürgen Wolfgang Stefan Andreas Matthias Otto Heinrich Friedrich Jean Pierre Michel Philippe François Jacques Laurent Olivier Antoine Étienne José Carlos Juan Luis Javier Miguel Pedro Diego Fernando Alejandro Иван Сергей Дмитрий Алексей Николай Андрей"
@@ -165,7 +165,7 @@ def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") ->
     found = checkpointed(found.distinct())  # a row for each text and value
     named = surrogates(found, key)
     by_text = found.join(named.select("value", "surrogate"), "value").groupBy("__r1", "__r2").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("__map"))  # bounded by the text
-    rows = rows.join(by_text, ["__r1", "__r2"], "left")
+    rows = rows.join(dealt_anew(by_text, "__r1", "__r2"), ["__r1", "__r2"], "left")
     values = F.regexp_extract_all(F.col(text_col), F.lit(ENTITY), F.lit(0))
     parts = F.split(F.col(text_col), ENTITY, -1)
     again = F.concat(F.get(parts, F.lit(0)), F.array_join(F.zip_with(values, F.slice(parts, 2, F.size(parts)), lambda v, p: F.concat(F.element_at("__map", v), p)), ""))

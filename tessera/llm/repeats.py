@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, mix64, row_slices, string_buffers, text_key
+from tessera.llm.common import dealt_anew, map_arrow, mix64, row_slices, string_buffers, text_key
 
 #: Bytes of the first digit.
 DIGIT = 32
@@ -327,6 +327,6 @@ def remove_repeats(docs: DataFrame, width: int = 200, text_col: str = "text", id
     runs = runs.groupBy("r1", "r2", "lo").agg(F.max("more").alias("more"))
     runs = runs.groupBy("r1", "r2").agg(F.collect_list(F.struct("lo", "more")).alias("q"))  # bounded by the text
     runs = runs.select("r1", "r2", F.col("q.lo").alias("lo"), F.col("q.more").alias("more"))
-    rows = rows.join(runs, ["r1", "r2"], "left").select("doc_id", "text", "lo", "more")
+    rows = rows.join(dealt_anew(runs, "r1", "r2"), ["r1", "r2"], "left").select("doc_id", "text", "lo", "more")
     id_type = dict(docs.dtypes)[id_col]
     return map_arrow(rows, lambda b: _cut(b, width), f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
