@@ -52,6 +52,8 @@ RULES = (
 )
 
 BASE_LEAST_WORDS = 50
+#: Lines added to a text's own, so that one repeated heading doesn't condemn a text of three lines.
+LINE_PRIOR = 5
 BASE_REPEAT_PERCENT = 50
 
 
@@ -73,7 +75,8 @@ def base_measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     twice = F.filter(s, lambda e, k: (F.get(s, k - 1)["h"] == e["h"]) | (F.get(s, k + 1)["h"] == e["h"]))
     df = df.withColumn("__twice", F.sort_array(F.transform(twice, lambda e: e["i"])))
     covered = F.aggregate("__twice", F.struct(F.lit(-3).alias("last"), F.lit(0).cast("bigint").alias("n")), lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")))["n"]
-    return df.withColumns({
+    measured = df.withColumns({
+        "__row": F.monotonically_increasing_id(),
         "n_words": n.cast("bigint"),
         "word_chars": F.char_length(F.array_join("__words", "")).cast("bigint"),
         "n_symbols": (F.char_length(text) - F.char_length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))).cast("bigint"),
@@ -83,6 +86,9 @@ def base_measures(df: DataFrame, text_col: str = "text") -> DataFrame:
         "upper_chars": (F.char_length(text) - F.char_length(F.regexp_replace(text, UPPER, ""))).cast("bigint"),
         "n_stop_words": F.size(F.array_intersect("__words", stops)).cast("bigint"),
     }).drop("__words", "__lines", "__hashes", "__sorted", "__twice")
+    # a filter on a measure stops at the row number's projection; below it the optimizer would copy the
+    # measures' nested expressions into the filter, many times over
+    return measured.withColumns({m: F.when(F.col("__row") >= 0, F.col(m)) for m in made}).drop("__row")
 
 
 def measures() -> dict[str, Column]:
@@ -93,7 +99,7 @@ def measures() -> dict[str, Column]:
         "mean_word_chars": F.col("word_chars") / words,
         "symbol_ratio": F.col("n_symbols") / words,
         "upper_ratio": F.col("upper_chars") / chars,
-        "dup_line_ratio": F.col("n_dup_lines") / F.nullif(F.col("n_lines"), F.lit(0)),
+        "dup_line_ratio": F.col("n_dup_lines") / (F.col("n_lines") + LINE_PRIOR),
         "repeat_ratio": F.col("n_repeat_words") / words,
         "n_stop_words": F.col("n_stop_words"),
     }

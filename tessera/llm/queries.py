@@ -118,14 +118,14 @@ def queries() -> dict:
 
 def quality_sql(source: str = "documents") -> str:
     """Common table expressions up to ``judged``: the rows of source with the quality measures and verdicts."""
-    from tessera.llm.quality import BASE_LEAST_WORDS, BASE_REPEAT_PERCENT, RULES, STOP_WORDS, SYMBOLS, UPPER
+    from tessera.llm.quality import BASE_LEAST_WORDS, BASE_REPEAT_PERCENT, LINE_PRIOR, RULES, STOP_WORDS, SYMBOLS, UPPER
 
     stops = ", ".join(f"'{w}'" for w in sorted({w for words in STOP_WORDS.values() for w in words.split()}))
     measure = {
         "mean_word_chars": "word_chars / nullif(n_words, 0)",
         "symbol_ratio": "n_symbols / nullif(n_words, 0)",
         "upper_ratio": "upper_chars / nullif(word_chars, 0)",
-        "dup_line_ratio": "n_dup_lines / nullif(n_lines, 0)",
+        "dup_line_ratio": f"n_dup_lines / (n_lines + {LINE_PRIOR})",
         "n_stop_words": "n_stop_words",
     }
     bad = [f"coalesce({measure[r.measure]} < {r.low}, false)" for r in RULES if r.low is not None]
