@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import text_key
 
-WINDOW, LEAST, SHARE = 8, 4, 50
+WINDOW, LEAST, SHARE = 6, 4, 40
 BROADCAST_WINDOWS = 300_000
 
 # Units that make a number a quantity.
