@@ -142,4 +142,25 @@ r AS (SELECT conv_id, pos, CASE WHEN ok THEN 1 ELSE 0 END AS depth FROM c WHERE
     "input_errors": "SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 9 = 0 THEN 'missing' ELSE 'differs' END AS problem FROM documents WHERE doc_id % 9 = 0 OR doc_id % 7 = 0",
     "attempt_stream": "SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS attempts, count(*) FILTER (event_type = 'error') AS failures, round(max_by(value, ts), 6) AS last_value FROM events GROUP BY ALL",
 }
+_BARE = "trim(lower(w), '.,;:!?()[]\"''-')"
+SQL |= {
+    "take_gates": "SELECT user_id, max(value) > 100 AND user_id % 9 <> 0 AND NOT bool_or(coalesce(value > 1 AND event_type <> 'view' AND NOT value > 2, false)) AS passes FROM events GROUP BY user_id",
+    "current_records": "SELECT doc_id, coalesce(quality = 1 AND doc_id % 13 <> 0 AND doc_id % 3 <> 0, false) AS ok FROM documents JOIN labels USING (doc_id)",
+    "hard_gate_reasons": """WITH l AS (SELECT l_orderkey, max(l_discount) AS a, min(l_tax) AS b, max(l_quantity) AS c, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, concat_ws(',', CASE WHEN a * 7 >= 0.6 THEN 'no_speech' END, CASE WHEN b * -60 < -1 THEN 'logprob' END, CASE WHEN n > 2 AND c / 20 > 2.4 THEN 'compression' END, CASE WHEN n = 7 THEN 'full_scale' END) AS reasons FROM l""",
+    "loop_repetitions": "WITH " + _TURNS + ", g AS (" + SQL["ngram_repetition"] + """), j AS (SELECT g.conv_id, g.turn, max_multiplicity AS m, string_split(most_repeated, ' ') AS words, expected FROM g JOIN turns USING (conv_id, turn))
+SELECT conv_id, turn, m > 1 AND len(list_filter(range(1, len(expected) - len(words) + 2), lambda i: expected[i:i + len(words) - 1] = words)) < m - 1 AS loop FROM j""",
+    "duration_gate": "SELECT c_mktsegment, count(*) FILTER (c_acctbal > 0 AND o_totalprice BETWEEN 100000 AND 300000) AS within, count(*) AS units FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
+    "child_units": """WITH c AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_quantity > 25)
+SELECT l_orderkey || ':c' || lpad(k::VARCHAR, 4, '0') AS id, count(*) AS n, min(l_orderkey * 10000 + k) AS idx FROM c WHERE n > 1 GROUP BY ALL""",
+    "regenerated": "SELECT l_orderkey || ':c' || l_linenumber AS id, count(*) AS n FROM lineitem WHERE l_linenumber <> 2 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY ALL",
+    "unknown_units": "SELECT DISTINCT (doc_id * 2)::VARCHAR AS id FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)",
+    "promoted_failures": "SELECT doc_id::VARCHAR AS id FROM documents JOIN labels USING (doc_id) WHERE doc_id % 3 = 0 AND quality = 1 AND toxic <> 1",
+    "retry_errors": "SELECT md5(user_id || ': every retry attempt failed: ' || coalesce(nullif(string_agg(DISTINCT event_type, '; ' ORDER BY event_type) FILTER (value > 150), ''), 'no diagnostic available')) AS text_md5 FROM events GROUP BY user_id",
+    "name_set": f"SELECT lang, count(DISTINCT {_BARE}) AS names FROM (SELECT lang, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS w FROM documents) GROUP BY lang",
+    "fragile_terms": f"WITH t AS (SELECT {_BARE} AS w FROM (SELECT unnest(regexp_split_to_array(text, '[\\s\\x0B]+')) AS w FROM documents)) SELECT w, count(*) AS n FROM t WHERE w <> '' AND (regexp_matches(w, '[0-9]') OR NOT regexp_full_match(replace(w, '-', ''), '\\p{{L}}+')) GROUP BY w",
+    "validation_summary": f"WITH {_DECIDED} SELECT count(*) AS units, count(*) FILTER (decision = 'PASS') AS passed, count(*) FILTER (decision LIKE 'BLOCK%') AS blocked, count(*) FILTER (idx % 5 = 0) AS without_record FROM decided",
+    "excluded_units": f"WITH {_DECIDED} SELECT id FROM decided WHERE decision NOT IN ('PASS', 'ALLOW_LEXICAL', 'ALLOW_LEXICAL_NAME')",
+    "batch_results": "SELECT CASE WHEN l_orderkey IS NULL THEN 'missing' ELSE 'ok' END AS status, count(*) AS n FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 3) ON l_orderkey = o_orderkey GROUP BY ALL",
+}
 SQL = {k: v for k, v in SQL.items() if v}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import hashing, matching, signal, speech, text, tokens
 from tessera.operators import aggregates as agg
-from tessera.operators import planning, state
+from tessera.operators import gates, planning, state
 from tessera.session import table
 from tessera.sources import files, markup
 
@@ -448,3 +448,109 @@ def attempt_stream(spark, sf):
     from tessera.streaming.attempts import attempt_counts
 
     return attempt_counts(table(spark, sf, "events")).select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "attempts", "failures", F.round("last_value", 6).alias("last_value"))
+
+
+# --- gates and resets -----------------------------------------------------------------
+
+
+@query
+def take_gates(spark, sf):
+    """Each user's events as the boundaries of one take."""
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.collect_list(F.struct((F.col("value") > 1).alias("aligned"), F.when(F.col("event_type") != "view", F.col("value") > 2).alias("passed"))).alias("b"), F.max("value").alias("high"))
+    return e.select("user_id", gates.take_passes(F.when(F.col("high") > 100, "PASS").otherwise("FAIL"), F.col("user_id") % 9 != 0, F.col("b")).alias("passes"))
+
+
+@query
+def current_records(spark, sf):
+    d = docs(spark, sf).join(table(spark, sf, "labels"), "doc_id")
+    record = {"verdict": F.when(F.col("quality") == 1, "PASS"), "text_sha": F.sha2("text", 256), "wav_sha": F.when(F.col("doc_id") % 13 != 0, "w"), "policy": F.lit("p2"), "model": F.when(F.col("doc_id") % 3 != 0, "m").otherwise("old")}
+    return d.select("doc_id", gates.record_ok(record, F.sha2("text", 256), F.lit("w"), "p2", "m").alias("ok"))
+
+
+@query
+def hard_gate_reasons(spark, sf):
+    l = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_discount").alias("a"), F.min("l_tax").alias("b"), F.max("l_quantity").alias("c"), F.count("*").alias("n"))
+    why = gates.hard_gates(F.col("a") * 7, F.col("b") * -60, F.when(F.col("n") > 2, F.col("c") / 20), F.when(F.col("n") == 7, 1).otherwise(0), F.lit(None).cast("double"))
+    return l.select("l_orderkey", F.array_join(why, ",").alias("reasons"))
+
+
+@query
+def loop_repetitions(spark, sf):
+    """Turns whose most repeated n-gram is a loop beside the turn before."""
+    grams = ngram_repetition(spark, sf)
+    rows = _turns(spark, sf).join(grams, ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", gates.is_loop(F.col("max_multiplicity"), F.col("most_repeated"), F.col("expected"), 1).alias("loop"))
+
+
+@query
+def duration_gate(spark, sf):
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.groupBy("c_mktsegment").agg(F.count_if(gates.duration_ok(F.col("o_totalprice"), F.lit(100000.0), F.when(F.col("c_acctbal") > 0, F.lit(300000.0)))).alias("within"), F.count("*").alias("units"))
+
+
+@query
+def child_units(spark, sf):
+    l = table(spark, sf, "lineitem").where("l_quantity > 25").select("l_orderkey", "l_linenumber")
+    return gates.children(l, "l_orderkey", "l_linenumber").groupBy("id").agg(F.count("*").alias("n"), F.min("idx").alias("idx"))
+
+
+@query
+def regenerated(spark, sf):
+    """Line units left after the orders of a status, and single lines, are asked for again."""
+    units = table(spark, sf, "lineitem").select(F.concat(F.col("l_orderkey").cast("string"), F.lit(":c"), F.col("l_linenumber").cast("string")).alias("id"))
+    ids = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").cast("string").alias("id")).unionAll(units.where("id like '%:c2'"))
+    return gates.reset(units, ids).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query
+def unknown_units(spark, sf):
+    ids = table(spark, sf, "labels").select((F.col("doc_id") * 2).cast("string").alias("id"))
+    return gates.unknown(ids, _plan(spark, sf))
+
+
+@query
+def promoted_failures(spark, sf):
+    failed = _plan(spark, sf).where("idx % 3 = 0").select("id", "text_sha256", F.lit("w").alias("wav_sha256"))
+    records = _done(spark, sf).select("id", F.when(F.col("quality") == 1, "PASS").otherwise("FAIL").alias("verdict"), "text_sha256", F.lit("w").alias("wav_sha256"))
+    return gates.promoted(failed, records).select("id")
+
+
+@query
+def retry_errors(spark, sf):
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.when(F.col("value") > 150, F.col("event_type")))).alias("r"))
+    return e.select(F.md5(gates.failure_text(F.col("user_id"), F.col("r"))).alias("text_md5"))
+
+
+@query
+def name_set(spark, sf):
+    """Distinct capitalised words by language, normalised."""
+    names = docs(spark, sf).select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]+"), F.lit(0))).alias("w")).select("lang", matching.bare_column(F.col("w")).alias("w"))
+    return names.groupBy("lang").agg(F.countDistinct("w").alias("names"))
+
+
+@query
+def fragile_terms(spark, sf):
+    """Bare numbers of at most two digits, and words with a digit or another odd character."""
+    words = docs(spark, sf).select(F.explode(F.split("text", r"\s+")).alias("w")).select(matching.bare_column(F.col("w")).alias("w")).where("w <> ''")
+    return words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("w").rlike(r"\d") | ~F.translate("w", "-", "").rlike(r"^\p{L}+$"))
+
+
+@query
+def validation_summary(spark, sf):
+    d = _decided(spark, sf)
+    return d.agg(F.count("*").alias("units"), F.count_if(F.col("decision") == "PASS").alias("passed"), F.count_if(F.col("decision").startswith("BLOCK")).alias("blocked"), F.count_if(F.col("record").isNull()).alias("without_record"))
+
+
+@query
+def excluded_units(spark, sf):
+    """Decisions less the accepted ones."""
+    d = _decided(spark, sf).select("id", "decision")
+    return d.join(d.where(F.col("decision").isin(*state.RELEASED)).select("id"), "id", "left_anti").select("id")
+
+
+@query
+def batch_results(spark, sf):
+    """Results of a batch by position; a position without one is an error."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), "o_custkey")
+    got = table(spark, sf, "lineitem").where("l_linenumber = 3").groupBy(F.col("l_orderkey").alias("pos")).agg(F.count("*").alias("results"))
+    return o.join(got, "pos", "left").groupBy(F.when(F.col("results").isNull(), "missing").otherwise("ok").alias("status")).agg(F.count("*").alias("n"))
