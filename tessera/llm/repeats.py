@@ -279,7 +279,7 @@ def repeated_runs(rows: DataFrame, width: int = 200) -> DataFrame:
     ctx, who = ["digit", "c1"], ["r1", "r2", "lo", "more"]
 
     digits = map_arrow(texts.select("text"), lambda b: _digits(b, width), "digit bigint, n bigint")
-    digits = digits.groupBy("digit").agg(F.sum("n").alias("n")).where("n > 1").select("digit")
+    digits = dealt_anew(digits.groupBy("digit").agg(F.sum("n").alias("n")).where("n > 1").select("digit"), "digit")
     runs = map_arrow(texts, lambda b: _runs(b, width), "digit bigint, c1 bigint, r1 bigint, r2 bigint, lo bigint, more int")
     # the changed digit hides the join's partitioning: counts by more columns are then dealt by all of
     # them, and the join stays free to split a digit that very many texts share
@@ -289,7 +289,7 @@ def repeated_runs(rows: DataFrame, width: int = 200) -> DataFrame:
     runs = _kept(runs)
 
     contexts = runs.groupBy(*ctx).agg(F.sum("n").alias("times"))
-    shared = contexts.where("times > 1").select(*ctx)
+    shared = dealt_anew(contexts.where("times > 1").select(*ctx), *ctx)
     whole = runs.join(shared, ctx, "left_semi").select(*who)
 
     mixed = contexts.groupBy("digit").agg(F.count("*").alias("kinds")).where("kinds > 1")
