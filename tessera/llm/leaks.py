@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_key
+from tessera.llm.common import dealt_anew, text_key
 
 WINDOW, LEAST, SHARE = 6, 4, 40
 BROADCAST_WINDOWS = 300_000
@@ -96,7 +96,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     found = found.join(per_item, "item_id")
     enough = found.groupBy("doc_id", "r1", "r2", "item_id").agg(F.countDistinct("item_pos").alias("n"), F.first("item_windows").alias("w")).where(100 * F.col("n") >= SHARE * F.col("w"))
     keys = ["r1", "r2"]
-    texts = rows.select("r1", "r2", "text").join(enough.select(*keys).distinct(), keys, "left_semi")
+    texts = rows.select("r1", "r2", "text").join(dealt_anew(enough.select(*keys).distinct(), *keys), keys, "left_semi")
     texts = texts.select(*keys, template_tokens(F.col("text")).alias("tokens"), slots(F.col("text")).alias("slots")).dropDuplicates(keys)
     aligned = found.join(enough.select("doc_id", "r1", "r2", "item_id"), on=[found.doc_id.eqNullSafe(enough.doc_id), found.r1 == enough.r1, found.r2 == enough.r2, found.item_id == enough.item_id], how="left_semi")
     aligned = aligned.join(texts, keys).join(want.select("item_id", "item_pos", "words", "item_slots"), ["item_id", "item_pos"])
@@ -120,7 +120,7 @@ def leaked_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose text holds no item."""
-    bad = leaks(docs, items, id_col, text_col).select("r1", "r2").distinct()
+    bad = dealt_anew(leaks(docs, items, id_col, text_col).select("r1", "r2").distinct(), "r1", "r2")
     keyed = docs.withColumns(dict(zip(("__r1", "__r2"), text_key(F.col(text_col)))))
     return keyed.join(bad, (F.col("__r1") == bad.r1) & (F.col("__r2") == bad.r2), "left_anti").drop("__r1", "__r2")
 
