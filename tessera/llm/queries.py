@@ -147,10 +147,23 @@ q_failed AS (SELECT *, n_words < {BASE_LEAST_WORDS} OR 100 * n_repeat_words > {B
 judged AS (SELECT *, NOT base_failed AND NOT ({" OR ".join(bad)}) AS kept FROM q_failed)"""
 
 
+def near_sql(source: str = "documents") -> str:
+    """doc_id, n_shingles and component_id by all pairs that share a shingle."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM {source}),
+s AS (SELECT DISTINCT rid, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+e AS (SELECT a.rid AS a, b.rid AS b FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid JOIN n x ON x.rid = a.rid JOIN n y ON y.rid = b.rid GROUP BY a.rid, b.rid, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+r AS (SELECT rid, doc_id AS d FROM w UNION SELECT e.b, r.d FROM r JOIN e ON e.a = r.rid)
+SELECT any_value(w.doc_id) AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.d) AS component_id FROM w JOIN r ON r.rid = w.rid LEFT JOIN n ON n.rid = w.rid GROUP BY w.rid"""
+
+
 def oracle_sql() -> dict:
     from tessera.llm.leaks import leaks_sql
 
     return {
+        "op6_ngram_jaccard": near_sql(),
         "op9_benchmark_leaks": f"WITH {leaks_sql()} SELECT DISTINCT {', '.join(LEAK_COLUMNS)} FROM leaked",
         "op1_quality_rules": f"WITH {quality_sql()} SELECT {', '.join(QUALITY_COLUMNS)} FROM judged",
     }
