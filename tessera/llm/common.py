@@ -131,5 +131,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if (now := (row[0], row[1])) == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
