@@ -194,7 +194,7 @@ def mandatory_terms(spark, sf):
 
 @query
 def mandatory_check(spark, sf):
-    rows = _turns(spark, sf).withColumn("terms", matching.terms_of("before")).select("conv_id", "turn", matching.mandatory_of("heard", "terms").alias("m"))
+    rows = _turns(spark, sf).withColumn("terms", matching.terms_of(F.array_join("expected", " "))).select("conv_id", "turn", matching.mandatory_of("heard", "terms").alias("m"))
     return rows.select("conv_id", "turn", F.size("m.missing").alias("missing"), F.size("m.missing_fragile").alias("missing_fragile"), F.size("m.hyphen_matches").alias("joined"))
 
 
