@@ -91,3 +91,10 @@ def context_depth(usable: Column, most: int = 3) -> Column:
         return F.struct(d.alias("d"), F.concat(acc["out"], F.array(d)).alias("out"))
 
     return F.aggregate(usable, start, step, lambda acc: acc["out"])
+
+
+def with_cache(units: DataFrame, cache: DataFrame, key: str, compute) -> DataFrame:
+    """Cached results of units, and computed ones for the misses only; compute maps a frame of misses to cache's columns."""
+    hits = units.join(cache.select(key).distinct(), key, "left_semi").join(cache, key)
+    misses = compute(units.join(cache, key, "left_anti"))
+    return hits.select(*misses.columns, F.lit(True).alias("cached")).unionByName(misses.withColumn("cached", F.lit(False)))

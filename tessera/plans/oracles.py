@@ -144,6 +144,8 @@ r AS (SELECT conv_id, pos, CASE WHEN ok THEN 1 ELSE 0 END AS depth FROM c WHERE
 }
 _BARE = "trim(lower(w), '.,;:!?()[]\"''-')"
 SQL |= {
+    "unit_identity": "SELECT doc_id, sha256(to_json({'lang': lang, 'text_sha256': sha256(text), 'unit': doc_id})::VARCHAR) AS identity FROM documents",
+    "cached_metrics": f"SELECT sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) AS cached, count(*) AS units, sum({words('text')})::BIGINT AS words FROM documents GROUP BY ALL",
     "take_gates": "SELECT user_id, max(value) > 100 AND user_id % 9 <> 0 AND NOT bool_or(coalesce(value > 1 AND event_type <> 'view' AND NOT value > 2, false)) AS passes FROM events GROUP BY user_id",
     "current_records": "SELECT doc_id, coalesce(quality = 1 AND doc_id % 13 <> 0 AND doc_id % 3 <> 0, false) AS ok FROM documents JOIN labels USING (doc_id)",
     "hard_gate_reasons": """WITH l AS (SELECT l_orderkey, max(l_discount) AS a, min(l_tax) AS b, max(l_quantity) AS c, count(*) AS n FROM lineitem GROUP BY l_orderkey)

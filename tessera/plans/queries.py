@@ -554,3 +554,26 @@ def batch_results(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), "o_custkey")
     got = table(spark, sf, "lineitem").where("l_linenumber = 3").groupBy(F.col("l_orderkey").alias("pos")).agg(F.count("*").alias("results"))
     return o.join(got, "pos", "left").groupBy(F.when(F.col("results").isNull(), "missing").otherwise("ok").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query
+def unit_identity(spark, sf):
+    """Canonical-JSON hash of a unit's facts."""
+    return docs(spark, sf).select("doc_id", hashing.identity(unit=F.col("doc_id"), lang=F.col("lang"), text_sha256=F.sha2("text", 256)).alias("identity"))
+
+
+@query
+def cached_metrics(spark, sf):
+    """Word counts of texts: from records of the even ids where the text has one, computed for the rest."""
+    d = docs(spark, sf).select("doc_id", F.sha2("text", 256).alias("key"), "text")
+    cache = d.where("doc_id % 2 = 0").groupBy("key").agg(F.max(text.words(F.col("text"))).alias("words"))
+    out = state.with_cache(d, cache, "key", lambda m: m.select("doc_id", "key", text.words(F.col("text")).alias("words")))
+    return out.groupBy("cached").agg(F.count("*").alias("units"), F.sum("words").cast("bigint").alias("words"))
+
+
+@query
+def timed_tokens(spark, sf):
+    """Canonical tokens with times from word segments; adjacent numbers are one token."""
+    word = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("word"), (i * 0.3).alias("start"), (i * 0.3 + 0.2).alias("end")))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", matching.timings_of(word).alias("t"))
+    return rows.select("conv_id", "turn", F.size("t").alias("tokens"), F.try_element_at("t", F.lit(-1))["end"].alias("last_end"))
