@@ -40,7 +40,7 @@ from tessera.llm.common import dealt_anew, map_arrow, mix64, row_slices, string_
 DIGIT = 32
 SLICE = 1 << 20
 #: Contexts compared at once in pass 3 (more only if one digit has more), and the most of one digit there.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 8_000
 HOT_KINDS = 20_000
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
