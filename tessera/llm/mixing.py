@@ -78,9 +78,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
 
 def tempered(cells: DataFrame, column: str, temper: float) -> DataFrame:
     """(column, target): shares to a power, normalised."""
+    power = F.pow(F.col("n").cast("double"), F.lit(temper))
     sums = cells.groupBy(column).agg(F.sum("tokens").alias("n"))
-    whole = sums.agg(F.sum(F.pow("n", F.lit(temper))).alias("all"))  # one row
-    return sums.crossJoin(F.broadcast(whole)).select(column, F.coalesce(F.try_divide(F.pow("n", F.lit(temper)), F.col("all")), F.lit(0.0)).alias("target"))
+    whole = sums.agg(F.sum(power)).first()[0] or 1.0  # one number
+    return sums.select(column, (power / F.lit(whole)).alias("target"))
 
 
 def spend(cells: DataFrame, budget: float) -> float:
