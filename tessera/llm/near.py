@@ -363,7 +363,7 @@ def near_links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Data
     whole = whole.join(labels, "node", "left").select("leader", "node", F.coalesce("component", "node").alias("comp"))
     open_ = whole.groupBy("leader").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     open_ = open_.select("leader", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
-    rows = whole.join(open_, "leader").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = whole.join(dealt_anew(open_, "leader"), "leader").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tile = F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other"))
     rows = rows.select(tile.alias("tile"), "node", "comp")
