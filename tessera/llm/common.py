@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -36,6 +37,9 @@ def stored(df: DataFrame) -> DataFrame:
     """Write a table into the shared checkpoint folder and read it back: compressed, and cut from its lineage."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # what the table was made from is not needed any more: let the driver find its shuffle files and drop them
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

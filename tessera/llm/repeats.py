@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import dealt_anew, map_arrow, mix64, row_slices, string_buffers, text_key
+from tessera.llm.common import dealt_anew, map_arrow, mix64, row_slices, stored, string_buffers, text_key
 
 #: Bytes of the first digit.
 DIGIT = 32
@@ -284,9 +284,10 @@ def repeated_runs(rows: DataFrame, width: int = 200) -> DataFrame:
     # the changed digit hides the join's partitioning: counts by more columns are then dealt by all of
     # them, and the join stays free to split a digit that very many texts share
     runs = runs.join(digits, "digit", "left_semi").withColumn("digit", F.col("digit").bitwiseXOR(F.lit(1)))
+    del digits
     # one row for each text and run, however often the text occurs
     runs = runs.groupBy(*ctx, *who).agg(F.count("*").alias("n"))
-    runs = _kept(runs)
+    runs = stored(runs)
 
     contexts = runs.groupBy(*ctx).agg(F.sum("n").alias("times"))
     shared = dealt_anew(contexts.where("times > 1").select(*ctx), *ctx)
@@ -294,7 +295,7 @@ def repeated_runs(rows: DataFrame, width: int = 200) -> DataFrame:
 
     mixed = contexts.groupBy("digit").agg(F.count("*").alias("kinds")).where("kinds > 1")
     one_each = runs.groupBy(*ctx).agg(F.min(F.struct(*who)).alias("x"))
-    asked = _kept(one_each.join(mixed, "digit").select("digit", "kinds", "x.*"))
+    asked = stored(one_each.join(mixed, "digit").select("digit", "kinds", "x.*"))
 
     def of_texts(asked: DataFrame) -> DataFrame:
         asked = asked.groupBy("r1", "r2").agg(F.collect_list(F.struct("digit", "lo", "more")).alias("q"))  # bounded by the text
@@ -308,18 +309,12 @@ def repeated_runs(rows: DataFrame, width: int = 200) -> DataFrame:
         return whole.unionByName(few)
     # a digit with very many contexts: its windows are counted one by one, with map-side combination
     windows = of_texts(asked.where(F.col("kinds") > HOT_KINDS)).select("text", "r1", "r2", "lo", "more")
-    windows = _kept(windows.mapInArrow(lambda it: _once(it, _windows, width), "w1 bigint, w2 bigint, r1 bigint, r2 bigint, s bigint"))
+    windows = stored(windows.mapInArrow(lambda it: _once(it, _windows, width), "w1 bigint, w2 bigint, r1 bigint, r2 bigint, s bigint"))
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     single = windows.join(twice, ["w1", "w2"], "left_semi").select("r1", "r2", F.col("s").alias("lo"), F.lit(0).alias("more"))
     return whole.unionByName(few).unionByName(single)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    from tessera.llm.common import checkpointed
-
-    return checkpointed(df)
-
-
 def remove_repeats(docs: DataFrame, width: int = 200, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row per input row: doc_id, n_bytes, n_removed, n_spans and kept_sha256 of the remaining bytes."""
     rows = keyed(docs, text_col, id_col)
