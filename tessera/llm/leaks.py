@@ -97,7 +97,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     enough = found.groupBy("doc_id", "r1", "r2", "item_id").agg(F.countDistinct("item_pos").alias("n"), F.first("item_windows").alias("w")).where(100 * F.col("n") >= SHARE * F.col("w"))
     keys = ["r1", "r2"]
     texts = rows.select("r1", "r2", "text").join(dealt_anew(enough.select(*keys).distinct(), *keys), keys, "left_semi")
-    texts = texts.select(*keys, template_tokens(F.col("text")).alias("tokens"), slots(F.col("text")).alias("slots")).dropDuplicates(keys)
+    # copies of a text go within their tasks first, and the join above stays free to split them
+    texts = dealt_anew(texts, *keys).dropDuplicates(keys)
+    texts = texts.select(*keys, template_tokens(F.col("text")).alias("tokens"), slots(F.col("text")).alias("slots"))
     aligned = found.join(enough.select("doc_id", "r1", "r2", "item_id"), on=[found.doc_id.eqNullSafe(enough.doc_id), found.r1 == enough.r1, found.r2 == enough.r2, found.item_id == enough.item_id], how="left_semi")
     aligned = aligned.join(texts, keys).join(want.select("item_id", "item_pos", "words", "item_slots"), ["item_id", "item_pos"])
     window = F.array_join(F.slice("tokens", F.col("pos") + 1, F.col("width")), " ")
