@@ -86,27 +86,28 @@ def _often(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[h[keep].view(np.int64), 0]), pa.array(np.r_[n[keep], len(w)])], names=["w", "n"])
 
 
+def _counted(w: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of n by (word, context); contexts from -1 up to about a thousand."""
+    names, at = np.unique(w, return_inverse=True)
+    key, inv = np.unique(at * 1024 + (c + 1), return_inverse=True)
+    return names[key // 1024], key % 1024 - 1, np.bincount(inv, weights=n, minlength=len(key)).astype(np.int64)
+
+
 def _block_words(table: pa.Table, contexts: np.ndarray) -> pa.Table:
     """A block's words: (w, block, ctx, n) for training tokens; words without any have ctx -1."""
-    ws, cs = [], []
-    for batch in table.to_batches():
+    parts = []
+    for batch in small_batches(table.to_batches(), table.column_names.index("text"), 1_000_000):
         w, c, row = tokens(batch.column("text"), contexts)
         train = np.asarray(batch.column("train"))[row] if len(row) else np.zeros(0, dtype=bool)
-        c[~train] = -1
-        # one number for a pair: contexts are few
-        ws.append(w)
-        cs.append(c)
-    w, c = np.concatenate(ws), np.concatenate(cs)
-    names, at = np.unique(w, return_inverse=True)
-    key, n = np.unique(at * 1024 + (c + 1), return_counts=True)
-    at, c = key // 1024, key % 1024 - 1
-    n[c < 0] = 0
-    seen = np.zeros(len(names), dtype=bool)
-    seen[at[c >= 0]] = True
-    keep = (c >= 0) | ~seen[at]
-    at, c, n = at[keep], c[keep], n[keep]
-    block = np.full(len(at), table.column("block")[0].as_py(), dtype=np.int32)
-    return pa.table([pa.array(names[at].view(np.int64)), pa.array(block), pa.array(c.astype(np.int16)), pa.array(n.astype(np.int32))], names=["w", "block", "ctx", "n"])
+        parts.append(_counted(w, np.where(train, c, -1), np.where(train, 1, 0)))
+    w, c, n = _counted(*(np.concatenate(x) for x in zip(*parts)))
+    # words with training tokens need no row without
+    known = np.unique(w[c >= 0])
+    at = np.minimum(np.searchsorted(known, w), max(len(known) - 1, 0))
+    keep = (c >= 0) | (known[at] != w) if len(known) else np.ones(len(w), dtype=bool)
+    w, c, n = w[keep], c[keep], n[keep]
+    block = np.full(len(w), table.column("block")[0].as_py(), dtype=np.int32)
+    return pa.table([pa.array(w.view(np.int64)), pa.array(block), pa.array(c.astype(np.int16)), pa.array(n.astype(np.int32))], names=["w", "block", "ctx", "n"])
 
 
 def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -278,7 +279,7 @@ def _score(docs: pa.Table, model: pa.Table, tot: Totals) -> pa.Table:
     back = tot.backoff()
     base = np.log10((count + 1) / (tot.tokens + tot.words + 1))
     parts = []
-    for batch in docs.select(["doc_id", "train", "text"]).to_batches():
+    for batch in small_batches(docs.select(["doc_id", "train", "text"]).to_batches(), 2, 1_000_000):
         t, c, row = tokens(batch.column("text"), tot.contexts)
         at = np.searchsorted(names, t)
         k = at * 1024 + (c + 1)
