@@ -30,16 +30,26 @@ def shared_folder(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder (survives lost executors)."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    drop_unused(df.sparkSession)
+    return out
+
+
+def drop_unused(spark: SparkSession) -> None:
+    """Let the driver find shuffles that nothing refers to any more, and have executors delete their files.
+
+    Without, they stay until the driver's heap happens to be collected; a collection at some of the cuts
+    only would make it worse, as it moves what is still in use where ordinary collections don't look.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write a table into the shared checkpoint folder and read it back: compressed, and cut from its lineage."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # what the table was made from is not needed any more: let the driver find its shuffle files and drop them
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    drop_unused(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
