@@ -10,8 +10,8 @@ table there, and the tables still to come are the unknown words.  So for a conte
     P(w) = (r_w - d0) / (s0 + r),   P(unknown) = (s0 + d0 V) / (s0 + r),   r_w = sum of t_uw
 
 which sums to one over the V known words and the unknown one.  The tables t come from Gibbs sampling
-of the seating: a customer of each (u, w) leaves its table and sits down again by the Chinese
-restaurant rule; after ``BURN`` sweeps the table counts of ``SAMPLES`` sweeps are averaged.
+of the seating: all customers of each (u, w) leave their tables and sit down again, which draws the
+table count from its conditional; after ``BURN`` sweeps those of ``SAMPLES`` sweeps are averaged.
 Discounts d0, d1 are estimated from the counts of counts, strengths are fixed.
 
 Spread over executors: documents are dealt into blocks of some ``BLOCK_BYTES``.  A block's distinct
@@ -29,6 +29,7 @@ are scored whole; other columns are ignored.  Without training rows every word i
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ CONTEXT_SHARE = 100
 BLOCK_BYTES = 8_000_000
 BURN, SAMPLES = 6, 10
 STRENGTH = 1.0
+#: Customers up to which the weights of table counts are tabulated.
+EXACT = 1024
 END = np.uint64(0x0123456789ABCDEF)
 #: Contexts 0 and 1 are the start of a text and any other word; the frequent words follow.
 START, OTHER, FIRST = 0, 1, 2
@@ -174,13 +177,114 @@ class Totals:
         return (STRENGTH + self.d0 * self.words) / (STRENGTH + self.parent)
 
 
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """log Gamma of positive numbers."""
+    x = np.asarray(x, dtype=float)
+    y = x + 8
+    shift = sum(np.log(x + i) for i in range(8))
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+
+
+@lru_cache(maxsize=2)
+def _ways(d: float) -> np.ndarray:
+    """log S(n, t), the weight of all seatings of n customers at t tables with discount d, up to EXACT customers."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(1, EXACT + 1)
+    for n in range(1, EXACT):
+        with np.errstate(divide="ignore"):
+            out[n + 1, 1:] = np.logaddexp(out[n, :-1], np.log(np.maximum(n - d * t, 0)) + out[n, 1:])
+    return out
+
+
+def _saddle(n: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S(n, t) by the saddle point of n! / t! [x^n] ((1 - (1 - x)^d) / d)^t, t < n; y = -log(1 - x)."""
+    log_phi = lambda y: np.log(d) + np.log(-np.expm1(-y)) + (1 - d) * y - np.log(-np.expm1(-d * y))
+    goal = np.log(n / t)
+    low, high = np.full(goal.shape, 1e-12), (goal - np.log(d) + 2) / (1 - d)
+    for _ in range(60):
+        y = (low + high) / 2
+        less = log_phi(y) < goal
+        low, high = np.where(less, y, low), np.where(less, high, y)
+    y = (low + high) / 2
+    slope = 1 / np.expm1(y) + (1 - d) - d / np.expm1(d * y)
+    log_v = goal + np.log(slope) + y + np.log(-np.expm1(-y))
+    return _lgamma(n + 1.0) - _lgamma(t + 1.0) + t * np.log(-np.expm1(-d * y) / d) - n * np.log1p(-np.exp(-y)) - 0.5 * (np.log(2 * np.pi * t) + log_v)
+
+
+@lru_cache(maxsize=2)
+def _saddle_error(d: float) -> np.ndarray:
+    """Error of _saddle at EXACT customers by t: it depends on t and hardly on n."""
+    t = np.arange(1, EXACT // 2 + 1)
+    return np.r_[0.0, _ways(d)[EXACT, t] - _saddle(np.full(len(t), float(EXACT)), t.astype(float), d)]
+
+
+def draw_tables(n: np.ndarray, near: np.ndarray, far: np.ndarray, rest: float, tot: Totals, rng) -> np.ndarray:
+    """Tables of each (u, w) with all its n customers reseated, from the exact conditional
+
+        P(t) ~ S(n, t) prod_{0 < j < t} (s1 + d1 (near + j)) (far + j - d0) / (s0 + rest + j)
+
+    near, far, rest: the other tables of u, of w, and of all.  Beyond EXACT customers S is the calibrated
+    saddle point, and the draw is from a grid of 512 counts over all that have weight.
+    """
+    d = tot.d1
+    out = np.ones(len(n), dtype=np.int64)
+    top = 2
+    while top // 2 < min(EXACT, int(n.max(initial=0))):
+        bucket = np.flatnonzero((n > top // 2) & (n <= min(top, EXACT)))
+        width = min(top, EXACT)
+        j = np.arange(1, width)
+        for part in np.array_split(bucket, max(1, len(bucket) * width // 1_000_000)):
+            if not len(part):
+                continue
+            a = (STRENGTH + d * (near[part, None] + j)) * ((far[part, None] + j - tot.d0) / (STRENGTH + rest + j))
+            weight = _ways(d)[n[part], 1 : width + 1].copy()
+            weight[:, 1:] += np.cumsum(np.log(a), axis=1)
+            cum = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            out[part] = 1 + np.minimum((cum < (rng.random(len(part)) * cum[:, -1])[:, None]).sum(axis=1), n[part] - 1)
+        top *= 2
+    large = np.flatnonzero(n > EXACT)
+    for part in np.array_split(large, max(1, len(large) // 500)):
+        if not len(part):
+            continue
+        m, error = n[part, None].astype(float), _saddle_error(d)
+        c, f = STRENGTH / d + near[part, None], far[part, None] - tot.d0
+
+        def weight(t, m=m, c=c, f=f, error=error):
+            g = lambda x: _lgamma(x + t) - _lgamma(x + 1)
+            at = np.minimum(t, len(error) - 1).astype(int)
+            return _saddle(m, t, d) + error[at] + (t - 1) * np.log(d) + g(c) + g(f) - g(STRENGTH + rest)
+
+        low, high = np.ones_like(m), m - 2  # the weight rises up to the mode
+        for _ in range(int(np.log2(m.max())) + 2):
+            mid = np.floor((low + high) / 2)
+            up = weight(mid + 1) > weight(mid)
+            low, high = np.where(up, np.minimum(mid + 1, high), low), np.where(up, high, mid)
+        least = weight(low) - 30
+        ends = []
+        for edge in (np.ones_like(m), m - 1):  # the weight falls by 30 between the mode and here
+            a, b = low, edge
+            for _ in range(int(np.log2(m.max())) + 2):
+                mid = np.trunc((a + b) / 2)
+                over = weight(mid) >= least
+                a, b = np.where(over, mid, a), np.where(over, b, mid)
+            ends.append(np.where(weight(b) >= least, b, a))
+        step = np.ceil((ends[1] - ends[0] + 1) / 512)
+        grid = ends[0] + np.arange(512) * step
+        grid = np.where(grid <= m - 1, grid, np.nan)
+        y = np.where(np.isnan(grid), -np.inf, weight(np.nan_to_num(grid, nan=1.0)))
+        cum = np.cumsum(np.exp(y - y.max(axis=1, keepdims=True)), axis=1)
+        at = np.minimum((cum < (rng.random(len(part)) * cum[:, -1])[:, None]).sum(axis=1), 511)
+        spread = np.floor((rng.random(len(part)) - 0.5) * step[:, 0] + 0.5)
+        out[part] = np.clip(grid[np.arange(len(part)), at] + spread, 1, m[:, 0]).astype(np.int64)
+    return out
+
+
 def seat(word: np.ndarray, ctx: np.ndarray, n: np.ndarray, words: int, tot: Totals, seed: int) -> np.ndarray:
     """Mean tables of each (word, context) with n customers, rows sorted by word; words: how many there are."""
     rng = np.random.default_rng(seed)
     k = len(n)
     t = np.ones(k, dtype=np.int64)
-    r = np.bincount(word, minlength=words)
-    size, of = n.astype(np.int64).copy(), np.arange(k)  # tables, by the row they serve
     start_local = np.bincount(ctx, minlength=len(tot.customers)).astype(float)
     move = np.flatnonzero(n > 1)
     mean = np.zeros(k)
@@ -189,34 +293,9 @@ def seat(word: np.ndarray, ctx: np.ndarray, n: np.ndarray, words: int, tot: Tota
     parent0, local0 = float(tot.types.sum()), float(k)
     for sweep in range(BURN + SAMPLES):
         t_u = tot.types * (np.bincount(ctx, weights=t, minlength=len(tot.customers)) / np.maximum(start_local, 1))
-        r_all = parent0 * float(t.sum()) / local0
-        # a customer leaves
-        cum = np.cumsum(size)
-        first = np.searchsorted(of, np.arange(k))
-        base = np.where(first > 0, cum[first - 1], 0)
-        leave = np.searchsorted(cum, base[move] + np.floor(rng.random(len(move)) * n[move]), side="right")
-        size[leave] -= 1
-        gone = of[leave[size[leave] == 0]]
-        t[gone] -= 1
-        np.subtract.at(r, word[gone], 1)
-        keep = size > 0
-        size, of = size[keep], of[keep]
-        # and sits down again
-        rest = (n[move] - 1) - tot.d1 * t[move]
-        fresh = (STRENGTH + tot.d1 * t_u[ctx[move]]) * (r[word[move]] - tot.d0) / (STRENGTH + r_all)
-        new = rng.random(len(move)) * (rest + fresh) < fresh
-        cum = np.cumsum(size - tot.d1)
-        first = np.searchsorted(of, np.arange(k))
-        base = np.where(first > 0, cum[first - 1], 0.0)
-        stay = move[~new]
-        last = np.append(first[1:], len(of))[stay] - 1
-        at = np.searchsorted(cum, base[stay] + rng.random(len(stay)) * rest[~new], side="right")
-        np.add.at(size, np.clip(at, first[stay], last), 1)
-        opened = move[new]
-        t[opened] += 1
-        np.add.at(r, word[opened], 1)
-        end = np.append(first[1:], len(of))[opened]
-        size, of = np.insert(size, end, 1), np.insert(of, end, opened)
+        r = np.bincount(word, weights=t, minlength=words)
+        near, far = np.maximum(t_u[ctx] - t, 0)[move], (r[word] - t)[move]
+        t[move] = draw_tables(n[move], near, far, parent0 * float(t.sum()) / local0, tot, rng)
         if sweep >= BURN:
             mean += t
     return mean / SAMPLES

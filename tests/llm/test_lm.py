@@ -86,3 +86,35 @@ def test_empty(spark):
     assert scored(spark, []) == []
     r = scored(spark, [(9, None)])[0]
     assert (r.n_tokens, r.train_tokens, r.held_out) == (1, 0 if r.held_out else 1, zlib.crc32(b"9") % 7 == 2)
+
+
+@pytest.mark.parametrize(("n", "near", "far"), [(3, 0, 0), (60, 40, 500), (1500, 0, 0), (6000, 300, 20000)])
+def test_tables_of_large_counts(n, near, far):
+    """Mean drawn tables against the enumerated conditional, whose weights come from the plain recursion."""
+    d0, d1, rest = 0.3, 0.6, 30000
+    most = min(n, 1500)
+    t = np.arange(1, most + 1)
+    ways = np.full(most + 1, -np.inf)
+    ways[1] = 0.0
+    for i in range(1, n):
+        with np.errstate(divide="ignore"):
+            ways[1:] = np.logaddexp(ways[:-1], np.log(np.maximum(i - d1 * t, 0)) + ways[1:])
+    j = t[:-1]
+    a = (lm.STRENGTH + d1 * (near + j)) * (far + j - d0) / (lm.STRENGTH + rest + j)
+    p = ways[1:] + np.r_[0, np.cumsum(np.log(a))]
+    p = np.exp(p - p.max()) / np.exp(p - p.max()).sum()
+    assert p[-1] < 1e-9 or most == n
+    mean, sd = (p * t).sum(), math.sqrt((p * t * t).sum() - (p * t).sum() ** 2)
+    tot = lm.Totals(n, 1, np.array([n]), np.array([1]), d0, d1)
+    k = 4000
+    got = lm.draw_tables(np.full(k, n), np.full(k, near), np.full(k, far), rest, tot, np.random.default_rng(3))
+    assert abs(got.mean() - mean) < 5 * sd / math.sqrt(k) + 1e-3 * mean, (got.mean(), mean, sd)
+    assert abs(got.std() - sd) < 0.1 * sd + 0.01
+
+
+def test_sweeps_reseat_all_customers():
+    """A pair with very many customers gets more tables than there are sweeps."""
+    tot = lm.Totals(100_000, 50, np.array([0, 2_000_000]), np.array([0, 50]), 0.3, 0.6)
+    word = np.arange(50)
+    got = lm.seat(word, np.ones(50, dtype=np.int64), np.full(50, 40_000), 50, tot, 1)
+    assert got.mean() > lm.BURN + lm.SAMPLES + 1
