@@ -1,10 +1,9 @@
 """Text scoring by a hierarchical Pitman-Yor model (operator 4).
 
-Every frequent word of the training part is a context with a restaurant of its own, and so are the
-start of a text and "any other word"; all restaurants share the unigram restaurant as parent.  A
-word is frequent from one token in ``CONTEXT_SHARE``, so there are at most that many contexts at any
-corpus size.  The parent's base measure never draws the same word twice: each known word has one
-table there, and the tables still to come are the unknown words.  So for a context u
+Every word of the training part that occurs before another is a context with a restaurant of its own,
+and so is the start of a text; all restaurants share the unigram restaurant as parent.  The parent's
+base measure never draws the same word twice: each known word has one table there, and the tables
+still to come are the unknown words.  So for a context u
 
     P(w|u) = (c_uw - d1 t_uw + (s1 + d1 t_u) P(w)) / (s1 + c_u)
     P(w) = (r_w - d0) / (s0 + r),   P(unknown) = (s0 + d0 V) / (s0 + r),   r_w = sum of t_uw
@@ -15,11 +14,13 @@ table count from its conditional; after ``BURN`` sweeps those of ``SAMPLES`` swe
 Discounts d0, d1 are estimated from the counts of counts, strengths are fixed.
 
 Spread over executors: documents are dealt into blocks of some ``BLOCK_BYTES``.  A block's distinct
-words travel, not its tokens: (word, block, context, count) rows are dealt by word, where all counts
-of a word meet, seatings are sampled (a word's restaurants only share the restaurants' totals, which
-each batch scales up from its own hash-random words), and a word's row goes back to the blocks that
-have it, beside their texts.  Nothing of the corpus is collected but the contexts' totals.  Sampling
-is seeded by the words themselves, so a lost task gives the same draws again.
+(context, word) pairs travel with their counts, not its tokens; they are summed by pair, and contexts
+and words by tables of one row each.  A pair of one customer has one table.  The others are dealt by
+word, where its tables are known (a very frequent word's pairs are split at random, and its tables
+scaled up), and are seated beside the tables of their contexts; those are exchanged ``ROUNDS`` times.
+Back to a block go its words' totals, and of its pairs those whose counts and tables it can't know.
+Only sums over the whole corpus reach the driver.  Sampling is seeded by the words themselves, so a
+lost task gives the same draws again.
 
 Words are 64-bit hashes of lower-cased (A-Z) tokens.  Rows: null and empty texts are one end token;
 a null id counts as the empty text for the split; repeated rows are counted each; very long texts
@@ -28,132 +29,76 @@ are scored whole; other columns are ignored.  Without training rows every word i
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import row_slices, small_batches, stored, string_buffers
 from tessera.llm.near import word_hashes
 
-CONTEXT_SHARE = 100
 BLOCK_BYTES = 8_000_000
 BURN, SAMPLES = 6, 10
+#: Exchanges of the contexts' tables; pairs of a word that are seated together, about.
+ROUNDS, TOGETHER = 2, 20_000
 STRENGTH = 1.0
 #: Customers up to which the weights of table counts are tabulated.
 EXACT = 1024
 END = np.uint64(0x0123456789ABCDEF)
-#: Contexts 0 and 1 are the start of a text and any other word; the frequent words follow.
-START, OTHER, FIRST = 0, 1, 2
+#: The context of a text's first word.
+START = np.uint64(0xFEDCBA9876543210)
 
 
 def held_out(id_col: Column, parts: int = 7, part: int = 2) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % parts == part
 
 
-def tokens(col: pa.Array, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, context, text) of each token of a column of texts, ends included; contexts: sorted frequent words."""
+def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, context, text) of each token of a column of texts, ends included."""
     data, offsets = string_buffers(col)
     words, ctxs, rows = [], [], []
     for a, b in row_slices(offsets, 1 << 22):
         h, first = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         w = np.insert(h, first[1:], END)
         n = np.diff(first) + 1
-        row = np.repeat(np.arange(a, b), n)
-        at = np.searchsorted(contexts, w) if len(contexts) else np.zeros(len(w), dtype=np.int64)
-        at[at == len(contexts)] = 0
-        own = (contexts[at] == w) if len(contexts) else np.zeros(len(w), dtype=bool)
-        mine = np.where(own, at + FIRST, OTHER)
-        ctx = np.empty(len(w), dtype=np.int64)
-        ctx[1:] = mine[:-1]
+        ctx = np.empty_like(w)
+        ctx[1:] = w[:-1]
         ctx[np.cumsum(n) - n] = START
         words.append(w)
         ctxs.append(ctx)
-        rows.append(row)
+        rows.append(np.repeat(np.arange(a, b), n))
     if not words:
         z = np.zeros(0, dtype=np.int64)
-        return z.astype(np.uint64), z, z
+        return z.astype(np.uint64), z.astype(np.uint64), z
     return np.concatenate(words), np.concatenate(ctxs), np.concatenate(rows)
 
 
-def _often(batches):
-    """(word, n) of words with a share worth noting in a batch, and all tokens as word 0."""
-    none = np.zeros(0, dtype=np.uint64)
-    for batch in small_batches(batches, 0):
-        w, _, _ = tokens(batch.column(0), none)
-        h, n = np.unique(w[w != END], return_counts=True)
-        keep = n * CONTEXT_SHARE * 10 >= len(w)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[h[keep].view(np.int64), 0]), pa.array(np.r_[n[keep], len(w)])], names=["w", "n"])
-
-
-def _counted(w: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of n by (word, context); contexts from -1 up to about a thousand."""
-    names, at = np.unique(w, return_inverse=True)
-    key, inv = np.unique(at * 1024 + (c + 1), return_inverse=True)
-    return names[key // 1024], key % 1024 - 1, np.bincount(inv, weights=n, minlength=len(key)).astype(np.int64)
-
-
-def _block_words(table: pa.Table, contexts: np.ndarray) -> pa.Table:
-    """A block's words: (w, block, ctx, n) for training tokens; words without any have ctx -1."""
-    parts = []
-    for batch in small_batches(table.to_batches(), table.column_names.index("text"), 1_000_000):
-        w, c, row = tokens(batch.column("text"), contexts)
-        train = np.asarray(batch.column("train"))[row] if len(row) else np.zeros(0, dtype=bool)
-        parts.append(_counted(w, np.where(train, c, -1), np.where(train, 1, 0)))
-    w, c, n = _counted(*(np.concatenate(x) for x in zip(*parts)))
-    # words with training tokens need no row without
-    known = np.unique(w[c >= 0])
-    at = np.minimum(np.searchsorted(known, w), max(len(known) - 1, 0))
-    keep = (c >= 0) | (known[at] != w) if len(known) else np.ones(len(w), dtype=bool)
-    w, c, n = w[keep], c[keep], n[keep]
+def _numbered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct pairs, sorted: (context, word, training count); and (pair, text) of each token."""
+    parts, at = [], 0
+    for batch in small_batches(table.select(["train", "text"]).to_batches(), 1, 1_000_000):
+        w, u, row = tokens(batch.column("text"))
+        parts.append((w, u, row + at))
+        at += batch.num_rows
+    w, u, row = (np.concatenate(x) for x in zip(*parts))
+    names, iw = np.unique(w, return_inverse=True)
+    heads, iu = np.unique(u, return_inverse=True)
+    key, pair = np.unique(iu * len(names) + iw, return_inverse=True)
+    n = np.bincount(pair, weights=np.asarray(table.column("train"))[row], minlength=len(key)).astype(np.int64)
+    return heads[key // len(names)], names[key % len(names)], n, pair, row
+
+
+def _block_pairs(table: pa.Table) -> pa.Table:
+    """A block's pairs: (u, w, block, at, n, lead) with n training tokens; lead marks one pair of each word."""
+    u, w, n, _, _ = _numbered(table)
+    lead = np.zeros(len(w), dtype=bool)
+    lead[np.unique(w, return_index=True)[1]] = True
     block = np.full(len(w), table.column("block")[0].as_py(), dtype=np.int32)
-    return pa.table([pa.array(w.view(np.int64)), pa.array(block), pa.array(c.astype(np.int16)), pa.array(n.astype(np.int32))], names=["w", "block", "ctx", "n"])
-
-
-def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values).cast(kind))
-
-
-def _word_rows(batches):
-    """Rows sorted by word: one row a word with its blocks, contexts and counts."""
-    held: list[pa.RecordBatch] = []
-
-    def finish():
-        t = pa.Table.from_batches(held).combine_chunks()
-        w, block, ctx, n = (np.asarray(t.column(i)) for i in range(4))
-        names, at = np.unique(w, return_inverse=True)
-        pair = np.unique(at.astype(np.int64) << 32 | block)
-        b_at, blocks = pair >> 32, pair & 0xFFFFFFFF
-        known = ctx >= 0
-        key, inv = np.unique(at[known].astype(np.int64) << 16 | ctx[known], return_inverse=True)
-        counts = np.bincount(inv, weights=n[known], minlength=len(key)).astype(np.int64)
-        k = np.arange(len(names))
-        b_end, c_end = np.searchsorted(b_at, k, side="right"), np.searchsorted(key >> 16, k, side="right")
-        cols = [pa.array(names), _lists(blocks, b_end, pa.int32()), _lists(key & 0xFFFF, c_end, pa.int16()), _lists(counts, c_end, pa.int64())]
-        out = pa.RecordBatch.from_arrays(cols, names=["w", "blocks", "ctx", "n"])
-        for i in range(0, out.num_rows, 50_000):
-            yield out.slice(i, 50_000)
-
-    rows = 0
-    for batch in batches:
-        w = np.asarray(batch.column(0))
-        if rows >= 200_000 and len(w):
-            # all of the word that was cut by the batch belongs to what is held
-            last = np.asarray(held[-1].column(0))[-1]
-            cut = int(np.searchsorted(w, last, side="right"))
-            if cut < len(w):
-                if cut:
-                    held.append(batch.slice(0, cut))
-                yield from finish()
-                held, rows, batch = [], 0, batch.slice(cut)
-        if batch.num_rows:
-            held.append(batch)
-            rows += batch.num_rows
-    if held:
-        yield from finish()
+    cols = [u.view(np.int64), w.view(np.int64), block, np.arange(len(w), dtype=np.int32), n.astype(np.int32), lead]
+    return pa.table([pa.array(x) for x in cols], names=["u", "w", "block", "at", "n", "lead"])
 
 
 @dataclass
@@ -168,7 +113,6 @@ class Totals:
     d1: float
     tables: np.ndarray | None = None  # mean t_u
     parent: float = 0.0  # mean r
-    contexts: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint64))
 
     def backoff(self) -> np.ndarray:
         return (STRENGTH + self.d1 * self.tables) / (STRENGTH + self.customers)
@@ -280,8 +224,12 @@ def draw_tables(n: np.ndarray, near: np.ndarray, far: np.ndarray, rest: float, t
     return out
 
 
-def seat(word: np.ndarray, ctx: np.ndarray, n: np.ndarray, words: int, tot: Totals, seed: int) -> np.ndarray:
-    """Mean tables of each (word, context) with n customers, rows sorted by word; words: how many there are."""
+def seat(word: np.ndarray, ctx: np.ndarray, n: np.ndarray, words: int, tot: Totals, seed: int, before: np.ndarray | None = None, outside=0, share=1) -> np.ndarray:
+    """Mean tables of each (word, context) with n customers; words: how many there are.
+
+    With tot.tables the contexts' tables are those, of which the rows had before; else they are scaled up
+    from the rows.  A word's tables are share times those of its rows, and those outside.
+    """
     rng = np.random.default_rng(seed)
     k = len(n)
     t = np.ones(k, dtype=np.int64)
@@ -292,85 +240,63 @@ def seat(word: np.ndarray, ctx: np.ndarray, n: np.ndarray, words: int, tot: Tota
         return np.ones(k)
     parent0, local0 = float(tot.types.sum()), float(k)
     for sweep in range(BURN + SAMPLES):
-        t_u = tot.types * (np.bincount(ctx, weights=t, minlength=len(tot.customers)) / np.maximum(start_local, 1))
-        r = np.bincount(word, weights=t, minlength=words)
-        near, far = np.maximum(t_u[ctx] - t, 0)[move], (r[word] - t)[move]
-        t[move] = draw_tables(n[move], near, far, parent0 * float(t.sum()) / local0, tot, rng)
+        if tot.tables is None:
+            t_u = tot.types * (np.bincount(ctx, weights=t, minlength=len(tot.customers)) / np.maximum(start_local, 1))
+            near, rest = np.maximum(t_u[ctx] - t, 0), parent0 * float(t.sum()) / local0
+        else:
+            near, rest = np.maximum(tot.tables[ctx] - before, 0), tot.parent
+        far = np.maximum((outside + share * np.bincount(word, weights=t, minlength=words))[word] - t, 0)
+        t[move] = draw_tables(n[move], near[move], far[move], rest, tot, rng)
         if sweep >= BURN:
             mean += t
     return mean / SAMPLES
 
 
-def _flat(batch: pa.RecordBatch):
-    """(word names, blocks list, word index, ctx, n) of a batch of word rows."""
-    w = np.asarray(batch.column(0))
-    sizes = np.diff(np.asarray(batch.column(2).offsets))
-    return w, np.repeat(np.arange(len(w)), sizes), np.asarray(batch.column(2).flatten()).astype(np.int64), np.asarray(batch.column(3).flatten())
-
-
-def _seed(w: np.ndarray) -> int:
-    return int(w.view(np.uint64)[0]) if len(w) else 0
-
-
-def _table_sums(batches, tot: Totals):
-    """(ctx, sum of mean tables); ctx -1 has the sum over all, the parent's customers."""
+def _gathered(batches, rows: int):
+    held, n = [], 0
     for batch in batches:
-        w, word, ctx, n = _flat(batch)
-        t = seat(word, ctx, n, len(w), tot, _seed(w))
-        sums = np.bincount(ctx, weights=t, minlength=len(tot.customers)) if len(ctx) else np.zeros(len(tot.customers))
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, np.arange(len(sums))]), pa.array(np.r_[sums.sum(), sums])], names=["ctx", "t"])
-
-
-def _block_model(batches, tot: Totals):
-    """(block, w, count, r, ctx, direct) for each block that has the word; direct = (c - d1 t) / (s1 + c_u)."""
-    for batch in batches:
-        w, word, ctx, n = _flat(batch)
-        t = seat(word, ctx, n, len(w), tot, _seed(w))
-        count, r = np.bincount(word, weights=n, minlength=len(w)).astype(np.int64), np.bincount(word, weights=t, minlength=len(w))
-        direct = (n - tot.d1 * t) / (STRENGTH + tot.customers[ctx]) if len(n) else t
-        # a word without contexts has one row with ctx -1
-        sizes = np.bincount(word, minlength=len(w))
-        lone = np.flatnonzero(sizes == 0)
-        word, ctx, direct = np.r_[word, lone], np.r_[ctx, np.full(len(lone), -1)], np.r_[direct, np.zeros(len(lone))]
-        order = np.argsort(word, kind="stable")
-        word, ctx, direct = word[order], ctx[order], direct[order]
-        sizes = np.maximum(sizes, 1)
-        first = np.cumsum(sizes) - sizes
-        blocks, b_sizes = np.asarray(batch.column(1).flatten()), np.diff(np.asarray(batch.column(1).offsets))
-        b_word = np.repeat(np.arange(len(w)), b_sizes)
-        times = sizes[b_word]
-        out_block = np.repeat(blocks, times)
-        at = np.repeat(first[b_word] - (np.cumsum(times) - times), times) + np.arange(len(out_block))
-        cols = [out_block.astype(np.int32), w[word[at]], count[word[at]], r[word[at]].astype(np.float32), ctx[at].astype(np.int16), direct[at].astype(np.float32)]
-        for i in range(0, len(out_block), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000]) for x in cols], names=["block", "w", "c", "r", "ctx", "direct"])
-
-
-def _score(docs: pa.Table, model: pa.Table, tot: Totals) -> pa.Table:
-    w = np.asarray(model.column("w")).view(np.uint64)
-    ctx, direct = np.asarray(model.column("ctx")).astype(np.int64), np.asarray(model.column("direct")).astype(float)
-    names, at = np.unique(w, return_index=True)
-    count = np.asarray(model.column("c"))[at]
-    p = np.where(count > 0, (np.asarray(model.column("r")).astype(float)[at] - tot.d0) / (STRENGTH + tot.parent), tot.unknown())
-    key = np.searchsorted(names, w) * 1024 + (ctx + 1)
-    order = np.argsort(key)
-    key, direct = key[order], direct[order]
-    back = tot.backoff()
-    base = np.log10((count + 1) / (tot.tokens + tot.words + 1))
-    parts = []
-    for batch in small_batches(docs.select(["doc_id", "train", "text"]).to_batches(), 2, 1_000_000):
-        t, c, row = tokens(batch.column("text"), tot.contexts)
-        at = np.searchsorted(names, t)
-        k = at * 1024 + (c + 1)
-        j = np.minimum(np.searchsorted(key, k), max(len(key) - 1, 0))
-        own = np.where(key[j] == k, direct[j], 0.0)
-        rows = batch.num_rows
-        score = np.bincount(row, weights=np.log10(own + back[c] * p[at]), minlength=rows)
-        sums = np.bincount(row, weights=base[at], minlength=rows)
-        n, known = np.bincount(row, minlength=rows), np.bincount(row, weights=count[at] > 0, minlength=rows).astype(np.int64)
-        held = pa.array(~np.asarray(batch.column("train")))
-        parts.append(pa.table([batch.column("doc_id"), held, pa.array(n), pa.array(known), pa.array(np.full(rows, tot.tokens)), pa.array(sums), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
-    return pa.concat_tables(parts)
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _seats(batches, d0: float, d1: float, parent: float):
+    """(u, w, n, ones, more, t): rows sorted by word, with new mean tables t in place of the contexts' tables t_u."""
+    for table in _gathered(batches, 200_000):
+        u, w, n, ones, more, before, t_u = (np.asarray(table.column(c)) for c in ("u", "w", "n", "ones", "more", "t", "t_u"))
+        names, first, word, here = np.unique(w, return_index=True, return_inverse=True, return_counts=True)
+        _, lead, ctx = np.unique(u, return_index=True, return_inverse=True)
+        tot = Totals(0, 0, np.zeros(len(lead)), t_u[lead], d0, d1, t_u[lead], parent)
+        t = seat(word, ctx, n, len(names), tot, int(names.view(np.uint64)[0]), before, ones[first], more[first] / here)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, w, n, ones, more, t)], names=["u", "w", "n", "ones", "more", "t"])
+
+
+def _score(docs: pa.Table, model: pa.Table, tot: Totals, start: tuple[int, float]) -> pa.Table:
+    """model: rows of words (at -1: n, r, c and t are the word's counts and tables as word and as context) and of pairs (n, r)."""
+    _, _, n_pair, pair, row = numbered = _numbered(docs)
+    at, w, n, r, c, t = (np.asarray(model.column(x)) for x in ("at", "w", "n", "r", "c", "t"))
+    is_word = at < 0
+    names = np.r_[w[is_word].view(np.uint64), START]
+    order = np.argsort(names)
+    names = names[order]
+    count, root = np.r_[n[is_word], 0][order], np.r_[r[is_word], 0.0][order].astype(float)
+    customers, tables = np.r_[c[is_word], start[0]][order], np.r_[t[is_word], start[1]][order].astype(float)
+    # a pair without a row was seen here once, and nowhere else, or never
+    own, seats = np.minimum(n_pair, 1), np.minimum(n_pair, 1).astype(float)
+    own[at[~is_word]], seats[at[~is_word]] = n[~is_word], r[~is_word]
+    iu, iw = np.searchsorted(names, numbered[0]), np.searchsorted(names, numbered[1])
+    p = np.where(count > 0, (root - tot.d0) / (STRENGTH + tot.parent), tot.unknown())[iw]
+    scores = np.log10((own - tot.d1 * seats + (STRENGTH + tot.d1 * tables[iu]) * p) / (STRENGTH + customers[iu]))
+    base = np.log10((count + 1) / (tot.tokens + tot.words + 1))[iw]
+    rows = docs.num_rows
+    total = lambda x: np.bincount(row, weights=x[pair], minlength=rows)
+    held = pa.array(~np.asarray(docs.column("train")).astype(bool))
+    cols = [docs.column("doc_id"), held, pa.array(np.bincount(row, minlength=rows)), pa.array(total(count[iw] > 0).astype(np.int64)), pa.array(np.full(rows, tot.tokens)), pa.array(total(base)), pa.array(total(scores))]
+    return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
 def _discount(ones: int, twos: int) -> float:
@@ -382,25 +308,43 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("doc_id"), (~held_out(F.col(id_col))).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     blocks = max(1, -(-int(size[0] or 0) // BLOCK_BYTES))
-    often = rows.where("train").select("text").mapInArrow(_often, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    total = (often.where("w = 0").first() or [0, 0])[1]
-    often = often.where((F.col("w") != 0) & (F.col("n") * CONTEXT_SHARE >= total)).select("w").collect() if total else []  # CONTEXT_SHARE words at most
-    contexts = np.sort(np.array([r.w for r in often], dtype=np.int64).view(np.uint64))
-    n_ctx = len(contexts) + FIRST
-
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.crc32("text")), F.lit(blocks)).cast("int"))
-    words = rows.select("block", "train", "text").groupBy("block").applyInArrow(lambda t: _block_words(t, contexts), "w bigint, block int, ctx smallint, n int")
-    words = stored(words.repartition("w").sortWithinPartitions("w").mapInArrow(_word_rows, "w bigint, blocks array<int>, ctx array<smallint>, n array<bigint>"))
-
-    pairs = words.select(F.explode(F.arrays_zip("ctx", "n")).alias("x")).select("x.*")
-    by_ctx = {r.ctx: r for r in pairs.groupBy("ctx").agg(F.sum("n").alias("c"), F.count("*").alias("types"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()}  # one row a context
-    root = words.agg(F.count_if(F.size("ctx") > 0), F.count_if(F.size("ctx") == 1), F.count_if(F.size("ctx") == 2)).first()
-    get = lambda f: np.array([getattr(by_ctx[i], f) if i in by_ctx else 0 for i in range(n_ctx)], dtype=np.int64)
-    tot = Totals(int(get("c").sum()), int(root[0]), get("c"), get("types"), _discount(root[1], root[2]), _discount(int(get("n1").sum()), int(get("n2").sum())), contexts=contexts)
-    sums = {r.ctx: r.t for r in words.mapInArrow(lambda it: _table_sums(it, tot), "ctx bigint, t double").groupBy("ctx").agg(F.sum("t").alias("t")).collect()}  # one row a context
-    tot.tables, tot.parent = np.array([sums.get(i, 0.0) for i in range(n_ctx)]), sums.get(-1, 0.0)
-
-    model = words.mapInArrow(lambda it: _block_model(it, tot), "block int, w bigint, c bigint, r float, ctx smallint, direct float")
+    seen = rows.groupBy("block").applyInArrow(_block_pairs, "u bigint, w bigint, block int, at int, n int, lead boolean")
+    same = Window.partitionBy("u", "w").orderBy("block")  # a row a block at most
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = stored(seen.select("u", "w", "block", "at", "lead", (F.col("n") > 0).alias("here"), F.sum("n").over(whole).alias("n"), (F.row_number().over(same) == 1).alias("first")))
+    pairs = seen.where("first and n > 0").select("u", "w", "n")
+
+    contexts = stored(pairs.groupBy("u").agg(F.sum("n").alias("c"), F.count("*").alias("types"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")))
+    words = stored(pairs.groupBy("w").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") > 1).alias("more")))
+    sums = contexts.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("c", "types", "n1", "n2")]).first()
+    root = words.agg(F.count("*"), F.count_if(F.expr("ones + more = 1")), F.count_if(F.expr("ones + more = 2"))).first()
+    none = np.zeros(0)
+    tot = Totals(sums.c, root[0], none, none, _discount(root[1], root[2]), _discount(sums.n1, sums.n2), parent=float(sums.types))
+
+    # tables beyond one a pair, by context and by word
+    seats = pairs.where("n > 1").join(words.drop("n"), "w").withColumn("t", F.lit(1.0))
+    tables = contexts.select("u", F.col("types").cast("double").alias("t_u"))
+    extra = lambda key: seats.groupBy(key).agg(F.sum(F.col("t") - 1).alias("extra"))
+    for _ in range(ROUNDS):
+        # a word with very many pairs is split by its contexts
+        slot = F.pmod(F.xxhash64("u"), F.ceil(F.col("more") / TOGETHER)).alias("slot")
+        dealt = seats.join(tables, "u").select("*", slot).repartition("w", "slot").sortWithinPartitions("w", "u").drop("slot")
+        seats = stored(dealt.select("u", "w", "n", "ones", "more", "t", "t_u").mapInArrow(lambda it, p=tot.parent: _seats(it, tot.d0, tot.d1, p), "u bigint, w bigint, n bigint, ones bigint, more bigint, t double"))
+        tables = stored(contexts.join(extra("u"), "u", "left").select("u", "c", (F.col("types") + F.coalesce("extra", F.lit(0.0))).alias("t_u")))
+        tot.parent = float(tables.agg(F.sum("t_u")).first()[0] or 0.0)
+
+    known = words.join(extra("w"), "w", "left").select("w", "n", (F.col("ones") + F.col("more") + F.coalesce("extra", F.lit(0.0))).alias("r"))
+    known = stored(known.join(tables.withColumnRenamed("u", "w"), "w", "left"))
+    start = tables.where(F.col("u") == int(START.view(np.int64))).first()
+    start = (start.c, start.t_u) if start else (0, 0.0)
+    zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind).alias(c)
+    of_words = seen.where("lead").select("block", "w").join(known, "w", "left").select("block", F.lit(-1).alias("at"), "w", zero("n", "bigint"), zero("r", "float"), zero("c", "bigint"), zero("t_u", "float").alias("t"))
+    blank = (F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("float").alias("t"))
+    word = F.lit(0).cast("bigint").alias("w")
+    often = seen.where("n > 1").drop("n").join(seats.select("u", "w", "n", "t"), ["u", "w"]).select("block", "at", word, "n", F.col("t").cast("float").alias("r"), *blank)
+    once = seen.where("n = 1 and not here").select("block", "at", word, "n", F.lit(1).cast("float").alias("r"), *blank)
+    model = of_words.unionAll(often).unionAll(once)
     id_type = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return rows.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(lambda d, m: _score(d, m, tot), schema)
+    return rows.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(lambda d, m: _score(d, m, tot, start), schema)

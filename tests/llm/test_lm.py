@@ -118,3 +118,25 @@ def test_sweeps_reseat_all_customers():
     word = np.arange(50)
     got = lm.seat(word, np.ones(50, dtype=np.int64), np.full(50, 40_000), 50, tot, 1)
     assert got.mean() > lm.BURN + lm.SAMPLES + 1
+
+
+@pytest.mark.parametrize("block", [8_000_000, 2_000])
+def test_rare_words_are_contexts(spark, monkeypatch, block):
+    """A word that follows a rare word always is likelier there than after another rare word."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+    rnd = random.Random(8)
+    train = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, " ".join(f"a{k} b{k}" for k in rnd.choices(range(200), k=20))) for i in train]
+    same, other = (" ".join(f"a{k} b{(k + d) % 200}" for k in range(100)) for d in (0, 1))
+    got = {r.doc_id: r.score for r in scored(spark, [*rows, (held[0], same), (held[1], other)])}
+    assert got[held[0]] - got[held[1]] > 100 * math.log10(50)
+
+
+def test_blocks_and_slots_change_little(spark, monkeypatch):
+    rows = list(enumerate(texts()))
+    one = {r.doc_id: r.score for r in scored(spark, rows)}
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(lm, "TOGETHER", 20)
+    two = {r.doc_id: r.score for r in scored(spark, rows)}
+    assert all(math.isclose(one[i], two[i], rel_tol=0.02) for i in one)
