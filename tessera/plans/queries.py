@@ -167,10 +167,15 @@ def metadata_blocks(spark, sf):
 
 
 def _turns(spark, sf) -> DataFrame:
-    """Each turn with the one before it as its expected text; tokens of a bounded chunk."""
+    """Each turn with the one before it as its expected text; all tokens of both."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.lag("text").over(w).alias("before")).where("before is not null")
-    return rows.withColumns({"heard": F.slice(plain_tokens(F.col("text")), 1, 80), "expected": F.slice(plain_tokens(F.col("before")), 1, 80)})
+    return rows.withColumns({"heard": plain_tokens(F.col("text")), "expected": plain_tokens(F.col("before"))})
+
+
+def _turn_starts(spark, sf) -> DataFrame:
+    """The first 80 tokens of each, as the SQL of the repetition queries has them."""
+    return _turns(spark, sf).withColumns({c: F.slice(c, 1, 80) for c in ("heard", "expected")})
 
 
 @query
@@ -222,7 +227,7 @@ def punctuation_pauses(spark, sf):
 @query
 def ngram_repetition(spark, sf):
     """N-grams repeated beyond the turn before; the most frequent, then shortest, then first."""
-    rows = _turns(spark, sf)
+    rows = _turn_starts(spark, sf)
     grams = lambda c: rows.select("conv_id", "turn", F.explode(agg.ngrams(F.col(c))).alias("g")).groupBy("conv_id", "turn", F.col("g.size").alias("size"), F.col("g.gram").alias("gram")).agg(F.count("*").alias("n"), F.min("g.at").alias("at"))
     over = grams("heard").join(grams("expected").withColumnRenamed("n", "e").drop("at"), ["conv_id", "turn", "size", "gram"], "left").where("n > 1 and n > coalesce(e, 0)")
     best = F.max_by(F.struct("gram", "n"), F.struct("n", -F.col("size"), -F.col("at")))
@@ -478,7 +483,7 @@ def hard_gate_reasons(spark, sf):
 def loop_repetitions(spark, sf):
     """Turns whose most repeated n-gram is a loop beside the turn before."""
     grams = ngram_repetition(spark, sf)
-    rows = _turns(spark, sf).join(grams, ["conv_id", "turn"])
+    rows = _turn_starts(spark, sf).join(grams, ["conv_id", "turn"])
     return rows.select("conv_id", "turn", gates.is_loop(F.col("max_multiplicity"), F.col("most_repeated"), F.col("expected"), 1).alias("loop"))
 
 

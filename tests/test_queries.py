@@ -42,3 +42,22 @@ def test_chunks_are_exact_slices(spark):
     assert joined.where(F.substr("line", F.col("start") + 1, F.col("end") - F.col("start")) != F.col("text")).count() == 0
     assert chunks.select("id").distinct().count() == chunks.count()
     assert chunks.where((F.col("words") > 85) & (F.col("s1") - F.col("s0") > 1)).count() == 0
+
+
+def test_turns_are_read_whole(spark):
+    """Alignments reach past the 80th token, and a turn's end is its last five tokens."""
+    import re
+
+    rows = spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "text").collect()
+    words = {(r.conv_id, r.turn): [w for w in re.split("[^a-z0-9]+", (r.text or "").lower()) if w] for r in rows}
+    before = {}
+    for conv in {c for c, _ in words}:
+        turns = sorted(t for c, t in words if c == conv)
+        before |= {(conv, b): words[conv, a] for a, b in zip(turns, turns[1:])}
+    assert any(len(w) > 80 for w in before.values())
+    ends = {(r.conv_id, r.turn): r.expected for r in REGISTRY["terminal_suffix"](spark, SMALL).collect()}
+    assert ends == {k: " ".join(w[-5:]) for k, w in before.items()}
+    sizes = {(r.conv_id, r.turn): r.expected_tokens for r in REGISTRY["turn_coverage"](spark, SMALL).collect()}
+    assert any(n > 80 for n in sizes.values())
+    at = REGISTRY["fuzzy_alignment"](spark, SMALL).collect()
+    assert max(r.expected_at for r in at) >= 80 and max(r.heard_at for r in at) >= 80
