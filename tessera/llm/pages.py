@@ -30,10 +30,15 @@ STEPS = 220
 BLOCK_TAGS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<>]*\"|'[^'<>]*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S | re.I,
 )
+#: Elements that are dropped whole; one without its end tag ends at the next block tag.
+DROPPED = "svg noscript template iframe select".split()
+DROPPED_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)({'|'.join(DROPPED)})(?![^\s/>])((?:[^>\"']|\"[^\"<>]*\"|'[^'<>]*')*|[^>]*)>", re.S | re.I)
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK_TAGS))})(?![^\s/>])", re.I)
+BLOCK_TAG_NOT_OPTION = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK_TAGS - {'option'}))})(?![^\s/>])", re.I)
 NAMED = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 WORDS = re.compile(r"[a-z]+")
 # Words of class, id and role attributes by what they announce.
@@ -73,6 +78,19 @@ def _bits(tag: str, attrs: str) -> int:
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
+def _dropped_ends(page: str) -> dict[int, int]:
+    """Ends of the dropped elements that are closed, by the ends of their opening tags."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {t: [] for t in DROPPED}
+    for m in DROPPED_TAG.finditer(page):
+        if m[3] and m[2]:
+            if opened[m[3].lower()]:
+                out[opened[m[3].lower()].pop()] = m.end()
+        elif m[3] and not (m[3].lower() == "svg" and m[4].endswith("/")):
+            opened[m[3].lower()].append(m.end())
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, int, str, int]]:
     """Leaf blocks in page order: (text, ancestors' bits, nearest block tag, characters in links)."""
     out = []
@@ -101,7 +119,8 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
                 return
 
     at = 0
-    for m in TOKEN.finditer(page):
+    ends_of = None
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             parts.append(page[at : m.start()])
             if links:
@@ -111,6 +130,17 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
         if not tag:
             continue
         ends, attrs = m[2] or m[5], m[4] or m[7] or ""
+        if tag in DROPPED and not ends:
+            if tag == "svg" and attrs.endswith("/"):
+                continue
+            if ends_of is None:
+                ends_of = _dropped_ends(page)
+            if at in ends_of:
+                at = ends_of[at]
+            else:
+                block_tag = (BLOCK_TAG_NOT_OPTION if tag == "select" else BLOCK_TAG).search(page, at)
+                at = block_tag.start() if block_tag else len(page)
+            continue
         if tag == "br":
             parts.append(" ")
             continue

@@ -44,6 +44,26 @@ def test_text_and_markup():
     assert pages.main_text(page, pages.trained()) == "A & B\nOne two\nx < y © z.\nFirst link here.\nSecond."
 
 
+def test_dropped_elements_end():
+    """Self-closed and unclosed elements take no text after them along; formulas and fallback text stay."""
+    chain = pages.trained()
+    start = "<html><body><article><h1>Some title here</h1><p>A first paragraph with enough words in it to be read.</p>"
+    last = "A last paragraph with enough words in it to be read as text."
+    for part, text in [
+        ('<p>One <svg class="icon"/> two and three more words of a sentence.</p>', "One two and three more words of a sentence."),
+        ("<p>With <math/> nothing and more words of a sentence.</p>", "With nothing and more words of a sentence."),
+        ("<p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds for all of the words.</p>", "Where x=2 holds for all of the words."),
+        ('<p>See <object data="a">the fallback text</object> for more of it here.</p>', "See the fallback text for more of it here."),
+        ('<p>Here are many words before it. <svg><path d="x"> unclosed.</p>', "Here are many words before it."),
+        ("<p>Here are many words before it. <select><option>a<option>b</p>", "Here are many words before it."),
+        ("<p>Some <svg><g><title>t</title></g><text>no</text></svg> words of a sentence are here.</p>", "Some words of a sentence are here."),
+        ("<noscript><p>No script.</p></noscript><template><template><p>no</p></template><p>no</p></template><p>The words of a sentence are here.</p>", "The words of a sentence are here."),
+        ("<noscript><p>The words of a sentence are here.</p>", "The words of a sentence are here."),
+    ]:
+        assert pages.main_text(f"{start}{part}<p>{last}</p></article></body></html>", chain).split("\n")[2:] == [text, last]
+    assert pages.blocks("<svg>" * 30000) == [] and pages.blocks("<template>" * 30000 + "<p>a") == [("a", pages.BITS["<p>"], "p", 0)]
+
+
 def test_rows(spark):
     long = "<article>" + "<p>Some words here.</p>" * 20000 + "</article>"
     rows = [(1, "u", None, "t0"), (2, "u", "", "t1"), (3, "u", long, "t2"), (3, "u", long, "t2"), (4, None, "<p", "t3"), (5, "u", "<" * 3000, "t")]
