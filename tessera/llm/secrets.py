@@ -1,9 +1,10 @@
 """Secret findings with a random forest that removes false positives (operator 5).
 
-One pattern proposes candidates: long tokens with a digit, quoted values assigned to something, known
-key prefixes.  A forest over each candidate's length, character transitions, dictionary coverage,
-path marks and neighbouring words decides.  It is trained on labelled findings; those given here
-are made by ``labelled_findings`` (a fixed number of rows, drawn by hashing row numbers): keys,
+One pattern proposes candidates: long tokens with a digit, quoted values assigned to something, values
+of eight characters or more assigned to a name with a word that announces secrets, known key prefixes.
+A forest over each candidate's length, character transitions, dictionary coverage, path marks and
+neighbouring words decides.  It is trained on labelled findings; those given here are made by
+``labelled_findings`` (a fixed number of rows, drawn by hashing row numbers): keys,
 tokens and passwords of many shapes against identifiers, digests, paths, numbers and placeholders
 in the surroundings where they occur.
 
@@ -26,16 +27,18 @@ from pyspark.sql import functions as F
 TRAINING_ROWS, TREES, DEPTH, SEED = 6000, 24, 8, 5
 THRESHOLD = 0.5
 _T = r"[A-Za-z0-9_+/=.~-]"
+# Words that announce secrets.
+NEAR_GOOD = "token|secret|password|passwd|pwd|apikey|api_key|api-key|access_key|accesskey|auth|bearer|credential|private|key"
+#: A name with such a word in any case, and what assigns a value to it; the word "bearer" alone does.
+_KEY = rf"(?i:{NEAR_GOOD})[A-Za-z0-9_.-]{{0,24}}[\"']?[ \t]{{0,4}}(?:=>|:=|[:=])[ \t]{{0,4}}[\"']?|(?i:bearer) "
 CANDIDATE = (
-    rf"(?<!{_T})(?=[A-Za-z_+/=.~-]*[0-9]){_T}{{16,}}(?!{_T})"
+    rf"(?<!{_T})(?![A-Za-z0-9_.-]*(?i:{NEAR_GOOD})[A-Za-z0-9_.-]{{0,24}}=[^=\"'\s]{{8}})(?=[A-Za-z_+/=.~-]*[0-9]){_T}{{16,}}(?!{_T})"
     r"|(?<=[:=] ?[\"'])[^\"'\s]{8,}(?=[\"'])"
-    r"|(?<=(?:password|passwd|pwd|secret) ?[:=] ?)[^\"'\s]{8,}"
+    rf"|(?<=[:=>][ \t]{{0,4}}[\"']?|[Rr] )(?<={_KEY})[^\"'\s]{{8,}}"
     r"|-----BEGIN [A-Z ]*PRIVATE KEY-----"
 )
 
-# Words that announce secrets, words that announce other opaque strings, frequent
-# parts of words and names, and frequent letter pairs.
-NEAR_GOOD = "token|secret|password|passwd|pwd|apikey|api_key|api-key|access_key|accesskey|auth|bearer|credential|private|key"
+# Words that announce other opaque strings, frequent parts of words and names, and frequent letter pairs.
 NEAR_BAD = "commit|sha1|sha256|sha|md5|checksum|digest|hash|uuid|guid|etag|revision|example|sample|placeholder|isbn|order|invoice|version|build|image|file|path|url"
 PARTS = "the|and|ing|ion|ent|for|tion|con|data|user|name|file|test|main|item|list|code|type|time|page|view|text|form|info|config|service|server|client|message|request|response|value|index|number|string|object|array|class|error|event|example|your|here|change|default|public|static|http|https|www|com|org|net|html|json|image|assets|src|lib|bin|usr|var|home|docs|build|release|version|latest|master|branch|feature|update|create|delete|insert|select|get|set|new|old|key|token|word|pass|abc|xxx"
 PAIRS = "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur"

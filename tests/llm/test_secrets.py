@@ -32,3 +32,23 @@ def test_forest(spark):
     assert {d for d, _ in got} == {1, 5, 8, None}
     assert (1, hashlib.sha256(hex40.encode()).hexdigest()) in got and len(got) == 5
     assert secrets.findings(df.limit(0), model).count() == 0
+
+
+def test_assigned_values_are_candidates(spark):
+    """Values assigned to names of secrets, in any case, quoted or not; the forest decides on them."""
+    texts = {
+        "Password: Tr0ub4dor&3": "Tr0ub4dor&3",
+        "PWD=hunter22": "hunter22",
+        "token: abcd1234efgh": "abcd1234efgh",
+        "api_key: qwertyuiopasdfghjkl": "qwertyuiopasdfghjkl",
+        "my access-key-id=Zk39dkP2x": "Zk39dkP2x",
+        "'client_secret' => 'x9K2mmPq81'": "x9K2mmPq81",
+        "Authorization: Bearer zx81kq77pl02": "zx81kq77pl02",
+        "DB_PASSWORD   =   changeme": "changeme",
+        "the token of it and the key: short": None,
+    }
+    df = spark.createDataFrame([(t, t) for t in texts], "doc_id string, text string")
+    assert {r.doc_id: r.value for r in secrets.candidates(df).collect()} == {k: v for k, v in texts.items() if v}
+    model = secrets.train(secrets.labelled_findings(spark, 3000))
+    kept = {r.doc_id for r in secrets.findings(df, model).collect()}
+    assert "Password: Tr0ub4dor&3" in kept and "DB_PASSWORD   =   changeme" not in kept
