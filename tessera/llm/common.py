@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +24,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the cluster's (spark.checkpoint.dir); one of our own only where none is named, as in tests."""
+    """The checkpoint folder of spark.checkpoint.dir; one of our own only on a local master that names none, as in tests."""
     sc = spark.sparkContext._jsc.sc()
     if not sc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or f"{tempfile.gettempdir()}/tessera-checkpoints")
     return sc.getCheckpointDir().get()
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Actions within delete their shuffle files as they end; only for plans that nothing runs again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder (survives lost executors)."""
     shared_folder(df.sparkSession)
@@ -36,21 +55,49 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def drop_unused(spark: SparkSession) -> None:
-    """Let the driver find shuffles that nothing refers to any more, and have executors delete their files.
-
-    Without, they stay until the driver's heap happens to be collected; a collection at some of the cuts
-    only would make it worse, as it moves what is still in use where ordinary collections don't look.
-    """
+    """Let the driver find shuffles and checkpoints that nothing refers to any more, and delete their files."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+#: Folders written by stored() that are still there.
+_STORED: dict[str, SparkSession] = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write a table into the shared checkpoint folder and read it back: compressed, and cut from its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    drop_unused(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table into the shared checkpoint folder and read it back: compressed, and cut from its lineage.
+
+    The shuffles that made it go at once.  discard() deletes the table; what a returned result still reads
+    stays until the session's process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    _STORED[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote and nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.stored_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    _STORED.pop(path, None)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in list(_STORED.items()):
+        if spark.sparkContext._jsc is not None:
+            remove(spark, path)
 
 
 def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:

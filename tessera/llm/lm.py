@@ -6,119 +6,331 @@ base measure never draws the same word twice: each known word has one table ther
 still to come are the unknown words.  So for a context u
 
     P(w|u) = (c_uw - d1 t_uw + (s1 + d1 t_u) P(w)) / (s1 + c_u)
-    P(w) = (r_w - d0) / (s0 + r),   P(unknown) = (s0 + d0 V) / (s0 + r),   r_w = sum of t_uw
-
-which sums to one over the V known words and the unknown one.  The tables t come from Gibbs sampling
-of the seating: all customers of each (u, w) leave their tables and sit down again, which draws the
-table count from its conditional; after ``BURN`` sweeps those of ``SAMPLES`` sweeps are averaged.
-Discounts d0, d1 are estimated from the counts of counts, strengths are fixed.
-
-Spread over executors: documents are dealt into blocks of some ``BLOCK_BYTES``.  A block's distinct
-(context, word) pairs travel with their counts, not its tokens; they are summed by pair, and contexts
-and words by tables of one row each.  A pair of one customer has one table.  The others are dealt by
-word, where its tables are known (a very frequent word's pairs are split at random, and its tables
-scaled up), and are seated beside the tables of their contexts; those are exchanged ``ROUNDS`` times.
-Back to a block go its words' totals, and of its pairs those whose counts and tables it can't know.
-Only sums over the whole corpus reach the driver.  Sampling is seeded by the words themselves, so a
-lost task gives the same draws again.
+    P(w) = (t_w - d0) / (s0 + T),   P(unknown) = (s0 + d0 V) / (s0 + T)
+
+with t_u, t_w and T the sums of the tables t_uw, which sums to one over the V known words and the
+unknown one.  The tables come from blocked Gibbs sampling of the seating.  The weight of all seatings
+with tables t is
+
+    prod_u Gamma(s1/d1 + t_u) d1^t_u  x  prod_uw S(c_uw, t_uw)  x  prod_w Gamma(t_w - d0) / Gamma(s0 + T)
+
+and two sets of auxiliary variables take its sums apart: p, the parent's masses, drawn from a Dirichlet
+distribution with parameters t_w - d0 (and s0 + d0 V for the unknown), and g_u, drawn from a Gamma
+distribution with shape s1/d1 + t_u.  Given them, all t_uw are independent, with weights
+S(c, t) (d1 g_u p_w)^t.  A sweep reseats all customers of all pairs from these exact conditionals, then
+draws p and g again.  After ``BURN`` sweeps, the conditional means of t_uw are averaged over ``SAMPLES``
+sweeps, and t_u, t_w and T are their sums.  Discounts d0, d1 are estimated from the counts of counts,
+strengths are fixed.  The tables and the parent's probabilities are averaged apart from each other.
+
+Every draw is a function of its words and sweep alone and sums are of integers, so neither the order of
+rows nor blocks, tiles and partitions change a draw; a lost task repeats its draws.
+
+Spread over executors: texts become blocks, a row of word numbers each, which is stored once; texts are
+never dealt.  A block sends its distinct (word, context) pairs with their counts, compressed, to *tiles*
+by word; very frequent words are split by context.  A pair of one customer has one table; only the
+others take part in the sweeps, which are joins by word and by context.  At the end blocks send their
+pairs once more, and a tile answers with bare arrays in the order it was asked.  Only sums over the
+whole corpus and the list of split words (``MOST_SPLIT`` at most, 12 MB) reach the driver.
 
 Words are 64-bit hashes of lower-cased (A-Z) tokens.  Rows: null and empty texts are one end token;
-a null id counts as the empty text for the split; repeated rows are counted each; very long texts
-are scored whole; other columns are ignored.  Without training rows every word is unknown.
+a null id counts as the empty text for the split; repeated rows are counted and scored each; very long
+texts are scored whole; other columns are ignored.  Without training rows every word is unknown.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import row_slices, small_batches, stored, string_buffers
+from tessera.llm.common import discard, mix64, row_slices, small_batches, stored, string_buffers
 from tessera.llm.near import word_hashes
 
-BLOCK_BYTES = 8_000_000
-BURN, SAMPLES = 6, 10
-#: Exchanges of the contexts' tables; pairs of a word that are seated together, about.
-ROUNDS, TOGETHER = 2, 20_000
+#: Bytes of text in a block, tokens to a tile.
+BLOCK_BYTES, TILE_TOKENS = 16_000_000, 4_000_000
+BURN, SAMPLES = 4, 3
 STRENGTH = 1.0
 #: Customers up to which the weights of table counts are tabulated.
 EXACT = 1024
+#: Words that are split over tiles, at most: those of a share of 1 / MOST_SPLIT or more.
+MOST_SPLIT = 1 << 20
 END = np.uint64(0x0123456789ABCDEF)
 #: The context of a text's first word.
 START = np.uint64(0xFEDCBA9876543210)
+_START = int(START.view(np.int64))
 
 
 def held_out(id_col: Column, parts: int = 7, part: int = 2) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % parts == part
 
 
-def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, context, text) of each token of a column of texts, ends included."""
+# --- numbers in bytes ---------------------------------------------------------
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """An array's bytes, compressed place by place."""
+    x = np.ascontiguousarray(x)
+    return pa.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def _array(blob: bytes, kind, n: int) -> np.ndarray:
+    kind = np.dtype(kind)
+    if not n:
+        return np.zeros(0, dtype=kind)
+    raw = pa.decompress(blob, n * kind.itemsize, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel()
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Numbers as differences: small for sorted ones, right for all."""
+    return _planes(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _summed(blob: bytes, kind, n: int) -> np.ndarray:
+    return np.cumsum(_array(blob, kind, n), dtype=kind)
+
+
+# --- blocks ---------------------------------------------------------------------
+
+
+def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a column of texts, an end after each text; and the tokens of each text."""
     data, offsets = string_buffers(col)
-    words, ctxs, rows = [], [], []
+    words, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
     for a, b in row_slices(offsets, 1 << 22):
         h, first = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        w = np.insert(h, first[1:], END)
-        n = np.diff(first) + 1
-        ctx = np.empty_like(w)
-        ctx[1:] = w[:-1]
-        ctx[np.cumsum(n) - n] = START
-        words.append(w)
-        ctxs.append(ctx)
-        rows.append(np.repeat(np.arange(a, b), n))
-    if not words:
-        z = np.zeros(0, dtype=np.int64)
-        return z.astype(np.uint64), z.astype(np.uint64), z
-    return np.concatenate(words), np.concatenate(ctxs), np.concatenate(rows)
-
-
-def _numbered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's distinct pairs, sorted: (context, word, training count); and (pair, text) of each token."""
-    parts, at = [], 0
-    for batch in small_batches(table.select(["train", "text"]).to_batches(), 1, 1_000_000):
-        w, u, row = tokens(batch.column("text"))
-        parts.append((w, u, row + at))
-        at += batch.num_rows
-    w, u, row = (np.concatenate(x) for x in zip(*parts))
-    names, iw = np.unique(w, return_inverse=True)
-    heads, iu = np.unique(u, return_inverse=True)
-    key, pair = np.unique(iu * len(names) + iw, return_inverse=True)
-    n = np.bincount(pair, weights=np.asarray(table.column("train"))[row], minlength=len(key)).astype(np.int64)
-    return heads[key // len(names)], names[key % len(names)], n, pair, row
-
-
-def _block_pairs(table: pa.Table) -> pa.Table:
-    """A block's pairs: (u, w, block, at, n, lead) with n training tokens; lead marks one pair of each word."""
-    u, w, n, _, _ = _numbered(table)
-    lead = np.zeros(len(w), dtype=bool)
-    lead[np.unique(w, return_index=True)[1]] = True
-    block = np.full(len(w), table.column("block")[0].as_py(), dtype=np.int32)
-    cols = [u.view(np.int64), w.view(np.int64), block, np.arange(len(w), dtype=np.int32), n.astype(np.int32), lead]
-    return pa.table([pa.array(x) for x in cols], names=["u", "w", "block", "at", "n", "lead"])
+        words.append(np.insert(h, first[1:], END))
+        counts.append(np.diff(first) + 1)
+    return np.concatenate(words), np.concatenate(counts)
+
+
+def _blocks(batches, id_type):
+    """Texts (doc_id, train, text) as blocks of word numbers, the most frequent word first."""
+    part, at, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+    def block():
+        words, lengths, train = (np.concatenate([x[i] for x in held]) for i in range(3))
+        names, number, count = np.unique(words, return_inverse=True, return_counts=True)
+        order = np.lexsort((names, -count))
+        place = np.empty(len(names), dtype=np.int32)
+        place[order] = np.arange(len(names), dtype=np.int32)
+        ids = pa.concat_arrays([x[3] for x in held])
+        return pa.record_batch({
+            "block": pa.array([(part << 32) + at]), "tokens": pa.array([len(words)]), "kinds": pa.array([len(names)]), "train": pa.array([int(train.sum())]),
+            "words": pa.array([_steps(names[order])]), "stream": pa.array([_planes(place[number])]), "lengths": pa.array([_planes(lengths)]), "learns": pa.array([_planes(train.astype(np.uint8))]),
+            "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+        })
+
+    for batch in small_batches(batches, 2, 1_000_000):
+        words, lengths = tokens(batch.column(2))
+        held.append((words, lengths, np.asarray(batch.column(1).fill_null(False)), batch.column(0)))
+        size += int(batch.column(2).nbytes)
+        if size >= BLOCK_BYTES:
+            yield block()
+            held, size, at = [], 0, at + 1
+    if held:
+        yield block()
+
+
+_BLOCKS = "block bigint, tokens bigint, kinds bigint, train bigint, words binary, stream binary, lengths binary, learns binary"
 
 
 @dataclass
-class Totals:
-    """Sums over the whole training part, by context where they are arrays."""
+class Tiles:
+    """How many tiles there are, and the words that are split (sorted) with their number of ways."""
+
+    count: int
+    split: np.ndarray
+    ways: np.ndarray
+
+    def home(self, word: np.ndarray) -> np.ndarray:
+        return (mix64(word) % np.uint64(self.count)).astype(np.int64)
+
+    def of(self, word: np.ndarray, context: np.ndarray, home: np.ndarray) -> np.ndarray:
+        if not len(self.split):
+            return home
+        at = np.minimum(np.searchsorted(self.split, word), len(self.split) - 1)
+        often = np.flatnonzero(self.split[at] == word)
+        out = home.copy()
+        out[often] = self.home(word[often] + mix64(context[often]) % self.ways[at[often]])
+        return out
+
+
+class Block:
+    """A block's tokens, and its distinct pairs by (tile, word, context); words and contexts by rank of their hash."""
+
+    def __init__(self, row: dict, tiles: Tiles):
+        kinds, n = row["kinds"], row["tokens"]
+        names = np.r_[_summed(row["words"], np.uint64, kinds), START]
+        order = np.argsort(names)
+        rank = np.empty(kinds + 1, dtype=np.int64)
+        rank[order] = np.arange(kinds + 1)
+        self.names, self.start = names[order], int(rank[kinds])
+        self.lengths = _array(row["lengths"], np.int64, len(row["ids"]))
+        self.learns = _array(row["learns"], np.uint8, len(row["ids"])).astype(bool)
+        w = rank[_array(row["stream"], np.int32, n)]
+        u = np.empty_like(w)
+        u[1:] = w[:-1]
+        u[np.cumsum(self.lengths) - self.lengths] = self.start
+        self.home = tiles.home(self.names)
+        k = kinds + 1
+        pair, self.pair = np.unique(w * k + u, return_inverse=True)
+        w, u = pair // k, pair % k
+        tile = tiles.of(self.names[w], self.names[u], self.home[w])
+        order = np.argsort(tile, kind="stable")
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        self.pair, self.w, self.u, self.tile = back[self.pair], w[order], u[order], tile[order]
+        #: Words in the order of their homes.
+        self.by_home = np.argsort(self.home, kind="stable")
+        self.by_home = self.by_home[self.by_home != self.start]
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.pair, weights=np.repeat(self.learns, self.lengths), minlength=len(self.w)).astype(np.int32)
+
+
+def _rows(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: col[i].as_py() if name != "ids" else col[i].values for name, col in zip(batch.schema.names, batch.columns)}
+
+
+def _frequent(batches, least: int):
+    """(w, n): words with n of each block's training tokens, where that is a share of 1 / least or more."""
+    for row in _rows(batches):
+        learns = np.repeat(_array(row["learns"], np.uint8, len(row["ids"])), _array(row["lengths"], np.int64, len(row["ids"])))
+        n = np.bincount(_array(row["stream"], np.int32, row["tokens"]), weights=learns, minlength=row["kinds"]).astype(np.int64)
+        often = np.flatnonzero(n * least >= max(1, int(learns.sum())))
+        yield pa.record_batch({"w": pa.array(_summed(row["words"], np.uint64, row["kinds"])[often].view(np.int64)), "n": pa.array(n[often])})
+
+
+_PARCEL = "tile int, block bigint, kinds bigint, heads bigint, pairs bigint, words binary, per_word binary, contexts binary, context binary, n binary"
 
-    tokens: int
-    words: int
-    customers: np.ndarray  # c_u
-    types: np.ndarray  # distinct words of u
-    d0: float
-    d1: float
-    tables: np.ndarray | None = None  # mean t_u
-    parent: float = 0.0  # mean r
 
-    def backoff(self) -> np.ndarray:
-        return (STRENGTH + self.d1 * self.tables) / (STRENGTH + self.customers)
+def _parcels(batches, tiles: Tiles):
+    """A block's pairs, a row a tile: sorted words, pairs of each, sorted contexts, and each pair's context and training count."""
+    for row in _rows(batches):
+        b = Block(row, tiles)
+        n = b.counts()
+        split = np.flatnonzero(np.isin(b.names, tiles.split))
+        for tile in np.union1d(np.unique(b.tile), b.home[split]):
+            at = slice(*np.searchsorted(b.tile, [tile, tile + 1]))
+            words, per = np.unique(np.r_[b.w[at], split[b.home[split] == tile]], return_counts=True)
+            per -= np.isin(words, split[b.home[split] == tile])
+            heads, head = np.unique(b.u[at], return_inverse=True)
+            yield pa.record_batch({
+                "tile": pa.array([int(tile)], pa.int32()), "block": pa.array([row["block"]]), "kinds": pa.array([len(words)]), "heads": pa.array([len(heads)]), "pairs": pa.array([len(head)]),
+                "words": pa.array([_steps(b.names[words])]), "per_word": pa.array([_planes(per.astype(np.int32))]),
+                "contexts": pa.array([_steps(b.names[heads])]), "context": pa.array([_planes(head.astype(np.int32))]), "n": pa.array([_planes(n[at])]),
+            })
+
+
+# --- tiles ------------------------------------------------------------------------
+
+
+class Tile:
+    """The pairs of all parcels of a tile, sorted by word and context, with their training counts n."""
+
+    def __init__(self, parcels: pa.Table):
+        self.parcels = sorted(parcels.to_pylist(), key=lambda p: p["block"])
+        own = [_summed(p["words"], np.uint64, p["kinds"]) for p in self.parcels]
+        heads = [_summed(p["contexts"], np.uint64, p["heads"]) for p in self.parcels]
+        self.words, self.heads = np.unique(np.concatenate(own)), np.unique(np.concatenate(heads))
+        self.own = [np.searchsorted(self.words, w) for w in own]
+        keys = []
+        for p, w, u in zip(self.parcels, self.own, heads):
+            word = np.repeat(w, _array(p["per_word"], np.int32, p["kinds"]))
+            keys.append(word * len(self.heads) + np.searchsorted(self.heads, u)[_array(p["context"], np.int32, p["pairs"])])
+        pair, self.pair = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.concatenate([_array(p["n"], np.int32, p["pairs"]) for p in self.parcels])
+        self.w, self.u = pair // max(1, len(self.heads)), pair % max(1, len(self.heads))
+        self.n = np.bincount(self.pair, weights=n, minlength=len(pair)).astype(np.int64)
+
+
+_TILES = "tile int, kinds bigint, heads bigint, pairs bigint, twos bigint, words binary, word_n binary, word_ones binary, word_more binary, contexts binary, context_ones binary, context_more binary, w binary, u binary, n binary"
+
+
+def _counted(parcels: pa.Table) -> pa.Table:
+    """A tile in one row: its trained words and contexts with their pairs of one customer and of more, and the latter pairs."""
+    t = Tile(parcels)
+    sums = lambda at, of, m: np.bincount(at, weights=of, minlength=m).astype(np.int64)
+    by_word, by_head = (sums(t.w, x, len(t.words)) for x in (t.n, t.n == 1, t.n > 1)), (sums(t.u, x, len(t.heads)) for x in (t.n == 1, t.n > 1))
+    (w_n, w_ones, w_more), (u_ones, u_more) = by_word, by_head
+    words, heads, more = np.flatnonzero(w_n), np.flatnonzero(u_ones + u_more), t.n > 1
+    cols = {
+        "tile": int(parcels.column("tile")[0].as_py()), "kinds": len(words), "heads": len(heads), "pairs": int(more.sum()), "twos": int((t.n == 2).sum()),
+        "words": _steps(t.words[words]), "word_n": _planes(w_n[words]), "word_ones": _planes(w_ones[words]), "word_more": _planes(w_more[words]),
+        "contexts": _steps(t.heads[heads]), "context_ones": _planes(u_ones[heads]), "context_more": _planes(u_more[heads]),
+        "w": _steps(np.searchsorted(words, t.w[more]).astype(np.int32)), "u": _planes(np.searchsorted(heads, t.u[more]).astype(np.int32)), "n": _planes(t.n[more]),
+    }
+    return pa.table({k: pa.array([v], pa.int32()) if k == "tile" else pa.array([v]) for k, v in cols.items()})
+
+
+_WORDS = "key bigint, n bigint, word_ones bigint, word_more bigint, context_ones bigint, context_more bigint"
+
+
+def _marks(batches):
+    """A tile's words and contexts as rows."""
+    for r in _rows(batches):
+        for kind, size, of in (("words", r["kinds"], ("word_n", "word_ones", "word_more")), ("contexts", r["heads"], ("context_ones", "context_more"))):
+            key, given = _summed(r[kind], np.uint64, size), {c: _array(r[c], np.int64, size) for c in of}
+            n, *rest = (given.get(c, np.zeros(size, dtype=np.int64)) for c in ("word_n", "word_ones", "word_more", "context_ones", "context_more"))
+            for a in range(0, size, 100_000):
+                part = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (key.view(np.int64), n, *rest)], names=["key", "n", "word_ones", "word_more", "context_ones", "context_more"])
+
+
+_PAIRS = "tile int, k int, u bigint, w bigint, n bigint"
+
+
+def _pairs(batches):
+    """A tile's pairs of several customers as rows; k numbers them."""
+    for r in _rows(batches):
+        m = r["pairs"]
+        words, heads = _summed(r["words"], np.uint64, r["kinds"]).view(np.int64), _summed(r["contexts"], np.uint64, r["heads"]).view(np.int64)
+        w, u, n = words[_summed(r["w"], np.int32, m)], heads[_array(r["u"], np.int32, m)], _array(r["n"], np.int64, m)
+        for a in range(0, m, 100_000):
+            part = slice(a, a + 100_000)
+            k = np.arange(m, dtype=np.int32)[part]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), r["tile"], dtype=np.int32)), pa.array(k), *(pa.array(x[part]) for x in (u, w, n))], names=["tile", "k", "u", "w", "n"])
 
-    def unknown(self) -> float:
-        return (STRENGTH + self.d0 * self.words) / (STRENGTH + self.parent)
+
+# --- the sampler --------------------------------------------------------------------
+
+
+def uniform(key: np.ndarray, *salt: int) -> np.ndarray:
+    """Numbers between 0 and 1 that depend on key and salt only."""
+    h = key
+    for x in salt:
+        h = mix64(h + np.uint64((x * 0x9E3779B97F4A7C15 + 0x1234567) % 2**64))
+    return ((mix64(h) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def gammas(shape: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
+    """A Gamma variate of each shape, by squeezed normal variates; for shapes under one with a power of a uniform one."""
+    a = np.where(shape < 1, shape + 1, shape) - 1 / 3
+    c, out, left = 1 / np.sqrt(9 * a), np.empty(len(a)), np.arange(len(a))
+    for i in range(1000):
+        if not len(left):
+            break
+        k = key[left]
+        x = np.sqrt(-2 * np.log(uniform(k, salt, 3 * i))) * np.cos(2 * np.pi * uniform(k, salt, 3 * i + 1))
+        v = (1 + c[left] * x) ** 3
+        with np.errstate(invalid="ignore", divide="ignore"):
+            ok = (v > 0) & (np.log(uniform(k, salt, 3 * i + 2)) < 0.5 * x * x + a[left] * (1 - v + np.log(v)))
+        out[left[ok]] = (a[left] * v)[ok]
+        left = left[~ok]
+    return out * np.where(shape < 1, uniform(key, salt, -1) ** (1 / shape), 1)
+
+
+def auxiliary(kind: np.ndarray, key: np.ndarray, t: np.ndarray, d0: float, d1: float, sweep: int) -> np.ndarray:
+    """The parent's mass of words (kind 0, to be divided by the sum of all) and the factor of contexts (kind 1)."""
+    return gammas(np.where(kind == 0, t - d0, STRENGTH / d1 + t), key + kind.astype(np.uint64), sweep)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -163,93 +375,64 @@ def _saddle_error(d: float) -> np.ndarray:
     return np.r_[0.0, _ways(d)[EXACT, t] - _saddle(np.full(len(t), float(EXACT)), t.astype(float), d)]
 
 
-def draw_tables(n: np.ndarray, near: np.ndarray, far: np.ndarray, rest: float, tot: Totals, rng) -> np.ndarray:
-    """Tables of each (u, w) with all its n customers reseated, from the exact conditional
+def tables(n: np.ndarray, log_a: np.ndarray, d: float, at: np.ndarray | None) -> np.ndarray:
+    """Tables of n customers with weights S(n, t) a^t: the count that a uniform number at picks, or without it the mean.
 
-        P(t) ~ S(n, t) prod_{0 < j < t} (s1 + d1 (near + j)) (far + j - d0) / (s0 + rest + j)
-
-    near, far, rest: the other tables of u, of w, and of all.  Beyond EXACT customers S is the calibrated
-    saddle point, and the draw is from a grid of 512 counts over all that have weight.
+    Beyond EXACT customers S is the calibrated saddle point, on a grid of 512 counts over all that have weight.
     """
-    d = tot.d1
-    out = np.ones(len(n), dtype=np.int64)
+    out = np.ones(len(n))
     top = 2
     while top // 2 < min(EXACT, int(n.max(initial=0))):
-        bucket = np.flatnonzero((n > top // 2) & (n <= min(top, EXACT)))
         width = min(top, EXACT)
-        j = np.arange(1, width)
-        for part in np.array_split(bucket, max(1, len(bucket) * width // 1_000_000)):
-            if not len(part):
-                continue
-            a = (STRENGTH + d * (near[part, None] + j)) * ((far[part, None] + j - tot.d0) / (STRENGTH + rest + j))
-            weight = _ways(d)[n[part], 1 : width + 1].copy()
-            weight[:, 1:] += np.cumsum(np.log(a), axis=1)
-            cum = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-            out[part] = 1 + np.minimum((cum < (rng.random(len(part)) * cum[:, -1])[:, None]).sum(axis=1), n[part] - 1)
+        bucket = np.flatnonzero((n > top // 2) & (n <= width))
+        t = np.arange(1, width + 1)
+        for part in np.array_split(bucket, max(1, len(bucket) * width // 500_000)):
+            weight = _ways(d)[n[part], 1 : width + 1] + log_a[part, None] * t
+            weight = np.exp(weight - weight.max(axis=1, keepdims=True, initial=-np.inf))
+            if at is None:
+                out[part] = weight @ t / weight.sum(axis=1)
+            else:
+                cum = np.cumsum(weight, axis=1)
+                out[part] = 1 + np.minimum((cum < (at[part] * cum[:, -1])[:, None]).sum(axis=1), n[part] - 1)
         top *= 2
     large = np.flatnonzero(n > EXACT)
+    error = _saddle_error(d) if len(large) else None
     for part in np.array_split(large, max(1, len(large) // 500)):
         if not len(part):
             continue
-        m, error = n[part, None].astype(float), _saddle_error(d)
-        c, f = STRENGTH / d + near[part, None], far[part, None] - tot.d0
+        m, a = n[part, None].astype(float), log_a[part, None]
 
-        def weight(t, m=m, c=c, f=f, error=error):
-            g = lambda x: _lgamma(x + t) - _lgamma(x + 1)
-            at = np.minimum(t, len(error) - 1).astype(int)
-            return _saddle(m, t, d) + error[at] + (t - 1) * np.log(d) + g(c) + g(f) - g(STRENGTH + rest)
+        def weight(t, m=m, a=a):
+            return _saddle(m, t, d) + error[np.minimum(t, len(error) - 1).astype(int)] + t * a
 
         low, high = np.ones_like(m), m - 2  # the weight rises up to the mode
         for _ in range(int(np.log2(m.max())) + 2):
             mid = np.floor((low + high) / 2)
             up = weight(mid + 1) > weight(mid)
             low, high = np.where(up, np.minimum(mid + 1, high), low), np.where(up, high, mid)
-        least = weight(low) - 30
-        ends = []
+        least, ends = weight(low) - 30, []
         for edge in (np.ones_like(m), m - 1):  # the weight falls by 30 between the mode and here
-            a, b = low, edge
+            x, y = low, edge
             for _ in range(int(np.log2(m.max())) + 2):
-                mid = np.trunc((a + b) / 2)
+                mid = np.trunc((x + y) / 2)
                 over = weight(mid) >= least
-                a, b = np.where(over, mid, a), np.where(over, b, mid)
-            ends.append(np.where(weight(b) >= least, b, a))
+                x, y = np.where(over, mid, x), np.where(over, y, mid)
+            ends.append(np.where(weight(y) >= least, y, x))
         step = np.ceil((ends[1] - ends[0] + 1) / 512)
         grid = ends[0] + np.arange(512) * step
-        grid = np.where(grid <= m - 1, grid, np.nan)
-        y = np.where(np.isnan(grid), -np.inf, weight(np.nan_to_num(grid, nan=1.0)))
-        cum = np.cumsum(np.exp(y - y.max(axis=1, keepdims=True)), axis=1)
-        at = np.minimum((cum < (rng.random(len(part)) * cum[:, -1])[:, None]).sum(axis=1), 511)
-        spread = np.floor((rng.random(len(part)) - 0.5) * step[:, 0] + 0.5)
-        out[part] = np.clip(grid[np.arange(len(part)), at] + spread, 1, m[:, 0]).astype(np.int64)
-    return out
-
-
-def seat(word: np.ndarray, ctx: np.ndarray, n: np.ndarray, words: int, tot: Totals, seed: int, before: np.ndarray | None = None, outside=0, share=1) -> np.ndarray:
-    """Mean tables of each (word, context) with n customers; words: how many there are.
-
-    With tot.tables the contexts' tables are those, of which the rows had before; else they are scaled up
-    from the rows.  A word's tables are share times those of its rows, and those outside.
-    """
-    rng = np.random.default_rng(seed)
-    k = len(n)
-    t = np.ones(k, dtype=np.int64)
-    start_local = np.bincount(ctx, minlength=len(tot.customers)).astype(float)
-    move = np.flatnonzero(n > 1)
-    mean = np.zeros(k)
-    if not len(move):
-        return np.ones(k)
-    parent0, local0 = float(tot.types.sum()), float(k)
-    for sweep in range(BURN + SAMPLES):
-        if tot.tables is None:
-            t_u = tot.types * (np.bincount(ctx, weights=t, minlength=len(tot.customers)) / np.maximum(start_local, 1))
-            near, rest = np.maximum(t_u[ctx] - t, 0), parent0 * float(t.sum()) / local0
+        inside = grid <= m - 1
+        grid = np.where(inside, grid, 1.0)
+        y = np.where(inside, weight(grid), -np.inf)
+        y = np.exp(y - y.max(axis=1, keepdims=True))
+        if at is None:
+            out[part] = (y * grid).sum(axis=1) / y.sum(axis=1)
         else:
-            near, rest = np.maximum(tot.tables[ctx] - before, 0), tot.parent
-        far = np.maximum((outside + share * np.bincount(word, weights=t, minlength=words))[word] - t, 0)
-        t[move] = draw_tables(n[move], near[move], far[move], rest, tot, rng)
-        if sweep >= BURN:
-            mean += t
-    return mean / SAMPLES
+            cum, x = np.cumsum(y, axis=1), at[part] * y.sum(axis=1)
+            place = np.minimum((cum < x[:, None]).sum(axis=1), 511)
+            row = np.arange(len(part))
+            within = np.clip((x - cum[row, place]) / y[row, place] + 1, 0, 1)  # where in its grid cell the number lies
+            out[part] = np.clip(grid[row, place] + np.floor((within - 0.5) * step[:, 0] + 0.5), 1, n[part])
+    return out
 
 
 def _gathered(batches, rows: int):
@@ -264,39 +447,118 @@ def _gathered(batches, rows: int):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _seats(batches, d0: float, d1: float, parent: float):
-    """(u, w, n, ones, more, t): rows sorted by word, with new mean tables t in place of the contexts' tables t_u."""
+def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [np.asarray(table.column(c)) for c in names]
+
+
+def _drawn(batches, d1: float, log_norm: float, sweep: int):
+    """New tables of pairs (u, w, n, p, g) as (kind, key, t): sums by word (kind 0) and context (1). Sweep 0: a first guess."""
+    for table in _gathered(batches, 200_000):
+        u, w, n = _columns(table, "u", "w", "n")
+        if sweep:
+            p, g = _columns(table, "p", "g")
+            key = mix64(u.view(np.uint64)) + w.view(np.uint64)
+            t = tables(n, np.log(d1) + np.log(g) + np.log(p) - log_norm, d1, uniform(key, sweep))
+        else:
+            t = np.maximum(1, np.rint(n.astype(float) ** d1))
+        for kind, by in ((0, w), (1, u)):
+            key, at = np.unique(by, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int8)), pa.array(key), pa.array(np.bincount(at, weights=t).astype(np.int64))], names=["kind", "key", "t"])
+
+
+def _state(batches, d0: float, d1: float, sweep: int):
+    """(kind, key, t) with the auxiliary variable x of each."""
+    for batch in batches:
+        kind, key, t = (np.asarray(batch.column(c)) for c in range(3))
+        x = auxiliary(kind, key.view(np.uint64), t, d0, d1, sweep)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x)], names=["kind", "key", "t", "x"])
+
+
+def _means(batches, d1: float, norms: list[float]):
+    """Pairs (tile, k, u, w, n, p0, g0, p1, ...) with the mean of their tables over the samples."""
     for table in _gathered(batches, 200_000):
-        u, w, n, ones, more, before, t_u = (np.asarray(table.column(c)) for c in ("u", "w", "n", "ones", "more", "t", "t_u"))
-        names, first, word, here = np.unique(w, return_index=True, return_inverse=True, return_counts=True)
-        _, lead, ctx = np.unique(u, return_index=True, return_inverse=True)
-        tot = Totals(0, 0, np.zeros(len(lead)), t_u[lead], d0, d1, t_u[lead], parent)
-        t = seat(word, ctx, n, len(names), tot, int(names.view(np.uint64)[0]), before, ones[first], more[first] / here)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, w, n, ones, more, t)], names=["u", "w", "n", "ones", "more", "t"])
-
-
-def _score(docs: pa.Table, model: pa.Table, tot: Totals, start: tuple[int, float]) -> pa.Table:
-    """model: rows of words (at -1: n, r, c and t are the word's counts and tables as word and as context) and of pairs (n, r)."""
-    _, _, n_pair, pair, row = numbered = _numbered(docs)
-    at, w, n, r, c, t = (np.asarray(model.column(x)) for x in ("at", "w", "n", "r", "c", "t"))
-    is_word = at < 0
-    names = np.r_[w[is_word].view(np.uint64), START]
-    order = np.argsort(names)
-    names = names[order]
-    count, root = np.r_[n[is_word], 0][order], np.r_[r[is_word], 0.0][order].astype(float)
-    customers, tables = np.r_[c[is_word], start[0]][order], np.r_[t[is_word], start[1]][order].astype(float)
-    # a pair without a row was seen here once, and nowhere else, or never
-    own, seats = np.minimum(n_pair, 1), np.minimum(n_pair, 1).astype(float)
-    own[at[~is_word]], seats[at[~is_word]] = n[~is_word], r[~is_word]
-    iu, iw = np.searchsorted(names, numbered[0]), np.searchsorted(names, numbered[1])
-    p = np.where(count > 0, (root - tot.d0) / (STRENGTH + tot.parent), tot.unknown())[iw]
-    scores = np.log10((own - tot.d1 * seats + (STRENGTH + tot.d1 * tables[iu]) * p) / (STRENGTH + customers[iu]))
-    base = np.log10((count + 1) / (tot.tokens + tot.words + 1))[iw]
-    rows = docs.num_rows
-    total = lambda x: np.bincount(row, weights=x[pair], minlength=rows)
-    held = pa.array(~np.asarray(docs.column("train")).astype(bool))
-    cols = [docs.column("doc_id"), held, pa.array(np.bincount(row, minlength=rows)), pa.array(total(count[iw] > 0).astype(np.int64)), pa.array(np.full(rows, tot.tokens)), pa.array(total(base)), pa.array(total(scores))]
-    return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        n = np.asarray(table.column("n"))
+        each = [tables(n, np.log(d1) + np.log(g) + np.log(p) - norm, d1, None) for i, norm in enumerate(norms) for p, g in [_columns(table, f"p{i}", f"g{i}")]]
+        yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("tile", "k", "u", "w")), pa.array(sum(each) / len(each))], names=["tile", "k", "u", "w", "t"])
+
+
+# --- scores -------------------------------------------------------------------------
+
+
+@dataclass
+class Model:
+    """Sums over the training part."""
+
+    tokens: int
+    words: int
+    d0: float
+    d1: float
+    tables: float
+    start: tuple[int, float]  # customers and tables of the start of texts
+
+    def unknown(self) -> float:
+        return (STRENGTH + self.d0 * self.words) / (STRENGTH + self.tables)
+
+
+def _homes(batches, tiles: Tiles):
+    for batch in batches:
+        home = tiles.home(np.asarray(batch.column("key")).view(np.uint64)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(home), *batch.columns], names=["tile", *batch.schema.names])
+
+
+_ANSWER = "block bigint, tile int, pairs bigint, words bigint, n binary, t binary, word_n binary, word_t binary, context_t binary"
+
+
+def _answers(parcels: pa.Table, known: pa.Table, tiles: Tiles) -> pa.Table:
+    """To each parcel: counts and tables of its pairs, and of the words at home here their counts, tables and tables as contexts."""
+    names = ["block", "tile", "pairs", "words", "n", "t", "word_n", "word_t", "context_t"]
+    if not parcels.num_rows:
+        return pa.table({c: pa.array([], pa.int32() if c == "tile" else pa.int64() if i < 4 else pa.binary()) for i, c in enumerate(names)})
+    tile = Tile(parcels)
+    k, key, n, t, c_t = _columns(known, "k", "key", "n", "t", "context_t")
+    more = np.flatnonzero(tile.n > 1)
+    seats = (tile.n > 0).astype(np.float32)
+    seats[more[k[k >= 0]]] = t[k >= 0]
+    mine = np.flatnonzero(k < 0)
+    mine = mine[np.argsort(key[mine].view(np.uint64))]
+    at = np.searchsorted(key[mine].view(np.uint64), tile.words)
+    there = np.flatnonzero(at < len(mine))
+    there = there[key[mine].view(np.uint64)[at[there]] == tile.words[there]]
+    word_n, word_t, context_t = np.zeros(len(tile.words), np.int64), np.zeros(len(tile.words), np.float32), np.zeros(len(tile.words), np.float32)
+    word_n[there], word_t[there], context_t[there] = (x[mine][at[there]] for x in (n, t, c_t))
+    here = tiles.home(tile.words) == int(parcels.column("tile")[0].as_py())
+    out, first = [], 0
+    for p, own in zip(tile.parcels, tile.own):
+        pair = tile.pair[first : first + p["pairs"]]
+        first += p["pairs"]
+        own, c = own[here[own]], tile.n[pair]
+        out.append((p["block"], p["tile"], len(pair), len(own), _planes(c.astype(np.int32)), _planes(seats[pair][c > 1]), _planes(word_n[own]), _planes(word_t[own]), _planes(context_t[own])))
+    return pa.table([pa.array(x, pa.int32() if c == "tile" else None) for x, c in zip(zip(*out), names)], names=names)
+
+
+def _score(blocks: pa.Table, answers: pa.Table, m: Model, tiles: Tiles) -> pa.Table:
+    out = []
+    for row in _rows(blocks.to_batches()):
+        b = Block(row, tiles)
+        got = sorted(answers.to_pylist(), key=lambda a: a["tile"])
+        n = np.concatenate([_array(a["n"], np.int32, a["pairs"]) for a in got])
+        t = (n > 0).astype(float)
+        t[n > 1] = np.concatenate([_array(a["t"], np.float32, int((_array(a["n"], np.int32, a["pairs"]) > 1).sum())) for a in got])
+        count, seats, own = np.zeros(len(b.names), np.int64), np.zeros(len(b.names)), np.zeros(len(b.names))
+        for into, name, kind in ((count, "word_n", np.int64), (seats, "word_t", np.float32), (own, "context_t", np.float32)):
+            into[b.by_home] = np.concatenate([_array(a[name], kind, a["words"]) for a in got])
+        p = np.where(count > 0, (seats - m.d0) / (STRENGTH + m.tables), m.unknown())
+        base = np.log10((count + 1) / (m.tokens + m.words + 1))
+        known = count > 0
+        customers = count.astype(float)
+        customers[b.start], own[b.start] = m.start
+        score = np.log10((n - m.d1 * t + (STRENGTH + m.d1 * own[b.u]) * p[b.w]) / (STRENGTH + customers[b.u]))
+        docs = len(b.lengths)
+        doc = np.repeat(np.arange(docs), b.lengths)
+        total = lambda x, of=b.pair, doc=doc, docs=docs: np.bincount(doc, weights=x[of], minlength=docs)
+        cols = [row["ids"], pa.array(~b.learns), pa.array(b.lengths), pa.array(total(known[b.w]).astype(np.int64)), pa.array(np.full(docs, m.tokens)), pa.array(total(base[b.w])), pa.array(total(score))]
+        out.append(pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+    return pa.concat_tables(out)
 
 
 def _discount(ones: int, twos: int) -> float:
@@ -306,45 +568,67 @@ def _discount(ones: int, twos: int) -> float:
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col(id_col).alias("doc_id"), (~held_out(F.col(id_col))).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    blocks = max(1, -(-int(size[0] or 0) // BLOCK_BYTES))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.crc32("text")), F.lit(blocks)).cast("int"))
-    seen = rows.groupBy("block").applyInArrow(_block_pairs, "u bigint, w bigint, block int, at int, n int, lead boolean")
-    same = Window.partitionBy("u", "w").orderBy("block")  # a row a block at most
-    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = stored(seen.select("u", "w", "block", "at", "lead", (F.col("n") > 0).alias("here"), F.sum("n").over(whole).alias("n"), (F.row_number().over(same) == 1).alias("first")))
-    pairs = seen.where("first and n > 0").select("u", "w", "n")
-
-    contexts = stored(pairs.groupBy("u").agg(F.sum("n").alias("c"), F.count("*").alias("types"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")))
-    words = stored(pairs.groupBy("w").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") > 1).alias("more")))
-    sums = contexts.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("c", "types", "n1", "n2")]).first()
-    root = words.agg(F.count("*"), F.count_if(F.expr("ones + more = 1")), F.count_if(F.expr("ones + more = 2"))).first()
-    none = np.zeros(0)
-    tot = Totals(sums.c, root[0], none, none, _discount(root[1], root[2]), _discount(sums.n1, sums.n2), parent=float(sums.types))
-
-    # tables beyond one a pair, by context and by word
-    seats = pairs.where("n > 1").join(words.drop("n"), "w").withColumn("t", F.lit(1.0))
-    tables = contexts.select("u", F.col("types").cast("double").alias("t_u"))
-    extra = lambda key: seats.groupBy(key).agg(F.sum(F.col("t") - 1).alias("extra"))
-    for _ in range(ROUNDS):
-        # a word with very many pairs is split by its contexts
-        slot = F.pmod(F.xxhash64("u"), F.ceil(F.col("more") / TOGETHER)).alias("slot")
-        dealt = seats.join(tables, "u").select("*", slot).repartition("w", "slot").sortWithinPartitions("w", "u").drop("slot")
-        seats = stored(dealt.select("u", "w", "n", "ones", "more", "t", "t_u").mapInArrow(lambda it, p=tot.parent: _seats(it, tot.d0, tot.d1, p), "u bigint, w bigint, n bigint, ones bigint, more bigint, t double"))
-        tables = stored(contexts.join(extra("u"), "u", "left").select("u", "c", (F.col("types") + F.coalesce("extra", F.lit(0.0))).alias("t_u")))
-        tot.parent = float(tables.agg(F.sum("t_u")).first()[0] or 0.0)
-
-    known = words.join(extra("w"), "w", "left").select("w", "n", (F.col("ones") + F.col("more") + F.coalesce("extra", F.lit(0.0))).alias("r"))
-    known = stored(known.join(tables.withColumnRenamed("u", "w"), "w", "left"))
-    start = tables.where(F.col("u") == int(START.view(np.int64))).first()
-    start = (start.c, start.t_u) if start else (0, 0.0)
-    zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind).alias(c)
-    of_words = seen.where("lead").select("block", "w").join(known, "w", "left").select("block", F.lit(-1).alias("at"), "w", zero("n", "bigint"), zero("r", "float"), zero("c", "bigint"), zero("t_u", "float").alias("t"))
-    blank = (F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("float").alias("t"))
-    word = F.lit(0).cast("bigint").alias("w")
-    often = seen.where("n > 1").drop("n").join(seats.select("u", "w", "n", "t"), ["u", "w"]).select("block", "at", word, "n", F.col("t").cast("float").alias("r"), *blank)
-    once = seen.where("n = 1 and not here").select("block", "at", word, "n", F.lit(1).cast("float").alias("r"), *blank)
-    model = of_words.unionAll(often).unionAll(once)
-    id_type = dict(rows.dtypes)["doc_id"]
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    blocks = stored(rows.mapInArrow(lambda it: _blocks(it, id_type), f"{_BLOCKS}, ids array<{id_type}>"))
+    size, learned = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0))).first()
+    count = max(1, -(-size // TILE_TOKENS))
+    least = min(2 * count, MOST_SPLIT)
+    often = blocks.mapInArrow(lambda it: _frequent(it, least), "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") * least >= size).collect()
+    often = sorted((r.w % 2**64, -(-r.n * least // max(1, size))) for r in often)
+    tiles = Tiles(count, np.array([w for w, _ in often], dtype=np.uint64), np.array([n for _, n in often], dtype=np.uint64))
+
+    def parcels() -> DataFrame:
+        return blocks.mapInArrow(lambda it: _parcels(it, tiles), _PARCEL)
+
+    counted = stored(parcels().groupBy("tile").applyInArrow(_counted, _TILES))
+    names = [c.split()[0] for c in _WORDS.split(", ")]
+    words = stored(counted.mapInArrow(_marks, _WORDS).groupBy("key").agg(*[F.sum(c).alias(c) for c in names[1:]]))
+    kinds = F.col("word_ones") + F.col("word_more")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    of = words.agg(*[zero(c).alias(n) for n, c in {"tokens": F.sum("n"), "words": F.count_if(F.col("n") > 0), "ones": F.sum("word_ones"), "more": F.sum("word_more"), "once": F.count_if(kinds == 1), "twice": F.count_if(kinds == 2), "still": F.sum(F.when(F.col("word_more") == 0, F.col("word_ones"))), "still_words": F.count_if((F.col("n") > 0) & (F.col("word_more") == 0))}.items()]).first()
+    twos = counted.agg(zero(F.sum("twos"))).first()[0]
+    d0, d1 = _discount(of.once, of.twice), _discount(of.ones, twos)
+
+    # tables of the pairs of several customers; those of one have one table
+    pairs = counted.mapInArrow(_pairs, _PAIRS)
+    side = lambda kind, what: words.where(f"{what}_more > 0").select(F.lit(kind).cast("tinyint").alias("kind"), "key", F.col(f"{what}_ones").alias("t"))
+    single = side(0, "word").unionAll(side(1, "context"))
+    by = lambda state, kind, key, value: state.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("x").alias(value))
+    states, norms = [], []
+    for sweep in range(BURN + SAMPLES if of.more else 0):
+        given = pairs.select("u", "w", "n")
+        if sweep:
+            given = given.join(by(states[-1], 0, "w", "p"), "w").join(by(states[-1], 1, "u", "g"), "u")
+        drawn = given.mapInArrow(lambda it, s=sweep, n=norms[-1] if norms else 0.0: _drawn(it, d1, n, s), "kind tinyint, key bigint, t bigint")
+        summed = drawn.unionAll(single).groupBy("kind", "key").agg(F.sum("t").alias("t"))
+        state = stored(summed.mapInArrow(lambda it, s=sweep: _state(it, d0, d1, s), "kind tinyint, key bigint, t bigint, x double"))
+        # the sum of all masses: integers, so that their order doesn't matter; of words without such pairs and the unknown in one
+        mass = state.where("kind = 0").agg(F.sum(F.floor(F.col("x") * 65536))).first()[0] / 65536
+        rest = np.array([of.still - d0 * of.still_words, STRENGTH + d0 * of.words])
+        norms.append(float(np.log(mass + gammas(rest[rest > 0], np.arange(2, dtype=np.uint64)[rest > 0], sweep).sum())))
+        if len(states) >= SAMPLES:
+            discard(states.pop(0))
+        states.append(state)
+    if states:
+        flat = reduce(DataFrame.unionAll, [s.select("kind", "key", "x", F.lit(i).alias("i")) for i, s in enumerate(states)])
+        flat = flat.groupBy("kind", "key").agg(*[F.max(F.when(F.col("i") == i, F.col("x"))).alias(f"x{i}") for i in range(len(states))])
+        of_kind = lambda kind, key, to: flat.where(F.col("kind") == kind).select(F.col("key").alias(key), *[F.col(f"x{i}").alias(f"{to}{i}") for i in range(len(states))])
+        seats = pairs.join(of_kind(0, "w", "p"), "w").join(of_kind(1, "u", "g"), "u").mapInArrow(lambda it: _means(it, d1, norms[-SAMPLES:]), "tile int, k int, u bigint, w bigint, t double")
+    else:
+        seats = pairs.select("tile", "k", "u", "w", F.lit(1.0).alias("t"))
+    seats = stored(seats)
+    discard(counted, *states)
+
+    extra = lambda key, name: seats.groupBy(F.col(key).alias("key")).agg(F.sum("t").alias(name))
+    known = words.join(extra("w", "more"), "key", "left").join(extra("u", "less"), "key", "left")
+    known = known.select("key", "n", (F.col("word_ones") + F.coalesce("more", F.lit(0.0))).alias("t"), (F.col("context_ones") + F.coalesce("less", F.lit(0.0))).alias("context_t"))
+    known = stored(known.mapInArrow(lambda it: _homes(it, tiles), "tile int, key bigint, n bigint, t double, context_t double"))
+    discard(words)
+    start = known.where(F.col("key") == _START).first()
+    model = Model(of.tokens, of.words, d0, d1, float(known.agg(zero(F.sum("t"))).first()[0]), (learned, start.context_t if start else 0.0))
+    none = lambda c, kind: F.lit(0).cast(kind).alias(c)
+    told = known.select("tile", F.lit(-1).alias("k"), "key", "n", "t", "context_t").unionAll(seats.select("tile", "k", none("key", "bigint"), none("n", "bigint"), "t", none("context_t", "double")))
+    answers = stored(parcels().groupBy("tile").cogroup(told.groupBy("tile")).applyInArrow(lambda p, k: _answers(p, k, tiles), _ANSWER))
+    discard(seats, known)
     schema = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return rows.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(lambda d, m: _score(d, m, tot, start), schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda b, a: _score(b, a, model, tiles), schema)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -57,29 +58,139 @@ def test_counts_and_scores(spark, monkeypatch, block):
     assert gain > 100  # the contexts help
 
 
-def test_seating_follows_its_posterior():
-    """Three customers in one restaurant: mean tables against the enumerated posterior."""
-    tot = lm.Totals(3, 1, np.array([0, 3.0]), np.array([0, 1]), 0.3, 0.5)
-    k = 20000
-    word, ctx, n = np.arange(k), np.ones(k, dtype=np.int64), np.full(k, 3)
-    got = lm.seat(word, ctx, n, k, tot, 1).mean()
-    assert 1.0 < got < 3.0
+def chain(c, d0, d1, sweeps, burn):
+    """Mean tables of the counts c (contexts by words) by the sampler's own steps."""
+    u, w = np.nonzero(c)
+    n = c[u, w]
+    key = lm.mix64(u.astype(np.uint64) + np.uint64(77)) + w.astype(np.uint64)
+    names = [np.arange(k, dtype=np.uint64) + np.uint64(1000 * (i + 1)) for i, k in enumerate(c.shape[::-1])]
+    t, mean = np.ones(len(n)), np.zeros(len(n))
+    rest = np.array([lm.STRENGTH + d0 * c.shape[1]])
+    for sweep in range(1, sweeps + 1):
+        p, g = (lm.auxiliary(np.full(len(x), kind), x, np.bincount(by, weights=t), d0, d1, sweep) for kind, (x, by) in enumerate(zip(names, (w, u))))
+        log_a = np.log(d1) + np.log(g)[u] + np.log(p / (p.sum() + lm.gammas(rest, np.zeros(1, dtype=np.uint64), sweep)))[w]
+        t = np.where(n > 1, lm.tables(n, log_a, d1, lm.uniform(key, sweep)), 1)
+        if sweep > burn:
+            mean += np.where(n > 1, lm.tables(n, log_a, d1, None), 1)
+    return mean / (sweeps - burn)
+
+
+def ways(n, d):
+    s = [[0.0] * (n + 2) for _ in range(n + 1)]
+    s[1][1] = 1.0
+    for i in range(1, n):
+        for t in range(1, i + 2):
+            s[i + 1][t] = s[i][t - 1] + (i - d * t) * s[i][t]
+    return s[n]
+
+
+@pytest.mark.parametrize("counts", [[[3]], [[4, 1], [2, 3]], [[6, 2, 1], [0, 5, 3]], [[12, 3]]])
+def test_seating_follows_its_posterior(counts):
+    """Mean tables of whole small models against the enumerated posterior."""
+    c, d0, d1 = np.array(counts), 0.3, 0.6
+    u, w = np.nonzero(c)
+    n = c[u, w]
+    total, mean = 0.0, np.zeros(len(n))
+    for t in itertools.product(*(range(1, m + 1) for m in n)):
+        t_u, t_w = np.bincount(u, weights=t), np.bincount(w, weights=t)
+        log = sum(math.log(lm.STRENGTH + i * d1) for x in t_u for i in range(1, int(x)))
+        log += sum(math.log(j - d0) for x in t_w for j in range(1, int(x))) - sum(math.log(lm.STRENGTH + k) for k in range(int(sum(t))))
+        weight = math.exp(log) * math.prod(ways(int(m), d1)[x] for m, x in zip(n, t))
+        total, mean = total + weight, mean + weight * np.array(t)
+    assert np.allclose(chain(c, d0, d1, 12_000, 100), mean / total, rtol=0.02)
+
+
+def test_a_few_sweeps_are_enough():
+    """From the first guess of one table each, the sums of a larger model have settled after the burn-in."""
+    rng = np.random.default_rng(5)
+    c = rng.zipf(1.6, (40, 200)) * (rng.random((40, 200)) < 0.4)
+    few, many = chain(c, 0.5, 0.6, lm.BURN + lm.SAMPLES, lm.BURN), chain(c, 0.5, 0.6, 400, 100)
+    assert math.isclose(few.sum(), many.sum(), rel_tol=0.02)
 
 
 def test_sums_to_one():
     rng = np.random.default_rng(0)
-    words, n_ctx = 50, 4
-    word, ctx = np.repeat(np.arange(words), 2), np.tile([1, 3], words)
-    n = rng.integers(1, 9, len(word))
-    c = np.bincount(ctx, weights=n, minlength=n_ctx)
-    tot = lm.Totals(int(n.sum()), words, c, np.bincount(ctx, minlength=n_ctx), 0.4, 0.6)
-    t = lm.seat(word, ctx, n, words, tot, 7)
-    assert ((t >= 1) & (t <= n)).all() and t[n > 4].mean() > 1.1
-    tot.tables, tot.parent = np.bincount(ctx, weights=t, minlength=n_ctx), t.sum()
-    p = (np.bincount(word, weights=t) - tot.d0) / (lm.STRENGTH + tot.parent)
-    for u in (1, 3):
-        own = ((n - tot.d1 * t) / (lm.STRENGTH + tot.customers[u]))[ctx == u].sum()
-        assert math.isclose(own + tot.backoff()[u] * (p.sum() + tot.unknown()), 1.0, rel_tol=1e-9)
+    c = rng.integers(0, 9, (3, 50))
+    c = c[:, c.sum(axis=0) > 0]
+    d0, d1 = 0.4, 0.6
+    u, w = np.nonzero(c)
+    t = chain(c, d0, d1, 12, 4)
+    m = lm.Model(int(c.sum()), c.shape[1], d0, d1, t.sum(), (0, 0.0))
+    p = (np.bincount(w, weights=t) - d0) / (lm.STRENGTH + m.tables)
+    for x in range(3):
+        own = (c[u, w] - d1 * t)[u == x].sum()
+        back = lm.STRENGTH + d1 * t[u == x].sum()
+        assert math.isclose((own + back * (p.sum() + m.unknown())) / (lm.STRENGTH + c[x].sum()), 1.0, rel_tol=1e-9)
+
+
+def test_gammas():
+    key = np.arange(40_000, dtype=np.uint64)
+    for shape in (0.2, 0.7, 1.0, 3.5, 400.0):
+        x = lm.gammas(np.full(len(key), shape), key, 9)
+        assert math.isclose(x.mean(), shape, rel_tol=5 / math.sqrt(shape * len(key)))
+        assert math.isclose(x.var(), shape, rel_tol=0.1)
+
+
+def seated_one_by_one(train, texts, d0, d1, sweeps, burn):
+    """Log10 probabilities of texts by plain seating of one customer after the other."""
+    rnd = random.Random(6)
+    pairs = [(a, b) for t in train for a, b in zip(["\0start", *t], t)]
+    V, s = len({b for _, b in pairs}), lm.STRENGTH
+    rooms, t_u, t_w, c_u = defaultdict(list), Counter(), Counter(), Counter(a for a, _ in pairs)
+
+    def root(w):
+        return (t_w[w] - d0) / (s + T) if t_w[w] else (s + d0 * V) / (s + T)
+
+    def sit(a, b):
+        nonlocal T
+        room = rooms[a, b]
+        # the parent's base measure never draws a word twice: a word without tables opens one there
+        new = (s + d1 * t_u[a]) * ((t_w[b] - d0) / (s + T) if t_w[b] else 1.0)
+        x = rnd.random() * (sum(room) - d1 * len(room) + new)
+        for i, k in enumerate(room):
+            x -= k - d1
+            if x < 0:
+                room[i] += 1
+                return
+        room.append(1)
+        t_u[a] += 1
+        t_w[b] += 1
+        T += 1
+
+    T, score = 0, Counter()
+    for a, b in pairs:
+        sit(a, b)
+    for sweep in range(sweeps):
+        for a, b in pairs:
+            room = rooms[a, b]
+            x = rnd.random() * sum(room)
+            i = next(i for i, k in enumerate(itertools.accumulate(room)) if x < k)
+            room[i] -= 1
+            if not room[i]:
+                room.pop(i)
+                t_u[a] -= 1
+                t_w[b] -= 1
+                T -= 1
+            sit(a, b)
+        if sweep >= burn:
+            for k, t in texts.items():
+                for a, b in zip(["\0start", *t], t):
+                    score[k, a, b] += ((sum(rooms[a, b]) - d1 * len(rooms[a, b]) if (a, b) in rooms else 0) + (s + d1 * t_u[a]) * root(b)) / (s + c_u[a])
+    return {k: sum(math.log10(score[k, a, b] / list(zip(["\0start", *t], t)).count((a, b)) / (sweeps - burn)) for a, b in zip(["\0start", *t], t)) for k, t in texts.items()}
+
+
+def test_scores_against_plain_seating(spark):
+    rows = list(enumerate(texts()[:70]))
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    got = {r.doc_id: r.score for r in scored(spark, rows)}
+    train = [words_of(t) for i, t in rows if not out[i]]
+    n = Counter((a, b) for t in train for a, b in zip(["\0start", *t], t))
+    kinds = Counter(b for _, b in n)
+    found = Counter(n.values()), Counter(kinds.values())
+    d1, d0 = (lm._discount(f[1], f[2]) for f in found)
+    want = seated_one_by_one(train, {i: words_of(t) for i, t in rows}, d0, d1, 300, 50)
+    assert all(math.isclose(got[i], want[i], rel_tol=0.02, abs_tol=0.05) for i, _ in rows), [(got[i], want[i]) for i, _ in rows]
+    assert math.isclose(sum(got.values()), sum(want.values()), rel_tol=0.005)
 
 
 def test_empty(spark):
@@ -88,38 +199,27 @@ def test_empty(spark):
     assert (r.n_tokens, r.train_tokens, r.held_out) == (1, 0 if r.held_out else 1, zlib.crc32(b"9") % 7 == 2)
 
 
-@pytest.mark.parametrize(("n", "near", "far"), [(3, 0, 0), (60, 40, 500), (1500, 0, 0), (6000, 300, 20000)])
-def test_tables_of_large_counts(n, near, far):
-    """Mean drawn tables against the enumerated conditional, whose weights come from the plain recursion."""
-    d0, d1, rest = 0.3, 0.6, 30000
-    most = min(n, 1500)
+@pytest.mark.parametrize(("n", "log_a"), [(3, 0.0), (60, -3.0), (1024, 1.0), (1500, 0.5), (6000, 4.0), (6000, -6.0)])
+def test_tables_of_large_counts(n, log_a):
+    """Mean and drawn tables against the enumerated conditional, whose weights come from the plain recursion."""
+    d, most = 0.6, min(n, 2500)
     t = np.arange(1, most + 1)
-    ways = np.full(most + 1, -np.inf)
-    ways[1] = 0.0
+    s = np.full(most + 1, -np.inf)
+    s[1] = 0.0
     for i in range(1, n):
         with np.errstate(divide="ignore"):
-            ways[1:] = np.logaddexp(ways[:-1], np.log(np.maximum(i - d1 * t, 0)) + ways[1:])
-    j = t[:-1]
-    a = (lm.STRENGTH + d1 * (near + j)) * (far + j - d0) / (lm.STRENGTH + rest + j)
-    p = ways[1:] + np.r_[0, np.cumsum(np.log(a))]
+            s[1:] = np.logaddexp(s[:-1], np.log(np.maximum(i - d * t, 0)) + s[1:])
+    p = s[1:] + log_a * t
     p = np.exp(p - p.max()) / np.exp(p - p.max()).sum()
     assert p[-1] < 1e-9 or most == n
     mean, sd = (p * t).sum(), math.sqrt((p * t * t).sum() - (p * t).sum() ** 2)
-    tot = lm.Totals(n, 1, np.array([n]), np.array([1]), d0, d1)
+    assert math.isclose(lm.tables(np.array([n]), np.array([log_a]), d, None)[0], mean, rel_tol=2e-3)
     k = 4000
-    got = lm.draw_tables(np.full(k, n), np.full(k, near), np.full(k, far), rest, tot, np.random.default_rng(3))
+    got = lm.tables(np.full(k, n), np.full(k, log_a), d, lm.uniform(np.arange(k, dtype=np.uint64), 1))
     assert abs(got.mean() - mean) < 5 * sd / math.sqrt(k) + 1e-3 * mean, (got.mean(), mean, sd)
     assert abs(got.std() - sd) < 0.1 * sd + 0.01
 
 
-def test_sweeps_reseat_all_customers():
-    """A pair with very many customers gets more tables than there are sweeps."""
-    tot = lm.Totals(100_000, 50, np.array([0, 2_000_000]), np.array([0, 50]), 0.3, 0.6)
-    word = np.arange(50)
-    got = lm.seat(word, np.ones(50, dtype=np.int64), np.full(50, 40_000), 50, tot, 1)
-    assert got.mean() > lm.BURN + lm.SAMPLES + 1
-
-
 @pytest.mark.parametrize("block", [8_000_000, 2_000])
 def test_rare_words_are_contexts(spark, monkeypatch, block):
     """A word that follows a rare word always is likelier there than after another rare word."""
@@ -133,10 +233,22 @@ def test_rare_words_are_contexts(spark, monkeypatch, block):
     assert got[held[0]] - got[held[1]] > 100 * math.log10(50)
 
 
-def test_blocks_and_slots_change_little(spark, monkeypatch):
+def test_partitions_blocks_and_tiles_change_nothing(spark, monkeypatch):
     rows = list(enumerate(texts()))
     one = {r.doc_id: r.score for r in scored(spark, rows)}
     monkeypatch.setattr(lm, "BLOCK_BYTES", 2_000)
-    monkeypatch.setattr(lm, "TOGETHER", 20)
-    two = {r.doc_id: r.score for r in scored(spark, rows)}
-    assert all(math.isclose(one[i], two[i], rel_tol=0.02) for i in one)
+    monkeypatch.setattr(lm, "TILE_TOKENS", 900)  # words are split as well
+    df = spark.createDataFrame(rows[::-1], "doc_id bigint, text string").repartition(7)
+    two = {r.doc_id: r.score for r in lm.score_texts(df).collect()}
+    assert all(math.isclose(one[i], two[i], rel_tol=1e-9) for i in one)
+
+
+def test_odd_rows(spark):
+    """Repeated rows, null ids, a very long text, and other columns whose names clash."""
+    long = " ".join(f"w{i % 977} the" for i in range(150_000))
+    rows = [(1, "a b a b", 1, "x"), (1, "a b a b", 1, "x"), (None, "c d", 2, "y"), (None, None, 3, None), (2, long, 4, "z"), (9, "a b", None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, block bigint, n string")
+    got = lm.score_texts(df).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 1), (0, 3), (1, 5), (1, 5), (2, 300_001), (9, 3)]
+    assert len({r.score for r in got if r.doc_id == 1}) == 1 and all(math.isfinite(r.score) for r in got)
+    assert set(got[0].asDict()) == {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"}
