@@ -52,8 +52,8 @@ from tessera.llm.common import discard, mix64, row_slices, small_batches, stored
 from tessera.llm.near import word_hashes
 
 #: Bytes of text in a block, tokens to a tile.
-BLOCK_BYTES, TILE_TOKENS = 16_000_000, 4_000_000
-BURN, SAMPLES = 4, 3
+BLOCK_BYTES, TILE_TOKENS = 6_000_000, 2_500_000
+BURN, SAMPLES = 2, 2
 STRENGTH = 1.0
 #: Customers up to which the weights of table counts are tabulated.
 EXACT = 1024
@@ -593,7 +593,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = counted.mapInArrow(_pairs, _PAIRS)
     side = lambda kind, what: words.where(f"{what}_more > 0").select(F.lit(kind).cast("tinyint").alias("kind"), "key", F.col(f"{what}_ones").alias("t"))
     single = side(0, "word").unionAll(side(1, "context"))
-    by = lambda state, kind, key, value: state.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("x").alias(value))
+    # the pairs needn't be sorted to meet a word's or a context's value
+    by = lambda state, kind, key, value: state.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("x").alias(value)).hint("shuffle_hash")
     states, norms = [], []
     for sweep in range(BURN + SAMPLES if of.more else 0):
         given = pairs.select("u", "w", "n")
@@ -612,7 +613,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if states:
         flat = reduce(DataFrame.unionAll, [s.select("kind", "key", "x", F.lit(i).alias("i")) for i, s in enumerate(states)])
         flat = flat.groupBy("kind", "key").agg(*[F.max(F.when(F.col("i") == i, F.col("x"))).alias(f"x{i}") for i in range(len(states))])
-        of_kind = lambda kind, key, to: flat.where(F.col("kind") == kind).select(F.col("key").alias(key), *[F.col(f"x{i}").alias(f"{to}{i}") for i in range(len(states))])
+        of_kind = lambda kind, key, to: flat.where(F.col("kind") == kind).select(F.col("key").alias(key), *[F.col(f"x{i}").alias(f"{to}{i}") for i in range(len(states))]).hint("shuffle_hash")
         seats = pairs.join(of_kind(0, "w", "p"), "w").join(of_kind(1, "u", "g"), "u").mapInArrow(lambda it: _means(it, d1, norms[-SAMPLES:]), "tile int, k int, u bigint, w bigint, t double")
     else:
         seats = pairs.select("tile", "k", "u", "w", F.lit(1.0).alias("t"))
