@@ -328,6 +328,11 @@ def gammas(shape: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
     return out * np.where(shape < 1, uniform(key, salt, -1) ** (1 / shape), 1)
 
 
+def guess(n: np.ndarray, d1: float) -> np.ndarray:
+    """Tables of n customers to start from: near what they settle at, so that few sweeps are needed."""
+    return np.maximum(1, np.rint(n.astype(float) ** d1))
+
+
 def auxiliary(kind: np.ndarray, key: np.ndarray, t: np.ndarray, d0: float, d1: float, sweep: int) -> np.ndarray:
     """The parent's mass of words (kind 0, to be divided by the sum of all) and the factor of contexts (kind 1)."""
     return gammas(np.where(kind == 0, t - d0, STRENGTH / d1 + t), key + kind.astype(np.uint64), sweep)
@@ -460,7 +465,7 @@ def _drawn(batches, d1: float, log_norm: float, sweep: int):
             key = mix64(u.view(np.uint64)) + w.view(np.uint64)
             t = tables(n, np.log(d1) + np.log(g) + np.log(p) - log_norm, d1, uniform(key, sweep))
         else:
-            t = np.maximum(1, np.rint(n.astype(float) ** d1))
+            t = guess(n, d1)
         for kind, by in ((0, w), (1, u)):
             key, at = np.unique(by, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int8)), pa.array(key), pa.array(np.bincount(at, weights=t).astype(np.int64))], names=["kind", "key", "t"])
@@ -565,8 +570,12 @@ def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", burn: int = BURN, samples: int = SAMPLES) -> DataFrame:
+    """A row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    The sums of a corpus settle in burn sweeps (its tables are many); a small model, whose few tables hang
+    together closely, needs more of them.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), (~held_out(F.col(id_col))).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     blocks = stored(rows.mapInArrow(lambda it: _blocks(it, id_type), f"{_BLOCKS}, ids array<{id_type}>"))
@@ -596,7 +605,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # the pairs needn't be sorted to meet a word's or a context's value
     by = lambda state, kind, key, value: state.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("x").alias(value)).hint("shuffle_hash")
     states, norms = [], []
-    for sweep in range(BURN + SAMPLES if of.more else 0):
+    for sweep in range(burn + samples if of.more else 0):
         given = pairs.select("u", "w", "n")
         if sweep:
             given = given.join(by(states[-1], 0, "w", "p"), "w").join(by(states[-1], 1, "u", "g"), "u")
@@ -607,14 +616,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         mass = state.where("kind = 0").agg(F.sum(F.floor(F.col("x") * 65536))).first()[0] / 65536
         rest = np.array([of.still - d0 * of.still_words, STRENGTH + d0 * of.words])
         norms.append(float(np.log(mass + gammas(rest[rest > 0], np.arange(2, dtype=np.uint64)[rest > 0], sweep).sum())))
-        if len(states) >= SAMPLES:
+        if len(states) >= samples:
             discard(states.pop(0))
         states.append(state)
     if states:
         flat = reduce(DataFrame.unionAll, [s.select("kind", "key", "x", F.lit(i).alias("i")) for i, s in enumerate(states)])
         flat = flat.groupBy("kind", "key").agg(*[F.max(F.when(F.col("i") == i, F.col("x"))).alias(f"x{i}") for i in range(len(states))])
         of_kind = lambda kind, key, to: flat.where(F.col("kind") == kind).select(F.col("key").alias(key), *[F.col(f"x{i}").alias(f"{to}{i}") for i in range(len(states))]).hint("shuffle_hash")
-        seats = pairs.join(of_kind(0, "w", "p"), "w").join(of_kind(1, "u", "g"), "u").mapInArrow(lambda it: _means(it, d1, norms[-SAMPLES:]), "tile int, k int, u bigint, w bigint, t double")
+        seats = pairs.join(of_kind(0, "w", "p"), "w").join(of_kind(1, "u", "g"), "u").mapInArrow(lambda it: _means(it, d1, norms[-samples:]), "tile int, k int, u bigint, w bigint, t double")
     else:
         seats = pairs.select("tile", "k", "u", "w", F.lit(1.0).alias("t"))
     seats = stored(seats)
