@@ -18,8 +18,8 @@ and two sets of auxiliary variables take its sums apart: p, the parent's masses,
 distribution with parameters t_w - d0 (and s0 + d0 V for the unknown), and g_u, drawn from a Gamma
 distribution with shape s1/d1 + t_u.  Given them, all t_uw are independent, with weights
 S(c, t) (d1 g_u p_w)^t.  A sweep reseats all customers of all pairs from these exact conditionals, then
-draws p and g again.  After ``BURN`` sweeps, the conditional means of t_uw are averaged over ``SAMPLES``
-sweeps, and t_u, t_w and T are their sums.  Discounts d0, d1 are estimated from the counts of counts,
+draws p and g again.  When T has settled (``settled``), the conditional means of t_uw are averaged over the
+last ``SAMPLES`` sweeps, and t_u, t_w and T are their sums.  Discounts d0, d1 are estimated from the counts of counts,
 strengths are fixed.  The tables and the parent's probabilities are averaged apart from each other.
 
 Every draw is a function of its words and sweep alone and sums are of integers, so neither the order of
@@ -52,8 +52,9 @@ from tessera.llm.common import discard, mix64, row_slices, small_batches, stored
 from tessera.llm.near import word_hashes
 
 #: Bytes of text in a block, tokens to a tile.
-BLOCK_BYTES, TILE_TOKENS = 6_000_000, 2_500_000
-BURN, SAMPLES = 2, 2
+BLOCK_BYTES, TILE_TOKENS = 10_000_000, 5_000_000
+#: Sweeps at least before the sums may count as settled, and at most; settled sweeps that are averaged.
+BURN, MOST_SWEEPS, SAMPLES = 1, 200, 2
 STRENGTH = 1.0
 #: Customers up to which the weights of table counts are tabulated.
 EXACT = 1024
@@ -168,30 +169,45 @@ class Block:
         kinds, n = row["kinds"], row["tokens"]
         names = np.r_[_summed(row["words"], np.uint64, kinds), START]
         order = np.argsort(names)
-        rank = np.empty(kinds + 1, dtype=np.int64)
-        rank[order] = np.arange(kinds + 1)
-        self.names, self.start = names[order], int(rank[kinds])
+        rank = np.empty(kinds + 1, dtype=np.int32)
+        rank[order] = np.arange(kinds + 1, dtype=np.int32)
+        self.tiles, self.names, self.start = tiles, names[order], int(rank[kinds])
         self.lengths = _array(row["lengths"], np.int64, len(row["ids"]))
         self.learns = _array(row["learns"], np.uint8, len(row["ids"])).astype(bool)
-        w = rank[_array(row["stream"], np.int32, n)]
-        u = np.empty_like(w)
-        u[1:] = w[:-1]
-        u[np.cumsum(self.lengths) - self.lengths] = self.start
+        self.words = rank[_array(row["stream"], np.int32, n)]
+        self.contexts = np.empty_like(self.words)
+        self.contexts[1:] = self.words[:-1]
+        self.contexts[np.cumsum(self.lengths) - self.lengths] = self.start
         self.home = tiles.home(self.names)
-        k = kinds + 1
-        pair, self.pair = np.unique(w * k + u, return_inverse=True)
-        w, u = pair // k, pair % k
-        tile = tiles.of(self.names[w], self.names[u], self.home[w])
-        order = np.argsort(tile, kind="stable")
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        self.pair, self.w, self.u, self.tile = back[self.pair], w[order], u[order], tile[order]
         #: Words in the order of their homes.
         self.by_home = np.argsort(self.home, kind="stable")
         self.by_home = self.by_home[self.by_home != self.start]
 
-    def counts(self) -> np.ndarray:
-        return np.bincount(self.pair, weights=np.repeat(self.learns, self.lengths), minlength=len(self.w)).astype(np.int32)
+    def _in_order(self, pair: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Word, context and tile of sorted pairs, by tile; and their order."""
+        w, u = (x.astype(np.int32) for x in np.divmod(pair, len(self.names)))
+        tile = self.tiles.of(self.names[w], self.names[u], self.home[w])
+        order = np.argsort(tile, kind="stable")
+        return w[order], u[order], tile[order], order
+
+    def _keys(self) -> np.ndarray:
+        return self.words.astype(np.int64) * len(self.names) + self.contexts
+
+    def counted(self) -> tuple[np.ndarray, ...]:
+        """Word, context, tile and training count of each distinct pair."""
+        learns = np.repeat(self.learns, self.lengths)
+        key = np.sort(self._keys() * 2 + learns)
+        edge = np.flatnonzero(np.diff(key >> 1, prepend=-1))
+        *pairs, order = self._in_order(key[edge] >> 1)
+        return *pairs, np.add.reduceat(key & 1, edge)[order].astype(np.int32) if len(edge) else edge.astype(np.int32)
+
+    def numbered(self) -> tuple[np.ndarray, ...]:
+        """Word and context of each distinct pair, in the same order, and the pair of each token."""
+        key, pair = np.unique(self._keys(), return_inverse=True)
+        w, u, _, order = self._in_order(key)
+        back = np.empty(len(order), dtype=np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
+        return w, u, back[pair]
 
 
 def _rows(batches):
@@ -216,13 +232,14 @@ def _parcels(batches, tiles: Tiles):
     """A block's pairs, a row a tile: sorted words, pairs of each, sorted contexts, and each pair's context and training count."""
     for row in _rows(batches):
         b = Block(row, tiles)
-        n = b.counts()
+        w, u, of, n = b.counted()
         split = np.flatnonzero(np.isin(b.names, tiles.split))
-        for tile in np.union1d(np.unique(b.tile), b.home[split]):
-            at = slice(*np.searchsorted(b.tile, [tile, tile + 1]))
-            words, per = np.unique(np.r_[b.w[at], split[b.home[split] == tile]], return_counts=True)
-            per -= np.isin(words, split[b.home[split] == tile])
-            heads, head = np.unique(b.u[at], return_inverse=True)
+        for tile in np.union1d(of, b.home[split]):
+            at = slice(*np.searchsorted(of, [tile, tile + 1]))
+            own = split[b.home[split] == tile]
+            words, per = np.unique(np.r_[w[at], own], return_counts=True)
+            per -= np.isin(words, own)
+            heads, head = np.unique(u[at], return_inverse=True)
             yield pa.record_batch({
                 "tile": pa.array([int(tile)], pa.int32()), "block": pa.array([row["block"]]), "kinds": pa.array([len(words)]), "heads": pa.array([len(heads)]), "pairs": pa.array([len(head)]),
                 "words": pa.array([_steps(b.names[words])]), "per_word": pa.array([_planes(per.astype(np.int32))]),
@@ -241,15 +258,28 @@ class Tile:
         own = [_summed(p["words"], np.uint64, p["kinds"]) for p in self.parcels]
         heads = [_summed(p["contexts"], np.uint64, p["heads"]) for p in self.parcels]
         self.words, self.heads = np.unique(np.concatenate(own)), np.unique(np.concatenate(heads))
-        self.own = [np.searchsorted(self.words, w) for w in own]
-        keys = []
+        self.own = [np.searchsorted(self.words, w).astype(np.int32) for w in own]
+        key, at = np.empty(sum(p["pairs"] for p in self.parcels), dtype=np.int64), 0
         for p, w, u in zip(self.parcels, self.own, heads):
-            word = np.repeat(w, _array(p["per_word"], np.int32, p["kinds"]))
-            keys.append(word * len(self.heads) + np.searchsorted(self.heads, u)[_array(p["context"], np.int32, p["pairs"])])
-        pair, self.pair = np.unique(np.concatenate(keys), return_inverse=True)
+            part = key[at : at + p["pairs"]]
+            part[:] = np.repeat(w, _array(p["per_word"], np.int32, p["kinds"]))
+            part *= len(self.heads)
+            part += np.searchsorted(self.heads, u)[_array(p["context"], np.int32, p["pairs"])]
+            at += p["pairs"]
+        del own, heads
+        order = np.argsort(key)
+        key = key[order]
+        edge = np.flatnonzero(np.diff(key, prepend=-1))
+        self.w, self.u = (x.astype(np.int32) for x in np.divmod(key[edge], max(1, len(self.heads))))
         n = np.concatenate([_array(p["n"], np.int32, p["pairs"]) for p in self.parcels])
-        self.w, self.u = pair // max(1, len(self.heads)), pair % max(1, len(self.heads))
-        self.n = np.bincount(self.pair, weights=n, minlength=len(pair)).astype(np.int64)
+        self.n = np.add.reduceat(n[order].astype(np.int64), edge) if len(edge) else np.zeros(0, dtype=np.int64)
+        self.order, self.edge = order, edge
+
+    def numbers(self) -> np.ndarray:
+        """The pair of each entry of the parcels."""
+        out = np.empty(len(self.order), dtype=np.int32)
+        out[self.order] = np.repeat(np.arange(len(self.edge), dtype=np.int32), np.diff(np.r_[self.edge, len(self.order)]))
+        return out
 
 
 _TILES = "tile int, kinds bigint, heads bigint, pairs bigint, twos bigint, words binary, word_n binary, word_ones binary, word_more binary, contexts binary, context_ones binary, context_more binary, w binary, u binary, n binary"
@@ -333,6 +363,17 @@ def guess(n: np.ndarray, d1: float) -> np.ndarray:
     return np.maximum(1, np.rint(n.astype(float) ** d1))
 
 
+def settled(totals: list[float]) -> bool:
+    """Whether the total tables of the sweeps so far hardly change (a tenth of sampling noise), or what is left of the change is under 0.05 percent.
+
+    Steps that shrink by a factor r add up to r / (1 - r) times the last one.
+    """
+    if len(totals) < 3:
+        return False
+    step, before = abs(totals[-1] - totals[-2]), abs(totals[-2] - totals[-3])
+    return step <= totals[-1] ** 0.5 / 10 or step < before and step * step / (before - step) <= totals[-1] / 2000
+
+
 def auxiliary(kind: np.ndarray, key: np.ndarray, t: np.ndarray, d0: float, d1: float, sweep: int) -> np.ndarray:
     """The parent's mass of words (kind 0, to be divided by the sum of all) and the factor of contexts (kind 1)."""
     return gammas(np.where(kind == 0, t - d0, STRENGTH / d1 + t), key + kind.astype(np.uint64), sweep)
@@ -532,9 +573,9 @@ def _answers(parcels: pa.Table, known: pa.Table, tiles: Tiles) -> pa.Table:
     word_n, word_t, context_t = np.zeros(len(tile.words), np.int64), np.zeros(len(tile.words), np.float32), np.zeros(len(tile.words), np.float32)
     word_n[there], word_t[there], context_t[there] = (x[mine][at[there]] for x in (n, t, c_t))
     here = tiles.home(tile.words) == int(parcels.column("tile")[0].as_py())
-    out, first = [], 0
+    out, first, number = [], 0, tile.numbers()
     for p, own in zip(tile.parcels, tile.own):
-        pair = tile.pair[first : first + p["pairs"]]
+        pair = number[first : first + p["pairs"]]
         first += p["pairs"]
         own, c = own[here[own]], tile.n[pair]
         out.append((p["block"], p["tile"], len(pair), len(own), _planes(c.astype(np.int32)), _planes(seats[pair][c > 1]), _planes(word_n[own]), _planes(word_t[own]), _planes(context_t[own])))
@@ -545,6 +586,7 @@ def _score(blocks: pa.Table, answers: pa.Table, m: Model, tiles: Tiles) -> pa.Ta
     out = []
     for row in _rows(blocks.to_batches()):
         b = Block(row, tiles)
+        pair_w, pair_u, pair = b.numbered()
         got = sorted(answers.to_pylist(), key=lambda a: a["tile"])
         n = np.concatenate([_array(a["n"], np.int32, a["pairs"]) for a in got])
         t = (n > 0).astype(float)
@@ -557,11 +599,11 @@ def _score(blocks: pa.Table, answers: pa.Table, m: Model, tiles: Tiles) -> pa.Ta
         known = count > 0
         customers = count.astype(float)
         customers[b.start], own[b.start] = m.start
-        score = np.log10((n - m.d1 * t + (STRENGTH + m.d1 * own[b.u]) * p[b.w]) / (STRENGTH + customers[b.u]))
+        score = np.log10((n - m.d1 * t + (STRENGTH + m.d1 * own[pair_u]) * p[pair_w]) / (STRENGTH + customers[pair_u]))
         docs = len(b.lengths)
         doc = np.repeat(np.arange(docs), b.lengths)
-        total = lambda x, of=b.pair, doc=doc, docs=docs: np.bincount(doc, weights=x[of], minlength=docs)
-        cols = [row["ids"], pa.array(~b.learns), pa.array(b.lengths), pa.array(total(known[b.w]).astype(np.int64)), pa.array(np.full(docs, m.tokens)), pa.array(total(base[b.w])), pa.array(total(score))]
+        total = lambda x, of, doc=doc, docs=docs: np.bincount(doc, weights=x[of], minlength=docs)
+        cols = [row["ids"], pa.array(~b.learns), pa.array(b.lengths), pa.array(total(known, b.words).astype(np.int64)), pa.array(np.full(docs, m.tokens)), pa.array(total(base, b.words)), pa.array(total(score, pair))]
         out.append(pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
     return pa.concat_tables(out)
 
@@ -573,8 +615,8 @@ def _discount(ones: int, twos: int) -> float:
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", burn: int = BURN, samples: int = SAMPLES) -> DataFrame:
     """A row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    The sums of a corpus settle in burn sweeps (its tables are many); a small model, whose few tables hang
-    together closely, needs more of them.
+    The sums of a corpus settle in a few sweeps (its tables are many); a small model, whose few tables hang
+    together closely and hide slow changes in noise, may be given more of them by burn.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), (~held_out(F.col(id_col))).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -604,8 +646,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     single = side(0, "word").unionAll(side(1, "context"))
     # the pairs needn't be sorted to meet a word's or a context's value
     by = lambda state, kind, key, value: state.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("x").alias(value)).hint("shuffle_hash")
-    states, norms = [], []
-    for sweep in range(burn + samples if of.more else 0):
+    states, norms, totals, sweep = [], [], [], -1
+    while of.more and not (sweep >= burn + samples - 1 and settled(totals)):
+        sweep += 1
+        if sweep > max(MOST_SWEEPS, burn + samples):
+            raise RuntimeError(f"the tables have not settled after {sweep} sweeps: {totals[-5:]}")
         given = pairs.select("u", "w", "n")
         if sweep:
             given = given.join(by(states[-1], 0, "w", "p"), "w").join(by(states[-1], 1, "u", "g"), "u")
@@ -613,9 +658,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         summed = drawn.unionAll(single).groupBy("kind", "key").agg(F.sum("t").alias("t"))
         state = stored(summed.mapInArrow(lambda it, s=sweep: _state(it, d0, d1, s), "kind tinyint, key bigint, t bigint, x double"))
         # the sum of all masses: integers, so that their order doesn't matter; of words without such pairs and the unknown in one
-        mass = state.where("kind = 0").agg(F.sum(F.floor(F.col("x") * 65536))).first()[0] / 65536
+        mass, total = state.where("kind = 0").agg(F.sum(F.floor(F.col("x") * 65536)), F.sum("t")).first()
         rest = np.array([of.still - d0 * of.still_words, STRENGTH + d0 * of.words])
-        norms.append(float(np.log(mass + gammas(rest[rest > 0], np.arange(2, dtype=np.uint64)[rest > 0], sweep).sum())))
+        norms.append(float(np.log(mass / 65536 + gammas(rest[rest > 0], np.arange(2, dtype=np.uint64)[rest > 0], sweep).sum())))
+        totals.append(float(total + of.still))
         if len(states) >= samples:
             discard(states.pop(0))
         states.append(state)

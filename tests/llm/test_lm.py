@@ -58,21 +58,24 @@ def test_counts_and_scores(spark, monkeypatch, block):
     assert gain > 100  # the contexts help
 
 
-def chain(c, d0, d1, sweeps, burn):
-    """Mean tables of the counts c (contexts by words) by the sampler's own steps."""
+def chain(c, d0, d1, sweeps=None, burn=None):
+    """Mean tables of the counts c (contexts by words) by the sampler's own steps; without sweeps as many as it takes by its own rule."""
     u, w = np.nonzero(c)
     n = c[u, w]
     key = lm.mix64(u.astype(np.uint64) + np.uint64(77)) + w.astype(np.uint64)
     names = [np.arange(k, dtype=np.uint64) + np.uint64(1000 * (i + 1)) for i, k in enumerate(c.shape[::-1])]
-    t, mean = lm.guess(n, d1), np.zeros(len(n))
+    t, means = lm.guess(n, d1), []
+    totals = [t.sum()]
     rest = np.array([lm.STRENGTH + d0 * c.shape[1]])
-    for sweep in range(1, sweeps + 1):
+    for sweep in range(1, (sweeps or 1000) + 1):
         p, g = (lm.auxiliary(np.full(len(x), kind), x, np.bincount(by, weights=t), d0, d1, sweep) for kind, (x, by) in enumerate(zip(names, (w, u))))
         log_a = np.log(d1) + np.log(g)[u] + np.log(p / (p.sum() + lm.gammas(rest, np.zeros(1, dtype=np.uint64), sweep)))[w]
         t = np.where(n > 1, lm.tables(n, log_a, d1, lm.uniform(key, sweep)), 1)
-        if sweep > burn:
-            mean += np.where(n > 1, lm.tables(n, log_a, d1, None), 1)
-    return mean / (sweeps - burn)
+        means.append(np.where(n > 1, lm.tables(n, log_a, d1, None), 1))
+        totals.append(t.sum())
+        if not sweeps and lm.settled(totals[:-1]):
+            return np.mean(means[-lm.SAMPLES :], axis=0)
+    return np.mean(means[burn:], axis=0)
 
 
 def ways(n, d):
@@ -100,19 +103,21 @@ def test_seating_follows_its_posterior(counts):
     assert np.allclose(chain(c, d0, d1, 12_000, 100), mean / total, rtol=0.02)
 
 
-def test_a_few_sweeps_are_enough():
-    """On counts as sparse as a corpus has them, the sweeps of production give the sums of a long chain."""
+@pytest.mark.parametrize("related", [False, True])
+def test_a_few_sweeps_are_enough(related):
+    """The production rule gives the sums of a long chain: for unrelated words, and for ones that follow few contexts."""
     rng = np.random.default_rng(5)
     c = np.zeros((2000, 2000), dtype=int)
-    np.add.at(c, tuple(np.minimum(rng.zipf(1.4, (2, 120_000)), 2000) - 1), 1)
+    u, w = np.minimum(rng.zipf(1.4, (2, 120_000)), 2000) - 1
+    np.add.at(c, (u, (u * 7 + rng.geometric(0.05, len(u))) % 2000 if related else w), 1)
     c = c[:, c.sum(axis=0) > 0]
     n = c[c > 0]
     d1 = lm._discount((n == 1).sum(), (n == 2).sum())
-    few, many = chain(c, 0.6, d1, lm.BURN + lm.SAMPLES, lm.BURN), chain(c, 0.6, d1, 60, 30)
-    assert math.isclose(few.sum(), many.sum(), rel_tol=0.005)
+    few, many = chain(c, 0.6, d1), chain(c, 0.6, d1, 100, 50)
+    assert math.isclose(few.sum(), many.sum(), rel_tol=0.01)
     for side in np.nonzero(c):
         a, b = np.bincount(side, weights=few), np.bincount(side, weights=many)
-        assert (abs(a - b)).sum() < 0.02 * b.sum()
+        assert (abs(a - b)).sum() < 0.05 * b.sum()
 
 
 def test_sums_to_one():
