@@ -1,6 +1,6 @@
 """Benchmark decontamination by canonical templates (operator 9).
 
-One pass over a text yields its raw tokens: numbers with a unit or currency (quantities), other numbers,
+One pattern cuts a text into raw tokens: numbers with a unit or currency (quantities), other numbers,
 runs of capitalised words (names), and words.  Two templates are made of them, which don't depend on
 case beyond that or on white space and punctuation:
 
@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import dealt_anew, text_key
+from tessera.llm.common import checkpointed, dealt_anew, text_key
 
 WINDOW, LEAST, SHARE = 6, 4, 40
 BROADCAST_WINDOWS = 300_000
@@ -41,14 +41,29 @@ UNITS = "kg|km|cm|mm|mg|ml|lbs?|oz|ft|mph|miles?|meters?|metres?|hours?|minutes?
 UNITS += "|tagen?|stunden?|wochen?|monaten?|jahren?|minuten?|sekunden?|gramm|prozent|jours?|heures?|semaines?|mois|ans|grammes?|horas?|semanas?|meses|metros?|litros?|gramos?|kilos?"
 GAP = r"[\x09-\x0D\p{Z}]"
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
-NAME = r"\p{Lu}[\p{Ll}'’]+"
-RAW = rf"[$€£]{GAP}*{NUMBER}|{NUMBER}(?:{GAP}*%|{GAP}*(?i:{UNITS})\b)|{NUMBER}|{NAME}(?:{GAP}+{NAME})*|\p{{L}}+"
+QUANTITY = rf"[$€£]{GAP}*{NUMBER}|{NUMBER}(?:{GAP}*%|{GAP}*(?i:{UNITS})\b)"
+NAME = r"(?<![\p{L}'’])\p{Lu}[\p{Ll}'’]++(?!\p{L})"
+NAMES = rf"{NAME}(?:{GAP}+{NAME})*"
+RAW = rf"{QUANTITY}|{NUMBER}|{NAMES}|['’]*\p{{L}}[\p{{L}}'’]*"
 NAME_MARK, QUANTITY_MARK, NUMBER_MARK = "\u0002", "\u0003", "\u0001"
 PLAIN, NAMED = 0, 1
 
 
+def marked_figures(text: Column) -> Column:
+    """A text with its quantities and numbers replaced by their marks."""
+    text = F.translate(F.coalesce(text, F.lit("")), NAME_MARK + QUANTITY_MARK + NUMBER_MARK, "   ")
+    return F.regexp_replace(F.regexp_replace(text, QUANTITY, f" {QUANTITY_MARK} "), NUMBER, f" {NUMBER_MARK} ")
+
+
+def template_tokens(figures: Column, kind: int) -> Column:
+    """The tokens of a template, without values: what template() gives, by a few passes over the whole text."""
+    out = F.regexp_replace(figures, NAMES, f" {NAME_MARK} ") if kind == NAMED else figures
+    return F.array_remove(F.split(F.lower(out), r"[^\p{L}\x01-\x03]+"), "")
+
+
 def raw_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RAW), F.lit(0))
+    text = F.translate(F.coalesce(text, F.lit("")), NAME_MARK + QUANTITY_MARK + NUMBER_MARK, "   ")
+    return F.regexp_extract_all(text, F.lit(RAW), F.lit(0))
 
 
 def template(raw: Column, kind: int) -> Column:
@@ -61,7 +76,7 @@ def template(raw: Column, kind: int) -> Column:
         figure = F.array(entry(F.when(quantity, QUANTITY_MARK).otherwise(NUMBER_MARK), value))
         words = F.transform(F.array_remove(F.split(value, r"[^\p{L}]+"), ""), lambda w: entry(w, F.lit("")))
         named = F.array(entry(F.lit(NAME_MARK), F.regexp_replace(value, "['’]s?$", "")))
-        other = F.when(token.rlike(f"^{NAME}"), named).otherwise(words) if kind == NAMED else words
+        other = F.when(token.rlike(f"^{NAMES}$"), named).otherwise(words) if kind == NAMED else words
         return F.when(token.rlike("^[0-9$€£]"), figure).otherwise(other)
 
     return F.flatten(F.transform(raw, tokens))
@@ -73,7 +88,7 @@ def _templates(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _hashed(tokens: str) -> Column:
-    return F.transform(tokens, lambda x: F.xxhash64(x["t"]))
+    return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
 def _windows(hashes: str, many: int, **more: Column) -> Column:
@@ -97,7 +112,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     words = lambda tokens, at, width: F.array_join(F.transform(F.slice(tokens, at + 1, width), lambda x: x["t"]), " ")
     values = lambda tokens, at, width: F.transform(F.slice(tokens, at + 1, width), lambda x: x["v"])
     want = None
-    hashed = asked.withColumn("hashes", _hashed("tokens"))
+    hashed = asked.withColumn("t", F.transform("tokens", lambda x: x["t"])).withColumn("hashes", _hashed("t"))
     for width in widths or [WINDOW]:
         part = hashed.where(F.col("width") == width).select("item_id", "kind", "width", "tokens", F.inline(_windows("hashes", width)))
         part = part.select("item_id", "kind", "width", F.col("pos").alias("item_pos"), "h", words(F.col("tokens"), F.col("pos"), width).alias("words"), values(F.col("tokens"), F.col("pos"), width).alias("item_slots"))
@@ -105,14 +120,16 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     per_item = want.groupBy("item_id", "kind", "width").agg(F.countDistinct("item_pos").alias("item_windows"))
 
     rows = docs.select(F.col(id_col).alias("doc_id"), *text_key(F.col(text_col)), F.col(text_col).alias("text"))
-    tokened = _templates(rows, ["doc_id", "r1", "r2"])
-    hashes = tokened.select("doc_id", "r1", "r2", _hashed("plain").alias("plain"), _hashed("named").alias("named"))
+    keyed = ["doc_id", "r1", "r2"]
+    tokened = rows.select(*keyed, marked_figures(F.col("text")).alias("f")).select(*keyed, template_tokens(F.col("f"), PLAIN).alias("plain"), template_tokens(F.col("f"), NAMED).alias("named"))
+    hashes = tokened.select(*keyed, _hashed("plain").alias("plain"), _hashed("named").alias("named"))
     marked = lambda kind, col, width: _windows(col, width, kind=F.lit(kind), width=F.lit(width))
     # a window of an item under LEAST tokens must be the whole text
     each = [F.when(F.size(col) == width, marked(kind, col, width)) if width < LEAST else marked(kind, col, width) for kind, col in ((PLAIN, "plain"), (NAMED, "named")) for width in widths or [WINDOW]]
     windows = F.flatten(F.array_compact(F.array(*each)))
     key = want.select("h", "kind", "width", "item_id", "item_pos").distinct()
     found = hashes.select("doc_id", "r1", "r2", F.inline(windows)).join(F.broadcast(key) if want.count() <= BROADCAST_WINDOWS else key, ["h", "kind", "width"]).drop("h").distinct()
+    found = checkpointed(found)  # hits only: rows of the texts are not among them
 
     # only texts with enough windows of an item are read again, for their slots
     enough = found.groupBy("doc_id", "r1", "r2", "item_id", "kind", "width").agg(F.countDistinct("item_pos").alias("n")).join(per_item, ["item_id", "kind", "width"])
@@ -127,7 +144,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     tokens = F.when(F.col("kind") == PLAIN, F.col("plain")).otherwise(F.col("named"))
     held = held.withColumn("tokens", F.slice(tokens, F.col("pos") + 1, F.col("width"))).where(F.array_join(F.transform("tokens", lambda x: x["t"]), " ") == F.col("words"))
     pairs = F.array_distinct(F.filter(F.zip_with("item_slots", F.transform("tokens", lambda x: x["v"]), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"] != ""))
-    hit = held.select(*of, "item_windows", "item_pos", "pos", pairs.alias("pairs"))
+    hit = checkpointed(held.select(*of, "item_windows", "item_pos", "pos", pairs.alias("pairs")))
 
     # each value stands for the one that it meets most
     met = hit.select(*of, F.explode("pairs").alias("p")).groupBy(*of, "p").agg(F.count("*").alias("n"))
@@ -162,8 +179,8 @@ def leaks_sql(source: str = "documents") -> str:
     quantities are put together from those pieces, and slots are judged over all pairs of a text and an item.
     """
     units = UNITS.replace("'", "")
-    # pieces: figures; currency; percent; capitalised words; other letters; gaps; anything else
-    piece = "[0-9]+(?:[.,:/][0-9]+)*|[$€£%]|\\p{Lu}[\\p{Ll}''’]+|\\p{L}+|[\\x09-\\x0D\\p{Z}]+|[^0-9$€£%\\p{L}\\x09-\\x0D\\p{Z}]+"
+    # pieces: figures; currency; percent; letters with apostrophes; gaps; anything else
+    piece = "[0-9]+(?:[.,:/][0-9]+)*|[$€£%]|[''’]*\\p{L}[\\p{L}''’]*|[\\x09-\\x0D\\p{Z}\\x01-\\x03]+|[^0-9$€£%\\p{L}\\x09-\\x0D\\p{Z}\\x01-\\x03''’]+|[''’]+"
     figure, capital, gap = "regexp_full_match(p, '[0-9].*')", "regexp_full_match(p, '\\p{Lu}[\\p{Ll}''’]+')", "regexp_full_match(p, '[\\x09-\\x0D\\p{Z}]+')"
     return rf"""
 l_texts AS (SELECT 'i' AS side, item_id AS id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM (SELECT DISTINCT item_id, text FROM benchmark)
@@ -175,7 +192,7 @@ l_unit AS (SELECT *, CASE WHEN NOT fig THEN 0 WHEN p1 = '%' THEN 1 WHEN regexp_f
   CASE WHEN NOT fig THEN 0 WHEN b1 IN ('$', '€', '£') THEN 1 WHEN regexp_full_match(b1, '[\x09-\x0D\p{{Z}}]+') AND b2 IN ('$', '€', '£') THEN 2 ELSE 0 END AS before FROM l_seen),
 l_used AS (SELECT *, coalesce(lag(CASE WHEN before > 0 THEN 0 ELSE after END) OVER w >= 1, false) OR coalesce(lag(CASE WHEN before > 0 THEN 0 ELSE after END, 2) OVER w = 2, false) AS taken FROM l_unit WINDOW w AS (PARTITION BY side, rid ORDER BY spot)),
 l_open AS (SELECT *, cap AND NOT taken AS name, cap AND NOT taken AND regexp_full_match(b1, '[\x09-\x0D\p{{Z}}]+') AND lag(cap AND NOT taken, 2) OVER w AS joins FROM l_used WINDOW w AS (PARTITION BY side, rid ORDER BY spot)),
-l_run AS (SELECT *, sum(CASE WHEN coalesce(joins, false) THEN 0 ELSE 1 END) OVER (PARTITION BY side, rid ORDER BY spot) AS run FROM l_open WHERE fig OR (NOT taken AND regexp_matches(p, '^\p{{L}}'))),
+l_run AS (SELECT *, sum(CASE WHEN coalesce(joins, false) THEN 0 ELSE 1 END) OVER (PARTITION BY side, rid ORDER BY spot) AS run FROM l_open WHERE fig OR (NOT taken AND regexp_matches(p, '\p{{L}}'))),
 l_word AS (SELECT side, id, rid, min(spot) AS spot, bool_or(fig) AS fig, bool_or(name) AS name, CASE WHEN NOT bool_or(fig) THEN lower(string_agg(p, ' ' ORDER BY spot))
     WHEN any_value(before) > 0 THEN any_value(CASE before WHEN 1 THEN b1 ELSE b2 || ' ' END) || any_value(p)
     WHEN any_value(after) > 0 THEN any_value(p) || any_value(CASE after WHEN 1 THEN lower(p1) ELSE ' ' || lower(p2) END) ELSE any_value(p) END AS v, any_value(before) + any_value(after) > 0 AS quantity FROM l_run GROUP BY side, id, rid, run),

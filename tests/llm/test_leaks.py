@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
+from pyspark.sql import functions as F
+
 from tessera.llm import leaks
 
 QUESTION = "A farmer called Anna Berg sold 12 apples to her neighbour Otto for 3 dollars and later sold 12 more apples to the same Otto for 5 dollars."
@@ -51,6 +55,17 @@ def test_empty(spark):
     assert leaks.leaked_pairs(d, none).count() == 0
 
 
+def test_passes_equal_raw_tokens(spark):
+    """Tokens by passes over whole texts are those of the raw tokens, whose values the slots are."""
+    rnd = random.Random(2)
+    parts = ["Anna", "ANNA", "McDonald", "O'Brien", "Anna's", "Anna'S", "iPhone", "the", "it's", "’Tis", "'Otto", "5", "3.5.7kg", "12", "kg", "kgs", "KG", "Days", "$", "€", "%", "1,5", "a5kg", "5Anna", "Ünal", "ÉTÉ", "été", "\u0001", "\u0002", "-", ".", ",", "x", "Z", "日本", "ß"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", " ", " ", "  ", "\n", "\u00a0", ". "]) for _ in range(rnd.randint(0, 30))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", leaks.raw_tokens(F.col("text")).alias("raw"), leaks.marked_figures(F.col("text")).alias("f"))
+    for kind in (leaks.PLAIN, leaks.NAMED):
+        for r in df.select("text", F.transform(leaks.template(F.col("raw"), kind), lambda x: x["t"]).alias("a"), leaks.template_tokens(F.col("f"), kind).alias("b")).collect():
+            assert r.a == r.b, r
+
+
 def found(spark, text, item):
     d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     rows = leaks.leaked_pairs(d, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
