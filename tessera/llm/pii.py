@@ -5,17 +5,24 @@ a gendered lexicon, and surnames after those or after a form of address.  Each d
 one surrogate, a keyed hash shaped like the value: letters of the same script and case, digits for
 digits, the same separators, valid octets, a valid check digit where the value had one, a name of
 the same gender.  The same value has the same surrogate in every text (given names and surnames
-separately, so full and short mentions still refer to one person; mail domains likewise).
+separately, so full and short mentions still refer to one person; mail domains likewise).  Within a
+text, a name found once is replaced wherever it stands as a word: alone, before a possessive, or in
+capitals, where the surrogate is in capitals too.
 
-Distinctness is checked, not assumed: all distinct values and their candidates meet in one table; a
-candidate that another value has, or that is itself a value of the corpus, is drawn again with the
-next salt until no clash is left.  The table holds distinct values only (counted with map-side
-combination, so a value in a third of all texts costs a row a task), and surrogates go back through
-joins keyed by value and by text, never through the driver or a broadcast of the table.
+Distinctness is checked, not assumed: a candidate that another value has, or that is itself a value
+of the corpus, is drawn again with the next salt until no clash is left; of several values with one
+candidate the first in order keeps it.  Only the clashing ones are drawn and compared again, and made-up
+names grow by a syllable with each draw, so there are enough for any number of values.  (So what a value
+becomes may depend on the other values of the corpus.)  The tables hold distinct values only (counted
+with map-side combination, so a value in a third of all texts costs a row a task), and surrogates go
+back through joins keyed by value and by text, never through the driver or a broadcast of the table.
+
+All texts are searched once; texts with entities once more, to put the surrogates in.  The key is
+required: who has it can recompute surrogates from guessed values.
 
 Everything is DataFrame functions.  Rows: null texts stay null, empty ones empty, both with no
 entities; texts without entities are unchanged to the byte; repeated rows get equal results; very
-long texts are read whole; other columns pass by, and clashing ones are replaced.
+long texts are read whole; null ids and other columns pass by, and clashing ones are replaced.
 """
 
 from __future__ import annotations
@@ -38,10 +45,14 @@ PATTERNS = {
     "ip": rf"(?<![0-9.])(?:25[0-5]|2[0-4]{_D}|1?{_D}?{_D})(?:\.(?:25[0-5]|2[0-4]{_D}|1?{_D}?{_D})){{3}}(?![0-9]|\.[0-9])",
     "phone": rf"(?<![{_L}0-9])\+{_D}{{1,3}}[ .-]?(?:\({_D}{{1,4}}\)[ .-]?)?{_D}{{2,4}}(?:[ .-]?{_D}{{2,4}}){{1,4}}(?!{_D})|(?<![{_L}0-9+])\({_D}{{3}}\) ?{_D}{{3}}[ .-]{_D}{{4}}(?!{_D})|(?<![{_L}0-9+.-]){_D}{{3}}[.-]{_D}{{3}}[.-]{_D}{{4}}(?![0-9-])",
     "number": rf"(?<![{_L}0-9.,-]){_D}{{4}}([ -]){_D}{{4}}\1{_D}{{4}}\1{_D}{{1,7}}(?![{_L}0-9])|(?<![{_L}0-9.,-]){_D}{{13,19}}(?![{_L}0-9])|(?<![{_L}0-9.,-]){_D}{{3}}-{_D}{{2}}-{_D}{{4}}(?![{_L}0-9-])|(?<![{_L}0-9])[A-Z]{{2}}{_D}{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_L}0-9])",
-    "given": rf"(?<!{_L})(?:{_GIVEN})(?!{_L})",
-    "surname": rf"\p{{Lu}}(?<=(?:^|[^\p{{L}}])(?:{_GIVEN}|{_TITLES}) \p{{Lu}})\p{{Ll}}[\p{{L}}'’-]*",
+    "given": rf"(?<!{_L})(?=\p{{Lu}})(?:{_GIVEN})(?!{_L})",
+    "surname": rf"(?<=[{_L}.] )\p{{Lu}}(?<=(?:^|[^\p{{L}}])(?:{_GIVEN}|{_TITLES}) \p{{Lu}})(?:['’]\p{{Lu}})?\p{{Ll}}+(?:\p{{Lu}}\p{{Ll}}+)*(?:[-'’]\p{{Lu}}\p{{L}}+)*",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Any capitalised word: a mention of a name if the text has that name elsewhere.
+MENTION = rf"(?<!{_L})\p{{Lu}}(?:['’]\p{{Lu}})?{_L}+(?:[-'’]\p{{Lu}}{_L}+)*"
+#: Stands around entities while their text is put together; texts that have it are searched twice instead.
+EDGE = "\uffff"
 
 
 def kind_of(value: Column) -> Column:
@@ -104,8 +115,8 @@ _CYRILLIC = [c + v for c in "бвдглмнрст" for v in "аеио"]
 def _name(value: Column, base: Column, salt: Column, endings: dict[str, list[str]]) -> Column:
     def made(syllables: list[str], ends: list[str]) -> Column:
         parts = F.array(*map(F.lit, syllables))
-        one = lambda k: F.get(parts, _pick(base, k, len(syllables)))
-        return F.initcap(F.concat(one(1), one(2), F.when(salt > 1, one(3)).otherwise(""), F.get(F.array(*map(F.lit, ends)), _pick(base, 4, len(ends)))))
+        drawn = F.transform(F.sequence(F.lit(1), salt + 2), lambda k: F.get(parts, _pick(base, k, len(syllables))))
+        return F.initcap(F.concat(F.array_join(drawn, ""), F.get(F.array(*map(F.lit, ends)), _pick(base, 0, len(ends)))))
 
     return F.when(value.rlike(r"\p{IsCyrillic}"), made(_CYRILLIC, endings["cyrillic"])).otherwise(made(_LATIN, endings["latin"]))
 
@@ -140,23 +151,44 @@ def surrogate(kind: Column, value: Column, salt: Column, key: str) -> Column:
     )
 
 
-def surrogates(values: DataFrame, key: str, max_rounds: int = 30) -> DataFrame:
+def surrogates(values: DataFrame, key: str, max_rounds: int = 60) -> DataFrame:
     """(value, kind, surrogate) for distinct values; no two share a surrogate and none is a value itself."""
-    table = values.select("value").distinct().withColumn("kind", kind_of(F.col("value"))).withColumn("salt", F.lit(0))
-    table = checkpointed(table.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("salt"), key)))
+    if not key:
+        raise ValueError("surrogates need a secret key")
+    every = checkpointed(values.select("value").distinct())
+    drawn = every.withColumns({"kind": kind_of(F.col("value")), "salt": F.lit(0)})
+    kept = None
     for _ in range(max_rounds):
-        taken = table.groupBy("surrogate").agg(F.count("*").alias("n"), F.min("value").alias("keeps")).where("n > 1").select("surrogate", "keeps")
-        own = table.select(F.col("value").alias("surrogate"), F.lit(None).cast("string").alias("keeps"))
-        clash = table.join(taken, "surrogate").where("value <> keeps").select("value").union(table.join(own.select("surrogate"), "surrogate", "left_semi").select("value")).distinct()
-        clash = checkpointed(clash)
-        if clash.isEmpty():
-            return table.drop("salt")
-        again = table.join(clash.withColumn("again", F.lit(True)), "value", "left").withColumn("salt", F.col("salt") + F.when(F.col("again"), 1).otherwise(0))
-        again = again.withColumn("surrogate", F.when(F.col("again"), surrogate(F.col("kind"), F.col("value"), F.col("salt"), key)).otherwise(F.col("surrogate")))
-        table = checkpointed(again.drop("again"))
+        drawn = checkpointed(drawn.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("salt"), key)))
+        # the first value with a candidate has it, unless it is a value or was given before
+        first = drawn.groupBy("surrogate").agg(F.min("value").alias("value"))
+        taken = every.select(F.col("value").alias("surrogate"))
+        taken = taken if kept is None else taken.unionAll(kept.select("surrogate"))
+        good = first.join(taken.join(drawn.select("surrogate").distinct(), "surrogate").distinct(), "surrogate", "left_anti").select("value", F.lit(True).alias("good"))
+        judged = checkpointed(drawn.join(good, "value", "left"))
+        fine = judged.where("good").select("value", "kind", "surrogate")
+        kept = fine if kept is None else kept.unionAll(fine)
+        drawn = judged.where("good is null").select("value", "kind", (F.col("salt") + 1).alias("salt"))
+        if drawn.isEmpty():
+            return kept
     raise ValueError(f"surrogates still clash after {max_rounds} draws")
 
 
+def pieces(text: Column) -> Column:
+    """A text cut around its entities and capitalised words: those are at places 1, 3, 5, ..."""
+    one = f"{ENTITY}|{MENTION}"
+    marked = F.split(F.regexp_replace(text, one, f"{EDGE}$0{EDGE}"), EDGE, -1)
+    between, found = F.split(text, one, -1), F.regexp_extract_all(text, F.lit(one), F.lit(0))
+    mixed = F.concat(F.array(F.get(between, F.lit(0))), F.flatten(F.zip_with(found, F.slice(between, 2, F.size(between)), lambda v, p: F.array(v, p))))
+    return F.when(text.contains(EDGE), mixed).otherwise(marked)
+
+
+def put(value: Column, known: Column) -> Column:
+    """What a found piece becomes by the map of its text's values; null if it stays."""
+    in_capitals = F.when(value == F.upper(value), F.upper(F.element_at(known, F.initcap(F.lower(value)))))
+    return F.coalesce(F.element_at(known, value), in_capitals)
+
+
 def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with text_col rewritten, and n_entities (long) appended."""
     columns = [c for c in docs.columns if c != "n_entities"]
@@ -166,9 +198,10 @@ def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") ->
     named = surrogates(found, key)
     by_text = found.join(named.select("value", "surrogate"), "value").groupBy("__r1", "__r2").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("__map"))  # bounded by the text
     rows = rows.join(dealt_anew(by_text, "__r1", "__r2"), ["__r1", "__r2"], "left")
-    values = F.regexp_extract_all(F.col(text_col), F.lit(ENTITY), F.lit(0))
-    parts = F.split(F.col(text_col), ENTITY, -1)
-    again = F.concat(F.get(parts, F.lit(0)), F.array_join(F.zip_with(values, F.slice(parts, 2, F.size(parts)), lambda v, p: F.concat(F.element_at("__map", v), p)), ""))
     changed = F.col("__map").isNotNull()
-    out = rows.withColumn("n_entities", F.when(changed, F.size(values)).otherwise(0).cast("bigint"))
-    return out.withColumn(text_col, F.when(changed, again).otherwise(F.col(text_col))).select(*columns, "n_entities")
+    # a column each, so that nothing is searched twice
+    rows = rows.withColumn("__pieces", F.when(changed, pieces(F.col(text_col))))
+    rows = rows.withColumn("__put", F.transform("__pieces", lambda x, i: F.when(i % 2 == 1, put(x, F.col("__map")))))
+    again = F.array_join(F.zip_with("__pieces", "__put", lambda x, y: F.coalesce(y, x)), "")
+    out = rows.withColumn("n_entities", F.when(changed, F.size(F.array_compact("__put"))).otherwise(0).cast("bigint"))
+    return out.withColumn(text_col, F.when(changed, again).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in columns], "n_entities")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +38,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+_RANDOM_KEY = secrets.token_hex(32)
+
+
 def personal_key() -> str:
-    """The secret of the surrogates; set TESSERA_PII_KEY in production."""
-    return os.environ.get("TESSERA_PII_KEY", "tessera")
+    """The secret of the surrogates: TESSERA_PII_KEY, or else a random one, which no one else has and which ends with the process."""
+    return os.environ.get("TESSERA_PII_KEY") or _RANDOM_KEY
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

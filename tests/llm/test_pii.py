@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import re
 
+import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tessera.llm import pii
@@ -67,6 +70,69 @@ def test_distinct_surrogates(spark):
     assert len(got) == 82 == len({r.surrogate for r in got}) and not {r.value for r in got} & {r.surrogate for r in got}
 
 
+def test_coreference(spark):
+    """Possessives, bare surnames and capitals of a text's known persons; other names of other texts stay."""
+    text = "Mr. Smith left. Smith's car stayed. I met Mr. Smith's wife and John Smith. Later Smith called; ANNA and Zhang Wei came with Anna Berg. Smithson didn't."
+    (out, n), (other, m) = run(spark, [text, "A Smith is someone who works with iron."])
+    s = re.match(r"Mr\. (\w+) left\.", out)[1]
+    g = re.search(r"(\w+) Smith", text)[1]
+    first, anna, berg = re.search(rf"and (\w+) {s}\. Later", out)[1], re.search(r"came with (\w+)", out)[1], re.search(r"with \w+ (\w+)\.", out)[1]
+    assert g == "John" and out == f"Mr. {s} left. {s}'s car stayed. I met Mr. {s}'s wife and {first} {s}. Later {s} called; {anna.upper()} and Zhang Wei came with {anna} {berg}. Smithson didn't."
+    assert len({s, first, anna, berg, "Smith", "John", "Anna", "Berg"}) == 8 and n == 9
+    assert (other, m) == ("A Smith is someone who works with iron.", 0)
+
+
+def test_against_brute_force(spark):
+    """Every text put together again by a plain search with another engine, from the table of surrogates."""
+    rnd = random.Random(3)
+    parts = ["Anna", "Berg", "Mr. Smith", "Smith", "John O'Brien", "O'Brien's", "SMITH", "ANNA", "Otto Müller-Lang", "Müller-Lang", "a.b@c.org", "10.1.2.3", "+49 30 1234567", "4539 5787 6362 1486", "the", "house", "of", "Ольга Иванова", "Иванова", "ИВАНОВА", "\uffff", "Nothing", "12"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice([" ", " ", ". ", ", ", "\n"]) for _ in range(rnd.randint(0, 14))) for _ in range(150)]
+    texts += [texts[0], texts[1], None, ""]
+    entity, mention = regex.compile(java(pii.ENTITY)), regex.compile(java(f"{pii.ENTITY}|{pii.MENTION}"))
+    values = sorted({m[0] for t in texts for m in entity.finditer(t or "")})
+    table = {r.value: r.surrogate for r in pii.surrogates(spark.createDataFrame([(v,) for v in values], "value string"), "k").collect()}
+    assert set(table) == set(values) and len(set(table.values())) == len(values) and not set(table.values()) & set(values)
+    want = []
+    for t in texts:
+        own = {m[0] for m in entity.finditer(t or "")}
+        count = 0
+
+        def swap(m):
+            nonlocal count
+            v = m[0]
+            name = v[:1].upper() + v[1:].lower()
+            new = table[v] if v in own else table[name].upper() if v == v.upper() and name in own else None
+            count += new is not None
+            return v if new is None else new
+
+        want.append((mention.sub(swap, t) if own else t, count))
+    assert run(spark, texts) == want
+
+
+def java(pattern):
+    return pattern.replace(r"\p{IsCyrillic}", r"\p{Cyrillic}")
+
+
+def test_names_never_run_out(spark, monkeypatch):
+    """Far more surnames than short made-up names: they grow until all are distinct."""
+    monkeypatch.setattr(pii, "_LATIN", ["ba", "do"])
+    monkeypatch.setattr(pii, "_ENDINGS", {k: {"latin": ["n"], "cyrillic": ["н"]} for k in pii._ENDINGS})
+    values = spark.range(4000).select(F.concat(F.lit("X"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("value"))
+    got = pii.surrogates(values, "k").collect()
+    assert len(got) == 4000 == len({r.surrogate for r in got})
+    with pytest.raises(ValueError):
+        pii.surrogates(values, "")
+
+
+def test_odd_rows(spark):
+    """Repeated rows, null ids, and a column that has the name of the one added."""
+    df = spark.createDataFrame([(1, "Mr. Smith", "a"), (1, "Mr. Smith", "a"), (None, "Mr. Smith", "b"), (None, None, None)], "doc_id bigint, text string, n_entities string")
+    got = pii.replace_personal_data(df, "k")
+    assert got.dtypes == [("doc_id", "bigint"), ("text", "string"), ("n_entities", "bigint")]
+    rows = got.collect()
+    assert len(rows) == 4 and len({r.text for r in rows}) == 2 and sum(r.n_entities for r in rows) == 3
+
+
 def test_empty(spark):
     assert pii.replace_personal_data(spark.createDataFrame([], "doc_id bigint, text string"), "k").count() == 0
     assert spark.range(1).select(F.lit(1)).count() == 1
