@@ -60,7 +60,7 @@ def drop_unused(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-#: Folders written by stored() that are still there.
+#: Folders of ours that are still there.
 _STORED: dict[str, SparkSession] = {}
 
 
@@ -74,12 +74,16 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     with shuffles_dropped(spark):
         df.write.parquet(path)
-    _STORED[path] = spark
+    removed_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    _STORED[path] = spark
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that stored() wrote and nothing reads any more."""
     for t in tables:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing
@@ -65,3 +66,34 @@ def test_empty(spark):
     assert mixing.mix(none).count() == 0
     blank = spark.createDataFrame([(1, "", "en", "a")], none.schema)
     assert mixing.mix(blank).first().kept
+
+
+def test_targets_out_of_reach(spark):
+    """A share for a source without tokens, and marginals that these cells can't have, are errors."""
+    rows = spark.createDataFrame([(i, "some words here", "en" if i % 2 else "de", "a" if i % 2 else "b") for i in range(20)], "doc_id bigint, text string, lang string, source string")
+    given = lambda column, **shares: spark.createDataFrame(list(shares.items()), f"{column} string, target double")
+    ok = mixing.mix(rows, targets={"source": given("__source", a=0.3, b=0.7), "lang": given("__lang", en=0.3, de=0.7)})
+    assert {(r.source, round(r.probability * r.weight, 3)) for r in ok.collect()} == {("a", 0.6 * 0.8), ("b", 1.4 * 0.8)} or len({r.source for r in ok.collect()}) == 2
+    for bad in ({"source": given("__source", a=0.3, b=0.3, c=0.4)}, {"source": given("__source", a=0.3, b=0.7), "lang": given("__lang", en=0.5, de=0.5)}):
+        with pytest.raises(ValueError, match="raking"):
+            mixing.mix(rows, targets=bad)
+
+
+def test_spends_the_budget(spark):
+    cells = spark.createDataFrame([(float(f), n) for f, n in ((0.01, 500), (1.0, 300), (7.5, 20), (300.0, 180))], "factor double, tokens bigint")
+    for budget in (0.05, 0.3, 0.8, 0.99):
+        s = mixing.spend(cells, budget)
+        assert abs(sum(n * min(1.0, s * f) for f, n in ((0.01, 500), (1.0, 300), (7.5, 20), (300.0, 180))) / 1000 - budget) < 1e-4
+    assert mixing.spend(cells, 1.0) >= 100
+
+
+def test_odd_rows(spark):
+    """A very long text, repeated rows, clashing columns, and a topic of the caller's; texts are not dealt by cell."""
+    long = "word " * 400_000
+    rows = spark.createDataFrame([(1, long, "en", "a", "t", "x"), (2, "a b", "en", "a", None, "y"), (2, "a b", "en", "a", None, "y"), (None, None, None, None, "t", "z")], "doc_id bigint, text string, lang string, source string, topic string, kept string")
+    out = mixing.mix(rows, topic=F.col("topic"))
+    got = out.collect()
+    assert [r.n_tokens for r in sorted(got, key=lambda r: r.n_tokens)] == [0, 2, 2, 400_000] and {r.topic for r in got} == {"t", "general"}
+    assert set(out.columns) == {"doc_id", "text", "lang", "source", "topic", "n_tokens", "probability", "weight", "kept"}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
