@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, shared_folder, table, text_key
+from tessera.llm.common import checkpointed, remove, removed_at_exit, shared_folder, table, text_key
 from tessera.llm.leaks import without_leaks
 from tessera.llm.mixing import mix
 from tessera.llm.near import near_links
@@ -72,10 +72,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, through Parquet in the shared checkpoint folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table, through Parquet in the shared checkpoint folder.
+
+    A stage's output goes when the next one is written; the last one's, which the result reads, when the process ends.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    removed_at_exit(spark, folder)
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
