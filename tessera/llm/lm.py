@@ -52,7 +52,7 @@ from tessera.llm.common import discard, mix64, row_slices, small_batches, stored
 from tessera.llm.near import word_hashes
 
 #: Bytes of text in a block, tokens to a tile.
-BLOCK_BYTES, TILE_TOKENS = 10_000_000, 5_000_000
+BLOCK_BYTES, TILE_TOKENS = 8_000_000, 2_500_000
 #: Sweeps at least before the sums may count as settled, and at most; settled sweeps that are averaged.
 BURN, MOST_SWEEPS, SAMPLES = 1, 200, 2
 STRENGTH = 1.0
@@ -358,9 +358,9 @@ def gammas(shape: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
     return out * np.where(shape < 1, uniform(key, salt, -1) ** (1 / shape), 1)
 
 
-def guess(n: np.ndarray, d1: float) -> np.ndarray:
-    """Tables of n customers to start from: near what they settle at, so that few sweeps are needed."""
-    return np.maximum(1, np.rint(n.astype(float) ** d1))
+def guess(n: np.ndarray) -> np.ndarray:
+    """Tables of n customers to start from: near what those of a corpus settle at, so that few sweeps are needed."""
+    return np.maximum(1, np.rint(n.astype(float) ** 0.5))
 
 
 def settled(totals: list[float]) -> bool:
@@ -506,7 +506,7 @@ def _drawn(batches, d1: float, log_norm: float, sweep: int):
             key = mix64(u.view(np.uint64)) + w.view(np.uint64)
             t = tables(n, np.log(d1) + np.log(g) + np.log(p) - log_norm, d1, uniform(key, sweep))
         else:
-            t = guess(n, d1)
+            t = guess(n)
         for kind, by in ((0, w), (1, u)):
             key, at = np.unique(by, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int8)), pa.array(key), pa.array(np.bincount(at, weights=t).astype(np.int64))], names=["kind", "key", "t"])

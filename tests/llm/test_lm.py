@@ -64,7 +64,7 @@ def chain(c, d0, d1, sweeps=None, burn=None):
     n = c[u, w]
     key = lm.mix64(u.astype(np.uint64) + np.uint64(77)) + w.astype(np.uint64)
     names = [np.arange(k, dtype=np.uint64) + np.uint64(1000 * (i + 1)) for i, k in enumerate(c.shape[::-1])]
-    t, means = lm.guess(n, d1), []
+    t, means = lm.guess(n), []
     totals = [t.sum()]
     rest = np.array([lm.STRENGTH + d0 * c.shape[1]])
     for sweep in range(1, (sweeps or 1000) + 1):
