@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
 import tempfile
@@ -160,6 +161,15 @@ def small_batches(batches, col: int, most_bytes: int = 4_000_000) -> Iterator[pa
             yield batch.slice(at, end - at)
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system: workers are kept, and with them what large arrays have left."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such function outside glibc
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finalizer that spreads every input bit over all output bits."""
     x = x ^ (x >> np.uint64(32))

@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, mix64, row_slices, small_batches, stored, string_buffers
+from tessera.llm.common import discard, give_back, mix64, row_slices, small_batches, stored, string_buffers
 from tessera.llm.near import word_hashes
 
 #: Bytes of text in a block, tokens to a tile.
@@ -134,8 +134,11 @@ def _blocks(batches, id_type):
         if size >= BLOCK_BYTES:
             yield block()
             held, size, at = [], 0, at + 1
+            give_back()
     if held:
         yield block()
+    held.clear()
+    give_back()
 
 
 _BLOCKS = "block bigint, tokens bigint, kinds bigint, train bigint, words binary, stream binary, lengths binary, learns binary"
@@ -245,6 +248,8 @@ def _parcels(batches, tiles: Tiles):
                 "words": pa.array([_steps(b.names[words])]), "per_word": pa.array([_planes(per.astype(np.int32))]),
                 "contexts": pa.array([_steps(b.names[heads])]), "context": pa.array([_planes(head.astype(np.int32))]), "n": pa.array([_planes(n[at])]),
             })
+        del b, w, u, of, n
+        give_back()
 
 
 # --- tiles ------------------------------------------------------------------------
@@ -298,6 +303,8 @@ def _counted(parcels: pa.Table) -> pa.Table:
         "contexts": _steps(t.heads[heads]), "context_ones": _planes(u_ones[heads]), "context_more": _planes(u_more[heads]),
         "w": _steps(np.searchsorted(words, t.w[more]).astype(np.int32)), "u": _planes(np.searchsorted(heads, t.u[more]).astype(np.int32)), "n": _planes(t.n[more]),
     }
+    del t, by_word, by_head
+    give_back()
     return pa.table({k: pa.array([v], pa.int32()) if k == "tile" else pa.array([v]) for k, v in cols.items()})
 
 
@@ -328,6 +335,8 @@ def _pairs(batches):
             part = slice(a, a + 100_000)
             k = np.arange(m, dtype=np.int32)[part]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), r["tile"], dtype=np.int32)), pa.array(k), *(pa.array(x[part]) for x in (u, w, n))], names=["tile", "k", "u", "w", "n"])
+        del words, heads, w, u, n
+        give_back()
 
 
 # --- the sampler --------------------------------------------------------------------
@@ -579,7 +588,10 @@ def _answers(parcels: pa.Table, known: pa.Table, tiles: Tiles) -> pa.Table:
         first += p["pairs"]
         own, c = own[here[own]], tile.n[pair]
         out.append((p["block"], p["tile"], len(pair), len(own), _planes(c.astype(np.int32)), _planes(seats[pair][c > 1]), _planes(word_n[own]), _planes(word_t[own]), _planes(context_t[own])))
-    return pa.table([pa.array(x, pa.int32() if c == "tile" else None) for x, c in zip(zip(*out), names)], names=names)
+    answer = pa.table([pa.array(x, pa.int32() if c == "tile" else None) for x, c in zip(zip(*out), names)], names=names)
+    del tile, number, out, seats
+    give_back()
+    return answer
 
 
 def _score(blocks: pa.Table, answers: pa.Table, m: Model, tiles: Tiles) -> pa.Table:
@@ -605,6 +617,8 @@ def _score(blocks: pa.Table, answers: pa.Table, m: Model, tiles: Tiles) -> pa.Ta
         total = lambda x, of, doc=doc, docs=docs: np.bincount(doc, weights=x[of], minlength=docs)
         cols = [row["ids"], pa.array(~b.learns), pa.array(b.lengths), pa.array(total(known, b.words).astype(np.int64)), pa.array(np.full(docs, m.tokens)), pa.array(total(base, b.words)), pa.array(total(score, pair))]
         out.append(pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        del b, pair_w, pair_u, pair, n, t, got
+        give_back()
     return pa.concat_tables(out)
 
 
