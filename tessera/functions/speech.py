@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-
+from functools import reduce
 
 from tessera.functions.numbers import TENS, UNITS
 from tessera.functions.udf import mapped
@@ -18,39 +18,32 @@ BEFORE_PRONOUN = {"Thus"}
 DECADES = {re.sub("y$", "ies", t) for t in TENS}
 
 _NUMBER = set(UNITS) | set(TENS) | {"hundred", "thousand"}
+_any = lambda words: "|".join(sorted(words, key=lambda w: (-len(w), w)))
 #: Number words that no ordinary word begins with.
-_HEADS = sorted(_NUMBER - {"one", "two", "six", "ten", "zero"}, key=len, reverse=True)
-_CIRCA = re.compile(rf"\bc\. ?((?:(?:{'|'.join(sorted(_NUMBER | {'oh'}, key=len, reverse=True))})(?![A-Za-z]) ?)+)", re.I)
-_NUMERAL = re.compile(r"\b([A-Z][a-zA-Z]*)\s+(" + "|".join(sorted(NUMERALS, key=len, reverse=True)) + r")\b([.,;:]?)")
+_HEAD = _any(_NUMBER - {"one", "two", "six", "ten", "zero"})
+#: What glued number words are before more letters; plurals, ordinals and decades are words of their own.
+_REST = r"(?!(?:s|st|nd|rd|th)(?![a-z]))[a-z]++"
+_GLUED = re.compile(rf"(?:(?!(?:{_any(DECADES)})(?![a-z]))(?:(?P<first>(?:{_HEAD})-(?>{_HEAD}))(?P<tail>{_REST})|(?P<head>(?>{_HEAD}))(?P<rest>{_REST})(?!-[a-z])))|[a-z]++(?:-[a-z]++)?", re.I)
+_CIRCA = re.compile(rf"\bc\. ?((?:(?:{_any(_NUMBER | {'oh'})})(?![A-Za-z]) ?)+)", re.I)
+_NUMERAL = re.compile(rf"\b(?:(?:{_any(BEFORE_PRONOUN)})\s+I\b(?![.,;:])|([A-Z][a-zA-Z]*)\s+({_any(NUMERALS)})\b)")
+#: How numerals are read after a name: counted things have cardinals.
+_READ = {True: {r: UNITS[n].capitalize() for r, n in NUMERALS.items()}, False: {r: f"the {ORDINALS[n - 1]}" for r, n in NUMERALS.items()}}
+
+#: The rewrites in their order: a pattern, and what becomes of a match.
+RULES = (
+    (re.compile(_any(REPAIRS)), lambda m: REPAIRS[m[0]]),
+    (_GLUED, lambda m: " ".join(filter(None, (m["first"] or m["head"], m["tail"] or m["rest"]))) or m[0]),
+    (_CIRCA, lambda m: f"circa {m[1]}"),
+    (_NUMERAL, lambda m: f"{m[1]} {_READ[m[1] in COUNTED][m[2]]}" if m[1] else m[0]),
+)
 
 
-def split_glued(token: str) -> str:
-    """A number word stuck to more letters gets a space; plurals, ordinals and decades stay."""
-    head, dash, tail = token.rpartition("-")
-    if token.lower() in DECADES or (dash and head.lower() not in _HEADS):
-        return token
-    for word in _HEADS:
-        if tail.lower().startswith(word):
-            rest = tail[len(word) :]
-            keeps = not rest or rest.lower() in ("s", "st", "nd", "rd", "th")
-            return token if keeps else f"{head}{dash}{tail[: len(word)]} {rest}"
-    return token
+def speak(text: str) -> str:
+    return reduce(lambda t, rule: rule[0].sub(rule[1], t), RULES, text)
 
 
-def speak(text: str) -> str:
-    for bad, good in REPAIRS.items():
-        text = text.replace(bad, good)
-    text = re.sub(r"[A-Za-z]+(?:-[A-Za-z]+)?", lambda m: split_glued(m[0]), text)
-    text = _CIRCA.sub(lambda m: "circa " + m[1], text)
-
-    def numeral(m: re.Match) -> str:
-        name, roman, mark = m.groups()
-        if roman == "I" and not mark and name in BEFORE_PRONOUN:
-            return m[0]
-        n = NUMERALS[roman]
-        return f"{name} {UNITS[n].capitalize()}{mark}" if name in COUNTED else f"{name} the {ORDINALS[n - 1]}{mark}"
-
-    return _NUMERAL.sub(numeral, text)
+def split_glued(token: str) -> str:
+    return _GLUED.sub(RULES[1][1], token)
 
 
 @mapped("string")

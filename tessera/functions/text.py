@@ -51,9 +51,16 @@ def number_words(text):
     return None if text is None else spell_numbers(text)
 
 
+_LOWER_ABBREVIATIONS = "|".join(re.escape(a[:-1]) for a in sorted(ABBREVIATIONS, key=lambda a: (-len(a), a)))
+#: An end of a sentence of a normalised line, with the space after it: no abbreviation, no initials, no small letter next.
+SENTENCE_END = (
+    rf"(?<![.!?])((?:(?<!(?:^|\s)(?i:{_LOWER_ABBREVIATIONS}))(?<!(?:^|\s)(?:[A-Z]\.){{0,30}}[A-Z])\.|[!?])[.!?]*[)\]]?)\s+(?!\p{{Ll}})"
+)
+
+
 def sentences_sql(text: Column) -> Column:
-    """Array of sentences by the plain rule, as expressions only: an end mark, maybe a closer, then space."""
-    marked = F.regexp_replace(text, r"([.!?]+[)\]]?)\s+", "$1\u0001")
+    """Array of sentences of a normalised line by the full rule, as expressions only."""
+    marked = F.regexp_replace(text, SENTENCE_END, "$1\u0001")
     return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: s != "")
 
 
@@ -61,24 +68,26 @@ def count_words(text: str) -> int:
     return len(_PY_WORD.findall(text))
 
 
-_END = re.compile(r"[.!?]+[)\]]?(?=\s|$)")
+# A word with its end mark, initials, and the first character after a gap.
+_ENDING = re.compile(r"(?P<word>\S*?)(?P<mark>[.!?]+)[)\]]?(?=\s|$)")
 _INITIALS = re.compile(r"(?:[A-Z]\.)+")
+_AFTER = re.compile(r"\s*(.?)", re.S)
+
+
+def _ends_here(m: re.Match) -> bool:
+    """Whether a word with a mark ends a sentence: not an abbreviation or initials, nor before a small letter."""
+    short = m["mark"][0] == "." and (f"{m['word']}.".lower() in ABBREVIATIONS or _INITIALS.fullmatch(f"{m['word']}."))
+    return not short and not _AFTER.match(m.string, m.end())[1].islower()
 
 
 def sentence_bounds(text: str) -> Iterator[tuple[int, int]]:
-    """Exact slices of the full rule: abbreviations, initials and lower-case continuations don't end one."""
-    at = len(text) - len(text.lstrip())
-    for m in _END.finditer(text):
-        token = text[at : m.start() + 1].rpartition(" ")[2]
-        if m[0][0] == "." and (token.lower() in ABBREVIATIONS or _INITIALS.fullmatch(token)):
-            continue
-        rest = text[m.end() :].lstrip()
-        if rest[:1].islower():
-            continue
-        yield at, m.end()
-        at = len(text) - len(rest)
-    if at < len(text):
-        yield at, len(text)
+    """Exact slices of the full rule: candidates are words with an end mark, and those that end a sentence cut the text."""
+    cuts = [m.end() for m in _ENDING.finditer(text) if _ends_here(m)]
+    edges = [0, *cuts, len(text)]
+    for a, b in zip(edges, edges[1:]):
+        if part := text[a:b].strip():
+            start = text.index(part[0], a)
+            yield start, b if b in cuts else len(text)
 
 
 _CUT = re.compile(r"[:;—]|\),")
