@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 def stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, median, mean, min, max, p10, p90 and population standard deviation; interpolated percentiles."""
     v = F.col(value)
-    return df.where(v.isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.percentile(v, 0.5).alias("median"), F.avg(v).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"),
-        F.percentile(v, 0.1).alias("p10"), F.percentile(v, 0.9).alias("p90"), F.stddev_pop(v).alias("std"),
+    sums = df.where(v.isNotNull()).groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(v).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"), F.stddev_pop(v).alias("std"), F.percentile(v, F.array(*map(F.lit, (0.5, 0.1, 0.9)))).alias("__q"),
     )
+    return sums.select(*by, "n", F.get("__q", F.lit(0)).alias("median"), "mean", "low", "high", F.get("__q", F.lit(1)).alias("p10"), F.get("__q", F.lit(2)).alias("p90"), "std")
 
 
 def delta_percent(base: Column, other: Column) -> Column:
@@ -27,6 +27,46 @@ def paired(df: DataFrame, repeat: str, candidate: str, value: str, baseline: str
     return one.where(F.col(candidate) != baseline).join(base, repeat).withColumn("delta", delta_percent(F.col("base"), F.col("value")))
 
 
+def mean_places(scaled: Column, more: int) -> Column:
+    """The mean of integers (values times 100, say) rounded half up to so many more places, as an aggregate; the order of rows changes nothing."""
+    n, up = F.count("*"), 10**more
+    return F.floor((F.sum(scaled) * (2 * up) + n) / (2 * n)) / (100 * up)
+
+
+def workload_seconds(generation: Column, precompute: Column) -> dict[str, Column]:
+    """Cold seconds count the live precompute once, amortized ones don't."""
+    return {"cold": generation + F.coalesce(precompute, F.lit(0.0)), "amortized": generation}
+
+
+def workload_stats(workers: DataFrame, repeat: str, candidate: str, generation: str, precompute: str) -> DataFrame:
+    """stats() of the seconds of each candidate in both modes, with all repeats."""
+    modes = workload_seconds(F.col(generation), F.col(precompute))
+    each = workers.select(repeat, candidate, F.explode(F.create_map(*[x for k, v in modes.items() for x in (F.lit(k), v)])).alias("mode", "seconds"))
+    return stats(each, [candidate, "mode"], "seconds")
+
+
+def pairs_by_repeat(pairs: DataFrame, repeat: str, candidate: str, candidates: list[str]) -> DataFrame:
+    """paired() as a row a repeat with a delta column a candidate."""
+    return pairs.groupBy(repeat).pivot(candidate, candidates).agg(F.first("delta"))
+
+
+def estimate(words: Column, pilot: dict[str, float | None]) -> dict[str, Column]:
+    """Projected audio, generation, transcription and total seconds of so many words, by the measures of a pilot; one place."""
+    for name in ("audio_s_per_word", "tokens_per_audio_s", "generation_s_per_token"):
+        if pilot.get(name) is None:
+            raise ValueError(f"the pilot has no {name}")
+    audio = words * pilot["audio_s_per_word"]
+    generation = audio * pilot["tokens_per_audio_s"] * pilot["generation_s_per_token"]
+    asr = audio * pilot["asr_rtf"] if pilot.get("asr_rtf") else F.lit(None).cast("double")
+    total = F.lit(pilot.get("load_s") or 0.0) + generation + F.coalesce(asr, F.lit(0.0))
+    return {k: F.round(v, 1) for k, v in {"audio_s": audio, "generation_s": generation, "asr_s": asr, "total_s": total}.items()}
+
+
+def remaining_seconds(audio_s: Column, rtf: Column) -> Column:
+    """Projected transcription of audio that is left; null without a measured rate."""
+    return F.round(audio_s * F.when(rtf != 0, rtf), 1)
+
+
 def bench_verdict(pairs: DataFrame, candidate: str, material: float = 10.0) -> DataFrame:
     """One row: the best candidate's median delta decides improvement, regression or neither."""
     medians = pairs.groupBy(candidate).agg(F.percentile("delta", 0.5).alias("median_delta"), F.count("*").alias("repeats"))

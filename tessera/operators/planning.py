@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, para, text): the non-blank lines of documents after typography; para counts all lines."""
-    split = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("para", "raw"))
-    return split.select("doc_id", "para", T.typography(F.col("raw")).alias("text")).where("text <> ''")
+def lines(docs: DataFrame, id_col: str = "doc_id", numbers: bool = False) -> DataFrame:
+    """(doc_id, para, text): the non-blank lines of documents after typography, with numbers as words if asked; para counts all lines."""
+    raw = F.split(F.coalesce("text", F.lit("")), "\n")
+    split = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.transform(raw, T.typography)).alias("para", "text"))
+    split = split.where("text <> ''")
+    return split.withColumn("text", T.number_words("text")) if numbers else split
 
 
 def chunk_id(chapter: Column, para: Column, s0: Column, s1: Column, start: Column, end: Column) -> Column:
@@ -39,8 +41,8 @@ def plan_chunks(docs: DataFrame, target: int = T.TARGET_WORDS, most: int = T.MOS
 
 
 def plan_units(docs: DataFrame) -> DataFrame:
-    """The full rule set: sentences with abbreviations, clauses, and greedy groups of clauses."""
-    rows = lines(docs).withColumn("u", T.clause_units("text")).where(F.size("u") > 0)
+    """The full rule set: numbers as words, sentences with abbreviations, clauses, and greedy groups of clauses."""
+    rows = lines(docs, numbers=True).withColumn("u", T.clause_units("text")).where(F.size("u") > 0)
     rows = rows.withColumn("g", T.group_numbers(F.transform("u", lambda x: x["words"])))
     pairs = F.explode(F.arrays_zip("u", "g"))
     rows = rows.select("doc_id", "para", F.col("text").alias("line"), pairs.alias("x")).select("doc_id", "para", "line", F.col("x.g").alias("g"), *[F.col(f"x.u.{c}").alias(c) for c in ("start", "end", "words", "sentence")])
@@ -87,3 +89,26 @@ def parse_selection(spec: str, known: list[str]) -> list[str]:
     if missing := wanted - set(known):
         raise ValueError(f"unknown chapters {sorted(missing)}")
     return [k for k in known if k in wanted] if wanted else list(known)
+
+
+def select_units(plan: DataFrame, chapters: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """The plan of some chapters, and of its first units in order only if a limit is asked for."""
+    if limit is not None and limit < 0:
+        raise ValueError(f"limit must be >= 0, got {limit}")
+    out = plan if chapters is None else plan.where(F.col("chapter").isin(*chapters))
+    return out if limit is None else out.orderBy("idx").limit(limit)
+
+
+def resume_units(plan: DataFrame, chapters: list[str], resume_from: str | None = None, limit: int | None = None) -> DataFrame:
+    """The plan from one of its chapters on; the limit counts from there."""
+    if resume_from is not None and resume_from not in chapters:
+        raise ValueError(f"chapter {resume_from!r} is not in the plan ({', '.join(chapters)})")
+    return select_units(plan, chapters if resume_from is None else chapters[chapters.index(resume_from) :], limit)
+
+
+def eligible_clauses(spans: Column, text: Column) -> Column:
+    """Spans (start, end, source_start, source_end, text, eligible) that are usable, in order; a missing text is cut from the unit's."""
+    start, end = (lambda x: F.coalesce(x["start"], x["source_start"])), (lambda x: F.coalesce(x["end"], x["source_end"]))
+    whole = F.transform(spans, lambda x: F.struct(start(x).alias("start"), end(x).alias("end"), F.coalesce(x["text"], F.substr(text, start(x) + 1, end(x) - start(x))).alias("text"), F.coalesce(x["eligible"], F.lit(True)).alias("eligible")))
+    good = F.filter(whole, lambda x: x["eligible"] & x["start"].isNotNull() & (x["end"] > x["start"]) & (F.trim(x["text"]) != ""))
+    return F.array_sort(F.transform(good, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.matching import bare_column
+
 # Attempts, decisions that are released.
 ATTEMPTS, VALIDATION_FAILURES = 4, 2
 RELEASED = ("PASS", "ALLOW_LEXICAL", "ALLOW_LEXICAL_NAME")
@@ -26,9 +28,9 @@ def without_resolved(failed: DataFrame, completed: DataFrame) -> DataFrame:
 
 
 def latest(records: DataFrame, key: str, *order: str) -> DataFrame:
-    """The last record of each key."""
-    w = Window.partitionBy(key).orderBy(*[F.col(o).desc() for o in order])
-    return records.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The last record of each key, without sorting a key's records."""
+    last = records.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*records.columns), F.struct(*order)).alias("__x"))
+    return last.select("__x.*")
 
 
 def outcome_of_attempts(takes: DataFrame, key: str, order: str, structural: Column, validated: Column) -> DataFrame:
@@ -48,16 +50,22 @@ def decisions(units: DataFrame) -> DataFrame:
     """The adjudication ladder over plan-left-done-left-record rows, first matching rung.
 
     units has text, text_sha256, done_sha, omitted, wav, wav_sha, actual_wav_sha, record, record_sha, record_wav_sha,
-    policy_ok, model_ok, take_passes, verdict, structural_ok, lenient, all_fragile, n_missing.
+    policy_ok, model_ok, take_passes, verdict, structural_ok, lenient, all_fragile, n_missing; and, maybe,
+    only_logprob (no structural limit but that of the log probability is exceeded) and transcript: the words
+    as expected, one for one, make up for a low log probability.
     """
     c = F.col
     same = lambda a, b: F.coalesce(c(a) == c(b), F.lit(False))
     yes = lambda x: F.coalesce(c(x), F.lit(False))
+    waived = F.lit(False)
+    if {"only_logprob", "transcript"} <= set(units.columns):
+        words = lambda t: F.transform(F.filter(F.split(c(t), r"\s+"), lambda w: w != ""), bare_column)
+        waived = yes("only_logprob") & F.coalesce((F.size(words("text")) > 0) & (words("text") == words("transcript")), F.lit(False))
     ladder = [
         (yes("omitted"), "OMIT_UNSPEAKABLE"), (c("done_sha").isNull() | c("wav").isNull(), "BLOCK_MISSING"), (~same("done_sha", "text_sha256"), "BLOCK_STALE_TEXT"),
         (c("actual_wav_sha").isNull(), "BLOCK_MISSING"), (~same("wav_sha", "actual_wav_sha"), "BLOCK_STALE_WAV"), (~F.coalesce(c("text").rlike("[A-Za-z]"), F.lit(False)), "OMIT_UNSPEAKABLE"),
         (c("record").isNull(), "BLOCK_UNVALIDATED"), (~same("record_sha", "text_sha256") | ~same("record_wav_sha", "actual_wav_sha") | ~yes("policy_ok") | ~yes("model_ok"), "BLOCK_STALE_VALIDATION"),
-        (yes("take_passes"), "PASS"), (c("verdict") == "PASS", "BLOCK_STRUCTURAL"), (~yes("structural_ok"), "BLOCK_STRUCTURAL"),
+        (yes("take_passes"), "PASS"), (c("verdict") == "PASS", "BLOCK_STRUCTURAL"), (~(yes("structural_ok") | waived), "BLOCK_STRUCTURAL"),
         (c("lenient") >= 0.85, "ALLOW_LEXICAL"), (yes("all_fragile") & (c("n_missing") > 0), "ALLOW_LEXICAL_NAME"),
     ]
     out = F.lit("BLOCK_LOW_COVERAGE")
@@ -82,15 +90,56 @@ def assembly_decision(units: DataFrame) -> DataFrame:
     return sums.withColumn("status", status)
 
 
-def context_depth(usable: Column, most: int = 3) -> Column:
-    """Fold over an array of booleans in unit order: the depth of each unit's chain, restarting where it is unusable or deep enough."""
-    start = F.struct(F.lit(0).alias("d"), F.array().cast("array<int>").alias("out"))
+def context_depth(units: DataFrame, within: list[str], order: str, usable: Column, most: int = 3) -> DataFrame:
+    """units with depth: how many units before it, of its own paragraph, a unit's context is built on.
+
+    A chain breaks at a new paragraph, after a unit that isn't usable, and after one as deep as allowed (which
+    passes nothing on); so within a run without the first two breaks, depth counts 0 to most again and again.
+    """
+    w = Window.partitionBy(*within).orderBy(order)
+    broken = F.lag(~F.coalesce(usable, F.lit(False))).over(w)
+    runs = units.withColumn("__run", F.sum(F.coalesce(broken, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.row_number().over(Window.partitionBy(*within, "__run").orderBy(order)) - 1
+    return runs.withColumn("depth", place % (most + 1)).drop("__run")
+
+
+def units_done(plan: DataFrame, done: DataFrame, tail_peak_most: float = 0.02, validate: bool = True) -> DataFrame:
+    """(id, is_done) of planned units; done has text_sha256, omitted, tail_peak, wav_sha256, actual_wav_sha256 and take_passes."""
+    d = done.select("id", *[F.col(c).alias(f"__{c}") for c in ("text_sha256", "omitted", "tail_peak", "wav_sha256", "actual_wav_sha256", "take_passes")])
+    audio = (F.coalesce("__tail_peak", F.lit(0.0)) <= tail_peak_most) & (F.col("__wav_sha256") == F.col("__actual_wav_sha256"))
+    passed = audio & F.col("__take_passes") if validate else audio
+    ok = (F.col("text_sha256") == F.col("__text_sha256")) & (F.coalesce("__omitted", F.lit(False)) | F.coalesce(passed, F.lit(False)))
+    return plan.join(d, "id", "left").select("id", F.coalesce(ok, F.lit(False)).alias("is_done"))
+
 
-    def step(acc: Column, ok: Column) -> Column:
-        d = F.when(ok & (acc["d"] < most), acc["d"] + 1).otherwise(0)
-        return F.struct(d.alias("d"), F.concat(acc["out"], F.array(d)).alias("out"))
+def loaded(done: DataFrame, failed: DataFrame, relation: str, same_inputs: bool, force: bool = False, discard: bool = False) -> tuple[DataFrame, DataFrame, bool]:
+    """(done, failed, archive): the recorded state that a run starts with, and whether the old one has to be kept aside first.
 
-    return F.aggregate(usable, start, step, lambda acc: acc["out"])
+    State of the same inputs and plan (or of a part of it) is resumed.  Any other is an error unless the
+    caller forces (it is carried over; units whose text changed don't count as done) or discards it.
+    Failures of done units and of their children are dropped on every load.
+    """
+    if same_inputs and relation != "conflict":
+        kept, archive = (done, failed), False
+    elif discard:
+        kept, archive = (done.limit(0), failed.limit(0)), True
+    elif force:
+        kept, archive = (done, failed), True
+    else:
+        raise ValueError("the recorded state belongs to other inputs or another plan: force or discard it, or start anew")
+    return kept[0], without_resolved(kept[1], kept[0]), archive
+
+
+def recorded(done: DataFrame, failed: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """State after outcomes (id, text_sha256, passed, reasons, at): a unit's last outcome moves it to done or failed, and out of the other.
+
+    What passes also clears the failures of its children.
+    """
+    last = outcomes.groupBy("id").agg(F.max_by(F.struct("text_sha256", "passed", "reasons"), "at").alias("x")).select("id", "x.*")
+    other = lambda table: table.join(last.select("id"), "id", "left_anti")
+    now = other(done).select("id", "text_sha256").unionByName(last.where("passed").select("id", "text_sha256"))
+    left = other(failed).select("id", "text_sha256", "reasons").unionByName(last.where("not passed").select("id", "text_sha256", "reasons"))
+    return now, without_resolved(left, now)
 
 
 def with_cache(units: DataFrame, cache: DataFrame, key: str, compute) -> DataFrame:

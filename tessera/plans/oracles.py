@@ -12,9 +12,14 @@ marked_lines AS (SELECT doc_id, para, {_T3} AS t FROM raw_lines),
 bare_lines AS (SELECT doc_id, para, CASE WHEN contains(t, '''') THEN array_to_string(list_transform(list_filter(range(1, length(t) + 1),
   lambda i: t[i] <> '''' OR (i > 1 AND regexp_matches(t[i - 1], '\\p{{L}}') AND regexp_matches(t[i + 1], '\\p{{L}}'))), lambda i: t[i]), '') ELSE t END AS t FROM marked_lines),
 lines AS (SELECT doc_id, para, trim(regexp_replace(t, '{_SPACE}', ' ', 'g')) AS text FROM bare_lines WHERE trim(regexp_replace(t, '{_SPACE}', ' ', 'g')) <> '')"""
-SENTENCES = """
-cut AS (SELECT doc_id, para, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]+[)\\]]?)\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS l FROM lines),
-sentences AS (SELECT doc_id, para, unnest(range(len(l))) AS pos, unnest(l) AS sentence FROM cut)"""
+_SHORT = ", ".join(f"'{a}'" for a in "a.m. c. cf. dr. e.g. etc. fig. i.e. mr. mrs. ms. no. nos. p. p.m. pp. prof. st. vol. vs.".split())
+# word by word: a word with a final mark ends a sentence unless it is short for something or the next begins small
+SENTENCES = f"""
+spaced AS (SELECT doc_id, para, unnest(range(len(l))) AS i, unnest(l) AS w FROM (SELECT doc_id, para, string_split(text, ' ') AS l FROM lines)),
+parted AS (SELECT *, lead(w) OVER o AS nxt, regexp_extract(w, '([.!?]+)[)\\]]?$', 1) AS mark, regexp_extract(w, '^(.*?)[.!?]+[)\\]]?$', 1) || '.' AS stem FROM spaced WINDOW o AS (PARTITION BY doc_id, para ORDER BY i)),
+ended AS (SELECT *, mark <> '' AND NOT (mark[1] = '.' AND (lower(stem) IN ({_SHORT}) OR regexp_full_match(stem, '(?:[A-Z]\\.)+'))) AS fin FROM parted),
+put AS (SELECT *, coalesce(sum(CASE WHEN fin AND NOT regexp_matches(nxt, '^\\p{{Ll}}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, para ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM ended),
+sentences AS (SELECT doc_id, para, pos, string_agg(w, ' ' ORDER BY i) AS sentence FROM put GROUP BY doc_id, para, pos)"""
 
 
 def words(c: str) -> str:
@@ -43,7 +48,7 @@ c AS (SELECT s.doc_id, s.para, g, min(s.pos) AS s0, max(s.pos) + 1 AS s1, min(st
 e AS (SELECT *, start + length(text) AS "end" FROM c)
 SELECT doc_id || ':p' || {pad('para', 4)} || ':s' || {pad('s0', 4)} || '-' || {pad('s1', 4)} || ':o' || {pad('start', 6)} || '-' || {pad('"end"', 6)} AS id, doc_id, para, s0, s1, start, "end", words, sha256(text) AS text_sha256 FROM e"""
 
-_TURNS = f"""turns AS (SELECT conv_id, turn, {tokens('text')}[1:80] AS heard, {tokens('before')}[1:80] AS expected FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL)"""
+_TURNS = f"""turns AS (SELECT conv_id, turn, {tokens('text')} AS heard, {tokens('before')} AS expected FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL)"""
 _VOCABULARY = f"""v AS (SELECT DISTINCT unnest({tokens('text')}) AS a FROM conversations), pairs AS (SELECT a, b FROM (SELECT a, lead(a) OVER (PARTITION BY a[1] ORDER BY a) AS b FROM v) WHERE b IS NOT NULL)"""
 
 
@@ -79,7 +84,7 @@ SQL = {
     "typography_normalize": f"WITH {LINES} SELECT doc_id, para, length(text) AS chars, sha256(text) AS sha FROM lines",
     "word_counts_by_lang": f"SELECT lang, source, count(*) AS documents, sum({words('text')})::BIGINT AS words, sum({spaced('text')})::BIGINT AS spaced_words FROM documents GROUP BY ROLLUP (lang, source)",
     "sentence_split": f"WITH {LINES}, {SENTENCES} SELECT doc_id, para, pos, length(sentence) AS chars, {words('sentence')} AS words FROM sentences",
-    "unspeakable_units": "SELECT doc_id, count(*) AS unspeakable FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE NOT regexp_matches(line, '[A-Za-z]') GROUP BY doc_id",
+    "unspeakable_units": "SELECT doc_id, kind, count(*) AS unspeakable FROM (SELECT doc_id, 'line' AS kind, unnest(string_split(text, chr(10))) AS unit FROM documents UNION ALL SELECT doc_id, 'word', unnest(regexp_split_to_array(text, '[ \\n]+')) FROM documents) WHERE NOT regexp_matches(unit, '[A-Za-z]') GROUP BY doc_id, kind",
     "merged_lines": """WITH l AS (SELECT doc_id, unnest(range(len(x))) AS para, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)), k AS (SELECT * FROM l WHERE trim(line) <> ''),
 b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY para) AS before FROM k), m AS (SELECT *, CASE WHEN before IS NOT NULL AND NOT regexp_matches(before, '[.!?]["''’”)\\]]*$') AND regexp_matches(line, '^\\p{Ll}') THEN 0 ELSE 1 END AS new FROM b),
 p AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY para) - 1 AS part FROM m) SELECT doc_id, part::BIGINT AS part, count(*) AS pieces, (sum(length(line)) + count(*) - 1)::BIGINT AS chars FROM p GROUP BY doc_id, part""",
@@ -89,12 +94,12 @@ SELECT *, CASE WHEN lost > 0 OR changed > 0 THEN 'conflict' WHEN added = 0 AND m
     "selected_chapters": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 10 OFFSET 5)",
     "phonetic_skeletons": f"WITH w AS (SELECT DISTINCT unnest({tokens('p_name')}) AS word FROM part UNION SELECT DISTINCT unnest({tokens('text')}) FROM conversations) SELECT word, {skeleton('word')} AS skeleton FROM w",
     "levenshtein_candidates": f"WITH {_VOCABULARY} SELECT a, b, levenshtein(a, b) AS distance FROM pairs WHERE levenshtein(a, b) <= 2",
-    "vowel_swap_pairs": f"WITH {_VOCABULARY}, d AS (SELECT a, b, list_filter(range(1, length(a) + 1), lambda i: a[i] <> b[i]) AS o FROM pairs WHERE length(a) = length(b) AND length(a) >= 4) SELECT a, b FROM d WHERE len(o) = 1 AND contains('aeiou', a[o[1]]) AND contains('aeiou', b[o[1]])",
+    "vowel_swap_pairs": f"WITH {_VOCABULARY}, d AS (SELECT a, b, list_filter(range(1, length(a) + 1), lambda i: a[i] <> b[i]) AS o FROM pairs WHERE length(a) = length(b) AND length(a) >= 4) SELECT a, b FROM d WHERE len(o) = 1 AND contains('aeiouy', a[o[1]]) AND contains('aeiouy', b[o[1]])",
     "phonetic_matches": f"WITH {_VOCABULARY}, k AS (SELECT a, b, {skeleton('a')} AS x, {skeleton('b')} AS y FROM pairs) SELECT a, b FROM k WHERE a <> b AND x <> '' AND y <> '' AND x[1] = y[1] AND (x = y OR (least(length(x), length(y)) >= 4 AND levenshtein(x, y) <= 1)) AND least(length(a), length(b)) >= 0.6 * greatest(length(a), length(b))",
     "attempt_seed": "SELECT o_orderkey, (1234567 + ('0x' || sha256(o_orderkey || ':2')[1:8])::BIGINT) % 4294967296 AS seed FROM orders",
     "content_identity": "SELECT doc_id, sha256(text) AS text_sha256, concat_ws('|', 'policy-1', lang, sha256(text)) AS cache_key FROM documents",
     "metadata_blocks": r"SELECT n_regionkey, regexp_replace(n_name || ' = 1; #', '([\\\n=;#])', '\\\1', 'g') AS escaped FROM nation",
-    "mandatory_terms": f"WITH x AS (SELECT conv_id, turn, list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda p: list_position(l, p[1]) = p[2]), lambda p: p[1]) AS t FROM (SELECT conv_id, turn, {tokens('text')} AS l FROM conversations)) SELECT conv_id, turn, len({_KEPT}) AS terms, coalesce(array_to_string({_KEPT}[1:5], ' '), '') AS first_terms FROM x",
+    "mandatory_terms": f"WITH x AS (SELECT conv_id, turn, list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda p: list_position(l, p[1]) = p[2]), lambda p: p[1]) AS t FROM (SELECT conv_id, turn, {tokens('text')} AS l FROM conversations)) SELECT conv_id, turn, len({_KEPT}) AS terms, coalesce(array_to_string({_KEPT}, ' '), '') AS all_terms FROM x",
     "ngram_repetition": f"""WITH {_TURNS}, h AS ({_grams('heard')}), e AS ({_grams('expected')}), o AS (SELECT h.*, row_number() OVER (PARTITION BY h.conv_id, h.turn ORDER BY h.n DESC, h.size, h.place) AS k, count(*) OVER (PARTITION BY h.conv_id, h.turn) AS repeated
 FROM h LEFT JOIN e ON h.conv_id = e.conv_id AND h.turn = e.turn AND h.size = e.size AND h.gram = e.gram WHERE h.n > 1 AND h.n > coalesce(e.n, 0)) SELECT conv_id, turn, gram AS most_repeated, n AS max_multiplicity, repeated FROM o WHERE k = 1""",
     "leakage_overlap": f"""WITH d AS (SELECT doc_id, unnest(list_distinct({tokens('text')})) AS w FROM documents), b AS (SELECT item_id, len(t) AS size, unnest(t) AS w FROM (SELECT item_id, list_distinct({tokens('text')}) AS t FROM benchmark))
@@ -112,9 +117,9 @@ SELECT user_id, count(*) AS words, min(ts) AS first_start, max(ts) AS last_end,
 n AS (SELECT *, CASE WHEN lead(turn) OVER w IS NULL THEN 0 ELSE greatest(0, CASE WHEN lead(para) OVER w <> para THEN 12000 ELSE 6000 END - trail_q - lead(lead_q) OVER w) END AS silence_after FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 s AS (SELECT *, coalesce(sum(frames + silence_after) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_sample FROM n) SELECT conv_id, turn, silence_after, start_sample, start_sample + frames AS end_sample FROM s""",
     "chapter_rollup": """WITH p AS (SELECT n_nationkey, n_name, count(*) AS units, sum(floor(o_totalprice))::BIGINT AS frames FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
-b AS (SELECT *, coalesce(sum(frames) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM p) SELECT n_nationkey, n_name, units, before * 1000 // 24000 AS start_ms, (before + frames) * 1000 // 24000 AS end_ms FROM b""",
+b AS (SELECT *, coalesce(sum(frames) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM p) SELECT n_nationkey, n_name, units, round_even(before * 1000 / 24000, 0)::BIGINT AS start_ms, round_even((before + frames) * 1000 / 24000, 0)::BIGINT AS end_ms FROM b""",
     "running_totals": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS audio_s, round(sum(l_discount) / nullif(sum(l_quantity), 0), 6) AS rtf FROM lineitem GROUP BY ALL",
-    "eta_projection": f"WITH w AS (SELECT sum({spaced('text')})::BIGINT AS words FROM documents) SELECT words, floor(words * 2 / 5)::BIGINT AS audio_s, floor(words * 2 / 5 * 12)::BIGINT AS tokens, floor(words * 2 / 5 * 12 / 8)::BIGINT AS generate_s FROM w",
+    "eta_projection": f"WITH w AS (SELECT sum({spaced('text')})::BIGINT AS words FROM documents), a AS (SELECT words, words * 0.5::DOUBLE AS a FROM w) SELECT words, round(a, 1) AS audio_s, round(a * 1.5, 1) AS generation_s, round(a / 4, 1) AS asr_s, round(40 + a * 1.5 + a / 4, 1) AS total_s, round(round(a, 1) / 8, 1) AS remaining_s FROM a",
     "bench_stats": f"SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n, {_STATS} FROM lineitem GROUP BY ALL",
     "bench_paired_delta": f"WITH {_PAIRS} SELECT repeat, candidate, base, value, round(delta, 3) AS delta FROM pairs",
     "bench_verdict": f"WITH {_PAIRS}, m AS (SELECT candidate, quantile_cont(delta, 0.5) AS d, count(*) AS repeats FROM pairs GROUP BY candidate) SELECT candidate, round(d, 3) AS median_delta, repeats, CASE WHEN max(d) OVER () >= 10 THEN 'improvement' WHEN max(d) OVER () <= -10 THEN 'regression' ELSE 'not_material' END AS verdict FROM m",
@@ -135,9 +140,13 @@ p AS (SELECT *, coalesce(sum((s AND NOT v)::INT) OVER w, 0) AS f, coalesce(max((
 SELECT user_id, max(CASE WHEN s AND v THEN attempt END) AS passed_attempt, count(*) AS attempts, count(*) FILTER (NOT s) AS structural_failures, count(*) FILTER (s AND NOT v) AS validation_failures FROM p WHERE attempt < 4 AND f < 2 AND ok = 0 GROUP BY user_id""",
     "verdict_reasons": """WITH e AS (SELECT user_id, count(*) AS n, min(value) AS lo, max(value) AS hi FROM events GROUP BY user_id), r AS (SELECT user_id, concat_ws(',', CASE WHEN n < 8 THEN 'coverage' END, CASE WHEN lo < 1 THEN 'mandatory' END, CASE WHEN hi < 90 THEN 'terminal' END,
 CASE WHEN lo > 20 THEN 'no_speech' END, CASE WHEN hi > 99.5 THEN 'logprob' END, CASE WHEN n >= 20 THEN 'repetition' END) AS reasons FROM e) SELECT user_id, CASE WHEN reasons = '' THEN 'PASS' ELSE 'FAIL' END AS verdict, reasons FROM r""",
-    "confidence_means": "SELECT l_orderkey, round(avg(CASE WHEN l_returnflag <> 'A' THEN coalesce(l_discount, 0) ELSE 0 END), 7) AS logprob, round(avg(coalesce(l_tax, 0)), 7) AS no_speech FROM lineitem GROUP BY l_orderkey",
-    "context_chain": """WITH RECURSIVE c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, length(text) % 4 <> 0 AS ok FROM conversations),
-r AS (SELECT conv_id, pos, CASE WHEN ok THEN 1 ELSE 0 END AS depth FROM c WHERE pos = 0 UNION ALL SELECT c.conv_id, c.pos, CASE WHEN c.ok AND r.depth < 3 THEN r.depth + 1 ELSE 0 END FROM r JOIN c ON c.conv_id = r.conv_id AND c.pos = r.pos + 1) SELECT * FROM r""",
+    "confidence_means": "WITH c AS (SELECT l_orderkey AS o, count(*) AS n, sum(CASE WHEN l_returnflag <> 'A' THEN round(l_discount * 100)::BIGINT ELSE 0 END) AS a, sum(round(l_tax * 100)::BIGINT) AS b, sum(CASE WHEN l_linenumber <> 2 THEN round(l_quantity * 100)::BIGINT ELSE 0 END) AS q FROM lineitem GROUP BY l_orderkey) SELECT o AS l_orderkey, floor((a * 200 + n) / (2 * n)) / 10000 AS logprob, floor((b * 200 + n) / (2 * n)) / 10000 AS no_speech, floor((q * 200 + n) / (2 * n)) / 10000 AS compression FROM c",
+    # one unit after the other: what was kept of the one before, if it is of the same paragraph
+    "context_chain": """WITH RECURSIVE c AS (SELECT conv_id, turn, turn // 4 AS para, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, length(text) % 9 <> 0 AS ok FROM conversations),
+r AS (SELECT conv_id, turn, para, k, 0 AS depth, CASE WHEN ok THEN 0 END AS held FROM c WHERE k = 1 UNION ALL
+  SELECT c.conv_id, c.turn, c.para, c.k, CASE WHEN r.held IS NOT NULL AND r.para = c.para THEN r.held + 1 ELSE 0 END,
+    CASE WHEN c.ok AND (CASE WHEN r.held IS NOT NULL AND r.para = c.para THEN r.held + 1 ELSE 0 END) < 3 THEN (CASE WHEN r.held IS NOT NULL AND r.para = c.para THEN r.held + 1 ELSE 0 END) END FROM r JOIN c ON c.conv_id = r.conv_id AND c.k = r.k + 1)
+SELECT conv_id, turn, depth::BIGINT AS depth FROM r""",
     "cache_misses": "SELECT doc_id FROM documents WHERE lang || '|' || sha256(text) NOT IN (SELECT lang || '|' || sha256(text) FROM documents WHERE doc_id % 2 = 0)",
     "input_errors": "SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 9 = 0 THEN 'missing' ELSE 'differs' END AS problem FROM documents WHERE doc_id % 9 = 0 OR doc_id % 7 = 0",
     "attempt_stream": "SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS attempts, count(*) FILTER (event_type = 'error') AS failures, round(max_by(value, ts), 6) AS last_value FROM events GROUP BY ALL",
@@ -165,4 +174,39 @@ SELECT l_orderkey || ':c' || lpad(k::VARCHAR, 4, '0') AS id, count(*) AS n, min(
     "excluded_units": f"WITH {_DECIDED} SELECT id FROM decided WHERE decision NOT IN ('PASS', 'ALLOW_LEXICAL', 'ALLOW_LEXICAL_NAME')",
     "batch_results": "SELECT CASE WHEN l_orderkey IS NULL THEN 'missing' ELSE 'ok' END AS status, count(*) AS n FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 3) ON l_orderkey = o_orderkey GROUP BY ALL",
 }
+_STATS_OF = lambda c: ", ".join(f"round({e}, 3) AS {n}" for n, e in {"median": f"quantile_cont({c}, 0.5)", "mean": f"avg({c})", "low": f"min({c})", "high": f"max({c})", "p10": f"quantile_cont({c}, 0.1)", "p90": f"quantile_cont({c}, 0.9)", "std": f"stddev_pop({c})"}.items())
+SQL |= {
+    "strict_verdict": """WITH l AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN 'colon_semicolon' WHEN l_linenumber % 3 = 0 THEN 'comma' ELSE 'sentence_end' END AS kind, l_tax * 2 AS gap FROM lineitem),
+e AS (SELECT l_orderkey AS o, count(*) AS n, count(*) FILTER (l_returnflag <> 'R') AS k, round(count(*) FILTER (l_returnflag <> 'R') / count(*), 2) AS f,
+  list(chr(39) || 'w' || l_linenumber || chr(39) ORDER BY l_linenumber) FILTER (l_returnflag = 'R') AS miss, list(chr(39) || 'w' || l_linenumber || chr(39) ORDER BY l_linenumber) FILTER (l_quantity > 48) AS mand,
+  min(l_discount) AS lo, max(l_discount) AS hi, max(l_quantity) AS q,
+  string_agg('sentence_end pause ' || printf('%.3f', gap) || 's < 0.150s', ' | ' ORDER BY l_linenumber, gap) FILTER (l_discount > 0.05 AND kind = 'sentence_end' AND gap < 0.15 AND l_linenumber <> 5) AS p1,
+  string_agg('colon_semicolon pause ' || printf('%.3f', gap) || 's < 0.150s', ' | ' ORDER BY l_linenumber, gap) FILTER (l_discount > 0.05 AND kind = 'colon_semicolon' AND gap < 0.15 AND l_linenumber <> 5) AS p2 FROM l GROUP BY l_orderkey),
+r AS (SELECT o, concat_ws(' | ', CASE WHEN f < 0.85 THEN 'coverage ' || printf('%.2f', f) || ' < 0.85 (matched ' || k || '/' || n || ', missing [' || coalesce(array_to_string(miss[1:5], ', '), '') || '])' END,
+  CASE WHEN len(mand) > 0 THEN 'mandatory missing: [' || array_to_string(mand[1:5], ', ') || ']' END, CASE WHEN o % 7 = 0 THEN 'terminal phrase missing: ' || chr(39) || 'end of ' || o || chr(39) END,
+  CASE WHEN n > 1 AND round(hi * 7, 2) >= 0.6 THEN 'no_speech_prob ' || printf('%.2f', round(hi * 7, 2)) || ' >= 0.6' END, CASE WHEN round(lo * -30, 2) < -1 THEN 'avg_logprob ' || printf('%.2f', round(lo * -30, 2)) || ' < -1.0' END,
+  CASE WHEN round(q / 20, 2) > 2.4 THEN 'compression_ratio ' || printf('%.2f', round(q / 20, 2)) || ' > 2.4' END, CASE WHEN n - 3 >= 3 THEN 'repetition: n-gram ''thank you'' x' || (n - 3) END,
+  CASE WHEN n <> 4 AND round(lo * 60, 2) > 2.5 THEN 'max internal gap ' || printf('%.2f', round(lo * 60, 2)) || 's > 2.5s' END, CASE WHEN o % 11 = 0 THEN 'text of another' END, p1, p2) AS reasons FROM e)
+SELECT o AS l_orderkey, CASE WHEN reasons = '' THEN 'PASS' ELSE 'FAIL' END AS verdict, reasons FROM r""",
+    "selected_units": "SELECT doc_id::VARCHAR AS id, lang AS chapter FROM documents WHERE lang > (SELECT min(lang) FROM documents) ORDER BY doc_id LIMIT 200",
+    "eligible_clauses": """WITH s AS (SELECT conv_id, turn, text, string_split(text, ' ') AS ws FROM conversations), x AS (SELECT conv_id, turn, text, ws, unnest(range(least(len(ws), 6))) AS i FROM s),
+y AS (SELECT conv_id, turn, text, ws, i, CASE WHEN i = 2 THEN 1 ELSE 20 - 3 * i END AS a, CASE WHEN i % 4 <> 3 THEN 25 - 3 * i WHEN i = 3 THEN 0 END AS z FROM x WHERE i <> 5),
+t AS (SELECT conv_id, turn, a, z, CASE i WHEN 4 THEN '  ' WHEN 1 THEN ws[2] ELSE substring(text, a + 1, z - a) END AS t FROM y WHERE z > a)
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY a, z, t) - 1 AS place, a AS start, z AS "end", length(t) AS chars FROM t WHERE trim(t) <> ''""",
+    "units_done": f"""WITH {_DONE}, u AS (SELECT d.doc_id AS n, coalesce(sha = sha256(d.text) AND (d.doc_id % 23 = 0 OR (CASE WHEN d.doc_id % 3 <> 0 THEN d.doc_id % 5 / 100.0 ELSE 0 END <= 0.02 AND d.doc_id % 13 <> 0 AND quality = 1)), false) AS is_done FROM documents d LEFT JOIN done USING (doc_id))
+SELECT is_done, count(*) AS units, sum(n)::BIGINT AS ids FROM u GROUP BY is_done""",
+    "loaded_state": """WITH x AS (SELECT doc_id, 'done' AS kind, doc_id::VARCHAR AS id FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 'failed', doc_id::VARCHAR FROM documents WHERE doc_id % 6 = 0 AND doc_id % 4 <> 0
+UNION ALL SELECT doc_id, 'failed', doc_id || ':c0001' FROM documents WHERE doc_id % 5 = 0 AND doc_id % 4 <> 0) SELECT kind, count(*) AS units, count(DISTINCT id) AS ids, true AS archived FROM x GROUP BY kind""",
+    "recorded_outcomes": """WITH u AS (SELECT DISTINCT user_id FROM events), l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) <> 'error' AS ok FROM events WHERE event_id % 2 = 0 GROUP BY user_id),
+d AS (SELECT user_id, 'old' AS t FROM u WHERE user_id % 2 = 0 AND user_id NOT IN (SELECT user_id FROM l) UNION ALL SELECT user_id, md5(user_id::VARCHAR) FROM l WHERE ok)
+SELECT user_id::VARCHAR AS id, t AS text_sha256, 'done' AS kind FROM d UNION ALL SELECT user_id::VARCHAR, md5(user_id::VARCHAR), 'failed' FROM l WHERE NOT ok
+UNION ALL SELECT user_id || ':c0002', 'old', 'failed' FROM u WHERE user_id % 3 = 0 AND user_id NOT IN (SELECT user_id FROM d)""",
+    "workload_stats": f"""WITH w AS (SELECT o_orderpriority, floor(o_totalprice) AS g, CASE WHEN o_orderstatus = 'F' THEN 1000 ELSE 0 END AS p FROM orders), m AS (SELECT o_orderpriority, 'cold' AS mode, g + p AS s FROM w UNION ALL SELECT o_orderpriority, 'amortized', g FROM w)
+SELECT o_orderpriority, mode, count(*) AS n, {_STATS_OF('s')} FROM m GROUP BY ALL""",
+    "deltas_by_repeat": f"WITH {_PAIRS} SELECT repeat, " + ", ".join(f"round(max(delta) FILTER (candidate = '{k}'), 3) AS {v}" for k, v in {"2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}.items()) + " FROM pairs GROUP BY repeat",
+    "manifest_counts": f"WITH {_DECIDED} SELECT decision, count(*) AS units, decision IN ('PASS', 'ALLOW_LEXICAL', 'ALLOW_LEXICAL_NAME') AS released FROM decided GROUP BY decision",
+    "failure_texts": """WITH e AS (SELECT user_id, string_agg(DISTINCT event_type, '; ' ORDER BY event_type) FILTER (value > 180) AS r, min(value) AS lo FROM events GROUP BY user_id),
+f AS (SELECT user_id, nullif(r, '') AS r, concat_ws('; ', CASE WHEN user_id % 4 = 0 THEN 'terminal phrase missing: ' || chr(39) || 'the end' || chr(39) END, CASE WHEN user_id % 5 <> 0 AND lo <= 2 THEN CASE WHEN user_id % 2 = 0 THEN 'colon_semicolon' ELSE 'punctuation' END || ' pause failed' END) AS w FROM e)
+SELECT user_id, coalesce(r, nullif(w, ''), 'terminal or punctuation gate failed') AS why FROM f""",
+}
 SQL = {k: v for k, v in SQL.items() if v}

@@ -66,7 +66,10 @@ def sentence_spans(spark, sf):
 
 @query
 def unspeakable_units(spark, sf):
-    return docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("para", "line")).where(text.unspeakable(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("unspeakable"))
+    """Lines and single words that have nothing to say, by document."""
+    lines = docs(spark, sf).select("doc_id", F.explode(F.split("text", "\n")).alias("unit"), F.lit("line").alias("kind"))
+    words = docs(spark, sf).select("doc_id", F.explode(F.split("text", "[ \n]+")).alias("unit"), F.lit("word").alias("kind"))
+    return lines.unionAll(words).where(text.unspeakable(F.col("unit"))).groupBy("doc_id", "kind").agg(F.count("*").alias("unspeakable"))
 
 
 @query
@@ -80,7 +83,8 @@ def merged_lines(spark, sf):
 def plan_relation(spark, sf):
     """The plan of all documents against one made before the newest tenth existed."""
     plan = docs(spark, sf).select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("hash"), F.col("doc_id").alias("pos"))
-    old = plan.join(plan.agg((F.max("id") * F.lit(9) / F.lit(10)).alias("most")), F.col("id") <= F.col("most")).drop("most")
+    newest = plan.agg(F.max("id")).first()[0] or 0  # one number
+    old = plan.where(F.col("id") * 10 <= newest * 9)
     return planning.plan_relation(old, plan).select("lost", "changed", "added", "moved", "relation")
 
 
@@ -173,11 +177,6 @@ def _turns(spark, sf) -> DataFrame:
     return rows.withColumns({"heard": plain_tokens(F.col("text")), "expected": plain_tokens(F.col("before"))})
 
 
-def _turn_starts(spark, sf) -> DataFrame:
-    """The first 80 tokens of each, as the SQL of the repetition queries has them."""
-    return _turns(spark, sf).withColumns({c: F.slice(c, 1, 80) for c in ("heard", "expected")})
-
-
 @query
 def turn_coverage(spark, sf):
     return _turns(spark, sf).select("conv_id", "turn", matching.coverage_of("expected", "heard").alias("c")).select("conv_id", "turn", "c.expected_tokens", "c.matched_tokens", "c.fraction")
@@ -194,7 +193,7 @@ def mandatory_terms(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.array_distinct(plain_tokens(F.col("text"))).alias("t"))
     stop = F.array(*[F.lit(w) for w in sorted(matching.FUNCTION_WORDS)])
     keep = lambda w: w.rlike("^[0-9]+$") | w.rlike("^[0-9]+0s$") | (w.rlike("^[a-z]{6,}$") & ~F.array_contains(stop, w))
-    return rows.select("conv_id", "turn", F.size(F.filter("t", keep)).alias("terms"), F.array_join(F.slice(F.filter("t", keep), 1, 5), " ").alias("first_terms"))
+    return rows.select("conv_id", "turn", F.size(F.filter("t", keep)).alias("terms"), F.array_join(F.filter("t", keep), " ").alias("all_terms"))
 
 
 @query
@@ -227,7 +226,7 @@ def punctuation_pauses(spark, sf):
 @query
 def ngram_repetition(spark, sf):
     """N-grams repeated beyond the turn before; the most frequent, then shortest, then first."""
-    rows = _turn_starts(spark, sf)
+    rows = _turns(spark, sf)
     grams = lambda c: rows.select("conv_id", "turn", F.explode(agg.ngrams(F.col(c))).alias("g")).groupBy("conv_id", "turn", F.col("g.size").alias("size"), F.col("g.gram").alias("gram")).agg(F.count("*").alias("n"), F.min("g.at").alias("at"))
     over = grams("heard").join(grams("expected").withColumnRenamed("n", "e").drop("at"), ["conv_id", "turn", "size", "gram"], "left").where("n > 1 and n > coalesce(e, 0)")
     best = F.max_by(F.struct("gram", "n"), F.struct("n", -F.col("size"), -F.col("at")))
@@ -236,11 +235,21 @@ def ngram_repetition(spark, sf):
 
 @query
 def leakage_overlap(spark, sf):
-    """Benchmark items of which a document has most distinct words, by a join on words."""
-    words = docs(spark, sf).select("doc_id", F.explode(F.array_distinct(plain_tokens(F.col("text")))).alias("w"))
-    items = table(spark, sf, "benchmark").select("item_id", F.array_distinct(plain_tokens(F.col("text"))).alias("t")).select("item_id", F.size("t").alias("size"), F.explode("t").alias("w"))
-    hits = words.join(F.broadcast(items) if items.count() <= 100_000 else items, "w").groupBy("doc_id", "item_id", "size").agg(F.count("*").alias("shared"))
-    return hits.where("shared * 10 >= size * 8").select("doc_id", "item_id", "shared", "size")
+    """Benchmark items of which a document has four fifths of the distinct words or more.
+
+    Such a document has one of any fifth of them and one word more: only an item's rarest words (among
+    items) are joined on, and the pairs they find are compared as a whole.
+    """
+    texts = docs(spark, sf).select("doc_id", F.array_distinct(plain_tokens(F.col("text"))).alias("words"))
+    items = table(spark, sf, "benchmark").select("item_id", F.array_distinct(plain_tokens(F.col("text"))).alias("t"))
+    of = items.select("item_id", F.size("t").alias("size"), F.explode("t").alias("w"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("n", "w"))
+    rare = of.join(of.groupBy("w").agg(F.count("*").alias("n")), "w").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * 8 / 10) + 1).select("item_id", "w")
+    small = items.count() <= 10_000
+    seen = texts.select("doc_id", F.explode("words").alias("w")).join(F.broadcast(rare) if small else rare, "w").select("doc_id", "item_id").distinct()
+    both = seen.join(F.broadcast(items) if small else items, "item_id").join(texts, "doc_id")
+    hits = both.select("doc_id", "item_id", F.size(F.array_intersect("words", "t")).cast("bigint").alias("shared"), F.size("t").alias("size"))
+    return hits.where("shared * 10 >= size * 8")
 
 
 # --- signals ----------------------------------------------------------------------
@@ -292,7 +301,7 @@ def chapter_rollup(spark, sf):
     per = o.groupBy("n_nationkey", "n_name").agg(F.count("*").alias("units"), F.sum(F.floor(F.col("o_totalprice"))).cast("bigint").alias("frames"))
     w = Window.partitionBy(F.lit(0)).orderBy("n_nationkey")  # one row a nation
     before = F.coalesce(F.sum("frames").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("start_ms", F.floor(before * 1000 / 24000)).withColumn("end_ms", F.floor((before + F.col("frames")) * 1000 / 24000)).drop("frames")
+    return per.withColumn("start_ms", F.bround(before * 1000 / 24000).cast("bigint")).withColumn("end_ms", F.bround((before + F.col("frames")) * 1000 / 24000).cast("bigint")).drop("frames")
 
 
 @query
@@ -303,8 +312,10 @@ def running_totals(spark, sf):
 
 @query
 def eta_projection(spark, sf):
+    """What all documents would take by a pilot's measures, and the transcription of half of it at its rate."""
     d = docs(spark, sf).agg(F.sum(text.spaced_words(F.col("text"))).cast("bigint").alias("words"))
-    return d.select("words", F.floor(F.col("words") * 2 / 5).alias("audio_s"), F.floor(F.col("words") * 2 / 5 * 12).alias("tokens"), F.floor(F.col("words") * 2 / 5 * 12 / 8).alias("generate_s"))
+    out = agg.estimate(F.col("words"), {"audio_s_per_word": 0.5, "tokens_per_audio_s": 12.0, "generation_s_per_token": 0.125, "asr_rtf": 0.25, "load_s": 40.0})
+    return d.select("words", *[c.alias(k) for k, c in out.items()]).withColumn("remaining_s", agg.remaining_seconds(F.col("audio_s") / 2, F.lit(0.25)))
 
 
 # --- benchmark statistics ---------------------------------------------------------------
@@ -420,16 +431,17 @@ def verdict_reasons(spark, sf):
 
 @query
 def confidence_means(spark, sf):
-    """Means of three scores as a fold over each order's segments; a missing one counts as zero."""
-    l = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.when(F.col("l_returnflag") != "A", F.col("l_discount")).alias("a"), F.col("l_tax").alias("b"))).alias("s"))
-    mean = lambda k: F.round(F.aggregate("s", F.lit(0.0), lambda acc, x: acc + F.coalesce(x[k], F.lit(0.0))) / F.size("s"), 7)
-    return l.select("l_orderkey", mean("a").alias("logprob"), mean("b").alias("no_speech"))
+    """Means of three scores over each order's segments, four places; a missing one counts as zero."""
+    l = table(spark, sf, "lineitem")
+    mean = lambda c: agg.mean_places(F.round(F.coalesce(c, F.lit(0.0)) * 100).cast("bigint"), 2)
+    return l.groupBy("l_orderkey").agg(mean(F.when(F.col("l_returnflag") != "A", F.col("l_discount"))).alias("logprob"), mean(F.col("l_tax")).alias("no_speech"), mean(F.when(F.col("l_linenumber") != 2, F.col("l_quantity"))).alias("compression"))
 
 
 @query
 def context_chain(spark, sf):
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", (F.char_length("text") % 4 != 0).alias("ok")))).alias("x"))  # bounded by the conversation
-    return c.select("conv_id", F.posexplode(state.context_depth(F.col("x.ok"))).alias("pos", "depth"))
+    """Depths of turns as units of paragraphs of four, within conversations."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.floor(F.col("turn") / 4).alias("para"), (F.char_length("text") % 9 != 0).alias("ok"))
+    return state.context_depth(c, ["conv_id", "para"], "turn", F.col("ok")).select("conv_id", "turn", F.col("depth").cast("bigint").alias("depth"))
 
 
 @query
@@ -460,9 +472,11 @@ def attempt_stream(spark, sf):
 
 @query
 def take_gates(spark, sf):
-    """Each user's events as the boundaries of one take."""
-    e = table(spark, sf, "events").groupBy("user_id").agg(F.collect_list(F.struct((F.col("value") > 1).alias("aligned"), F.when(F.col("event_type") != "view", F.col("value") > 2).alias("passed"))).alias("b"), F.max("value").alias("high"))
-    return e.select("user_id", gates.take_passes(F.when(F.col("high") > 100, "PASS").otherwise("FAIL"), F.col("user_id") % 9 != 0, F.col("b")).alias("passes"))
+    """Each user's events as the boundaries of one take: none of the aligned ones may have failed."""
+    failed = F.coalesce((F.col("value") > 1) & ~F.when(F.col("event_type") != "view", F.col("value") > 2), F.lit(False))
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.some(failed).alias("failed"), F.max("value").alias("high"))
+    boundary = F.array(F.struct(F.lit(True).alias("aligned"), (~F.col("failed")).alias("passed")))
+    return e.select("user_id", gates.take_passes(F.when(F.col("high") > 100, "PASS").otherwise("FAIL"), F.col("user_id") % 9 != 0, boundary).alias("passes"))
 
 
 @query
@@ -483,7 +497,7 @@ def hard_gate_reasons(spark, sf):
 def loop_repetitions(spark, sf):
     """Turns whose most repeated n-gram is a loop beside the turn before."""
     grams = ngram_repetition(spark, sf)
-    rows = _turn_starts(spark, sf).join(grams, ["conv_id", "turn"])
+    rows = _turns(spark, sf).join(grams, ["conv_id", "turn"])
     return rows.select("conv_id", "turn", gates.is_loop(F.col("max_multiplicity"), F.col("most_repeated"), F.col("expected"), 1).alias("loop"))
 
 
@@ -582,3 +596,97 @@ def timed_tokens(spark, sf):
     word = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("word"), (i * 0.3).alias("start"), (i * 0.3 + 0.2).alias("end")))
     rows = table(spark, sf, "conversations").select("conv_id", "turn", matching.timings_of(word).alias("t"))
     return rows.select("conv_id", "turn", F.size("t").alias("tokens"), F.try_element_at("t", F.lit(-1))["end"].alias("last_end"))
+
+
+@query
+def strict_verdict(spark, sf):
+    """The ten checks of the strict gate over each order's lines as evidence."""
+    l = table(spark, sf, "lineitem")
+    flagged = lambda c: F.array_sort(F.collect_list(F.when(c, F.concat(F.lit("w"), F.col("l_linenumber").cast("string")))))  # noqa: E731  seven lines an order at most
+    late = F.struct(F.col("l_linenumber"), F.when(F.col("l_linenumber") % 2 == 0, "colon_semicolon").when(F.col("l_linenumber") % 3 == 0, "comma").otherwise("sentence_end").alias("kind"), (F.col("l_tax") * 2).alias("gap_s"), F.lit(0.15).alias("threshold_s"), F.when(F.col("l_linenumber") != 5, F.col("l_tax") * 2 >= 0.15).alias("passed"))
+    e = l.groupBy("l_orderkey").agg(
+        F.count("*").alias("n"), F.count_if(F.col("l_returnflag") != "R").alias("k"), flagged(F.col("l_returnflag") == "R").alias("missing"), flagged(F.col("l_quantity") > 48).alias("mandatory"), F.min("l_discount").alias("low"), F.max("l_discount").alias("high"), F.max("l_quantity").alias("most"), F.array_sort(F.collect_list(F.when(F.col("l_discount") > 0.05, late))).alias("b"),
+    )
+    n, key = F.col("n"), F.col("l_orderkey")
+    v = gates.verdict({
+        "fraction": F.round(F.col("k") / n, 2), "matched_tokens": F.col("k"), "expected_tokens": n, "missing": F.col("missing"), "mandatory_missing": F.col("mandatory"), "terminal_expected": F.concat(F.lit("end of "), key.cast("string")), "terminal_matched": key % 7 != 0,
+        "no_speech": F.when(n > 1, F.round(F.col("high") * 7, 2)), "logprob": F.round(F.col("low") * -30, 2), "compression": F.round(F.col("most") / 20, 2), "most_repeated": F.lit("thank you"), "multiplicity": n - 3, "gap_s": F.when(n != 4, F.round(F.col("low") * 60, 2)), "leakage_flagged": key % 11 == 0, "leakage_detail": F.lit("text of another"), "boundaries": F.col("b"),
+    })
+    return e.select("l_orderkey", v.alias("v")).select("l_orderkey", "v.verdict", F.array_join("v.reasons", " | ").alias("reasons"))
+
+
+@query
+def selected_units(spark, sf):
+    """Chunks of the newest languages on, from a chapter to resume at, the first two hundred."""
+    plan = docs(spark, sf).select(F.col("lang").alias("chapter"), F.col("doc_id").alias("idx"), F.col("doc_id").cast("string").alias("id"))
+    chapters = sorted(r.chapter for r in plan.select("chapter").where("chapter is not null").distinct().collect())  # languages
+    return planning.resume_units(plan, chapters, chapters[1], 200).select("id", "chapter")
+
+
+@query
+def eligible_clauses(spark, sf):
+    """Spans of turns made of their words, some unusable, in order."""
+    words = F.split("text", " ")
+    spans = F.transform(F.slice(words, 1, F.least(F.size(words), F.lit(6))), lambda w, i: F.struct(F.when(i != 2, (F.lit(20) - 3 * i)).alias("start"), F.when(i % 4 != 3, F.lit(25) - 3 * i).alias("end"), F.when(i == 2, F.lit(1)).alias("source_start"), F.when(i == 3, F.lit(0)).alias("source_end"), F.when(i == 4, F.lit("  ")).when(i == 1, w).alias("text"), F.when(i == 5, F.lit(False)).alias("eligible")))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", planning.eligible_clauses(spans, F.col("text")).alias("c"))
+    return rows.select("conv_id", "turn", F.posexplode("c").alias("place", "c")).select("conv_id", "turn", "place", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.char_length("c.text").alias("chars"))
+
+
+@query
+def units_done(spark, sf):
+    """Units of labelled documents that are really done."""
+    plan, n = _plan(spark, sf), F.col("id").cast("bigint")
+    done = _done(spark, sf).select("id", "text_sha256", (n % 23 == 0).alias("omitted"), F.when(n % 3 != 0, (n % 5) / 100.0).alias("tail_peak"), F.lit("w").alias("wav_sha256"), F.when(n % 13 != 0, "w").alias("actual_wav_sha256"), (F.col("quality") == 1).alias("take_passes"))
+    return state.units_done(plan, done).groupBy("is_done").agg(F.count("*").alias("units"), F.sum(F.col("id").cast("bigint")).alias("ids"))
+
+
+@query
+def loaded_state(spark, sf):
+    """A run forced over another plan's state: what is carried over, less failures that are resolved."""
+    plan = _plan(spark, sf)
+    done = plan.where("idx % 4 = 0").select("id", "text_sha256")
+    failed = plan.where("idx % 6 = 0").select("id", "text_sha256").unionAll(plan.where("idx % 5 = 0").select(F.concat("id", F.lit(":c0001")).alias("id"), "text_sha256"))
+    now, left, archive = state.loaded(done, failed, "conflict", True, force=True)
+    each = now.select("id", F.lit("done").alias("kind")).unionAll(left.select("id", F.lit("failed").alias("kind")))
+    return each.groupBy("kind").agg(F.count("*").alias("units"), F.countDistinct("id").alias("ids")).withColumn("archived", F.lit(archive))
+
+
+@query
+def recorded_outcomes(spark, sf):
+    """Events as outcomes of users: the last one of each counts."""
+    e = table(spark, sf, "events")
+    out = e.select(F.col("user_id").cast("string").alias("id"), F.md5(F.col("user_id").cast("string")).alias("text_sha256"), (F.col("event_type") != "error").alias("passed"), F.array("event_type").alias("reasons"), F.struct("ts", "event_id").alias("at"))
+    start = e.select(F.col("user_id").cast("string").alias("id")).distinct()
+    done = start.where("cast(id as bigint) % 2 = 0").withColumn("text_sha256", F.lit("old"))
+    failed = start.where("cast(id as bigint) % 3 = 0").select(F.concat("id", F.lit(":c0002")).alias("id"), F.lit("old").alias("text_sha256"), F.array(F.lit("x")).alias("reasons"))
+    now, left = state.recorded(done, failed, out.where("event_id % 2 = 0"))
+    return now.select("id", "text_sha256", F.lit("done").alias("kind")).unionAll(left.select("id", "text_sha256", F.lit("failed").alias("kind")))
+
+
+@query
+def workload_stats(spark, sf):
+    """Orders as workers: seconds with and without the precompute, by candidate and mode."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.floor("o_totalprice").cast("double").alias("gen"), F.when(F.col("o_orderstatus") == "F", F.lit(1000.0)).alias("pre"))
+    out = agg.workload_stats(o, "o_orderkey", "o_orderpriority", "gen", "pre")
+    return out.select("o_orderpriority", "mode", "n", *[F.round(c, 3).alias(c) for c in ("median", "mean", "low", "high", "p10", "p90", "std")])
+
+
+@query
+def deltas_by_repeat(spark, sf):
+    """Paired deltas as a column a candidate."""
+    names = {"2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+    wide = agg.pairs_by_repeat(_pairs(spark, sf), "repeat", "candidate", list(names))
+    return wide.select("repeat", *[F.round(F.col(f"`{k}`"), 3).alias(v) for k, v in names.items()])
+
+
+@query
+def manifest_counts(spark, sf):
+    return files.manifest(_decided(spark, sf))
+
+
+@query
+def failure_texts(spark, sf):
+    """Why units failed validation, by what their records show."""
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.when(F.col("value") > 180, F.col("event_type")))).alias("r"), F.min("value").alias("low"))
+    late = F.array(F.struct(F.when(F.col("user_id") % 2 == 0, "colon_semicolon").alias("kind"), (F.col("user_id") % 5 != 0).alias("aligned"), (F.col("low") > 2).alias("passed")))
+    return e.select("user_id", gates.validation_failure(F.col("r"), F.lit("the end"), F.col("user_id") % 4 != 0, late).alias("why"))

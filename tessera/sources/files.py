@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.udf import mapped
+from tessera.operators.state import RELEASED
 
 
 def parse_wav(content: bytes) -> dict | None:
@@ -47,18 +48,33 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct ids, one a line, trimmed."""
-    return spark.read.text(path).select(F.trim("value").alias("id")).where("id <> ''").distinct()
+    """(id, place): distinct ids, one a line, trimmed; place orders them as they first stand in their file."""
+    lines = spark.read.option("wholetext", "true").text(path)  # lists of ids are small files
+    each = lines.select(F.posexplode(F.split("value", "\n")).alias("place", "id")).select(F.trim("id").alias("id"), "place")
+    return each.where("id <> ''").groupBy("id").agg(F.min("place").alias("place"))
+
+
+def read_specs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Unit specifications of JSON files that hold a list, or an object with the list as its chunks; anything else is an error."""
+    whole = spark.read.option("wholetext", "true").text(path).select(F.btrim("value").alias("value"))
+    chunks = F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.get_json_object("value", "$.chunks"))
+    no_list = F.raise_error(F.lit("specifications must be a JSON list or an object with a list of chunks"))
+    return whole.select(F.inline(F.when(F.coalesce(chunks.startswith("["), F.lit(False)), F.from_json(chunks, f"array<struct<{schema}>>")).otherwise(no_list)))
 
 
 def append_ledger(decisions: DataFrame, path: str) -> None:
     decisions.select("id", "parent_id", "decision", "detail").write.mode("append").json(path)
 
 
+def manifest(decisions: DataFrame) -> DataFrame:
+    """(decision, units, released) in order: how many units each decision has."""
+    return decisions.groupBy("decision").agg(F.count("*").alias("units")).withColumn("released", F.col("decision").isin(*RELEASED)).orderBy("decision")
+
+
 def write_manifest(decisions: DataFrame, path: str) -> None:
-    """One JSON row: counts by decision, and the ids left out in order."""
-    left_out = F.array_sort(F.collect_list(F.when(~F.col("decision").isin("PASS", "ALLOW_LEXICAL", "ALLOW_LEXICAL_NAME"), F.col("id"))))
-    decisions.agg(F.count("*").alias("units"), left_out.alias("excluded")).coalesce(1).write.mode("overwrite").json(path)
+    """counts: a JSON row a decision; excluded: the ids left out, a JSON row each, sorted (as many files as it takes)."""
+    manifest(decisions).coalesce(1).write.mode("overwrite").json(f"{path}/counts")
+    decisions.where(~F.col("decision").isin(*RELEASED)).select("id", "decision").orderBy("id").write.mode("overwrite").json(f"{path}/excluded")
 
 
 def metadata_escape(value: Column) -> Column:

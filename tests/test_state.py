@@ -52,8 +52,11 @@ def test_resolved_failures(spark):
 
 
 def test_context_depth(spark):
-    df = spark.createDataFrame([([True, True, True, True, False, True],)], "x array<boolean>")
-    assert df.select(state.context_depth(F.col("x")).alias("d")).first().d == [1, 2, 3, 0, 0, 1]
+    """By hand: a chain counts 0, 1, 2, 3; one of depth 3 and one not usable pass nothing on; a paragraph starts anew."""
+    rows = [("c", 0, i, ok) for i, ok in enumerate([True, True, True, True, False, True])] + [("c", 1, i, ok) for i, ok in enumerate([False, True, True, None, True], 6)] + [("c", 2, i, True) for i in range(11, 20)]
+    df = spark.createDataFrame(rows, "chapter string, para int, idx int, ok boolean")
+    got = state.context_depth(df, ["chapter", "para"], "idx", F.col("ok")).orderBy("idx").collect()
+    assert [r.depth for r in got] == [0, 1, 2, 3, 0, 0] + [0, 0, 1, 2, 0] + [0, 1, 2, 3, 0, 1, 2, 3, 0]
 
 
 def test_offsets(spark):
@@ -107,13 +110,21 @@ def test_files(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"id": "a", "n": 1}\nnot json\n{"id": "b"}\n')
     assert [x.id for x in files.read_records(spark, str(tmp_path / "r.json"), "id string, n int").orderBy("id").collect()] == ["a", "b"]
     (tmp_path / "ids.txt").write_text(" a \n\nb\na\n")
-    assert sorted(x.id for x in files.read_ids(spark, str(tmp_path / "ids.txt")).collect()) == ["a", "b"]
+    (tmp_path / "ids.txt").write_text(" b \n\na\nb\n")
+    assert [x.id for x in files.read_ids(spark, str(tmp_path / "ids.txt")).orderBy("place").collect()] == ["b", "a"]
+    for name, body in (("l.json", '[{"id": "a", "n": 1}, {"id": "b"}]'), ("o.json", '{"v": 2, "chunks": [{"id": "a", "n": 1}, {"id": "b"}]}')):
+        (tmp_path / name).write_text(body)
+        assert [tuple(x) for x in files.read_specs(spark, str(tmp_path / name), "id string, n int").collect()] == [("a", 1), ("b", None)]
+    (tmp_path / "x.json").write_text('{"chunks": 3}')
+    with pytest.raises(Exception, match="specifications"):
+        files.read_specs(spark, str(tmp_path / "x.json"), "id string, n int").collect()
     d = spark.createDataFrame([("b", None, "PASS", ["x"]), ("a", None, "BLOCK_MISSING", [])], "id string, parent_id string, decision string, detail array<string>")
     files.append_ledger(d, str(tmp_path / "ledger"))
     files.append_ledger(d, str(tmp_path / "ledger"))
     assert spark.read.json(str(tmp_path / "ledger")).count() == 4
     files.write_manifest(d, str(tmp_path / "manifest"))
-    assert spark.read.json(str(tmp_path / "manifest")).first().excluded == ["a"]
+    assert [x.id for x in spark.read.json(str(tmp_path / "manifest" / "excluded")).collect()] == ["a"]
+    assert [(x.decision, x.units, x.released) for x in spark.read.json(str(tmp_path / "manifest" / "counts")).orderBy("decision").collect()] == [("BLOCK_MISSING", 1, False), ("PASS", 1, True)]
     ch = spark.createDataFrame([(1, "A = 1", 0, 5), (0, "B", 5, 9)], "i int, title string, start_ms int, end_ms int")
     assert files.chapter_metadata(ch, "i").first().text.startswith("[CHAPTER]\nTIMEBASE=1/1000\nSTART=5\nEND=9\ntitle=B\n[CHAPTER]") and "title=A \\= 1" in files.chapter_metadata(ch, "i").first().text
 
@@ -135,3 +146,69 @@ def test_stream_equals_batch(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     batch = attempts.attempt_counts(events)
     assert out.count() > 0 and out.exceptAll(batch).count() == 0  # days past the watermark, exactly as in batch
+
+
+def test_load_and_record(spark):
+    """Resume, refuse, carry over and discard; outcomes move units between done and failed."""
+    done = spark.createDataFrame([("a", "1"), ("b", "2")], "id string, text_sha256 string")
+    failed = spark.createDataFrame([("a:c0001", "x", ["r"]), ("c", "3", ["r"])], "id string, text_sha256 string, reasons array<string>")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    now, left, archive = state.loaded(done, failed, "superset", True)
+    assert ids(now) == ["a", "b"] and ids(left) == ["c"] and not archive
+    for relation, same in (("conflict", True), ("match", False)):
+        with pytest.raises(ValueError):
+            state.loaded(done, failed, relation, same)
+        now, left, archive = state.loaded(done, failed, relation, same, force=True)
+        assert ids(now) == ["a", "b"] and ids(left) == ["c"] and archive
+        now, left, archive = state.loaded(done, failed, relation, same, discard=True)
+        assert ids(now) == ids(left) == [] and archive
+    outcomes = spark.createDataFrame([("c", "3", False, ["again"], 1), ("c", "3", True, None, 2), ("b", "2", False, ["late"], 3), ("d", "4", False, ["x"], 1)], "id string, text_sha256 string, passed boolean, reasons array<string>, at int")
+    more = failed.unionAll(spark.createDataFrame([("c:c0002", "y", ["r"])], failed.schema))
+    now, left = state.recorded(done, more, outcomes)
+    assert ids(now) == ["a", "c"] and {r.id: r.reasons for r in left.collect()} == {"b": ["late"], "d": ["x"]}
+
+
+def test_selection_of_units(spark):
+    plan = spark.createDataFrame([("p", 0, "p0"), ("ch01", 1, "a"), ("ch02", 3, "c"), ("ch02", 2, "b")], "chapter string, idx int, id string")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(planning.select_units(plan, None, 3)) == ["a", "b", "p0"] and ids(planning.select_units(plan, ["ch02"])) == ["b", "c"]
+    assert ids(planning.resume_units(plan, ["p", "ch01", "ch02"], "ch01", 2)) == ["a", "b"]
+    with pytest.raises(ValueError):
+        planning.select_units(plan, None, -1)
+    with pytest.raises(ValueError):
+        planning.resume_units(plan, ["p"], "ch09")
+
+
+def test_waiver(spark):
+    """A low log probability alone is made up for by a transcript that is the text, word for word."""
+    one = lambda **k: {"text": "The End, again.", "text_sha256": "t", "done_sha": "t", "omitted": False, "wav": "w", "wav_sha": "w", "actual_wav_sha": "w", "record": 1, "record_sha": "t", "record_wav_sha": "w", "policy_ok": True, "model_ok": True, "take_passes": False, "verdict": "FAIL", "structural_ok": False, "lenient": 0.9, "all_fragile": False, "n_missing": 0, "only_logprob": True, "transcript": "the end again"} | k
+    rows = [one(), one(transcript="the end"), one(only_logprob=False), one(transcript=None)]
+    got = state.decisions(spark.createDataFrame(rows)).collect()
+    assert [r.decision for r in got] == ["ALLOW_LEXICAL", "BLOCK_STRUCTURAL", "BLOCK_STRUCTURAL", "BLOCK_STRUCTURAL"]
+
+
+def test_verdict(spark):
+    from tessera.operators import gates
+
+    kinds = "fraction double, matched_tokens int, expected_tokens int, missing array<string>, mandatory_missing array<string>, terminal_expected string, terminal_matched boolean, no_speech double, logprob double, compression double, most_repeated string, multiplicity int, gap_s double, leakage_flagged boolean, leakage_detail string, boundaries array<struct<kind:string,gap_s:double,threshold_s:double,passed:boolean>>"
+    good = [0.96, 24, 25, [], [], "as it ended", True, 0.01, -0.2, 1.1, None, 1, 0.4, False, None, [("comma", 0.0, None, False), ("sentence_end", 0.2, 0.15, True), ("colon_semicolon", None, 0.1, None)]]
+    names = [k.split(" ")[0] for k in kinds.split(", ")]
+    change = lambda **k: [k.get(n, v) for n, v in zip(names, good)]
+    rows = [
+        (good, []), (change(no_speech=None, logprob=None, compression=None, gap_s=None), []), (change(fraction=0.5, missing=list("abcdefg")), ["coverage 0.50 < 0.85 (matched 24/25, missing ['a', 'b', 'c', 'd', 'e'])"]),
+        (change(mandatory_missing=["x"]), ["mandatory missing: ['x']"]), (change(terminal_matched=False, no_speech=0.6), ["terminal phrase missing: 'as it ended'", "no_speech_prob 0.60 >= 0.6"]),
+        (change(logprob=-1.25, compression=2.5), ["avg_logprob -1.25 < -1.0", "compression_ratio 2.50 > 2.4"]), (change(most_repeated="a b", multiplicity=3, gap_s=2.75), ["repetition: n-gram 'a b' x3", "max internal gap 2.75s > 2.5s"]),
+        (change(leakage_flagged=True, leakage_detail="seen"), ["seen"]), (change(boundaries=[("parenthetical_comma", 0.0, 0.075, False), ("sentence_end", 0.1, 0.15, False)]), ["sentence_end pause 0.100s < 0.150s", "parenthetical_comma pause 0.000s < 0.075s"]),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, (r, _) in enumerate(rows)], f"i int, {kinds}")
+    got = df.select("i", gates.verdict({n: F.col(n) for n in names}).alias("v")).orderBy("i").collect()
+    assert [(r.v.verdict, r.v.reasons) for r in got] == [("FAIL" if want else "PASS", want) for _, want in rows]
+
+
+def test_estimates(spark):
+    pilot = {"audio_s_per_word": 0.5, "tokens_per_audio_s": 12.0, "generation_s_per_token": 0.1, "asr_rtf": None, "load_s": 3.0}
+    e = aggregates.estimate(F.lit(101), pilot)
+    r = spark.range(1).select(*[c.alias(k) for k, c in e.items()], aggregates.remaining_seconds(F.lit(10.0), F.lit(None).cast("double")).alias("left")).first()
+    assert (r.audio_s, r.generation_s, r.asr_s, r.total_s, r.left) == (50.5, 60.6, None, 63.6, None)
+    with pytest.raises(ValueError):
+        aggregates.estimate(F.lit(1), pilot | {"tokens_per_audio_s": None})
