@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import secrets
@@ -52,3 +55,22 @@ def test_assigned_values_are_candidates(spark):
     model = secrets.train(secrets.labelled_findings(spark, 3000))
     kept = {r.doc_id for r in secrets.findings(df, model).collect()}
     assert "Password: Tr0ub4dor&3" in kept and "DB_PASSWORD   =   changeme" not in kept
+
+
+def test_planted_secrets(spark):
+    """Every planted token of the documents table is found, and nothing else is: precision and recall on texts that aren't made here."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no documents table")
+    docs = spark.read.parquet(path)
+    rows = docs.select("doc_id", "text").collect()
+    planted = {(r.doc_id, hashlib.sha256(m[1].encode()).hexdigest()) for r in rows for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or "")}
+    got = {(r.doc_id, r.value_sha256) for r in secrets.findings(docs).collect()}
+    assert len(planted) >= 10 and planted <= got and len(got - planted) <= 0.1 * len(got)
+
+
+def test_repeated_rows(spark):
+    text = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
+    df = spark.createDataFrame([(1, text, 0), (1, text, 0)], "doc_id bigint, text string, score int")
+    got = secrets.findings(df).collect()
+    assert sorted(r.ordinal for r in got) == [0, 0, 1, 1] and len({(r.value_sha256, r.score) for r in got}) == 1
