@@ -32,7 +32,7 @@ others take part in the sweeps, which are joins by word and by context.  At the
 pairs once more, and a tile answers with bare arrays in the order it was asked.  Only sums over the
 whole corpus and the list of split words (``MOST_SPLIT`` at most, 12 MB) reach the driver.
 
-Words are 64-bit hashes of lower-cased (A-Z) tokens.  Rows: null and empty texts are one end token;
+Words are 56-bit hashes of lower-cased (A-Z) tokens (of n distinct words, some n*n/2**57 pairs share one).  Rows: null and empty texts are one end token;
 a null id counts as the empty text for the split; repeated rows are counted and scored each; very long
 texts are scored whole; other columns are ignored.  Without training rows every word is unknown.
 """
@@ -52,7 +52,7 @@ from tessera.llm.common import discard, give_back, mix64, row_slices, small_batc
 from tessera.llm.near import word_hashes
 
 #: Bytes of text in a block, tokens to a tile.
-BLOCK_BYTES, TILE_TOKENS = 8_000_000, 2_500_000
+BLOCK_BYTES, TILE_TOKENS = 5_000_000, 2_500_000
 #: Sweeps at least before the sums may count as settled, and at most; settled sweeps that are averaged.
 BURN, MOST_SWEEPS, SAMPLES = 1, 200, 2
 STRENGTH = 1.0
@@ -60,9 +60,9 @@ STRENGTH = 1.0
 EXACT = 1024
 #: Words that are split over tiles, at most: those of a share of 1 / MOST_SPLIT or more.
 MOST_SPLIT = 1 << 20
-END = np.uint64(0x0123456789ABCDEF)
+END = np.uint64(0x23456789ABCDEF)
 #: The context of a text's first word.
-START = np.uint64(0xFEDCBA9876543210)
+START = np.uint64(0xDCBA9876543210)
 _START = int(START.view(np.int64))
 
 
@@ -105,7 +105,7 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
     for a, b in row_slices(offsets, 1 << 22):
         h, first = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        words.append(np.insert(h, first[1:], END))
+        words.append(np.insert(h >> np.uint64(8), first[1:], END))
         counts.append(np.diff(first) + 1)
     return np.concatenate(words), np.concatenate(counts)
 
