@@ -52,12 +52,14 @@ from tessera.llm.common import discard, give_back, mix64, row_slices, small_batc
 from tessera.llm.near import word_hashes
 
 #: Bytes of text in a block, tokens to a tile.
-BLOCK_BYTES, TILE_TOKENS = 5_000_000, 2_500_000
+BLOCK_BYTES, TILE_TOKENS = 4_000_000, 1_250_000
 #: Sweeps at least before the sums may count as settled, and at most; settled sweeps that are averaged.
 BURN, MOST_SWEEPS, SAMPLES = 1, 200, 2
 STRENGTH = 1.0
 #: Customers up to which the weights of table counts are tabulated.
 EXACT = 1024
+#: Mean tables t of a pair of n customers travel as (t - 1) / (n - 1) in this many steps.
+STEPS = 65535
 #: Words that are split over tiles, at most: those of a share of 1 / MOST_SPLIT or more.
 MOST_SPLIT = 1 << 20
 END = np.uint64(0x23456789ABCDEF)
@@ -530,11 +532,12 @@ def _state(batches, d0: float, d1: float, sweep: int):
 
 
 def _means(batches, d1: float, norms: list[float]):
-    """Pairs (tile, k, u, w, n, p0, g0, p1, ...) with the mean of their tables over the samples."""
+    """Pairs (tile, k, u, w, n, p0, g0, p1, ...) with the mean s of their tables over the samples, in STEPS."""
     for table in _gathered(batches, 200_000):
         n = np.asarray(table.column("n"))
         each = [tables(n, np.log(d1) + np.log(g) + np.log(p) - norm, d1, None) for i, norm in enumerate(norms) for p, g in [_columns(table, f"p{i}", f"g{i}")]]
-        yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("tile", "k", "u", "w")), pa.array(sum(each) / len(each))], names=["tile", "k", "u", "w", "t"])
+        share = np.rint((sum(each) / len(each) - 1) / (n - 1) * STEPS).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("tile", "k", "u", "w")), pa.array(n.astype(np.int32)), pa.array(share)], names=["tile", "k", "u", "w", "n", "s"])
 
 
 # --- scores -------------------------------------------------------------------------
@@ -572,8 +575,8 @@ def _answers(parcels: pa.Table, known: pa.Table, tiles: Tiles) -> pa.Table:
     tile = Tile(parcels)
     k, key, n, t, c_t = _columns(known, "k", "key", "n", "t", "context_t")
     more = np.flatnonzero(tile.n > 1)
-    seats = (tile.n > 0).astype(np.float32)
-    seats[more[k[k >= 0]]] = t[k >= 0]
+    shares = np.zeros(len(tile.n), dtype=np.uint16)
+    shares[more[k[k >= 0]]] = n[k >= 0]
     mine = np.flatnonzero(k < 0)
     mine = mine[np.argsort(key[mine].view(np.uint64))]
     at = np.searchsorted(key[mine].view(np.uint64), tile.words)
@@ -587,9 +590,9 @@ def _answers(parcels: pa.Table, known: pa.Table, tiles: Tiles) -> pa.Table:
         pair = number[first : first + p["pairs"]]
         first += p["pairs"]
         own, c = own[here[own]], tile.n[pair]
-        out.append((p["block"], p["tile"], len(pair), len(own), _planes(c.astype(np.int32)), _planes(seats[pair][c > 1]), _planes(word_n[own]), _planes(word_t[own]), _planes(context_t[own])))
+        out.append((p["block"], p["tile"], len(pair), len(own), _planes(c.astype(np.int32)), _planes(shares[pair][c > 1]), _planes(word_n[own]), _planes(word_t[own]), _planes(context_t[own])))
     answer = pa.table([pa.array(x, pa.int32() if c == "tile" else None) for x, c in zip(zip(*out), names)], names=names)
-    del tile, number, out, seats
+    del tile, number, out, shares
     give_back()
     return answer
 
@@ -602,7 +605,8 @@ def _score(blocks: pa.Table, answers: pa.Table, m: Model, tiles: Tiles) -> pa.Ta
         got = sorted(answers.to_pylist(), key=lambda a: a["tile"])
         n = np.concatenate([_array(a["n"], np.int32, a["pairs"]) for a in got])
         t = (n > 0).astype(float)
-        t[n > 1] = np.concatenate([_array(a["t"], np.float32, int((_array(a["n"], np.int32, a["pairs"]) > 1).sum())) for a in got])
+        share = np.concatenate([_array(a["t"], np.uint16, int((_array(a["n"], np.int32, a["pairs"]) > 1).sum())) for a in got])
+        t[n > 1] = 1 + share / STEPS * (n[n > 1] - 1)
         count, seats, own = np.zeros(len(b.names), np.int64), np.zeros(len(b.names)), np.zeros(len(b.names))
         for into, name, kind in ((count, "word_n", np.int64), (seats, "word_t", np.float32), (own, "context_t", np.float32)):
             into[b.by_home] = np.concatenate([_array(a[name], kind, a["words"]) for a in got])
@@ -683,13 +687,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         flat = reduce(DataFrame.unionAll, [s.select("kind", "key", "x", F.lit(i).alias("i")) for i, s in enumerate(states)])
         flat = flat.groupBy("kind", "key").agg(*[F.max(F.when(F.col("i") == i, F.col("x"))).alias(f"x{i}") for i in range(len(states))])
         of_kind = lambda kind, key, to: flat.where(F.col("kind") == kind).select(F.col("key").alias(key), *[F.col(f"x{i}").alias(f"{to}{i}") for i in range(len(states))]).hint("shuffle_hash")
-        seats = pairs.join(of_kind(0, "w", "p"), "w").join(of_kind(1, "u", "g"), "u").mapInArrow(lambda it: _means(it, d1, norms[-samples:]), "tile int, k int, u bigint, w bigint, t double")
+        seats = pairs.join(of_kind(0, "w", "p"), "w").join(of_kind(1, "u", "g"), "u").mapInArrow(lambda it: _means(it, d1, norms[-samples:]), "tile int, k int, u bigint, w bigint, n int, s int")
     else:
-        seats = pairs.select("tile", "k", "u", "w", F.lit(1.0).alias("t"))
+        seats = pairs.select("tile", "k", "u", "w", F.col("n").cast("int").alias("n"), F.lit(0).alias("s"))
     seats = stored(seats)
     discard(counted, *states)
 
-    extra = lambda key, name: seats.groupBy(F.col(key).alias("key")).agg(F.sum("t").alias(name))
+    mean = 1 + F.col("s") / STEPS * (F.col("n") - 1)
+    extra = lambda key, name: seats.groupBy(F.col(key).alias("key")).agg(F.sum(mean).alias(name))
     known = words.join(extra("w", "more"), "key", "left").join(extra("u", "less"), "key", "left")
     known = known.select("key", "n", (F.col("word_ones") + F.coalesce("more", F.lit(0.0))).alias("t"), (F.col("context_ones") + F.coalesce("less", F.lit(0.0))).alias("context_t"))
     known = stored(known.mapInArrow(lambda it: _homes(it, tiles), "tile int, key bigint, n bigint, t double, context_t double"))
@@ -697,7 +702,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     start = known.where(F.col("key") == _START).first()
     model = Model(of.tokens, of.words, d0, d1, float(known.agg(zero(F.sum("t"))).first()[0]), (learned, start.context_t if start else 0.0))
     none = lambda c, kind: F.lit(0).cast(kind).alias(c)
-    told = known.select("tile", F.lit(-1).alias("k"), "key", "n", "t", "context_t").unionAll(seats.select("tile", "k", none("key", "bigint"), none("n", "bigint"), "t", none("context_t", "double")))
+    told = known.select("tile", F.lit(-1).alias("k"), "key", "n", F.col("t").cast("float").alias("t"), F.col("context_t").cast("float").alias("context_t"))
+    told = told.unionAll(seats.select("tile", "k", none("key", "bigint"), F.col("s").cast("bigint").alias("n"), none("t", "float"), none("context_t", "float")))
     answers = stored(parcels().groupBy("tile").cogroup(told.groupBy("tile")).applyInArrow(lambda p, k: _answers(p, k, tiles), _ANSWER))
     discard(seats, known)
     schema = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"

@@ -46,3 +46,12 @@ def test_verdicts_and_filters(spark):
 
 def test_empty(spark):
     assert quality.apply_rules(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+
+
+def test_odd_rows(spark):
+    """Repeated rows, null ids and columns whose names clash: one row each, judged alike, the columns replaced."""
+    text = "The start of it and " + " ".join(f"w{i % 71}" for i in range(90)) + " to the end."
+    df = spark.createDataFrame([(1, text, "a", 1), (1, text, "a", 1), (None, text, None, None), (None, None, "b", 2)], "doc_id int, text string, n_words string, extra int")
+    got = quality.apply_rules(df).collect()
+    assert len(got) == 4 and sorted(r.n_words for r in got) == [0, 98, 98, 98] and {r.kept for r in got if r.n_words} == {True}
+    assert sorted((r.extra or 0) for r in got) == [0, 1, 1, 2]
