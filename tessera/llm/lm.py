@@ -44,6 +44,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,14 +79,20 @@ def held_out(id_col: Column, parts: int = 7, part: int = 2) -> Column:
 def _planes(x: np.ndarray) -> bytes:
     """An array's bytes, compressed place by place."""
     x = np.ascontiguousarray(x)
-    return pa.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+    return _coder()[0].compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()) if len(x) else b""
+
+
+@lru_cache(maxsize=1)
+def _coder():
+    """One compressor and decompressor a process: making them costs more than most arrays here."""
+    return zstandard.ZstdCompressor(level=1, write_content_size=True), zstandard.ZstdDecompressor()
 
 
 def _array(blob: bytes, kind, n: int) -> np.ndarray:
     kind = np.dtype(kind)
     if not n:
         return np.zeros(0, dtype=kind)
-    raw = pa.decompress(blob, n * kind.itemsize, codec="zstd", asbytes=True)
+    raw = _coder()[1].decompress(blob)
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel()
 
 
@@ -192,7 +199,8 @@ class Block:
         """Word, context and tile of sorted pairs, by tile; and their order."""
         w, u = (x.astype(np.int32) for x in np.divmod(pair, len(self.names)))
         tile = self.tiles.of(self.names[w], self.names[u], self.home[w])
-        order = np.argsort(tile, kind="stable")
+        # sixteen bits are sorted by counting
+        order = np.argsort(tile.astype(np.uint16) if self.tiles.count <= 1 << 16 else tile, kind="stable")
         return w[order], u[order], tile[order], order
 
     def _keys(self) -> np.ndarray:
@@ -239,21 +247,32 @@ def _parcels(batches, tiles: Tiles):
         b = Block(row, tiles)
         w, u, of, n = b.counted()
         split = np.flatnonzero(np.isin(b.names, tiles.split))
-        for tile in np.union1d(of, b.home[split]):
+        at_home = b.home[split]
+        out: list[tuple] = []
+        for tile in np.union1d(of, at_home).tolist():
             at = slice(*np.searchsorted(of, [tile, tile + 1]))
-            own = split[b.home[split] == tile]
-            words, per = np.unique(np.r_[w[at], own], return_counts=True)
-            per -= np.isin(words, own)
+            first = np.flatnonzero(np.diff(w[at], prepend=-1))  # pairs are sorted by word
+            words, per = w[at][first], np.diff(np.r_[first, at.stop - at.start])
+            if len(own := np.setdiff1d(split[at_home == tile], words)):  # split words are asked for at home, even without pairs there
+                words, per = np.r_[words, own], np.r_[per, np.zeros(len(own), dtype=np.int64)]
+                order = np.argsort(words)
+                words, per = words[order], per[order]
             heads, head = np.unique(u[at], return_inverse=True)
-            yield pa.record_batch({
-                "tile": pa.array([int(tile)], pa.int32()), "block": pa.array([row["block"]]), "kinds": pa.array([len(words)]), "heads": pa.array([len(heads)]), "pairs": pa.array([len(head)]),
-                "words": pa.array([_steps(b.names[words])]), "per_word": pa.array([_planes(per.astype(np.int32))]),
-                "contexts": pa.array([_steps(b.names[heads])]), "context": pa.array([_planes(head.astype(np.int32))]), "n": pa.array([_planes(n[at])]),
-            })
+            out.append((tile, row["block"], len(words), len(heads), len(head), _steps(b.names[words]), _planes(per.astype(np.int32)), _steps(b.names[heads]), _planes(head.astype(np.int32)), _planes(n[at])))
+            if len(out) == 32:
+                yield _parcel_rows(out)
+                out = []
+        if out:
+            yield _parcel_rows(out)
         del b, w, u, of, n
         give_back()
 
 
+def _parcel_rows(rows: list[tuple]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in _PARCEL.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) if c == "tile" else pa.array(x) for c, x in zip(names, zip(*rows))], names=names)
+
+
 # --- tiles ------------------------------------------------------------------------
 
 
