@@ -53,8 +53,9 @@ def number_words(text):
 
 _LOWER_ABBREVIATIONS = "|".join(re.escape(a[:-1]) for a in sorted(ABBREVIATIONS, key=lambda a: (-len(a), a)))
 #: An end of a sentence of a normalised line, with the space after it: no abbreviation, no initials, no small letter next.
+#: What stands before a mark is looked at only there.
 SENTENCE_END = (
-    rf"(?<![.!?])((?:(?<!(?:^|\s)(?i:{_LOWER_ABBREVIATIONS}))(?<!(?:^|\s)(?:[A-Z]\.){{0,30}}[A-Z])\.|[!?])[.!?]*[)\]]?)\s+(?!\p{{Ll}})"
+    rf"((?:\.(?<![.!?]\.)(?<!(?:^|\s)(?i:{_LOWER_ABBREVIATIONS})\.)(?<!(?:^|\s)(?:[A-Z]\.){{1,31}})|[!?](?<![.!?][!?]))[.!?]*[)\]]?)\s+(?!\p{{Ll}})"
 )
 
 

@@ -30,7 +30,7 @@ def plan_chunks(docs: DataFrame, target: int = T.TARGET_WORDS, most: int = T.MOS
     rows = rows.withColumn("n", F.transform("s", lambda x: T.words(x)))
     rows = rows.withColumn("g", T.group_numbers(F.col("n"), target, most))
     group = F.explode(F.sequence(F.lit(0), F.array_max("g")))
-    rows = rows.where(F.size("s") > 0).select("doc_id", "para", "s", "n", "g", group.alias("k"))
+    rows = rows.select("doc_id", "para", "s", "n", "g", group.alias("k"))  # a line has a sentence at least
     s0 = F.array_position("g", F.col("k")).cast("int") - 1
     rows = rows.withColumn("s0", s0).withColumn("m", F.size(F.filter("g", lambda x: x == F.col("k"))))
     before = F.slice("s", 1, F.col("s0"))
