@@ -236,6 +236,8 @@ def _frequent(batches, least: int):
         n = np.bincount(_array(row["stream"], np.int32, row["tokens"]), weights=learns, minlength=row["kinds"]).astype(np.int64)
         often = np.flatnonzero(n * least >= max(1, int(learns.sum())))
         yield pa.record_batch({"w": pa.array(_summed(row["words"], np.uint64, row["kinds"])[often].view(np.int64)), "n": pa.array(n[often])})
+        del learns, n, often
+        give_back()
 
 
 _PARCEL = "tile int, block bigint, kinds bigint, heads bigint, pairs bigint, words binary, per_word binary, contexts binary, context binary, n binary"
@@ -341,6 +343,8 @@ def _marks(batches):
             for a in range(0, size, 100_000):
                 part = slice(a, a + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (key.view(np.int64), n, *rest)], names=["key", "n", "word_ones", "word_more", "context_ones", "context_more"])
+        del key, given, n, rest
+        give_back()
 
 
 _PAIRS = "tile int, k int, u bigint, w bigint, n bigint"
@@ -462,7 +466,7 @@ def tables(n: np.ndarray, log_a: np.ndarray, d: float, at: np.ndarray | None) ->
         width = min(top, EXACT)
         bucket = np.flatnonzero((n > top // 2) & (n <= width))
         t = np.arange(1, width + 1)
-        for part in np.array_split(bucket, max(1, len(bucket) * width // 500_000)):
+        for part in np.array_split(bucket, max(1, len(bucket) * width // 200_000)):
             weight = _ways(d)[n[part], 1 : width + 1] + log_a[part, None] * t
             weight = np.exp(weight - weight.max(axis=1, keepdims=True, initial=-np.inf))
             if at is None:
@@ -473,7 +477,7 @@ def tables(n: np.ndarray, log_a: np.ndarray, d: float, at: np.ndarray | None) ->
         top *= 2
     large = np.flatnonzero(n > EXACT)
     error = _saddle_error(d) if len(large) else None
-    for part in np.array_split(large, max(1, len(large) // 500)):
+    for part in np.array_split(large, max(1, len(large) // 200)):
         if not len(part):
             continue
         m, a = n[part, None].astype(float), log_a[part, None]
@@ -512,6 +516,7 @@ def tables(n: np.ndarray, log_a: np.ndarray, d: float, at: np.ndarray | None) ->
 
 
 def _gathered(batches, rows: int):
+    """Batches together to so many rows or more; freed memory goes back at the end."""
     held, n = [], 0
     for batch in batches:
         held.append(batch)
@@ -521,6 +526,8 @@ def _gathered(batches, rows: int):
             held, n = [], 0
     if n:
         yield pa.Table.from_batches(held).combine_chunks()
+    held.clear()
+    give_back()
 
 
 def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
@@ -529,7 +536,7 @@ def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
 
 def _drawn(batches, d1: float, log_norm: float, sweep: int):
     """New tables of pairs (u, w, n, p, g) as (kind, key, t): sums by word (kind 0) and context (1). Sweep 0: a first guess."""
-    for table in _gathered(batches, 200_000):
+    for table in _gathered(batches, 60_000):
         u, w, n = _columns(table, "u", "w", "n")
         if sweep:
             p, g = _columns(table, "p", "g")
@@ -548,11 +555,12 @@ def _state(batches, d0: float, d1: float, sweep: int):
         kind, key, t = (np.asarray(batch.column(c)) for c in range(3))
         x = auxiliary(kind, key.view(np.uint64), t, d0, d1, sweep)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x)], names=["kind", "key", "t", "x"])
+    give_back()
 
 
 def _means(batches, d1: float, norms: list[float]):
     """Pairs (tile, k, u, w, n, p0, g0, p1, ...) with the mean s of their tables over the samples, in STEPS."""
-    for table in _gathered(batches, 200_000):
+    for table in _gathered(batches, 60_000):
         n = np.asarray(table.column("n"))
         each = [tables(n, np.log(d1) + np.log(g) + np.log(p) - norm, d1, None) for i, norm in enumerate(norms) for p, g in [_columns(table, f"p{i}", f"g{i}")]]
         share = np.rint((sum(each) / len(each) - 1) / (n - 1) * STEPS).astype(np.int32)
