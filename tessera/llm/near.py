@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, components, dealt_anew, mix64, row_slices, stored, string_buffers, text_key
+from tessera.llm.common import checkpointed, components, dealt_anew, give_back, mix64, row_slices, small_batches, stored, string_buffers, text_key
 from tessera.llm.repeats import Prints
 
 WORDS = 5
@@ -53,7 +53,8 @@ FAN = 16
 FREQUENT, FREQUENT_MOST = 16, 400_000
 #: Sets that one R-tree holds at most twice.
 TILE = 1000
-SLICE = 1 << 22
+#: Bytes of texts that a worker hashes at once, and whose shingles it counts at once.
+SLICE, COUNTED = 1 << 20, 1 << 23
 _U = np.uint64
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407], dtype=np.uint64)
 
@@ -205,7 +206,7 @@ def _sets(batches):
     """A row (0, r1, r2, node, size) for each text, and (1, hash, texts) for hashes in two texts of a slice or more."""
     for batch in batches:
         data, offsets = string_buffers(batch.column(0))
-        for a, b in row_slices(offsets, 2 * SLICE):
+        for a, b in row_slices(offsets, COUNTED):
             sets = list(shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
             h, n = np.unique(np.concatenate(sets), return_counts=True)
             h, n = h[n > 1].view(np.int64), n[n > 1]
@@ -216,12 +217,13 @@ def _sets(batches):
             r1 = pa.array(np.r_[np.asarray(batch.column(1))[a:b], h])
             r2 = pa.array(np.r_[np.asarray(batch.column(2))[a:b], np.zeros(len(h), dtype=np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(kind), r1, r2, node, size], names=["kind", "r1", "r2", "node", "size"])
+    give_back()
 
 
 def _prefixes(batches, frequent: np.ndarray):
     """(hash, node) for the prefix of each set, once a task for equal sets."""
     seen = set()
-    for batch in batches:
+    for batch in small_batches(batches, 0):
         data, offsets = string_buffers(batch.column(0))
         hashes, nodes, lengths = [], [], []
         for s in shingles(data, offsets):
@@ -242,6 +244,7 @@ def _prefixes(batches, frequent: np.ndarray):
             n = np.repeat(np.array(nodes, dtype=np.int64), lengths)
             for at in range(0, len(h), 500_000):
                 yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 500_000]), pa.array(n[at : at + 500_000])], names=["h", "node"])
+    give_back()
 
 
 def _regions(batches):
@@ -261,14 +264,16 @@ def _regions(batches):
         if len(pairs):
             pairs = np.unique(pairs, axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["leader", "node"])
+    give_back()
 
 
 def _verified(batches):
     """Pairs (a, b) whose texts link."""
-    for batch in batches:
+    for batch in small_batches(batches, 2):
         a, b = (list(shingles(*string_buffers(batch.column(i)))) for i in (2, 3))
         ok = [links(len(x), len(y), overlap(x, y)) for x, y in zip(a, b)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    give_back()
 
 
 def _within_bound(batches):
@@ -284,6 +289,7 @@ def _within_bound(batches):
             most = np.minimum(_unpack(pa_.take(take)), _unpack(pb.take(take))).sum(axis=1)
             ok[part] = most >= least_shared(na[part], nb[part])
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok))
+    give_back()
 
 
 def _by_tile(batches, finish):
@@ -307,6 +313,8 @@ def _by_tile(batches, finish):
             held.append(batch.slice(at, end - at))
     if held:
         yield from done()
+        held = []
+    give_back()
 
 
 def _open_rows(rows: pa.Table):
@@ -344,7 +352,7 @@ def near_links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Data
     # one text for each node of a region
     members = regions.select("node").unionAll(regions.select(F.col("leader").alias("node"))).distinct()
     chosen = sets.groupBy("node").agg(F.min(F.struct("r1", "r2")).alias("x")).join(members, "node", "left_semi").select("node", "x.*")
-    held = stored(texts.join(chosen, ["r1", "r2"]).mapInArrow(_once, "node bigint, size bigint, p0 binary, p1 binary, text string"))
+    held = stored(texts.join(chosen, ["r1", "r2"]).select("r1", "r2", "text", "node").mapInArrow(_once, "node bigint, size bigint, p0 binary, p1 binary, text string"))
 
     def both(pairs: DataFrame, *columns: str) -> DataFrame:
         for c in ("a", "b"):
@@ -383,13 +391,14 @@ def near_links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Data
 def _once(batches):
     """(node, size, p0, p1, text) of the first row of each node that a task meets (copies of a text have equal rows)."""
     seen = set()
-    for batch in batches:
+    for batch in small_batches(batches, 2):
         column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
         rows = pa.array([i for i, n in enumerate(column("node").to_pylist()) if not (n in seen or seen.add(n))], pa.int64())
         texts = column("text").take(rows)
         sets = list(shingles(*string_buffers(texts)))
         points = [_pack(sets, g) for g in GROUPS]
         yield pa.RecordBatch.from_arrays([column("node").take(rows), pa.array([len(x) for x in sets], pa.int64()), *points, texts], names=["node", "size", "p0", "p1", "text"])
+    give_back()
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

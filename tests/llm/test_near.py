@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import near
@@ -81,6 +83,21 @@ def test_links_between_members_only(spark):
     assert near.region_links([1, 2, 3], [1, 2, 3], [a, b, c]) == [(2, 3)]
 
 
+def test_workers_hold_a_part_of_a_batch():
+    """A batch of 80 MB of texts in pairs: the shingles of a part are there at once, not those of all."""
+    text = " ".join(f"w{i * i % 7919}" for i in range(1000))
+    n = 40_000_000 // len(text)
+    texts = pa.array([f"{i} {text}" for i in range(n)])
+    ids = pa.array(range(n), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, texts, texts], names=["a", "b", "ta", "tb"])
+    list(near._verified([batch.slice(0, 10)]))  # tables that are kept
+    tracemalloc.start()
+    rows = sum(len(x) for x in near._verified([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n and peak < 120_000_000, peak
+
+
 def test_bound_never_prunes_a_link():
     rnd = np.random.default_rng(2)
     base = np.unique(rnd.integers(0, 2**63, 400).astype(np.uint64))
