@@ -17,9 +17,10 @@ over *regions* that contain every pair which can link:
 3. Leader-member pairs come first, each on its own: those that the bound on their points allows are
    verified, and their components labelled.  A region of one component is done, so a large group of
    near copies costs one verification a member.
-4. Regions with several components go through R-trees of points, in tiles of bounded size, which name
-   the members that may link with another component.  Only those get their texts, and a second pass
-   of the same trees verifies and emits the links that join two components.
+4. Regions whose members other than the leader are of several components go through R-trees of points,
+   in tiles of bounded size, which name the members that may link with another component.  Only those
+   get their texts, and a second pass of the same trees verifies and emits the links that join two
+   components.
 
 The links found connect exactly what all links would, so components are those of the full join.  Equal
 sets are one node throughout, so copies are never paired.  Nodes are 64-bit set fingerprints (two of
@@ -339,6 +340,16 @@ def frequent_hashes(counts: DataFrame) -> np.ndarray:
     return np.sort(np.asarray(most.column(0)).view(np.uint64)) if len(most) else np.zeros(0, dtype=np.uint64)
 
 
+def open_members(regions: DataFrame, labels: DataFrame) -> DataFrame:
+    """(leader, node, comp, parts) of the regions whose members, without the leader, are of several components.
+
+    Every pair with a leader was compared before, so only pairs of two other members are left.
+    """
+    whole = regions.join(labels, "node", "left").select("leader", "node", F.coalesce("component", "node").alias("comp"))
+    open_ = whole.groupBy("leader").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    return whole.join(dealt_anew(open_.select("leader", F.ceil(F.col("n") / TILE).cast("int").alias("parts")), "leader"), "leader")
+
+
 def near_links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts: r1, r2, node, size; labels: node, component) with a label for each linked node."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *text_key(F.col(text_col)))
@@ -366,18 +377,16 @@ def near_links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Data
     stars = checkpointed(both(pairs, "text").mapInArrow(_verified, "a bigint, b bigint"))
     labels = checkpointed(components(stars))
 
-    # regions of several components
-    whole = regions.select("leader", "node").unionAll(regions.select("leader", F.col("leader").alias("node")).distinct())
-    whole = whole.join(labels, "node", "left").select("leader", "node", F.coalesce("component", "node").alias("comp"))
-    open_ = whole.groupBy("leader").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    open_ = open_.select("leader", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
-    rows = whole.join(dealt_anew(open_, "leader"), "leader").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = open_members(regions, labels).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tile = F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other"))
     rows = rows.select(tile.alias("tile"), "node", "comp")
 
+    # a number of partitions, because the time that a tile takes is not that of its bytes, by which Spark would gather them
+    dealt = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def tiles(*columns: str) -> DataFrame:
-        return rows.join(held.select("node", *columns), "node").select("tile", "node", "comp", *columns).repartition("tile").sortWithinPartitions("tile")
+        return rows.join(held.select("node", *columns), "node").select("tile", "node", "comp", *columns).repartition(dealt, "tile").sortWithinPartitions("tile")
 
     for p in ("p0", "p1"):
         rows = checkpointed(tiles("size", p).mapInArrow(lambda it: _by_tile(it, _open_rows), "tile bigint, node bigint, comp bigint"))

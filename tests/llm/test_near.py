@@ -83,6 +83,14 @@ def test_links_between_members_only(spark):
     assert near.region_links([1, 2, 3], [1, 2, 3], [a, b, c]) == [(2, 3)]
 
 
+def test_pairs_with_leaders_are_not_compared_again(spark):
+    """Regions: 1 with 2; 3 with 4 and 5, which are one component; 6 with 7, 8 and 9."""
+    regions = spark.createDataFrame([(1, 2), (3, 4), (3, 5), (6, 7), (6, 8), (6, 9)], "leader bigint, node bigint")
+    labels = spark.createDataFrame([(4, 4), (5, 4), (6, 6), (7, 6)], "node bigint, component bigint")
+    got = near.open_members(regions, labels).collect()
+    assert sorted((r.leader, r.node, r.comp, r.parts) for r in got) == [(6, 7, 6, 1), (6, 8, 8, 1), (6, 9, 9, 1)]
+
+
 def test_workers_hold_a_part_of_a_batch():
     """A batch of 80 MB of texts in pairs: the shingles of a part are there at once, not those of all."""
     text = " ".join(f"w{i * i % 7919}" for i in range(1000))
