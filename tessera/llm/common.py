@@ -13,6 +13,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,23 @@ def drop_unused(spark: SparkSession) -> None:
     """Let the driver find shuffles and checkpoints that nothing refers to any more, and delete their files."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim_driver(spark)
+
+
+def trim_driver(spark: SparkSession) -> bool:
+    """Return freed native memory of the driver's JVM to the system: hundreds of threads plan and run queries there, and
+    what they allocate outside the heap stays with the process.  False on JVMs that have no such command."""
+    sc = spark.sparkContext
+    server = sc._jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    args = sc._gateway.new_array(sc._jvm.java.lang.Object, 4)
+    args[0], args[1] = sc._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    # by the interface's method: the server's own class is not open to callers
+    invoke = next(m for m in sc._jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    try:
+        invoke.invoke(server, args)
+    except Py4JError:
+        return False
+    return True
 
 
 #: Folders of ours that are still there.

@@ -8,7 +8,7 @@ spends the token budget; where a cell should grow beyond what it has, all of it
 
 Targets are tempered shares (share to the power of ``temper``, normalised) unless given.  The cell
 table has one row for each combination that occurs and stays a DataFrame: marginals are aggregated
-and joined back, with a checkpoint a round; only the largest deviation of a round is collected.
+and joined back, with a checkpoint each; only the largest deviation of a round is collected.
 Targets that no table with these cells has (such as a share for a source without tokens) never settle:
 that is an error.  Documents meet the rates of their cells in a broadcast join if the cells were counted
 to be ``BROADCAST_CELLS`` at most, so texts aren't dealt by cell; beyond that Spark joins as it sees fit.
@@ -79,8 +79,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
             sums = step.groupBy(c).agg(F.sum("raked").alias("__sum")).join(target, c, "left")
             scale = F.when(F.col("__sum") > 0, F.try_divide(F.coalesce("target", F.lit(0.0)) * total, F.col("__sum"))).otherwise(1.0)
             step = step.join(sums.select(c, scale.alias(f"__scale_{c}")), c).withColumn("raked", F.col("raked") * F.col(f"__scale_{c}"))
+            step = checkpointed(step)  # its sums and its rows are read next: plans would double with each dimension
             worst.append(F.abs(F.col(f"__scale_{c}") - 1))
-        now = checkpointed(step)
+        now = step
         deviations.append(now.where("raked > 0").agg(F.max(F.greatest(*worst))).first()[0] or 0.0)
         now = now.select(*cells.columns, "raked")
     return now.withColumn("factor", F.when(F.col("tokens") > 0, F.try_divide("raked", "tokens")).otherwise(1.0)).drop("raked")

@@ -35,3 +35,9 @@ def test_slices():
     assert offsets.tolist() == [0, 0, 3, 3, 7] and bytes(data) == b"cccdddd"
     assert list(common.row_slices(offsets, 3)) == [(0, 3), (3, 4)]
     assert len(np.unique(common.mix64(np.arange(1000, dtype=np.uint64)))) == 1000
+
+
+def test_driver_gives_native_memory_back(spark):
+    """The JVM of the tests (17) has the command; without it the driver goes on."""
+    assert common.trim_driver(spark) is True
+    common.drop_unused(spark)

@@ -97,3 +97,13 @@ def test_odd_rows(spark):
     assert set(out.columns) == {"doc_id", "text", "lang", "source", "topic", "n_tokens", "probability", "weight", "kept"}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_plans_of_a_round_dont_double(spark, monkeypatch):
+    """Each dimension joins its sums with its target and its rows: two joins, whatever the dimension."""
+    joins, cut = [], mixing.checkpointed
+    monkeypatch.setattr(mixing, "checkpointed", lambda df: joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or cut(df))
+    cells = spark.createDataFrame([(f"s{i % 3}", f"l{i % 2}", f"t{i % 4}", 10 + i) for i in range(12)], "__source string, __lang string, topic string, tokens bigint")
+    targets = {c: cut(mixing.tempered(cells, c, 0.7)) for c in mixing.CELL}
+    got = mixing.rake(cells, targets).collect()
+    assert len(got) == 12 and len(joins) > 3 and max(joins) == 2
