@@ -40,10 +40,13 @@ BROADCAST_WINDOWS = 300_000
 UNITS = "kg|km|cm|mm|mg|ml|lbs?|oz|ft|mph|miles?|meters?|metres?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|pounds?|cents?|usd|eur|degrees?|grams?|liters?|litres?|percent"
 UNITS += "|tagen?|stunden?|wochen?|monaten?|jahren?|minuten?|sekunden?|gramm|prozent|jours?|heures?|semaines?|mois|ans|grammes?|horas?|semanas?|meses|metros?|litros?|gramos?|kilos?"
 GAP = r"[\x09-\x0D\p{Z}]"
-NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
-QUANTITY = rf"[$€£]{GAP}*{NUMBER}|{NUMBER}(?:{GAP}*%|{GAP}*(?i:{UNITS})\b)"
+# Repeated groups are possessive: nothing after them could match what they give back, and the pattern engine recurses into
+# others once a repetition, so that a run of a thousand names or figures would overflow a task's stack and end its executor.
+NUMBER = r"[0-9]++(?:[.,:/][0-9]++)*+"
+# a figure is tried at its start only: from within it a search ends where it does from there
+QUANTITY = rf"[$€£]{GAP}*{NUMBER}|(?=[0-9])(?<![0-9]|[0-9][.,:/]){NUMBER}(?:{GAP}*%|{GAP}*(?i:{UNITS})\b)"
 NAME = r"(?<![\p{L}'’])\p{Lu}[\p{Ll}'’]++(?!\p{L})"
-NAMES = rf"{NAME}(?:{GAP}+{NAME})*"
+NAMES = rf"{NAME}(?:{GAP}++{NAME})*+"
 RAW = rf"{QUANTITY}|{NUMBER}|{NAMES}|['’]*\p{{L}}[\p{{L}}'’]*"
 NAME_MARK, QUANTITY_MARK, NUMBER_MARK = "\u0002", "\u0003", "\u0001"
 PLAIN, NAMED = 0, 1

@@ -115,6 +115,18 @@ def test_very_long_text(spark):
     assert found(spark, f"{filler} {QUESTION} {filler}", QUESTION)[0] > 0 and found(spark, filler, QUESTION) is None
 
 
+def test_long_runs(spark):
+    """Runs of very many names, figures or both in one text (lists, tables) don't overflow the stack of the pattern engine."""
+    runs = {
+        "names": "Anna Berta\nCarla " * 20_000,
+        "figures": "1,20:3/4." * 5_000 + "5",
+        "quantities": "$" + "1,20:3/4." * 5_000 + "5 kg of it",
+        "both": "Anna Berta 1.5 Carla 2 kg " * 20_000,
+    }
+    docs = [(k, f"{run} and {QUESTION} {run}", 0) for k, run in enumerate(runs.values())] + [(k + 10, run, 0) for k, run in enumerate(runs.values())]
+    assert pairs(spark, docs, [(1, QUESTION)]) == {(k, 1) for k in range(len(runs))}
+
+
 def test_sql(spark, tmp_path):
     """The query against its SQL on short items, names, units and repeated rows."""
     import duckdb
