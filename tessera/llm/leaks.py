@@ -52,9 +52,16 @@ NAME_MARK, QUANTITY_MARK, NUMBER_MARK = "\u0002", "\u0003", "\u0001"
 PLAIN, NAMED = 0, 1
 
 
+def _unmarked(text: Column) -> Column:
+    """A text in which the marks are blanks; null is empty.  Few texts have any, and translate() goes character by character."""
+    text, marks = F.coalesce(text, F.lit("")), NAME_MARK + QUANTITY_MARK + NUMBER_MARK
+    any_mark = text.contains(marks[0]) | text.contains(marks[1]) | text.contains(marks[2])
+    return F.when(any_mark, F.translate(text, marks, " " * len(marks))).otherwise(text)
+
+
 def marked_figures(text: Column) -> Column:
     """A text with its quantities and numbers replaced by their marks."""
-    text = F.translate(F.coalesce(text, F.lit("")), NAME_MARK + QUANTITY_MARK + NUMBER_MARK, "   ")
+    text = _unmarked(text)
     return F.regexp_replace(F.regexp_replace(text, QUANTITY, f" {QUANTITY_MARK} "), NUMBER, f" {NUMBER_MARK} ")
 
 
@@ -65,7 +72,7 @@ def template_tokens(figures: Column, kind: int) -> Column:
 
 
 def raw_tokens(text: Column) -> Column:
-    text = F.translate(F.coalesce(text, F.lit("")), NAME_MARK + QUANTITY_MARK + NUMBER_MARK, "   ")
+    text = _unmarked(text)
     return F.regexp_extract_all(text, F.lit(RAW), F.lit(0))
 
 

@@ -66,6 +66,13 @@ def test_passes_equal_raw_tokens(spark):
             assert r.a == r.b, r
 
 
+def test_marks_of_the_text_itself(spark):
+    """Marks that a text holds become blanks, whichever it holds; other texts stay as they are."""
+    texts = {None: "", "": "", "a b": "a b", "a\u0001b": "a b", "\u0002a": " a", "a\u0003": "a ", "\u0003a\u0001\u0002": " a  "}
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", leaks._unmarked(F.col("text")).alias("out"))
+    assert {r.text: r.out for r in df.collect()} == texts
+
+
 def found(spark, text, item):
     d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     rows = leaks.leaked_pairs(d, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
