@@ -62,7 +62,7 @@ SENTENCE_END = (
 def sentences_sql(text: Column) -> Column:
     """Array of sentences of a normalised line by the full rule, as expressions only."""
     marked = F.regexp_replace(text, SENTENCE_END, "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")  # a bare F.trim would take the index as what to trim
 
 
 def count_words(text: str) -> int:

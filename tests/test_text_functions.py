@@ -103,3 +103,9 @@ def test_columns(spark):
     row = df.select(text.number_words("t").alias("n"), tokens.tokens_of("t").alias("k"), speech.speak_text("t").alias("s"), text.sentence_spans("t").alias("p"), text.clause_units("t").alias("u"), tokens.readings_of("t").alias("r")).collect()
     assert row[0].n == "In fourteen oh five he left. Abbas I, too." and row[0].s.startswith("In 1405 he left. Abbas the First,") and len(row[0].p) == 2
     assert row[1].n is None and row[1].k == [] and row[1].p == []
+
+
+def test_sentences_keep_figures_that_equal_their_place(spark):
+    line = "End. 12 men. 2 x 2. 4133 3. 45"
+    got = spark.createDataFrame([(line,)], "t string").select(text.sentences_sql(F.col("t")).alias("s")).first().s
+    assert got == ["End.", "12 men.", "2 x 2.", "4133 3.", "45"]
