@@ -44,6 +44,17 @@ def test_chunks_are_exact_slices(spark):
     assert chunks.where((F.col("words") > 85) & (F.col("s1") - F.col("s0") > 1)).count() == 0
 
 
+def test_chunks_that_end_in_figures(spark):
+    """A sentence keeps the figure that equals its place in the line, and so do a chunk's end and hash."""
+    import hashlib
+
+    from tessera.operators import planning
+
+    line = "One. 21"
+    row = planning.plan_chunks(spark.createDataFrame([(1, line)], "doc_id bigint, text string")).first()
+    assert (row.end, row.text_sha256) == (len(line), hashlib.sha256(line.encode()).hexdigest())
+
+
 def test_turns_are_read_whole(spark):
     """Alignments reach past the 80th token, and a turn's end is its last five tokens."""
     import re
