@@ -170,13 +170,21 @@ def metadata_blocks(spark, sf):
 # --- alignment ------------------------------------------------------------------
 
 
-def _turns(spark, sf) -> DataFrame:
-    """Each turn with the one before it as its expected text; all tokens of both."""
+def _turn_texts(spark, sf) -> DataFrame:
+    """Each turn with the one before it as its expected text."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.lag("text").over(w).alias("before")).where("before is not null")
+    return table(spark, sf, "conversations").select("conv_id", "turn", "text", F.lag("text").over(w).alias("before")).where("before is not null")
+
+
+def _tokens(rows: DataFrame) -> DataFrame:
+    """All tokens of both texts."""
     return rows.withColumns({"heard": plain_tokens(F.col("text")), "expected": plain_tokens(F.col("before"))})
 
 
+def _turns(spark, sf) -> DataFrame:
+    return _tokens(_turn_texts(spark, sf))
+
+
 @query
 def turn_coverage(spark, sf):
     return _turns(spark, sf).select("conv_id", "turn", matching.coverage_of("expected", "heard").alias("c")).select("conv_id", "turn", "c.expected_tokens", "c.matched_tokens", "c.fraction")
@@ -223,14 +231,24 @@ def punctuation_pauses(spark, sf):
     return rows.groupBy("p.kind").agg(F.count("*").alias("checked"), F.count_if("p.aligned").alias("aligned"), F.count_if(F.col("p.passed") == F.lit(True)).alias("passed"), F.count_if(F.col("p.passed") == F.lit(False)).alias("failed"), F.count_if(~F.col("p.aligned")).alias("unaligned"))
 
 
+def _dealt_turns(spark, sf) -> DataFrame:
+    """Turns by themselves, so that a long conversation's n-grams are counted in many tasks."""
+    return _tokens(_turn_texts(spark, sf).repartition("conv_id", "turn"))
+
+
 @query
 def ngram_repetition(spark, sf):
-    """N-grams repeated beyond the turn before; the most frequent, then shortest, then first."""
-    rows = _turns(spark, sf)
-    grams = lambda c: rows.select("conv_id", "turn", F.explode(agg.ngrams(F.col(c))).alias("g")).groupBy("conv_id", "turn", F.col("g.size").alias("size"), F.col("g.gram").alias("gram")).agg(F.count("*").alias("n"), F.min("g.at").alias("at"))
-    over = grams("heard").join(grams("expected").withColumnRenamed("n", "e").drop("at"), ["conv_id", "turn", "size", "gram"], "left").where("n > 1 and n > coalesce(e, 0)")
+    """N-grams repeated beyond the turn before; the most frequent, then shortest, then first.
+
+    Both turns' n-grams are counted at once where the turn lies.  A join would take the expected ones for as small as
+    their texts and send all of them to the driver as a broadcast.
+    """
+    side = lambda c: F.transform(agg.ngrams(F.col(c)), lambda g: F.struct(g["size"].alias("size"), g["gram"].alias("gram"), F.when(F.lit(c == "heard"), g["at"]).alias("at")))
+    grams = _dealt_turns(spark, sf).select("conv_id", "turn", F.explode(F.concat(side("heard"), side("expected"))).alias("g"))
+    known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()  # a turn without ids has no expected text
+    counts = grams.groupBy("conv_id", "turn", F.col("g.size").alias("size"), F.col("g.gram").alias("gram")).agg(F.count("g.at").alias("n"), F.count_if(F.col("g.at").isNull() & known).alias("e"), F.min("g.at").alias("at"))
     best = F.max_by(F.struct("gram", "n"), F.struct("n", -F.col("size"), -F.col("at")))
-    return over.groupBy("conv_id", "turn").agg(best.alias("b"), F.count("*").alias("repeated")).select("conv_id", "turn", F.col("b.gram").alias("most_repeated"), F.col("b.n").alias("max_multiplicity"), "repeated")
+    return counts.where("n > 1 and n > e").groupBy("conv_id", "turn").agg(best.alias("b"), F.count("*").alias("repeated")).select("conv_id", "turn", F.col("b.gram").alias("most_repeated"), F.col("b.n").alias("max_multiplicity"), "repeated")
 
 
 @query
@@ -497,7 +515,8 @@ def hard_gate_reasons(spark, sf):
 def loop_repetitions(spark, sf):
     """Turns whose most repeated n-gram is a loop beside the turn before."""
     grams = ngram_repetition(spark, sf)
-    rows = _turns(spark, sf).join(grams, ["conv_id", "turn"])
+    # both lie by turn; merged, as tokens are estimated by their texts and would be broadcast
+    rows = _dealt_turns(spark, sf).hint("merge").join(grams, ["conv_id", "turn"])
     return rows.select("conv_id", "turn", gates.is_loop(F.col("max_multiplicity"), F.col("most_repeated"), F.col("expected"), 1).alias("loop"))
 
 

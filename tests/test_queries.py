@@ -72,3 +72,9 @@ def test_turns_are_read_whole(spark):
     assert any(n > 80 for n in sizes.values())
     at = REGISTRY["fuzzy_alignment"](spark, SMALL).collect()
     assert max(r.expected_at for r in at) >= 80 and max(r.heard_at for r in at) >= 80
+
+
+@pytest.mark.parametrize("name", ["ngram_repetition", "loop_repetitions"])
+def test_ngrams_are_not_broadcast(spark, name):
+    """Spark estimates exploded n-grams by their texts; all of them would pass through the driver."""
+    assert "Broadcast" not in REGISTRY[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
