@@ -10,6 +10,9 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
+#: Rows of a batch that are Python objects at a time.
+PART = 64
+
 
 def mapped(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
     """Turn f(value, ...) -> value into a function of columns with the given result type."""
@@ -23,7 +26,9 @@ def mapped(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
                 arrow = to_arrow_type(kind)
 
                 def run(*arrays: pa.Array) -> pa.Array:
-                    return pa.array([f(*row) for row in zip(*(a.to_pylist() for a in arrays))], arrow)
+                    # Python objects take many times the space of Arrow's: only a part of a batch becomes such at a time
+                    parts = (zip(*(a.slice(i, PART).to_pylist() for a in arrays)) for i in range(0, len(arrays[0]), PART))
+                    return pa.concat_arrays([pa.array([], arrow), *(pa.array([f(*row) for row in rows], arrow) for rows in parts)])
 
                 # the number of arguments and their kind are read from the signature
                 def one(a: pa.Array) -> pa.Array:

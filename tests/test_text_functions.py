@@ -109,3 +109,31 @@ def test_sentences_keep_figures_that_equal_their_place(spark):
     line = "End. 12 men. 2 x 2. 4133 3. 45"
     got = spark.createDataFrame([(line,)], "t string").select(text.sentences_sql(F.col("t")).alias("s")).first().s
     assert got == ["End.", "12 men.", "2 x 2.", "4133 3.", "45"]
+
+
+def test_a_part_of_a_batch_is_python_objects_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tessera.functions import udf
+
+    class Batch:
+        seen = []
+
+        def __init__(self, values):
+            self.values = values
+
+        def __len__(self):
+            return len(self.values)
+
+        def slice(self, at, n):
+            return Batch(self.values[at : at + n])
+
+        def to_pylist(self):
+            self.seen.append(len(self.values))
+            return self.values
+
+    made = []
+    monkeypatch.setattr(udf, "arrow_udf", lambda f, kind: made.append(f) or (lambda *c: None))
+    udf.mapped("array<string>")(lambda t: [t, t])(F.lit(1))
+    assert made[0](Batch(["a"] * 1000)).to_pylist() == [["a", "a"]] * 1000 and max(Batch.seen) <= udf.PART
+    assert made[0](pa.array([], pa.string())).to_pylist() == []
