@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,15 +71,18 @@ def count_words(text: str) -> int:
     return len(_PY_WORD.findall(text))
 
 
-# A word with its end mark, initials, and the first character after a gap.
-_ENDING = re.compile(r"(?P<word>\S*?)(?P<mark>[.!?]+)[)\]]?(?=\s|$)")
+# A word that ends in a mark, initials, the first character after a gap, and a gap.
+_ENDING = re.compile(r"(?<!\S)\S++(?:(?<=[.!?])|(?<=[.!?][)\]]))")
 _INITIALS = re.compile(r"(?:[A-Z]\.)+")
 _AFTER = re.compile(r"\s*(.?)", re.S)
+_GAP = re.compile(r"\s*")
 
 
 def _ends_here(m: re.Match) -> bool:
     """Whether a word with a mark ends a sentence: not an abbreviation or initials, nor before a small letter."""
-    short = m["mark"][0] == "." and (f"{m['word']}.".lower() in ABBREVIATIONS or _INITIALS.fullmatch(f"{m['word']}."))
+    marked = m[0][:-1] if m[0][-1] in ")]" else m[0]
+    word = marked.rstrip(".!?")
+    short = marked[len(word)] == "." and (f"{word}.".lower() in ABBREVIATIONS or _INITIALS.fullmatch(f"{word}."))
     return not short and not _AFTER.match(m.string, m.end())[1].islower()
 
 
@@ -87,8 +92,7 @@ def sentence_bounds(text: str) -> Iterator[tuple[int, int]]:
     edges = [0, *cuts, len(text)]
     for a, b in zip(edges, edges[1:]):
         if part := text[a:b].strip():
-            start = text.index(part[0], a)
-            yield start, b if b in cuts else len(text)
+            yield text.index(part[0], a), b
 
 
 _CUT = re.compile(r"[:;—]|\),")
@@ -96,17 +100,18 @@ _CUT = re.compile(r"[:;—]|\),")
 
 def clause_cuts(text: str) -> list[tuple[int, str, int, int]]:
     """(offset after the mark, mark, words left, words right) of cuts with enough words of the sentence on both sides."""
-    out = []
-    for m in _CUT.finditer(text):
-        left, right = count_words(text[: m.end()]), count_words(text[m.end() :])
-        if min(left, right) >= CLAUSE_WORDS:
-            out.append((m.end(), m[0], left, right))
+    found, out = list(_CUT.finditer(text)), []
+    starts = [w.start() for w in _PY_WORD.finditer(text)] if found else []
+    for m in found:
+        left = bisect_left(starts, m.end())  # no word goes across a mark
+        if min(left, len(starts) - left) >= CLAUSE_WORDS:
+            out.append((m.end(), m[0], left, len(starts) - left))
     return out
 
 
 def clause_bounds(text: str) -> list[tuple[int, int]]:
     """Contiguous slices; white space after a cut stays with the clause before it."""
-    ends = [len(text) - len(text[at:].lstrip()) for at, *_ in clause_cuts(text)]
+    ends = [_GAP.match(text, at).end() for at, *_ in clause_cuts(text)]
     edges = [0, *ends, len(text)]
     return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
 
@@ -131,6 +136,14 @@ def pack(sizes: list[int], target: int = TARGET_WORDS, most: int = MOST_WORDS) -
     return out
 
 
+def packed(text: str) -> list[dict]:
+    """Groups of clauses, with offsets into text, words, and the sentences from s0 to before s1."""
+    found = units(text)
+    groups = groupby(zip(pack([u["words"] for u in found]), found), key=lambda x: x[0])
+    runs = [[u for _, u in run] for _, run in groups]
+    return [{"start": r[0]["start"], "end": r[-1]["end"], "words": sum(u["words"] for u in r), "s0": r[0]["sentence"], "s1": r[-1]["sentence"] + 1, "clauses": len(r)} for r in runs]
+
+
 UNIT = "struct<start:int,end:int,text:string,words:int,sentence:int,clause:int>"
 
 
@@ -139,6 +152,11 @@ def clause_units(text):
     return units(text or "")
 
 
+@mapped("array<struct<start:int,end:int,words:int,s0:int,s1:int,clauses:bigint>>")
+def packed_units(text):
+    return packed(text or "")
+
+
 @mapped(f"array<{SPAN}>")
 def sentence_spans(text):
     return [{"start": a, "end": b, "text": text[a:b], "words": count_words(text[a:b])} for a, b in sentence_bounds(text or "")]

@@ -41,14 +41,10 @@ def plan_chunks(docs: DataFrame, target: int = T.TARGET_WORDS, most: int = T.MOS
 
 
 def plan_units(docs: DataFrame) -> DataFrame:
-    """The full rule set: numbers as words, sentences with abbreviations, clauses, and greedy groups of clauses."""
-    rows = lines(docs, numbers=True).withColumn("u", T.clause_units("text")).where(F.size("u") > 0)
-    rows = rows.withColumn("g", T.group_numbers(F.transform("u", lambda x: x["words"])))
-    pairs = F.explode(F.arrays_zip("u", "g"))
-    rows = rows.select("doc_id", "para", F.col("text").alias("line"), pairs.alias("x")).select("doc_id", "para", "line", F.col("x.g").alias("g"), *[F.col(f"x.u.{c}").alias(c) for c in ("start", "end", "words", "sentence")])
-    out = rows.groupBy("doc_id", "para", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("int").alias("words"), F.min("sentence").alias("s0"), (F.max("sentence") + 1).alias("s1"), F.count("*").alias("clauses"), F.first("line").alias("line"))
-    body = F.substr("line", F.col("start") + 1, F.col("end") - F.col("start"))
-    return out.select(chunk_id(F.col("doc_id"), F.col("para"), F.col("s0"), F.col("s1"), F.col("start"), F.col("end")).alias("id"), "doc_id", "para", "s0", "s1", "start", "end", "words", "clauses", F.sha2(body, 256).alias("text_sha256"))
+    """The full rule set: numbers as words, sentences with abbreviations, clauses, and greedy groups of clauses.  No shuffle."""
+    rows = lines(docs, numbers=True).select("doc_id", "para", "text", F.explode(T.packed_units("text")).alias("x")).select("doc_id", "para", "text", "x.*")
+    body = F.substr("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    return rows.select(chunk_id(F.col("doc_id"), F.col("para"), F.col("s0"), F.col("s1"), F.col("start"), F.col("end")).alias("id"), "doc_id", "para", "s0", "s1", "start", "end", "words", "clauses", F.sha2(body, 256).alias("text_sha256"))
 
 
 def merged_lines(rows: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:

@@ -78,3 +78,7 @@ def test_turns_are_read_whole(spark):
 def test_ngrams_are_not_broadcast(spark, name):
     """Spark estimates exploded n-grams by their texts; all of them would pass through the driver."""
     assert "Broadcast" not in REGISTRY[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_units_are_packed_without_a_shuffle(spark):
+    assert "Exchange" not in REGISTRY["plan_units"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
